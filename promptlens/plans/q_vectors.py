@@ -1 +1,141 @@
-"""Query bindings."""
+"""Vector queries (P-19/20, V-01..V-04, F-01, F-06, A-11, J-05, J-10)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from promptlens.functions import vector as VX
+from promptlens.operators import vectors as OV
+from promptlens.plans import sqlfrag as S
+from promptlens.plans import views as V
+from promptlens.plans.registry import register
+
+EXPECTED_DIM = 64  # test tables carry 64-wide vectors; the service used 1024
+
+
+def _r6(df, cols):
+    return df.select(*[F.round(c, 6).alias(c) if c in cols else c for c in df.columns])
+
+
+def topk_sql(targets: str, corpus: str, k: int, min_sim: float | None = None,
+             extra_views=("emb",), select="target_id, vec_id, rank, round(sim, 6) AS similarity") -> str:
+    cond = f"AND {S.cosine('a.embedding', 'b.embedding')} >= {min_sim}" if min_sim is not None else ""
+    return V.oracle(f"""
+SELECT {select} FROM (
+  SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY round(sim, 9) DESC, vec_id) AS rank
+  FROM (SELECT a.vec_id AS target_id, b.vec_id AS vec_id, {S.cosine('a.embedding', 'b.embedding')} AS sim
+        FROM {targets} a JOIN {corpus} b ON a.vec_id <> b.vec_id {cond}) s) r
+WHERE rank <= {k}""", list(extra_views))
+
+
+@register("topk_similar", topk_sql("emb", "emb", 5))
+def q_topk_similar(spark, d):
+    e = V.emb(spark, d)
+    return _r6(OV.topk_similar(e, e, k=5), ["similarity"])
+
+
+TOPK_MIN_SIM = 0.3
+
+
+@register("topk_threshold", topk_sql("emb", "emb", 5, TOPK_MIN_SIM))
+def q_topk_threshold(spark, d):
+    e = V.emb(spark, d)
+    return _r6(OV.topk_similar(e, e, k=5, min_sim=TOPK_MIN_SIM), ["similarity"])
+
+
+def topk_with_prompts(spark, d):
+    """Flagship: every vector's 5 nearest prompt-owning vectors, with the
+    prompt text of each neighbour."""
+    e = V.emb(spark, d)
+    c = V.corpus(spark, d)
+    nn = OV.topk_similar(e, c, k=5, corpus_key="original_index")
+    prompts = c.select(F.col("original_index").alias("vec_id"), "prompt")
+    return _r6(nn.join(prompts, "vec_id").select("target_id", "rank", "vec_id", "prompt", "similarity"),
+               ["similarity"])
+
+
+_CORPUS_VEC = "cvec AS (SELECT original_index AS vec_id, prompt, embedding FROM corpus)"
+
+
+@register("topk_prompts", V.oracle(f"""
+SELECT target_id, rank, vec_id, prompt, round(sim, 6) AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY round(sim, 9) DESC, vec_id) AS rank
+  FROM (SELECT a.vec_id AS target_id, b.vec_id, b.prompt, {S.cosine('a.embedding', 'b.embedding')} AS sim
+        FROM emb a JOIN cvec b ON a.vec_id <> b.vec_id) s) r
+WHERE rank <= 5""", ["corpus"], [_CORPUS_VEC]))
+def q_topk_prompts(spark, d):
+    return topk_with_prompts(spark, d)
+
+
+@register("embedding_norms", V.oracle(f"""
+SELECT vec_id, round({S.norm('embedding')}, 6) AS norm FROM emb""", ["emb"]))
+def q_embedding_norms(spark, d):
+    e = V.emb(spark, d)
+    return e.select("vec_id", F.round(VX.l2_norm("embedding"), 6).alias("norm"))
+
+
+@register("cosine_pairs", V.oracle(f"""
+SELECT a.vec_id AS a_id, b.vec_id AS b_id, round({S.cosine('a.embedding', 'b.embedding')}, 6) AS similarity
+FROM emb a JOIN emb b ON b.vec_id = a.vec_id + 1""", ["emb"]))
+def q_cosine_pairs(spark, d):
+    e = V.emb(spark, d)
+    a = e.select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("ea"))
+    b = e.select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("eb"))
+    j = a.join(b, b.b_id == a.a_id + 1)
+    return j.select("a_id", "b_id", F.round(VX.cosine("ea", "eb"), 6).alias("similarity"))
+
+
+@register("embedding_stats", V.oracle("""
+SELECT count(DISTINCT vec_id) AS n_vectors, max(dims) AS dims, round(avg(x), 6) AS mean_value,
+       round(stddev_pop(x), 6) AS std_value, round(min(x), 6) AS min_value, round(max(x), 6) AS max_value
+FROM (SELECT vec_id, len(embedding) AS dims, unnest(embedding) AS x FROM emb)""", ["emb"]))
+def q_embedding_stats(spark, d):
+    r = OV.embedding_stats(V.emb(spark, d))
+    return _r6(r, ["mean_value", "std_value", "min_value", "max_value"])
+
+
+@register("validate_dims", V.oracle(f"""
+SELECT count(*) > 0 AND count_if(coalesce(len(embedding) <> {EXPECTED_DIM}, true)) = 0 AS valid,
+       count(*) AS total, count_if(coalesce(len(embedding) <> {EXPECTED_DIM}, true)) AS invalid_count,
+       {EXPECTED_DIM} AS expected_dim
+FROM emb""", ["emb"]))
+def q_validate_dims(spark, d):
+    return OV.validate_dims(V.emb(spark, d), EXPECTED_DIM)
+
+
+@register("invalid_dims", V.oracle(f"""
+SELECT d.doc_id AS request_id, len(e.embedding) AS dims
+FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id
+WHERE coalesce(len(e.embedding) <> {EXPECTED_DIM}, true)""", []))
+def q_invalid_dims(spark, d):
+    docs = V.table(spark, d, "documents")
+    e = V.table(spark, d, "embeddings")
+    x = docs.join(e, docs.doc_id == e.vec_id, "left").select(
+        F.col("doc_id").alias("request_id"), "embedding")
+    return OV.invalid_dims(x, EXPECTED_DIM, "request_id").select(
+        "request_id", F.col("dims").cast("long").alias("dims"))
+
+
+_ADJ = """adj AS (
+  SELECT a.vec_id, b.vec_id AS next_id, {cos} AS similarity
+  FROM (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) AS i FROM emb) a
+  JOIN (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) AS i FROM emb) b
+    ON b.i = a.i + 1)""".format(cos=S.cosine("a.embedding", "b.embedding"))
+
+
+@register("adjacent_cosine", V.oracle("""
+SELECT vec_id, next_id, round(similarity, 6) AS similarity FROM adj""", ["emb"], [_ADJ]))
+def q_adjacent_cosine(spark, d):
+    return _r6(OV.adjacent_cosine(V.emb(spark, d)), ["similarity"])
+
+
+@register("vector_report", V.oracle(f"""
+SELECT count(DISTINCT vec_id) AS n_vectors, max(dims) AS dims, round(avg(x), 6) AS mean_value,
+       round(stddev_pop(x), 6) AS std_value, round(min(x), 6) AS min_value, round(max(x), 6) AS max_value,
+       (SELECT count_if(coalesce(len(embedding) <> {EXPECTED_DIM}, true)) = 0 AND count(*) > 0 FROM emb) AS dims_valid,
+       (SELECT count_if(coalesce(len(embedding) <> {EXPECTED_DIM}, true)) FROM emb) AS invalid_count,
+       (SELECT round(avg(similarity), 6) FROM adj) AS mean_adjacent_cosine
+FROM (SELECT vec_id, len(embedding) AS dims, unnest(embedding) AS x FROM emb)""", ["emb"], [_ADJ]))
+def q_vector_report(spark, d):
+    r = OV.vector_report(V.emb(spark, d), EXPECTED_DIM)
+    return _r6(r, ["mean_value", "std_value", "min_value", "max_value", "mean_adjacent_cosine"])
