@@ -61,3 +61,17 @@ def norm(a: str) -> str:
 
 def cosine(a: str, b: str) -> str:
     return f"coalesce({dot(a, b)} / nullif({norm(a)} * {norm(b)}, 0), 0.0)"
+
+
+def hash_embed_cte(name: str, src: str, key: str, text: str, dim: int = 64) -> str:
+    """CTE ``name(key, bucket, value)``: sparse hashed bag-of-words vector of
+    ``text`` for every row of ``src`` (same rule as the default provider)."""
+    return f"""{name}_raw AS (
+  SELECT {key}, bucket, sum(sgn) AS v FROM (
+    SELECT {key}, ('0x' || substr(md5(w), 1, 8))::BIGINT % {dim} AS bucket,
+           CASE WHEN ('0x' || substr(md5(w), 9, 1))::INT % 2 = 0 THEN 1.0 ELSE -1.0 END AS sgn
+    FROM (SELECT {key}, unnest({lower_words(text)}) AS w FROM {src}) t) h
+  GROUP BY 1, 2),
+{name} AS (
+  SELECT {key}, bucket, v / nullif(sqrt(sum(v * v) OVER (PARTITION BY {key})), 0) AS value
+  FROM {name}_raw WHERE v <> 0)"""
