@@ -1 +1,280 @@
-"""Query bindings."""
+"""Generation and evaluation queries (V-06..V-13, R-01, R-09, W-04, P-23,
+P-24, A-15, A-18, A-19, A-26, E-01, E-03, F-04, T-01)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from promptlens.operators import generate as G
+from promptlens.operators.pipeline import similarity_summary
+from promptlens.plans import sqlfrag as S
+from promptlens.plans import views as V
+from promptlens.plans.q_textsim import CAND_SQL, candidates, metric_summary
+from promptlens.plans.registry import register
+
+GATE = 0.4  # below the service's 0.7 so both outcomes occur on the test tables
+
+
+def _r6(df, cols):
+    return df.select(*[F.round(c, 6).alias(c) if c in cols else c for c in df.columns])
+
+
+def gen1(spark, d):
+    return G.generate_prompts(V.emb(spark, d), V.corpus(spark, d), n=1)
+
+
+_GEN1 = f"""gen1 AS (
+  SELECT target_id, rank AS slot, vec_id, prompt, sim AS similarity, true AS success, NULL AS error FROM (
+    SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY round(sim, 9) DESC, vec_id) AS rank
+    FROM (SELECT a.vec_id AS target_id, b.original_index AS vec_id, b.prompt,
+                 {S.cosine('a.embedding', 'b.embedding')} AS sim
+          FROM emb a JOIN corpus b ON a.vec_id <> b.original_index) s) r
+  WHERE rank = 1)"""
+
+_EVAL = f"""ev AS (
+  SELECT g.target_id, g.slot, g.prompt,
+         CASE WHEN c.output IS NOT NULL THEN {S.cosine('t.embedding', 'c.embedding')} ELSE 0.0 END AS similarity,
+         {S.word_count('g.prompt')}::BIGINT AS prompt_words,
+         (CASE WHEN c.output IS NOT NULL THEN {S.word_count('c.output')} ELSE 0 END)::BIGINT AS response_words,
+         c.output IS NOT NULL AS success,
+         CASE WHEN c.output IS NULL THEN 'no response' END AS error
+  FROM gen1 g JOIN corpus c ON g.vec_id = c.original_index JOIN emb t ON t.vec_id = g.target_id)"""
+
+_GV = ["corpus"]
+
+
+@register("generate_prompts", V.oracle("""
+SELECT target_id, slot, vec_id, prompt, round(similarity, 6) AS similarity, success FROM gen1""",
+                                       _GV, [_GEN1]))
+def q_generate_prompts(spark, d):
+    return _r6(gen1(spark, d).drop("error"), ["similarity"])
+
+
+@register("prompt_quality", V.oracle(f"""
+SELECT g.target_id, g.slot, round({S.cosine('t.embedding', 'c.embedding')}, 6) AS similarity,
+       {S.word_count('g.prompt')}::BIGINT AS prompt_words, round({S.norm('t.embedding')}, 6) AS target_norm,
+       round({S.norm('c.embedding')}, 6) AS generated_norm, g.success
+FROM gen1 g JOIN corpus c ON g.vec_id = c.original_index JOIN emb t ON t.vec_id = g.target_id""", _GV, [_GEN1]))
+def q_prompt_quality(spark, d):
+    r = G.prompt_quality(gen1(spark, d), V.corpus(spark, d), V.emb(spark, d))
+    return _r6(r, ["similarity", "target_norm", "generated_norm"])
+
+
+def evals(spark, d):
+    return G.evaluate_generated(gen1(spark, d), V.corpus(spark, d), V.emb(spark, d))
+
+
+@register("evaluate_generated", V.oracle("""
+SELECT target_id, slot, prompt, round(similarity, 6) AS similarity, prompt_words, response_words, success, error
+FROM ev""", _GV, [_GEN1, _EVAL]))
+def q_evaluate_generated(spark, d):
+    return _r6(evals(spark, d), ["similarity"])
+
+
+@register("similarity_summary", V.oracle("""
+SELECT round(coalesce(avg(similarity), 0.0), 6) AS avg_similarity,
+       round(coalesce(max(similarity), 0.0), 6) AS max_similarity,
+       round(coalesce(min(similarity), 0.0), 6) AS min_similarity
+FROM ev WHERE success""", _GV, [_GEN1, _EVAL]))
+def q_similarity_summary(spark, d):
+    return _r6(similarity_summary(evals(spark, d)), ["avg_similarity", "max_similarity", "min_similarity"])
+
+
+@register("refine_gate", V.oracle(f"""
+SELECT target_id, round(similarity, 6) AS similarity FROM ev WHERE success AND similarity > {GATE}""",
+                                  _GV, [_GEN1, _EVAL]))
+def q_refine_gate(spark, d):
+    e = evals(spark, d)
+    return _r6(e.where(F.col("success") & (F.col("similarity") > GATE)).select("target_id", "similarity"),
+               ["similarity"])
+
+
+def eval_similarity(e):
+    ok = e.where(F.col("success"))
+    from promptlens.functions.frames import grouped_median
+    agg = ok.agg(F.count(F.lit(1)).alias("n"), F.avg("similarity").alias("mean"),
+                 F.stddev_pop("similarity").alias("std"), F.min("similarity").alias("min"),
+                 F.max("similarity").alias("max"))
+    med = grouped_median(ok, "similarity", out="median")
+    return agg.select("n", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("mean", "std", "min", "max")],
+                      F.coalesce(med.select("median").scalar(), F.lit(0.0)).alias("median"))
+
+
+@register("eval_similarity", V.oracle("""
+SELECT count(*) AS n, round(coalesce(avg(similarity), 0.0), 6) AS mean,
+       round(coalesce(stddev_pop(similarity), 0.0), 6) AS std, round(coalesce(min(similarity), 0.0), 6) AS min,
+       round(coalesce(max(similarity), 0.0), 6) AS max, round(coalesce(median(similarity), 0.0), 6) AS median
+FROM ev WHERE success""", _GV, [_GEN1, _EVAL]))
+def q_eval_similarity(spark, d):
+    return _r6(eval_similarity(evals(spark, d)), ["mean", "std", "min", "max", "median"])
+
+
+@register("eval_prompt_length", V.oracle("""
+SELECT round(avg(prompt_words), 6) AS mean, round(stddev_pop(prompt_words), 6) AS std,
+       round(median(prompt_words), 6) AS median FROM ev""", _GV, [_GEN1, _EVAL]))
+def q_eval_prompt_length(spark, d):
+    e = evals(spark, d).withColumn("metric", F.lit("prompt_length"))
+    r = metric_summary(e.select("metric", F.col("prompt_words").cast("double").alias("value")))
+    return _r6(r.select("mean", "std", "median"), ["mean", "std", "median"])
+
+
+@register("effectiveness", V.oracle("""
+SELECT 'offline' AS model, count(*) AS n, round(avg(similarity), 6) AS cosine_similarity,
+       round(avg(prompt_words), 6) AS prompt_length, round(avg(response_words), 6) AS response_length
+FROM ev WHERE success""", _GV, [_GEN1, _EVAL]))
+def q_effectiveness(spark, d):
+    e = evals(spark, d).where(F.col("success")).withColumn("model", F.lit("offline"))
+    r = e.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.avg("similarity").alias("cosine_similarity"),
+                               F.avg("prompt_words").alias("prompt_length"),
+                               F.avg("response_words").alias("response_length"))
+    return _r6(r, ["cosine_similarity", "prompt_length", "response_length"])
+
+
+def verdicts(sim_mean, distinct1_mean):
+    def v(x):
+        return (F.when(x > 0.8, F.lit("high")).when(x > 0.6, F.lit("middle")).otherwise(F.lit("low")))
+    return v(sim_mean).alias("similarity_verdict"), v(distinct1_mean).alias("diversity_verdict")
+
+
+@register("verdicts", V.oracle("""
+SELECT target_id, CASE WHEN similarity > 0.8 THEN 'high' WHEN similarity > 0.6 THEN 'middle' ELSE 'low' END AS verdict
+FROM ev""", _GV, [_GEN1, _EVAL]))
+def q_verdicts(spark, d):
+    e = evals(spark, d)
+    return e.select("target_id", verdicts(F.col("similarity"), F.lit(0.0))[0].alias("verdict"))
+
+
+@register("variant_rank")
+def q_variant_rank(spark, d):
+    """T-01: variants of each gated prompt ranked by score (missing -> 0)."""
+    from pyspark.sql import Window
+    e = evals(spark, d).where(F.col("success") & (F.col("similarity") > GATE))
+    v = G.diverse_variants(e.select("target_id", "prompt"), 3)
+    tv = G.target_vectors(V.corpus(spark, d).where(F.col("output").isNotNull()), "original_index", "output")
+    s = G.score_prompts(v.select("target_id", "variant", "variant_prompt"), tv, "variant_prompt")
+    w = Window.partitionBy("target_id").orderBy(F.desc(F.coalesce("score", F.lit(0.0))), "variant")
+    return _r6(s.withColumn("rank", F.row_number().over(w)), ["score"])
+
+
+@register("diverse_variants", V.oracle("""
+SELECT target_id, v AS variant,
+       ['more specific', 'more creative', 'more detailed', 'more concise', 'more engaging'][v % 5 + 1] AS style,
+       round(0.5 + v * 0.3, 6) AS temperature,
+       'Make it ' || ['more specific', 'more creative', 'more detailed', 'more concise', 'more engaging'][v % 5 + 1]
+         || ': ' || coalesce(prompt, '') AS variant_prompt
+FROM gen1, range(0, 5) r(v)""", _GV, [_GEN1]))
+def q_diverse_variants(spark, d):
+    v = G.diverse_variants(gen1(spark, d).select("target_id", "prompt"), 5)
+    return _r6(v.select("target_id", F.col("variant").cast("long").alias("variant"), "style",
+                        "temperature", "variant_prompt"), ["temperature"])
+
+
+# ----------------------------------------------------------------- scored candidates
+def tvecs(spark, d):
+    return G.target_vectors(V.corpus(spark, d).where(F.col("output").isNotNull()), "original_index", "output")
+
+
+def candidate_pool(spark, d):
+    c = candidates(spark, d).select("target_id", "slot", "prompt")
+    return G.score_prompts(c, tvecs(spark, d))
+
+
+_TV = S.hash_embed_cte("tvs", "corpus", "original_index", "output")
+_CVS = S.hash_embed_cte("cvs", "cand_k", "cid", "prompt")
+_CAND_K = "cand_k AS (SELECT target_id * 100 + slot AS cid, target_id, slot, prompt FROM candidates)"
+_SCORED = """scored AS (
+  SELECT k.target_id, k.slot, k.prompt,
+         CASE WHEN k.target_id IN (SELECT original_index FROM tvs) THEN coalesce((
+           SELECT sum(c.value * t.value) FROM cvs c JOIN tvs t ON c.bucket = t.bucket
+           WHERE c.cid = k.cid AND t.original_index = k.target_id), 0.0) ELSE 0.0 END AS score
+  FROM cand_k k)"""
+_SC = [CAND_SQL, _CAND_K, _TV, _CVS, _SCORED]
+
+
+@register("candidate_pool", V.oracle("""
+SELECT target_id, slot, prompt, round(score, 6) AS score FROM scored""", _GV, _SC))
+def q_candidate_pool(spark, d):
+    return _r6(candidate_pool(spark, d), ["score"])
+
+
+@register("score_prompts", V.oracle("""
+SELECT target_id, round(score, 6) AS score FROM scored WHERE slot = 1""", _GV, _SC))
+def q_score_prompts(spark, d):
+    c = candidates(spark, d).where(F.col("slot") == 1).select("target_id", "prompt")
+    return _r6(G.score_prompts(c, tvecs(spark, d)).select("target_id", "score"), ["score"])
+
+
+_BEST = """best AS (
+  SELECT target_id, slot, prompt, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY round(score, 9) DESC, slot) AS rn FROM scored) WHERE rn = 1)"""
+
+
+@register("best_candidate", V.oracle("""
+SELECT target_id, slot, prompt, round(score, 6) AS score FROM best""", _GV, _SC + [_BEST]))
+def q_best_candidate(spark, d):
+    return _r6(G.best_per_target(candidate_pool(spark, d)), ["score"])
+
+
+@register("simple_refine", V.oracle("""
+SELECT target_id, prompt, round(score, 6) AS score, 'simple' AS strategy FROM best""", _GV, _SC + [_BEST]))
+def q_simple_refine(spark, d):
+    b = G.best_per_target(candidate_pool(spark, d))
+    return _r6(b.select("target_id", "prompt", "score", F.lit("simple").alias("strategy")), ["score"])
+
+
+@register("generate_refined")
+def q_generate_refined(spark, d):
+    return _r6(G.generate_with_refinement(evals(spark, d), tvecs(spark, d), GATE, 3),
+               ["similarity", "best_variant_score"])
+
+
+# ----------------------------------------------------------------- text / file
+@register("prompt_from_text")
+def q_prompt_from_text(spark, d):
+    b = V.table(spark, d, "benchmark").select(F.col("item_id"), "text")
+    c = V.corpus(spark, d).where(F.col("output").isNotNull())
+    return _r6(G.prompt_from_text(b, c, "item_id"), ["similarity"])
+
+
+def _raw_file(spark, d):
+    docs = V.table(spark, d, "documents")
+    e = V.table(spark, d, "embeddings")
+    j = docs.join(e, docs.doc_id == e.vec_id, "left")
+    js = F.when(F.col("embedding").isNotNull(),
+                F.to_json(F.transform("embedding", lambda x: x.cast("double"))))
+    return j.select("doc_id", "lang", F.coalesce(js, F.concat(F.lit("["), F.col("lang"))).alias("embedding_json"))
+
+
+@register("process_file", V.oracle(f"""
+SELECT d.doc_id, d.lang, r.prompt, round(r.sim, 6) AS similarity, r.prompt IS NOT NULL AS success,
+       CASE WHEN e.embedding IS NULL THEN 'invalid embedding' END AS error
+FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id
+LEFT JOIN (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY round(sim, 9) DESC, vec_id) AS rank
+    FROM (SELECT a.vec_id AS target_id, b.original_index AS vec_id, b.prompt,
+                 {S.cosine('a.embedding', 'b.embedding')} AS sim
+          FROM emb a JOIN corpus b ON true) s) WHERE rank = 1) r ON r.target_id = d.doc_id""", _GV))
+def q_process_file(spark, d):
+    r = G.process_embeddings(_raw_file(spark, d), V.corpus(spark, d), "doc_id", "embedding_json", 64)
+    return _r6(r, ["similarity"])
+
+
+# ----------------------------------------------------------------- report
+@register("eval_report")
+def q_eval_report(spark, d):
+    """E-01/E-03: one long table of metric summaries plus verdicts."""
+    from promptlens.plans.q_textsim import text_metrics_long
+    e = evals(spark, d)
+    es = eval_similarity(e)
+    sim = es.select(F.lit("embedding_similarity").alias("metric"), "mean", "std", "median", "min", "max")
+    pl = metric_summary(e.select(F.lit("prompt_length").alias("metric"),
+                                 F.col("prompt_words").cast("double").alias("value")))
+    tm = metric_summary(text_metrics_long(spark, d))
+    rows = sim.unionByName(pl.select("metric", "mean", "std", "median", F.lit(None).cast("double").alias("min"),
+                                     F.lit(None).cast("double").alias("max"))) \
+        .unionByName(tm.select("metric", "mean", "std", "median", F.lit(None).cast("double").alias("min"),
+                               F.lit(None).cast("double").alias("max")))
+    verdict = (F.when(F.col("metric") == "embedding_similarity",
+                      F.when(F.col("mean") > 0.8, "high").when(F.col("mean") > 0.6, "middle").otherwise("low")))
+    return _r6(rows.withColumn("verdict", verdict), ["mean", "std", "median", "min", "max"])
