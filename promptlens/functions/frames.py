@@ -30,30 +30,63 @@ def _num_partitions(df: DataFrame, n: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+SAMPLE_PER_BUCKET = 64
+
+
+def range_buckets(df: DataFrame, order_cols: list, num_buckets: int | None = None,
+                  name: str = "_b") -> DataFrame:
+    """Add a bucket id that is monotone in ``order_cols`` order.
+
+    Bounds come from a deterministic hash sample (about 64 rows per bucket,
+    sorted and cut on the driver: a size fixed by the bucket count, not by
+    the data), so every re-evaluation of the plan -- another branch of the
+    same query, or a task retried after an executor loss -- puts each row in
+    the same bucket. (``repartitionByRange`` samples with a seed derived
+    from the RDD id, so two evaluations may cut differently.)"""
+    p = _num_partitions(df, num_buckets)
+    cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    n = df.count()
+    if p <= 1 or n == 0:
+        return df.withColumn(name, F.lit(0))
+    m = max(1, n // (p * SAMPLE_PER_BUCKET))
+    key = F.struct(*cols)
+    sample = (df.select(key.alias("_k")).where(F.pmod(F.xxhash64("_k"), F.lit(m)) == 0)
+              .orderBy("_k").collect())
+    if not sample:
+        return df.withColumn(name, F.lit(0))
+    step = len(sample) / p
+    bounds = []
+    for i in range(1, p):
+        b = sample[min(len(sample) - 1, int(i * step))]["_k"]
+        if not bounds or b != bounds[-1]:
+            bounds.append(b)
+    fields = df.select(key.alias("_k")).schema["_k"].dataType.fields
+    lits = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, fields)])
+            for b in bounds]
+    bucket = sum((F.when(key >= lit, F.lit(1)).otherwise(F.lit(0)) for lit in lits), F.lit(0))
+    return df.withColumn(name, bucket)
+
+
 def with_row_index(df: DataFrame, order_cols: list, name: str = "row_index",
                    num_partitions: int | None = None) -> DataFrame:
     """0-based position of each row in ``order_cols`` order.
 
-    Range-partition on the order, sort inside partitions, then add the count
-    of all earlier partitions (the zipWithIndex pattern in DataFrame form).
-    No single task sees more than one range partition; the offsets table has
-    one row per partition. ``order_cols`` must give a total order.
+    Rows get an order-preserving bucket; a row's position is its rank inside
+    its bucket plus the sizes of all earlier buckets (the zipWithIndex
+    pattern in DataFrame form). No task sees more than one bucket; the
+    offsets table has one row per bucket. ``order_cols`` must be a total
+    order.
     """
-    p = _num_partitions(df, num_partitions)
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    part = (df.repartitionByRange(p, *cols).sortWithinPartitions(*cols)
-            .withColumn("_pid", F.spark_partition_id())
-            .withColumn("_mid", F.monotonically_increasing_id()))
-    part = part.withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
-    counts = part.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    x = range_buckets(df, order_cols, num_partitions)
+    x = x.withColumn("_pos", F.row_number().over(Window.partitionBy("_b").orderBy(*cols)) - 1)
+    counts = x.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
-        "_pid",
-        (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("_off"))
-    # one row per partition: a proven size bound
-    out = part.join(F.broadcast(offsets), "_pid")
-    return (out.withColumn(name, F.coalesce(F.col("_off"), F.lit(0)) + F.col("_pos"))
-            .drop("_pid", "_mid", "_pos", "_off"))
+        "_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
+                         F.lit(0)).alias("_off"))
+    # one row per bucket: a proven size bound
+    out = x.join(F.broadcast(offsets), "_b")
+    return out.withColumn(name, (F.col("_off") + F.col("_pos")).cast("long")).drop("_b", "_pos", "_off")
 
 
 def grouped_median(df: DataFrame, value: str, keys: list[str] | None = None,
@@ -61,34 +94,28 @@ def grouped_median(df: DataFrame, value: str, keys: list[str] | None = None,
     """Exact median (mean of the two middle values) per group, by sorting.
 
     Spark's ``median``/``percentile`` keep every distinct value of a group in
-    one buffer; here the values are range-partitioned on ``(keys, value)`` so a
-    hot group is spread over many tasks, and only the one or two middle rows
-    of each group are picked out by position.
+    one buffer; here rows get an order-preserving bucket on ``(keys, value)``
+    so a hot group is spread over many tasks, and only the one or two middle
+    rows of each group are picked out by position.
     """
     keys = list(keys or [])
-    p = _num_partitions(df, num_partitions)
     base = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     if not keys:
         base = base.withColumn("_g", F.lit(0))
         gk = ["_g"]
     else:
         gk = keys
-    order = [F.col(k) for k in gk] + [F.col("_v")]
-    part = (base.repartitionByRange(p, *order).sortWithinPartitions(*order)
-            .withColumn("_pid", F.spark_partition_id())
-            .withColumn("_mid", F.monotonically_increasing_id()))
-    part = part.withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
-    # per (group, partition): count and first local position -> small table
-    pieces = part.groupBy(*gk, "_pid").agg(F.count(F.lit(1)).alias("_n"),
-                                           F.min("_pos").alias("_first"))
-    wg = Window.partitionBy(*gk).orderBy("_pid")
+    x = range_buckets(base, gk + ["_v"], num_partitions)
+    x = x.withColumn("_pos", F.row_number().over(Window.partitionBy("_b", *gk).orderBy("_v")) - 1)
+    pieces = x.groupBy(*gk, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    wg = Window.partitionBy(*gk).orderBy("_b")
     pieces = (pieces
               .withColumn("_off", F.coalesce(F.sum("_n").over(
                   wg.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
               .withColumn("_total", F.sum("_n").over(Window.partitionBy(*gk))))
-    # (groups x partitions) rows: AQE broadcasts it when small, else shuffles
-    ranked = part.join(pieces, gk + ["_pid"])
-    ranked = ranked.withColumn("_r", F.col("_off") + F.col("_pos") - F.col("_first"))
+    # (groups x buckets) rows: AQE broadcasts it when small, else shuffles
+    ranked = x.join(pieces, gk + ["_b"])
+    ranked = ranked.withColumn("_r", F.col("_off") + F.col("_pos"))
     lo = F.floor((F.col("_total") - 1) / 2)
     hi = F.ceil((F.col("_total") - 1) / 2)
     mids = ranked.where((F.col("_r") == lo) | (F.col("_r") == hi))
