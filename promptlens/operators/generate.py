@@ -145,13 +145,13 @@ def target_vectors(targets: DataFrame, key: str, text_col: str,
 
 
 def score_prompts(cands: DataFrame, tvecs: DataFrame, prompt: str = "prompt",
-                  provider: EmbeddingProvider | None = None) -> DataFrame:
+                  provider: EmbeddingProvider | None = None, out: str = "score") -> DataFrame:
     """score = cosine(target vector, vector of the text the prompt yields);
     the offline text model returns the prompt itself. Failures score 0."""
     e = embed_texts(cands, prompt, provider)
     j = e.join(tvecs, "target_id", "left")
     score = F.coalesce(F.when(F.col("success"), VX.cosine("embedding", "target_vec")), F.lit(0.0))
-    return j.select(*cands.columns, score.alias("score"))
+    return j.select(*cands.columns, score.alias(out))
 
 
 def best_per_target(df: DataFrame, score: str = "score", tie: str = "slot",
