@@ -1 +1,88 @@
-"""Query bindings."""
+"""Streaming queries (ST-01..ST-05). Each runs a Structured Streaming query
+to completion (``availableNow``) over files derived from the given tables
+and returns the sink table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from promptlens.functions import vector as VX
+from promptlens.plans import sqlfrag as S
+from promptlens.plans import views as V
+from promptlens.plans.registry import register
+from promptlens.streaming import streams as ST
+
+PARTS = 4
+
+
+def _r6(df, cols):
+    return df.select(*[F.round(c, 6).alias(c) if c in cols else c for c in df.columns])
+
+
+def _docs_files(spark, d):
+    docs = V.docs(spark, d).select("original_index", "output", "text_hash")
+    src = ST.split_to_files(docs, ST.fresh_dir(spark, "docs-src"), "original_index", PARTS)
+    return src, docs.schema
+
+
+@register("stream_embed", V.oracle("""
+SELECT d.original_index, d.text_hash, round(h.vsum, 6) AS vsum
+FROM docs d JOIN (SELECT original_index, sum(value) AS vsum FROM dv GROUP BY 1) h USING (original_index)""",
+                                   ["docs"], [S.hash_embed_cte("dv", "docs", "original_index", "output")]))
+def q_stream_embed(spark, d):
+    src, schema = _docs_files(spark, d)
+    out = ST.stream_embed(spark, src, schema, ST.fresh_dir(spark, "emb-out"), "original_index", "output")
+    docs = V.docs(spark, d).select("original_index", "text_hash")
+    r = out.where(F.col("success")).join(docs, "original_index")
+    return _r6(r.select("original_index", "text_hash", VX.vec_sum("embedding").alias("vsum")), ["vsum"])
+
+
+@register("stream_upsert", V.oracle("""
+SELECT text_hash, max(original_index) AS original_index, count(*) AS copies FROM docs GROUP BY 1""", ["docs"]))
+def q_stream_upsert(spark, d):
+    docs = V.docs(spark, d)
+    x = docs.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"))
+    src_df = docs.join(x, "text_hash").select("original_index", "text_hash", "copies",
+                                              F.col("original_index").alias("_order"))
+    src = ST.split_to_files(src_df, ST.fresh_dir(spark, "ups-src"), "original_index", PARTS)
+    t = ST.stream_upsert(spark, src, src_df.schema, ST.fresh_dir(spark, "vec-table"), "text_hash",
+                         ["original_index", "copies"])
+    return t.select("text_hash", "original_index", "copies")
+
+
+@register("stream_dedupe", V.oracle("SELECT DISTINCT text_hash FROM docs", ["docs"]))
+def q_stream_dedupe(spark, d):
+    src, schema = _docs_files(spark, d)
+    return ST.stream_dedupe(spark, src, schema, ST.fresh_dir(spark, "dedupe-out"), "text_hash") \
+        .select("text_hash")
+
+
+def _events_files(spark, d):
+    ev = V.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"),
+                                            F.col("event_type").alias("endpoint"), "value")
+    src = ST.split_to_files(ev, ST.fresh_dir(spark, "ev-src"), "event_id", PARTS)
+    return src, ev.schema
+
+
+@register("stream_rate", V.oracle("""
+SELECT ws AS window_start_us, endpoint, count(*) AS n FROM (
+  SELECT event_type AS endpoint, (epoch_us(ts) // 10000000) * 10000000 - k * 10000000 AS ws
+  FROM events, range(0, 6) r(k)) x
+GROUP BY 1, 2""", []))
+def q_stream_rate(spark, d):
+    src, schema = _events_files(spark, d)
+    return ST.stream_window_counts(spark, src, schema, ST.fresh_dir(spark, "rate-out"), "ts", "endpoint",
+                                   "60 seconds", "10 seconds", "1 day")
+
+
+@register("stream_requests", V.oracle("""
+SELECT (epoch_us(ts) // 60000000) * 60000000 AS window_start_us, event_type AS endpoint, count(*) AS n,
+       count_if(event_type <> 'error') AS ok, round(avg(value), 6) AS avg_value
+FROM events GROUP BY 1, 2""", []))
+def q_stream_requests(spark, d):
+    src, schema = _events_files(spark, d)
+    r = ST.stream_window_counts(spark, src, schema, ST.fresh_dir(spark, "req-out"), "ts", "endpoint",
+                                "1 minute", None, "1 day",
+                                extra_aggs=[F.count_if(F.col("endpoint") != "error").alias("ok"),
+                                            F.avg("value").alias("avg_value")])
+    return _r6(r, ["avg_value"])
