@@ -1 +1,157 @@
-"""Query bindings."""
+"""Source and sink round trips (SRC-01..05, SNK-01..06, P-16, P-25, F-03).
+
+Each query writes data derived from the given tables to a fresh folder under
+the shared checkpoint directory with the library's writer, reads it back with
+the library's reader and returns the result."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from promptlens.functions import text as T
+from promptlens.functions import vector as VX
+from promptlens.plans import views as V
+from promptlens.plans.registry import register
+from promptlens.sources import io as IO
+
+FETCH_LO, FETCH_HI = 100, 200
+
+
+def _r6(df, cols):
+    return df.select(*[F.round(c, 6).alias(c) if c in cols else c for c in df.columns])
+
+
+@register("src_pairs", V.oracle("SELECT original_index, prompt, output FROM pairs", ["pairs"]))
+def q_src_pairs(spark, d):
+    path = IO.scratch(spark, "pairs-csv")
+    IO.write_pairs_csv(V.pairs(spark, d), path)
+    return IO.read_pairs(spark, path)
+
+
+@register("src_embeddings", V.oracle("""
+SELECT vec_id, label, len(embedding) AS dims, round(list_sum(embedding), 6) AS vsum FROM emb""", ["emb"]))
+def q_src_embeddings(spark, d):
+    path = IO.scratch(spark, "emb") + ".jsonl"
+    e = V.emb(spark, d)
+    e.select("vec_id", "label", F.to_json("embedding").alias("embedding")).write.json(path)
+    r = IO.read_embeddings(spark, path, schema="vec_id long, label int, embedding string")
+    return _r6(r.select("vec_id", "label", F.size("embedding").cast("long").alias("dims"),
+                        VX.vec_sum("embedding").alias("vsum")), ["vsum"])
+
+
+@register("src_cache", V.oracle("""
+SELECT text_hash, vec_id, embedding_dim::BIGINT AS embedding_dim, round(list_sum(embedding), 6) AS vsum FROM cache""",
+                                ["cache"]))
+def q_src_cache(spark, d):
+    path = IO.scratch(spark, "cache")
+    IO.write_cache(V.cache(spark, d), path)
+    c = IO.read_cache(spark, path)
+    return _r6(c.select("text_hash", "vec_id", F.col("embedding_dim").cast("long").alias("embedding_dim"),
+                        VX.vec_sum("embedding").alias("vsum")), ["vsum"])
+
+
+@register("cache_roundtrip", V.oracle("""
+SELECT text_hash, vec_id, round(list_sum(embedding), 6) AS vsum FROM cache""", ["cache"]))
+def q_cache_roundtrip(spark, d):
+    path = IO.scratch(spark, "cache") + ".jsonl"
+    IO.write_cache(V.cache(spark, d), path, fmt="jsonl")
+    c = IO.read_cache(spark, path)
+    return _r6(c.select("text_hash", "vec_id", VX.vec_sum("embedding").alias("vsum")), ["vsum"])
+
+
+def _training(spark, d):
+    c = V.corpus(spark, d)
+    return c.select("original_index", "prompt", "output", "embedding",
+                    T.token_estimate(F.coalesce("output", F.lit(""))).alias("tokens"))
+
+
+@register("training_required_fields", V.oracle("""
+SELECT count(*) AS rows, count_if(embedding IS NULL) AS missing_embedding, count_if(prompt IS NULL) AS missing_prompt,
+       count_if(output IS NULL) AS missing_output, count_if(embedding IS NOT NULL AND prompt IS NOT NULL) AS usable
+FROM corpus""", ["corpus"]))
+def q_training_required_fields(spark, d):
+    path = IO.scratch(spark, "train") + ".jsonl"
+    IO.write_training(_training(spark, d), path)
+    return IO.required_fields_report(IO.read_training(spark, path))
+
+
+@register("training_roundtrip", V.oracle("""
+SELECT original_index, prompt, output, round(list_sum(embedding), 6) AS vsum FROM corpus""", ["corpus"]))
+def q_training_roundtrip(spark, d):
+    path = IO.scratch(spark, "train-pq")
+    IO.write_training(_training(spark, d), path, fmt="parquet")
+    t = IO.usable_training(IO.read_training(spark, path, fmt="parquet"))
+    return _r6(t.select("original_index", "prompt", "output", VX.vec_sum("embedding").alias("vsum")), ["vsum"])
+
+
+@register("results_roundtrip", V.oracle("""
+SELECT original_index, success, toxic FROM results""", ["results"]))
+def q_results_roundtrip(spark, d):
+    path = IO.scratch(spark, "results") + ".jsonl"
+    IO.write_results(V.results(spark, d).select("original_index", "success", "toxic"), path)
+    return spark.read.schema("original_index long, success boolean, toxic int").json(path)
+
+
+def _records(spark, d):
+    t = _training(spark, d)
+    kind = F.when(F.col("original_index") % 10 < 8, F.lit("train")).otherwise(F.lit("val"))
+    return IO.vector_records(t.withColumn("kind", kind), kind_col="kind")
+
+
+_REC_SQL = """rec AS (
+  SELECT (CASE WHEN original_index % 10 < 8 THEN 'train' ELSE 'val' END) || '-' || original_index AS id,
+         original_index, prompt, output, embedding,
+         greatest(1, floor(len(list_filter(regexp_split_to_array(coalesce(output, ''), '\\s+'), lambda w: w <> '')) * 0.75))::INT AS tokens,
+         CASE WHEN original_index % 10 < 8 THEN 'train' ELSE 'val' END AS type
+  FROM corpus)"""
+
+
+@register("vector_records", V.oracle("SELECT id, prompt, tokens, type FROM rec", ["corpus"], [_REC_SQL]))
+def q_vector_records(spark, d):
+    r = _records(spark, d)
+    return r.select("id", "metadata.prompt", "metadata.tokens", "metadata.type")
+
+
+@register("fetch_vectors", V.oracle(f"""
+SELECT id, original_index AS index, prompt, output, tokens, type, round(list_sum(embedding), 6) AS vsum
+FROM rec WHERE type = 'train' AND original_index >= {FETCH_LO} AND original_index < {FETCH_HI}""",
+                                    ["corpus"], [_REC_SQL]))
+def q_fetch_vectors(spark, d):
+    path = IO.scratch(spark, "vectors")
+    _records(spark, d).write.parquet(path)
+    f = IO.fetch_vectors(spark.read.parquet(path), FETCH_LO, FETCH_HI, "train")
+    return _r6(f.select("id", "index", "prompt", "output", "tokens", "type",
+                        VX.vec_sum("embedding").alias("vsum")), ["vsum"])
+
+
+@register("format_training", V.oracle("""
+SELECT id, prompt, output, tokens, round(list_sum(embedding), 6) AS vsum FROM rec""", ["corpus"], [_REC_SQL]))
+def q_format_training(spark, d):
+    f = IO.format_training(IO.fetch_vectors(_records(spark, d), 0, 1 << 62, "train").unionByName(
+        IO.fetch_vectors(_records(spark, d), 0, 1 << 62, "val")))
+    return _r6(f.select("id", "prompt", "output", "tokens", VX.vec_sum("embedding").alias("vsum")), ["vsum"])
+
+
+@register("vector_upsert", V.oracle("""
+SELECT id, round(vsum, 6) AS vsum, src FROM (
+  SELECT 'doc-' || d.original_index AS id, coalesce(e.vsum, c.vsum) AS vsum,
+         CASE WHEN e.vsum IS NOT NULL THEN 'second' ELSE 'first' END AS src
+  FROM (SELECT text_hash, vec_id AS original_index, list_sum(embedding) AS vsum FROM cache) c
+  FULL JOIN (SELECT text_hash, vec_id AS original_index, -list_sum(embedding) AS vsum FROM cache
+             WHERE vec_id % 2 = 0) e USING (original_index)
+  JOIN (SELECT DISTINCT original_index FROM cache c2 JOIN docs USING (text_hash) WHERE docs.original_index = c2.vec_id) d
+    USING (original_index))""", ["cache", "docs"]))
+def q_vector_upsert(spark, d):
+    """First batch: every cache vector; second batch: the even ids again
+    with negated vectors -- they must replace the first values."""
+    c = V.cache(spark, d)
+    first = c.select(F.concat(F.lit("doc-"), F.col("vec_id").cast("string")).alias("id"),
+                     F.col("embedding").alias("values"), F.lit("first").alias("src"))
+    second = c.where(F.col("vec_id") % 2 == 0).select(
+        F.concat(F.lit("doc-"), F.col("vec_id").cast("string")).alias("id"),
+        F.transform("embedding", lambda x: -x).alias("values"), F.lit("second").alias("src"))
+    root = IO.scratch(spark, "vec-table")
+    IO.upsert_vectors(spark, root, first, IO.scratch(spark, "stage"))
+    IO.upsert_vectors(spark, root, second, IO.scratch(spark, "stage"))
+    t = spark.read.parquet(root)
+    return _r6(t.select("id", VX.vec_sum("values").alias("vsum"), "src"), ["vsum"])
