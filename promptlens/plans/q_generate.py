@@ -20,7 +20,9 @@ def _r6(df, cols):
 
 
 def gen1(spark, d):
-    return G.generate_prompts(V.emb(spark, d), V.corpus(spark, d), n=1)
+    from promptlens.plans.stage import staged
+    return staged(spark, d, "gen1",
+                  lambda: G.generate_prompts(V.emb(spark, d), V.corpus(spark, d), n=1))
 
 
 _GEN1 = f"""gen1 AS (
@@ -171,12 +173,18 @@ def q_diverse_variants(spark, d):
 
 # ----------------------------------------------------------------- scored candidates
 def tvecs(spark, d):
-    return G.target_vectors(V.corpus(spark, d).where(F.col("output").isNotNull()), "original_index", "output")
+    from promptlens.plans.stage import staged
+    return staged(spark, d, "tvecs", lambda: G.target_vectors(
+        V.corpus(spark, d).where(F.col("output").isNotNull()), "original_index", "output"))
 
 
 def candidate_pool(spark, d):
-    c = candidates(spark, d).select("target_id", "slot", "prompt")
-    return G.score_prompts(c, tvecs(spark, d))
+    from promptlens.plans.stage import staged
+
+    def build():
+        c = candidates(spark, d).select("target_id", "slot", "prompt")
+        return G.score_prompts(c, tvecs(spark, d))
+    return staged(spark, d, "candidate_pool", build)
 
 
 _TV = S.hash_embed_cte("tvs", "corpus", "original_index", "output")

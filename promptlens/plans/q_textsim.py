@@ -23,6 +23,11 @@ def _r6(df, cols):
 def candidates(spark, d, n: int = N_CANDIDATES):
     """(target_id, slot, prompt, similarity): the n prompts retrieved for
     every prompt-owning vector, leave-one-out. Groups have exactly n rows."""
+    from promptlens.plans.stage import staged
+    return staged(spark, d, f"candidates-{n}", lambda: build_candidates(spark, d, n))
+
+
+def build_candidates(spark, d, n: int = N_CANDIDATES):
     c = V.corpus(spark, d)
     nn = OV.topk_similar(c, c, k=n, target_key="original_index", corpus_key="original_index")
     prompts = c.select(F.col("original_index").alias("vec_id"), "prompt")

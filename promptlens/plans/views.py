@@ -27,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ---------------------------------------------------------------- pairs
 def pairs(spark, d) -> DataFrame:
+    from promptlens.plans.stage import staged
+    return staged(spark, d, "pairs", lambda: build_pairs(spark, d))
+
+
+def build_pairs(spark, d) -> DataFrame:
     """(original_index, conv_id, turn, prompt, output): each user turn with the
     assistant turn that follows it (null when the next turn is not the
     assistant's). Joined on the composite key (conv_id, turn) rather than a
@@ -61,6 +66,11 @@ EMB_SQL = """emb AS (
 
 
 def corpus(spark, d) -> DataFrame:
+    from promptlens.plans.stage import staged
+    return staged(spark, d, "corpus", lambda: build_corpus(spark, d))
+
+
+def build_corpus(spark, d) -> DataFrame:
     p = pairs(spark, d)
     e = emb(spark, d)
     return (p.join(e, p.original_index == e.vec_id)
