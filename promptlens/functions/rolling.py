@@ -23,13 +23,30 @@ from pyspark.sql import functions as F
 
 from promptlens.functions.frames import range_buckets
 
+# Largest key we let one task sort in a plain window (a checked bound).
+SINGLE_TASK_MAX_ROWS = 2_000_000
+
 
 def rolling_range(df: DataFrame, keys: list[str], ts: str, width: int, id_col: str,
                   value: str | None = None, num_partitions: int | None = None,
-                  with_oldest: bool = True) -> DataFrame:
+                  with_oldest: bool = True, single_task_max_rows: int = SINGLE_TASK_MAX_ROWS) -> DataFrame:
     """Per event: ``win_count``, ``win_sum`` (of ``value``) and, optionally,
     ``win_oldest`` (smallest ts) over (ts - width, ts] within ``keys``.
-    Peers (equal ts) are inside the frame, like a SQL RANGE frame."""
+    Peers (equal ts) are inside the frame, like a SQL RANGE frame.
+
+    A runtime check picks the plan: when the largest key has at most
+    ``single_task_max_rows`` rows, a plain RANGE window (one sort per key)
+    is cheapest; beyond that the prefix-count plan splits hot keys."""
+    largest = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+               .agg(F.max("_n")).first()[0] or 0)
+    if largest <= single_task_max_rows:
+        w = (Window.partitionBy(*keys).orderBy(F.col(ts).cast("long"))
+             .rangeBetween(-(width - 1), Window.currentRow))
+        v = F.col(value).cast("long") if value else F.lit(0).cast("long")
+        out = df.withColumn("win_count", F.count(F.lit(1)).over(w)).withColumn("win_sum", F.sum(v).over(w))
+        if with_oldest:
+            out = out.withColumn("win_oldest", F.min(F.col(ts).cast("long")).over(w))
+        return out
     p = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     v = F.col(value).cast("long") if value else F.lit(0).cast("long")
     ev = df.select(*keys, F.col(ts).cast("long").alias("_t"), v.alias("_v"), F.col(id_col).alias("_id"))

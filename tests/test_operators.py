@@ -47,11 +47,13 @@ def test_rolling_range_matches_brute_force(spark):
         key = "hot" if i % 3 == 0 else f"k{i % 17}"
         rows.append((i, key, (i * 7919) % 1000 // 2, i % 5))
     df = spark.createDataFrame(rows, "id long, key string, t long, v long")
-    got = {r.id: (r.win_count, r.win_sum, r.win_oldest)
-           for r in rolling_range(df, ["key"], "t", 50, "id", value="v", num_partitions=8).collect()}
-    for i, key, t, v in rows:
-        frame = [(t2, v2) for _, k2, t2, v2 in rows if k2 == key and t - 50 < t2 <= t]
-        assert got[i] == (len(frame), sum(x[1] for x in frame), min(x[0] for x in frame)), i
+    for cap in (0, 10_000):  # 0 forces the hot-key (prefix count) plan
+        got = {r.id: (r.win_count, r.win_sum, r.win_oldest)
+               for r in rolling_range(df, ["key"], "t", 50, "id", value="v", num_partitions=8,
+                                      single_task_max_rows=cap).collect()}
+        for i, key, t, v in rows:
+            frame = [(t2, v2) for _, k2, t2, v2 in rows if k2 == key and t - 50 < t2 <= t]
+            assert got[i] == (len(frame), sum(x[1] for x in frame), min(x[0] for x in frame)), (cap, i)
 
 
 def test_edits(spark):
