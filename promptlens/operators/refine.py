@@ -4,9 +4,9 @@ DataFrame round per iteration.
 Randomness is a uniform drawn from md5(seed | target | iteration | slot |
 position | purpose), never ``rand()``: a retried task or a different number
 of partitions gives the same table. Lineage is cut with a reliable
-``checkpoint()`` (in the shared ``spark.checkpoint.dir``) after every round:
-the state is small (targets x population) and each round reads it more
-than once, so an uncut plan would grow exponentially.
+``checkpoint()`` (in the shared ``spark.checkpoint.dir``): after every round
+where a round reads its state more than once (beam, evolution: an uncut plan
+would grow exponentially), every third round where it reads it once.
 """
 
 from __future__ import annotations
@@ -37,7 +37,8 @@ TEMPERATURE = 1.0
 COOLING = 0.95
 BEAM_WIDTH = 3
 MAX_NO_IMPROVEMENT = 5
-CHECKPOINT_EVERY = 1  # state is re-read several times per round: cut every round
+CHECKPOINT_EVERY = 1   # beam / evolve read their state several times per round
+CHECKPOINT_LINEAR = 3  # hill climbing / annealing read it once: a linear plan
 SEED = 42
 
 
@@ -128,8 +129,8 @@ def crossover(p1: Column, p2: Column, *key) -> tuple[Column, Column]:
 
 
 # ----------------------------------------------------------------- strategies
-def _cut(df: DataFrame, it: int) -> DataFrame:
-    if (it + 1) % CHECKPOINT_EVERY == 0:
+def _cut(df: DataFrame, it: int, every: int = CHECKPOINT_EVERY) -> DataFrame:
+    if (it + 1) % every == 0:
         ensure_checkpoint_dir(df.sparkSession)
         return df.checkpoint(eager=True)
     return df
@@ -147,18 +148,21 @@ def hill_climb(start: DataFrame, tvecs: DataFrame, iterations: int = MAX_ITERATI
     st = start.select("target_id", "prompt", "score", F.lit(0).alias("misses"),
                       F.lit(0).alias("rounds"))
     for it in range(iterations):
-        act = st.where(F.col("misses") < patience)
-        done = st.where(F.col("misses") >= patience)
-        cand = act.withColumn("cand", mutate(F.col("prompt"), rate, seed, F.col("target_id"), it, 0))
+        # stopped targets carry a null candidate (the provider skips it) and
+        # keep their state; one pass, no split/union, stable partitioning
+        active = F.col("misses") < patience
+        cand = st.withColumn("cand", F.when(active, mutate(F.col("prompt"), rate, seed,
+                                                           F.col("target_id"), it, 0)))
         cand = _score(cand, tvecs, "cand", "cand_score")
-        better = F.col("cand_score") > F.col("score")
-        nxt = cand.select(
+        better = active & (F.col("cand_score") > F.col("score"))
+        st = _cut(cand.select(
             "target_id",
             F.when(better, F.col("cand")).otherwise(F.col("prompt")).alias("prompt"),
             F.when(better, F.col("cand_score")).otherwise(F.col("score")).alias("score"),
-            F.when(better, F.lit(0)).otherwise(F.col("misses") + 1).alias("misses"),
-            (F.col("rounds") + 1).alias("rounds"))
-        st = _cut(nxt.unionByName(done), it)
+            F.when(better, F.lit(0)).when(active, F.col("misses") + 1).otherwise(F.col("misses"))
+            .alias("misses"),
+            F.when(active, F.col("rounds") + 1).otherwise(F.col("rounds")).alias("rounds")), it,
+            CHECKPOINT_LINEAR)
     return st.select("target_id", "prompt", "score", "rounds", F.lit("hill_climbing").alias("strategy"))
 
 
@@ -181,7 +185,7 @@ def anneal(start: DataFrame, tvecs: DataFrame, iterations: int = MAX_ITERATIONS,
             F.when(accept, F.col("cand_score")).otherwise(F.col("score")).alias("score"),
             F.when(accept & nb, F.col("cand")).otherwise(F.col("best_prompt")).alias("best_prompt"),
             F.when(accept & nb, F.col("cand_score")).otherwise(F.col("best_score")).alias("best_score"))
-        st = _cut(st, it)
+        st = _cut(st, it, CHECKPOINT_LINEAR)
         temp *= cooling
     return st.select("target_id", F.col("best_prompt").alias("prompt"), F.col("best_score").alias("score"),
                      F.lit(iterations).alias("rounds"), F.lit("simulated_annealing").alias("strategy"))

@@ -33,11 +33,13 @@ def test_row_index_and_median(spark):
     idx = with_row_index(df.withColumn("u", F.col("g") * 1000 + F.col("v")).dropDuplicates(["u"]), ["u"], "i", 8)
     rows = idx.orderBy("u").collect()
     assert [r.i for r in rows] == list(range(len(rows)))
-    med = {r.g: r.median for r in grouped_median(df, "v", ["g"], num_partitions=8).collect()}
     import statistics
-    for g in range(7):
-        vals = [(i * 37) % 101 for i in range(500) if i % 7 == g]
-        assert med[g] == statistics.median(vals)
+    for cap in (0, 10_000):  # 0 forces the sort-based plan
+        med = {r.g: r.median for r in grouped_median(df, "v", ["g"], num_partitions=8,
+                                                      single_task_max_rows=cap).collect()}
+        for g in range(7):
+            vals = [(i * 37) % 101 for i in range(500) if i % 7 == g]
+            assert med[g] == statistics.median(vals)
 
 
 def test_rolling_range_matches_brute_force(spark):
@@ -78,3 +80,23 @@ def test_mutation_partition_independent(spark):
     vocab = set(" ".join(f"create a plan number {i} for the team today" for i in range(200)).split())
     vocab |= set(R.MODIFIERS) | {s for v in R.SYNONYMS.values() for s in v}
     assert all(set(p.split()) <= vocab for p in a.values())
+
+
+def test_provider_rows_fail_alone(spark):
+    """A provider error fails only its rows; retries then give up."""
+    from promptlens.operators import embed as OE
+
+    class Flaky(OE.HashProvider):
+        def embed(self, texts):
+            if any(t and "boom" in t for t in texts):
+                raise OE.TransientError("boom")
+            return super().embed(texts)
+
+    OE.BACKOFF_SECONDS = (0.0, 0.0)
+    rows = [(1, "a b c"), (2, "   "), (3, None)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    got = {r.id: (r.success, r.error) for r in OE.embed_texts(df, "t", Flaky()).collect()}
+    assert got[1] == (True, None) and got[2] == (False, "empty text") and got[3] == (False, "empty text")
+    bad = spark.createDataFrame([(9, "boom here")], "id long, t string")
+    r = OE.embed_texts(bad, "t", Flaky()).first()
+    assert r.success is False and r.error.startswith("failed after 3 attempts")
