@@ -24,6 +24,10 @@ def staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
     path = _STAGED.get(key)
     if path is None:
         path = scratch_path(spark, f"view-{name}")
-        build().write.mode("overwrite").parquet(path)
+        # Fixed fan-out (spark.sql.shuffle.partitions, sized for the data):
+        # consumers do per-row CPU work (top-k kernels, providers, array
+        # expressions), so a small staged view must not collapse to one file.
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        build().repartition(parts).write.mode("overwrite").parquet(path)
         _STAGED[key] = path
     return spark.read.parquet(path)
