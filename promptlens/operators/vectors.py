@@ -139,9 +139,11 @@ def topk_similar(targets: DataFrame, corpus: DataFrame, k: int = 5,
     tb = max(1, math.ceil(nt / block_rows))
     cb = max(1, math.ceil(nc / block_rows), math.ceil(tasks / tb))
     cb = min(cb, nc)
-    t_rep = (t.withColumn("tb", F.pmod(F.xxhash64("target_id"), F.lit(tb)))
+    # both sides must carry the block keys with the same types (int), or
+    # equal keys hash to different partitions and blocks never meet
+    t_rep = (t.withColumn("tb", F.pmod(F.xxhash64("target_id"), F.lit(tb)).cast("int"))
              .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))))
-    c_rep = (c.withColumn("cb", F.pmod(F.xxhash64("vec_id"), F.lit(cb)))
+    c_rep = (c.withColumn("cb", F.pmod(F.xxhash64("vec_id"), F.lit(cb)).cast("int"))
              .withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(tb - 1)))))
     cand = (t_rep.groupBy("tb", "cb")
             .cogroup(c_rep.groupBy("tb", "cb"))

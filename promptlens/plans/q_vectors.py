@@ -139,3 +139,24 @@ FROM (SELECT vec_id, len(embedding) AS dims, unnest(embedding) AS x FROM emb)"""
 def q_vector_report(spark, d):
     r = OV.vector_report(V.emb(spark, d), EXPECTED_DIM)
     return _r6(r, ["mean_value", "std_value", "min_value", "max_value", "mean_adjacent_cosine"])
+
+
+# ----------------------------------------------------------------- approximate
+ANN_CELLS, ANN_PROBE = 16, 6
+
+
+@register("topk_approx")
+def q_topk_approx(spark, d):
+    """V-04 approximate mode (KMeans cells, probe the nearest cells)."""
+    from promptlens.operators.ann import topk_approx
+    e = V.emb(spark, d)
+    return _r6(topk_approx(e, e, k=5, n_cells=ANN_CELLS, n_probe=ANN_PROBE), ["similarity"])
+
+
+@register("ann_recall")
+def q_ann_recall(spark, d):
+    """recall@5 of the approximate mode against the exact operator."""
+    from promptlens.operators.ann import recall_at_k, topk_approx
+    e = V.emb(spark, d)
+    approx = topk_approx(e, e, k=5, n_cells=ANN_CELLS, n_probe=ANN_PROBE)
+    return _r6(recall_at_k(approx, OV.topk_similar(e, e, k=5)), ["recall"])

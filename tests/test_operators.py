@@ -100,3 +100,32 @@ def test_provider_rows_fail_alone(spark):
     bad = spark.createDataFrame([(9, "boom here")], "id long, t string")
     r = OE.embed_texts(bad, "t", Flaky()).first()
     assert r.success is False and r.error.startswith("failed after 3 attempts")
+
+
+def test_topk_matches_brute_force_any_blocking(spark):
+    """Exact top-k equals numpy brute force for several block layouts."""
+    import numpy as np
+    from promptlens.operators.vectors import topk_similar
+    rng = np.random.default_rng(7)
+    X = rng.normal(size=(300, 16))
+    rows = [(i, X[i].tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    Xn = X / np.linalg.norm(X, axis=1, keepdims=True)
+    S = Xn @ Xn.T
+    np.fill_diagonal(S, -np.inf)
+    want = {i: list(np.argsort(-S[i], kind="stable")[:5]) for i in range(300)}
+    for block_rows, tasks in [(2048, 1), (64, 3), (50, 16), (1000, 7)]:
+        got = {}
+        for r in topk_similar(df, df, k=5, block_rows=block_rows, min_tasks=tasks).collect():
+            got.setdefault(r.target_id, {})[r.rank] = r.vec_id
+        assert {t: [v[i] for i in range(1, 6)] for t, v in got.items()} == want, (block_rows, tasks)
+
+
+def test_ann_exact_when_probing_all_cells(spark):
+    from promptlens.operators.ann import recall_at_k, topk_approx
+    from promptlens.operators.vectors import topk_similar
+    from promptlens.plans import views as V
+    e = V.emb(spark, "/root/testdata/sf0.001")
+    ex = topk_similar(e, e, k=5)
+    assert recall_at_k(topk_approx(e, e, k=5, n_cells=8, n_probe=8, block_rows=40), ex).first()[0] == 1.0
+    assert recall_at_k(topk_approx(e, e, k=5, n_cells=8, n_probe=3), ex).first()[0] > 0.5
