@@ -237,7 +237,29 @@ def q_generate_refined(spark, d):
 
 
 # ----------------------------------------------------------------- text / file
-@register("prompt_from_text")
+_PFT_CTES = [
+    "bq AS (SELECT item_id, text FROM benchmark)",
+    S.hash_embed_cte("qv", "bq", "item_id", "text"),
+    "cc AS (SELECT original_index, prompt, output FROM corpus WHERE output IS NOT NULL)",
+    S.hash_embed_cte("cvx", "cc", "original_index", "output"),
+    """sims AS (
+  SELECT q.item_id, c.original_index AS vec_id, sum(q.value * c.value) AS sim
+  FROM qv q JOIN cvx c ON q.bucket = c.bucket GROUP BY 1, 2)""",
+    """best AS (
+  SELECT * FROM (
+    SELECT b.item_id, c.original_index AS vec_id, c.prompt, coalesce(s.sim, 0.0) AS sim,
+           row_number() OVER (PARTITION BY b.item_id ORDER BY round(coalesce(s.sim, 0.0), 9) DESC,
+                              c.original_index) AS rn
+    FROM bq b CROSS JOIN cc c
+    LEFT JOIN sims s ON s.item_id = b.item_id AND s.vec_id = c.original_index) WHERE rn = 1)"""]
+
+
+@register("prompt_from_text", V.oracle(f"""
+SELECT b.item_id AS target_id, length(b.text)::BIGINT AS text_length,
+       CASE WHEN len({S.words('b.text')}) > 0 THEN 64::BIGINT END AS embedding_dimension,
+       x.prompt, round(x.sim, 6) AS similarity, x.prompt IS NOT NULL AS success,
+       CASE WHEN len({S.words('b.text')}) = 0 THEN 'empty text' END AS error
+FROM bq b LEFT JOIN best x ON x.item_id = b.item_id""", _GV, _PFT_CTES))
 def q_prompt_from_text(spark, d):
     b = V.table(spark, d, "benchmark").select(F.col("item_id"), "text")
     c = V.corpus(spark, d).where(F.col("output").isNotNull())
@@ -286,3 +308,32 @@ def q_eval_report(spark, d):
     verdict = (F.when(F.col("metric") == "embedding_similarity",
                       F.when(F.col("mean") > 0.8, "high").when(F.col("mean") > 0.6, "middle").otherwise("low")))
     return _r6(rows.withColumn("verdict", verdict), ["mean", "std", "median", "min", "max"])
+
+
+# ----------------------------------------------------------------- E-01
+def evaluate_test_set(spark, d):
+    """One long table: embedding similarity (successful rows), generated
+    prompt length, text metrics against the reference prompt, diversity of
+    the candidate sets -- mean, population std and exact median each."""
+    from promptlens.plans.q_textsim import diversity_metrics_long, text_metrics_long
+    e = evals(spark, d)
+    sim = e.where(F.col("success")).select(F.lit("embedding_similarity").alias("metric"),
+                                           F.col("similarity").alias("value"))
+    pl = e.select(F.lit("prompt_length").alias("metric"), F.col("prompt_words").cast("double").alias("value"))
+    rows = (sim.unionByName(pl).unionByName(text_metrics_long(spark, d).drop("target_id"))
+            .unionByName(diversity_metrics_long(spark, d).drop("target_id")))
+    return metric_summary(rows)
+
+
+def _e01_sql():
+    from promptlens.plans import q_textsim as QT
+    rows = ("SELECT 'embedding_similarity' AS metric, similarity AS value FROM ev WHERE success "
+            "UNION ALL SELECT 'prompt_length', prompt_words::DOUBLE FROM ev UNION ALL "
+            + QT.TEXT_METRIC_ROWS + " UNION ALL " + QT.DIV_METRIC_ROWS)
+    ctes = [_GEN1, _EVAL] + QT.TEXT_METRIC_CTES + [c for c in QT.DIV_METRIC_CTES if c not in QT.TEXT_METRIC_CTES]
+    return V.oracle(QT.SUMMARY_SQL.format(rows=rows), _GV, ctes)
+
+
+@register("evaluate_test_set", _e01_sql())
+def q_evaluate_test_set(spark, d):
+    return _r6(evaluate_test_set(spark, d), ["mean", "std", "median"])

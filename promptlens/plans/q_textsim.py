@@ -258,9 +258,7 @@ def text_metrics_long(spark, d):
     return m.selectExpr("target_id", stack)
 
 
-@register("eval_text_metrics", V.oracle(f"""
-SELECT metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(median(value), 6) AS median
-FROM (
+TEXT_METRIC_ROWS = f"""
   SELECT 'text_bleu' AS metric, b.bleu AS value FROM (SELECT target_id, CASE WHEN r_len = 0 OR c_len = 0 THEN NULL WHEN m1 = 0 THEN 0.0
     ELSE (CASE WHEN c_len > r_len THEN 1.0 ELSE exp(1 - r_len / c_len) END)
        * exp((ln({_p(1)}) + ln({_p(2)}) + ln({_p(3)}) + ln({_p(4)})) / 4.0) END AS bleu FROM bb) b
@@ -269,8 +267,13 @@ FROM (
   UNION ALL SELECT 'text_jaccard', CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END
     FROM (SELECT list_distinct({S.lower_words('text1')}) AS a, list_distinct({S.lower_words('text2')}) AS b FROM gen)
   UNION ALL SELECT 'text_word_overlap', CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / least(len(a), len(b)) END
-    FROM (SELECT list_distinct({S.lower_words('text1')}) AS a, list_distinct({S.lower_words('text2')}) AS b FROM gen)
-) WHERE value IS NOT NULL GROUP BY 1""", _CV, _CG + _bleu_sql() + [_ROUGE_CTE]))
+    FROM (SELECT list_distinct({S.lower_words('text1')}) AS a, list_distinct({S.lower_words('text2')}) AS b FROM gen)"""
+TEXT_METRIC_CTES = _CG + _bleu_sql() + [_ROUGE_CTE]
+SUMMARY_SQL = ("SELECT metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, "
+               "round(median(value), 6) AS median FROM ({rows}) WHERE value IS NOT NULL GROUP BY 1")
+
+
+@register("eval_text_metrics", V.oracle(SUMMARY_SQL.format(rows=TEXT_METRIC_ROWS), _CV, TEXT_METRIC_CTES))
 def q_eval_text_metrics(spark, d):
     return _r6(metric_summary(text_metrics_long(spark, d)), ["mean", "std", "median"])
 
@@ -279,13 +282,18 @@ _DIV_METRICS = ["vocabulary_size", "type_token_ratio", "avg_pairwise_similarity"
                 "distinct_1grams", "distinct_2grams", "distinct_3grams"]
 
 
-@register("eval_diversity", V.oracle("SELECT metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, "
-                                     "round(median(value), 6) AS median FROM (" + " UNION ALL ".join(
-                                         f"SELECT 'diversity_{c}' AS metric, {c}::DOUBLE AS value FROM div"
-                                         for c in _DIV_METRICS) + ") WHERE value IS NOT NULL GROUP BY 1",
-                                     _CV, _CC + [_DN, _PJ, _DIV]))
-def q_eval_diversity(spark, d):
+DIV_METRIC_ROWS = " UNION ALL ".join(f"SELECT 'diversity_{c}' AS metric, {c}::DOUBLE AS value FROM div"
+                                     for c in _DIV_METRICS)
+DIV_METRIC_CTES = _CC + [_DN, _PJ, _DIV]
+
+
+def diversity_metrics_long(spark, d):
     r = TS.diversity(candidates(spark, d), "target_id", "slot")
     stack = "stack(%d, %s) as (metric, value)" % (
         len(_DIV_METRICS), ", ".join(f"'diversity_{c}', cast({c} as double)" for c in _DIV_METRICS))
-    return _r6(metric_summary(r.selectExpr("target_id", stack)), ["mean", "std", "median"])
+    return r.selectExpr("target_id", stack)
+
+
+@register("eval_diversity", V.oracle(SUMMARY_SQL.format(rows=DIV_METRIC_ROWS), _CV, DIV_METRIC_CTES))
+def q_eval_diversity(spark, d):
+    return _r6(metric_summary(diversity_metrics_long(spark, d)), ["mean", "std", "median"])
