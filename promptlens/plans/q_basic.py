@@ -133,21 +133,19 @@ def q_format_training(spark, d):
 
 
 @register("vector_upsert", V.oracle("""
-SELECT id, round(vsum, 6) AS vsum, src FROM (
-  SELECT 'doc-' || d.original_index AS id, coalesce(e.vsum, c.vsum) AS vsum,
-         CASE WHEN e.vsum IS NOT NULL THEN 'second' ELSE 'first' END AS src
-  FROM (SELECT text_hash, vec_id AS original_index, list_sum(embedding) AS vsum FROM cache) c
-  FULL JOIN (SELECT text_hash, vec_id AS original_index, -list_sum(embedding) AS vsum FROM cache
-             WHERE vec_id % 2 = 0) e USING (original_index)
-  JOIN (SELECT DISTINCT original_index FROM cache c2 JOIN docs USING (text_hash) WHERE docs.original_index = c2.vec_id) d
-    USING (original_index))""", ["cache", "docs"]))
+SELECT 'doc-' || c.vec_id AS id,
+       round(CASE WHEN d.lang = 'en' THEN -list_sum(c.embedding) ELSE list_sum(c.embedding) END, 6) AS vsum,
+       CASE WHEN d.lang = 'en' THEN 'second' ELSE 'first' END AS src
+FROM cache c JOIN docs d ON d.original_index = c.vec_id""", ["cache", "docs"]))
 def q_vector_upsert(spark, d):
-    """First batch: every cache vector; second batch: the even ids again
-    with negated vectors -- they must replace the first values."""
+    """First batch: every cache vector. Second batch: the vectors of the
+    English documents again, negated -- they must replace the first values
+    and leave every other id untouched."""
     c = V.cache(spark, d)
+    langs = V.docs(spark, d).select(F.col("original_index").alias("vec_id"), "lang")
     first = c.select(F.concat(F.lit("doc-"), F.col("vec_id").cast("string")).alias("id"),
                      F.col("embedding").alias("values"), F.lit("first").alias("src"))
-    second = c.where(F.col("vec_id") % 2 == 0).select(
+    second = c.join(langs, "vec_id").where(F.col("lang") == "en").select(
         F.concat(F.lit("doc-"), F.col("vec_id").cast("string")).alias("id"),
         F.transform("embedding", lambda x: -x).alias("values"), F.lit("second").alias("src"))
     root = IO.scratch(spark, "vec-table")
