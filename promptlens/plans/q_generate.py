@@ -146,7 +146,28 @@ def q_verdicts(spark, d):
     return e.select("target_id", verdicts(F.col("similarity"), F.lit(0.0))[0].alias("verdict"))
 
 
-@register("variant_rank")
+def _variant_ctes():
+    styles = "[" + ", ".join(f"'{x}'" for x in G.VARIANT_STYLES) + "]"
+    return [_GEN1, _EVAL, S.hash_embed_cte("tvs", "corpus", "original_index", "output"),
+            f"""vk AS (
+  SELECT e.target_id * 10 + v AS vid, e.target_id, v AS variant, {styles}[v % 5 + 1] AS style,
+         'Make it ' || {styles}[v % 5 + 1] || ': ' || coalesce(e.prompt, '') AS vp
+  FROM ev e, range(0, 3) r(v) WHERE e.success AND e.similarity > {GATE})""",
+            S.hash_embed_cte("vvs", "vk", "vid", "vp"),
+            """vscore AS (
+  SELECT k.target_id, k.variant, k.style, k.vp, coalesce((
+    SELECT sum(a.value * t.value) FROM vvs a JOIN tvs t ON a.bucket = t.bucket
+    WHERE a.vid = k.vid AND t.original_index = k.target_id), 0.0) AS score
+  FROM vk k)""",
+            """vbest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY round(score, 9) DESC, variant) AS rank
+                 FROM vscore) WHERE rank = 1)"""]
+
+
+@register("variant_rank", V.oracle("""
+SELECT target_id, variant::INT AS variant, vp AS variant_prompt, round(score, 6) AS score,
+       row_number() OVER (PARTITION BY target_id ORDER BY round(score, 9) DESC, variant) AS rank
+FROM vscore""", _GV, _variant_ctes()))
 def q_variant_rank(spark, d):
     """T-01: variants of each gated prompt ranked by score (missing -> 0)."""
     from pyspark.sql import Window
@@ -154,7 +175,7 @@ def q_variant_rank(spark, d):
     v = G.diverse_variants(e.select("target_id", "prompt"), 3)
     tv = G.target_vectors(V.corpus(spark, d).where(F.col("output").isNotNull()), "original_index", "output")
     s = G.score_prompts(v.select("target_id", "variant", "variant_prompt"), tv, "variant_prompt")
-    w = Window.partitionBy("target_id").orderBy(F.desc(F.coalesce("score", F.lit(0.0))), "variant")
+    w = Window.partitionBy("target_id").orderBy(F.desc(F.round(F.coalesce("score", F.lit(0.0)), 9)), "variant")
     return _r6(s.withColumn("rank", F.row_number().over(w)), ["score"])
 
 
@@ -230,7 +251,10 @@ def q_simple_refine(spark, d):
     return _r6(b.select("target_id", "prompt", "score", F.lit("simple").alias("strategy")), ["score"])
 
 
-@register("generate_refined")
+@register("generate_refined", V.oracle(f"""
+SELECT e.target_id, e.prompt, round(e.similarity, 6) AS similarity, e.success, b.vp AS best_variant,
+       round(b.score, 6) AS best_variant_score, b.style AS best_style, b.vp IS NOT NULL AS refined
+FROM ev e LEFT JOIN vbest b ON e.target_id = b.target_id""", _GV, _variant_ctes()))
 def q_generate_refined(spark, d):
     return _r6(G.generate_with_refinement(evals(spark, d), tvecs(spark, d), GATE, 3),
                ["similarity", "best_variant_score"])
