@@ -135,7 +135,7 @@ def topk_similar(targets: DataFrame, corpus: DataFrame, k: int = 5,
                       VX.normalize(VX.as_double(vec)).alias("cv"))
     nt = max(1, t.count())
     nc = max(1, c.count())
-    tasks = min_tasks or int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
+    tasks = min_tasks or spark.sparkContext.defaultParallelism  # enough blocks to fill the cores
     tb = max(1, math.ceil(nt / block_rows))
     cb = max(1, math.ceil(nc / block_rows), math.ceil(tasks / tb))
     cb = min(cb, nc)
