@@ -153,3 +153,23 @@ def q_vector_upsert(spark, d):
     IO.upsert_vectors(spark, root, second, IO.scratch(spark, "stage"))
     t = spark.read.parquet(root)
     return _r6(t.select("id", VX.vec_sum("values").alias("vsum"), "src"), ["vsum"])
+
+
+@register("report_roundtrip", V.oracle("""
+SELECT metric, value FROM (
+  SELECT count(*) AS total_samples, count_if(prompt IS NULL) AS null_prompts, count_if(output IS NULL) AS null_outputs,
+         count_if(prompt = '') AS empty_prompts, count_if(output = '') AS empty_outputs FROM pairs)
+UNPIVOT (value FOR metric IN (total_samples, null_prompts, null_outputs, empty_prompts, empty_outputs))""",
+                                       ["pairs"]))
+def q_report_roundtrip(spark, d):
+    """SNK-06: a profile report as a long (metric, value) table written to
+    JSON with a timestamp and read back."""
+    from promptlens.operators.profile import profile_counts
+    r = profile_counts(V.pairs(spark, d))
+    cols = r.columns
+    long = r.selectExpr("stack(%d, %s) as (metric, value)" % (
+        len(cols), ", ".join(f"'{c}', cast({c} as bigint)" for c in cols)))
+    path = IO.scratch(spark, "report") + ".json"
+    IO.write_report(long, path)
+    back = spark.read.schema("metric string, value long, generated_at timestamp").json(path)
+    return back.select("metric", "value")
