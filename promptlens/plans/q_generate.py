@@ -315,25 +315,6 @@ def q_process_file(spark, d):
 
 
 # ----------------------------------------------------------------- report
-@register("eval_report")
-def q_eval_report(spark, d):
-    """E-01/E-03: one long table of metric summaries plus verdicts."""
-    from promptlens.plans.q_textsim import text_metrics_long
-    e = evals(spark, d)
-    es = eval_similarity(e)
-    sim = es.select(F.lit("embedding_similarity").alias("metric"), "mean", "std", "median", "min", "max")
-    pl = metric_summary(e.select(F.lit("prompt_length").alias("metric"),
-                                 F.col("prompt_words").cast("double").alias("value")))
-    tm = metric_summary(text_metrics_long(spark, d))
-    rows = sim.unionByName(pl.select("metric", "mean", "std", "median", F.lit(None).cast("double").alias("min"),
-                                     F.lit(None).cast("double").alias("max"))) \
-        .unionByName(tm.select("metric", "mean", "std", "median", F.lit(None).cast("double").alias("min"),
-                               F.lit(None).cast("double").alias("max")))
-    verdict = (F.when(F.col("metric") == "embedding_similarity",
-                      F.when(F.col("mean") > 0.8, "high").when(F.col("mean") > 0.6, "middle").otherwise("low")))
-    return _r6(rows.withColumn("verdict", verdict), ["mean", "std", "median", "min", "max"])
-
-
 # ----------------------------------------------------------------- E-01
 def evaluate_test_set(spark, d):
     """One long table: embedding similarity (successful rows), generated
@@ -361,3 +342,29 @@ def _e01_sql():
 @register("evaluate_test_set", _e01_sql())
 def q_evaluate_test_set(spark, d):
     return _r6(evaluate_test_set(spark, d), ["mean", "std", "median"])
+
+
+def _verdict(x):
+    return F.when(x > 0.8, F.lit("high")).when(x > 0.6, F.lit("middle")).otherwise(F.lit("low"))
+
+
+def _e03_sql():
+    from promptlens.plans import q_textsim as QT
+    rows = ("SELECT 'embedding_similarity' AS metric, similarity AS value FROM ev WHERE success "
+            "UNION ALL SELECT 'prompt_length', prompt_words::DOUBLE FROM ev UNION ALL "
+            + QT.TEXT_METRIC_ROWS + " UNION ALL " + QT.DIV_METRIC_ROWS)
+    ctes = [_GEN1, _EVAL] + QT.TEXT_METRIC_CTES + [c for c in QT.DIV_METRIC_CTES if c not in QT.TEXT_METRIC_CTES]
+    v = "CASE WHEN mean > 0.8 THEN 'high' WHEN mean > 0.6 THEN 'middle' ELSE 'low' END"
+    return V.oracle(f"""
+SELECT metric, mean, std, median,
+       CASE WHEN metric IN ('embedding_similarity', 'diversity_distinct_1grams') THEN {v} END AS verdict
+FROM ({QT.SUMMARY_SQL.format(rows=rows)})""", _GV, ctes)
+
+
+@register("eval_report", _e03_sql())
+def q_eval_report(spark, d):
+    """E-03: the E-01 metric table with verdicts for embedding similarity
+    and distinct-1 diversity (strict > 0.8 high, > 0.6 middle, else low)."""
+    r = _r6(evaluate_test_set(spark, d), ["mean", "std", "median"])
+    judged = F.col("metric").isin("embedding_similarity", "diversity_distinct_1grams")
+    return r.withColumn("verdict", F.when(judged, _verdict(F.col("mean"))))
