@@ -118,3 +118,12 @@ def test_validate_requests_bounds(spark):
                                 (4, 3, "ok", 101)], "id int, dims int, text string, batch_size int")
     r = {x.id: x.reasons for x in validate_requests(df).collect()}
     assert r == {1: "", 2: "text too long", 3: "empty text", 4: "bad dimensions,bad batch size"}
+
+
+def test_rouge_l_hand_case(spark):
+    df = spark.createDataFrame([(1, "the cat sat on the mat", "the cat lay on a mat"), (2, "", "x")],
+                               "k int, text1 string, text2 string")
+    r = {x.k: x.rouge_l for x in TS.rouge_l_pairs(df, "k").collect()}
+    p, rc = 4 / 5, 4 / 6
+    assert abs(r[1] - 2 * p * rc / (p + rc + 1e-8)) < 1e-12
+    assert r[2] is None
