@@ -65,8 +65,17 @@ def range_buckets(df: DataFrame, order_cols: list, num_buckets: int | None = Non
     fields = df.select(key.alias("_k")).schema["_k"].dataType.fields
     lits = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, fields)])
             for b in bounds]
-    bucket = sum((F.when(key >= lit, F.lit(1)).otherwise(F.lit(0)) for lit in lits), F.lit(0))
-    return df.withColumn(name, bucket)
+    return df.withColumn(name, _bucket_of(key, lits, 0, len(lits)))
+
+
+def _bucket_of(key, lits, lo: int, hi: int):
+    """Number of bounds <= key, as a balanced CASE tree over lits[lo:hi]:
+    log2(buckets) comparisons per row instead of one per bound."""
+    if lo >= hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(key >= lits[mid], _bucket_of(key, lits, mid + 1, hi)).otherwise(
+        _bucket_of(key, lits, lo, mid))
 
 
 def with_row_index(df: DataFrame, order_cols: list, name: str = "row_index",

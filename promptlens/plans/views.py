@@ -7,13 +7,11 @@ whole tables and whole texts.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptlens.functions import text as T
-from promptlens.functions.frames import with_row_index
+from promptlens.functions.frames import bounded_broadcast, with_row_index
 from promptlens.functions.vector import as_double
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -155,7 +153,8 @@ def requests(spark, d) -> DataFrame:
     e = table(spark, d, "embeddings")
     sizes = x.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("batch_size"))
     j = x.join(e, x.doc_id == e.vec_id, "left")
-    j = j.join(sizes, ["source", "lang"])
+    # one row per (source, lang): broadcast only after a runtime size check
+    j = j.join(bounded_broadcast(sizes), ["source", "lang"])
     return j.select(F.col("doc_id").alias("request_id"), F.size("embedding").alias("dims"),
                     "text", "batch_size")
 
