@@ -154,7 +154,7 @@ def hill_climb(start: DataFrame, tvecs: DataFrame, iterations: int = MAX_ITERATI
         cand = st.withColumn("cand", F.when(active, mutate(F.col("prompt"), rate, seed,
                                                            F.col("target_id"), it, 0)))
         cand = _score(cand, tvecs, "cand", "cand_score")
-        better = active & (F.col("cand_score") > F.col("score"))
+        better = active & (F.round("cand_score", 9) > F.round("score", 9))  # ties within 1e-9: no gain
         st = _cut(cand.select(
             "target_id",
             F.when(better, F.col("cand")).otherwise(F.col("prompt")).alias("prompt"),
@@ -177,8 +177,9 @@ def anneal(start: DataFrame, tvecs: DataFrame, iterations: int = MAX_ITERATIONS,
         cand = st.withColumn("cand", mutate(F.col("prompt"), rate, seed, F.col("target_id"), it, 1))
         cand = _score(cand, tvecs, "cand", "cand_score")
         delta = F.col("cand_score") - F.col("score")
-        accept = (delta > 0) | (uniform(seed, F.col("target_id"), it, "accept") < F.exp(delta / F.lit(temp)))
-        nb = F.col("cand_score") > F.col("best_score")
+        accept = (F.round("cand_score", 9) > F.round("score", 9)) | (
+            uniform(seed, F.col("target_id"), it, "accept") < F.exp(delta / F.lit(temp)))
+        nb = F.round("cand_score", 9) > F.round("best_score", 9)
         st = cand.select(
             "target_id",
             F.when(accept, F.col("cand")).otherwise(F.col("prompt")).alias("prompt"),
@@ -265,7 +266,7 @@ def evolve(population: DataFrame, tvecs: DataFrame, generations: int = MAX_ITERA
         gb = best_per_target(pop).select("target_id", F.col("prompt").alias("gp"), F.col("score").alias("gs"))
         best = best.join(gb, "target_id", "left").select(
             "target_id",
-            F.when(F.col("gs") > F.col("best_score"), F.col("gp")).otherwise(F.col("best_prompt")).alias("best_prompt"),
+            F.when(F.round("gs", 9) > F.round("best_score", 9), F.col("gp")).otherwise(F.col("best_prompt")).alias("best_prompt"),
             F.greatest(F.col("best_score"), F.coalesce(F.col("gs"), F.col("best_score"))).alias("best_score"))
         if (g + 1) % CHECKPOINT_EVERY == 0:
             pop = _cut(pop, g)

@@ -30,3 +30,11 @@ def load_all() -> None:
     from promptlens.plans import (  # noqa: F401
         q_basic, q_profile, q_vectors, q_pipeline, q_textsim, q_generate,
         q_refine, q_limits, q_streaming)
+
+
+def attach_oracle(name: str, sql: str) -> None:
+    """Give an already registered query its oracle (for SQL built after the
+    query function, e.g. unrolled iterations)."""
+    if name not in QUERIES:
+        raise KeyError(name)
+    ORACLE[name] = sql
