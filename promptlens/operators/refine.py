@@ -267,7 +267,8 @@ def evolve(population: DataFrame, tvecs: DataFrame, generations: int = MAX_ITERA
         best = best.join(gb, "target_id", "left").select(
             "target_id",
             F.when(F.round("gs", 9) > F.round("best_score", 9), F.col("gp")).otherwise(F.col("best_prompt")).alias("best_prompt"),
-            F.greatest(F.col("best_score"), F.coalesce(F.col("gs"), F.col("best_score"))).alias("best_score"))
+            F.when(F.round("gs", 9) > F.round("best_score", 9), F.col("gs")).otherwise(F.col("best_score"))
+            .alias("best_score"))
         if (g + 1) % CHECKPOINT_EVERY == 0:
             pop = _cut(pop, g)
             best = _cut(best, g)
