@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from promptlens.functions import vector as VX
+from promptlens.functions.timecols import epoch_micros
 from promptlens.plans import sqlfrag as S
 from promptlens.plans import views as V
 from promptlens.plans.registry import register
@@ -58,8 +59,11 @@ def q_stream_dedupe(spark, d):
 
 
 def _events_files(spark, d):
-    ev = V.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"),
-                                            F.col("event_type").alias("endpoint"), "value")
+    raw = V.table(spark, d, "events")
+    # an absolute instant built from zone-free epoch micros: windows do not
+    # move with the session time zone
+    ev = raw.select("event_id", F.timestamp_micros(epoch_micros(raw, "ts")).alias("ts"),
+                    F.col("event_type").alias("endpoint"), "value")
     src = ST.split_to_files(ev, ST.fresh_dir(spark, "ev-src"), "event_id", PARTS)
     return src, ev.schema
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from promptlens.functions import text as T
 from promptlens.functions.frames import bounded_broadcast, with_row_index
+from promptlens.functions.timecols import epoch_micros
 from promptlens.functions.vector import as_double
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -130,7 +131,7 @@ def reqlog(spark, d) -> DataFrame:
     ev = table(spark, d, "events")
     return ev.select(
         "event_id",
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
+        epoch_micros(ev, "ts").alias("us"),
         F.col("user_id").alias("client"),
         F.col("event_type").alias("endpoint"),
         F.get_json_object("props", "$.k").cast("bigint").alias("tokens"),

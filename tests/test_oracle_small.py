@@ -39,3 +39,15 @@ def test_entry(spark):
     df = E.entry(spark)
     assert df.columns == ["target_id", "rank", "vec_id", "prompt", "similarity"]
     assert df.count() > 0
+
+
+@pytest.mark.parametrize("name", ["rate_limit_rpm", "stream_requests"])
+def test_time_queries_ignore_session_zone(spark, con, name):
+    import __spark_entry__ as E
+    from tools.check_oracle import rows_of
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        pdf = E.queries()[name](spark, SF_SMALL).toPandas()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert rows_of(pdf) == rows_of(con.execute(E.oracle_sql()[name]).df())
