@@ -125,16 +125,21 @@ def _sentences(text: str) -> list[list[str]]:
 
 
 def _lcs_positions(ref: list[str], hyp: list[str]) -> set[int]:
-    """Positions (in ``ref``) of one longest common subsequence."""
+    """Positions (in ``ref``) of one longest common subsequence.
+
+    Each DP row is one numpy step: L[i] = cummax(max(L[i-1][j],
+    L[i-1][j-1] + match)), so a row costs O(len(hyp)) vector work."""
     n, m = len(ref), len(hyp)
     if n == 0 or m == 0:
         return set()
+    ids: dict[str, int] = {}
+    r = np.array([ids.setdefault(w, len(ids)) for w in ref])
+    h = np.array([ids.setdefault(w, len(ids)) for w in hyp])
     table = np.zeros((n + 1, m + 1), dtype=np.int32)
     for i in range(1, n + 1):
-        ri = ref[i - 1]
-        row, prev = table[i], table[i - 1]
-        for j in range(1, m + 1):
-            row[j] = prev[j - 1] + 1 if ri == hyp[j - 1] else max(prev[j], row[j - 1])
+        prev = table[i - 1]
+        cand = np.maximum(prev[1:], prev[:-1] + (h == r[i - 1]))
+        table[i, 1:] = np.maximum.accumulate(cand)
     out, i, j = set(), n, m
     while i > 0 and j > 0:
         if ref[i - 1] == hyp[j - 1]:
