@@ -100,6 +100,14 @@ def with_row_index(df: DataFrame, order_cols: list, name: str = "row_index",
     return out.withColumn(name, (F.col("_off") + F.col("_pos")).cast("long")).drop("_b", "_pos", "_off")
 
 
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Row count of the largest group (a one-row aggregate; the check behind
+    every single-task fast path)."""
+    if not keys:
+        return df.count()
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+
+
 def grouped_median(df: DataFrame, value: str, keys: list[str] | None = None,
                    out: str = "median", num_partitions: int | None = None,
                    single_task_max_rows: int = SINGLE_TASK_MAX_ROWS) -> DataFrame:
@@ -113,9 +121,7 @@ def grouped_median(df: DataFrame, value: str, keys: list[str] | None = None,
     keys = list(keys or [])
     base = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     # checked fast path: small groups fit one task's buffer
-    largest = (base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-               if keys else base.count()) or 0
-    if largest <= single_task_max_rows:
+    if largest_group(base, keys) <= single_task_max_rows:
         g = base.groupBy(*keys) if keys else base.groupBy()
         return g.agg(F.median("_v").alias(out))
     if not keys:

@@ -240,11 +240,13 @@ def q_diversity(spark, d):
 # ----------------------------------------------------------------- A-20/A-21
 def metric_summary(long_df, value="value", group="metric"):
     """mean / population std / exact median per metric (rows with a value)."""
-    from promptlens.functions.frames import grouped_median
+    from promptlens.functions.frames import grouped_median, largest_group, SINGLE_TASK_MAX_ROWS
     x = long_df.where(F.col(value).isNotNull())
-    agg = x.groupBy(group).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
-    med = grouped_median(x, value, [group], out="median")
-    return agg.join(med, group)
+    stats = [F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")]
+    if largest_group(x, [group]) <= SINGLE_TASK_MAX_ROWS:  # checked: one aggregate
+        return x.groupBy(group).agg(*stats, F.median(value).alias("median"))
+    med = grouped_median(x, value, [group], out="median", single_task_max_rows=0)
+    return x.groupBy(group).agg(*stats).join(med, group)
 
 
 def text_metrics_long(spark, d):
