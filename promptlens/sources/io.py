@@ -158,12 +158,14 @@ def format_training(fetched: DataFrame) -> DataFrame:
 
 
 def upsert_vectors(spark: SparkSession, root: str, batch: DataFrame, staging: str,
-                   replace_all: bool = False) -> None:
-    """Insert-or-replace by ``id`` into a parquet table partitioned by id
-    bucket. Only buckets the batch touches are rewritten (dynamic partition
-    overwrite); merged buckets are staged first, so the table path is never
-    read and written by the same job. ``replace_all`` clears the table."""
-    b = batch.withColumn("bucket", F.substring(F.md5("id"), 1, HASH_BUCKET_CHARS))
+                   replace_all: bool = False, key: str = "id") -> None:
+    """Insert-or-replace by ``key`` into a parquet table partitioned by key
+    bucket. Only buckets the batch touches are read (dynamic partition
+    pruning on the semi-join) and rewritten (dynamic partition overwrite);
+    merged buckets are staged first, so the table path is never read and
+    written by the same job. Re-applying the same batch gives the same
+    table. ``replace_all`` clears the table."""
+    b = batch.withColumn("bucket", F.substring(F.md5(F.col(key).cast("string")), 1, HASH_BUCKET_CHARS))
     if replace_all or not _exists(spark, root):
         b.write.mode("overwrite").partitionBy("bucket").parquet(root)
         return
@@ -171,7 +173,7 @@ def upsert_vectors(spark: SparkSession, root: str, batch: DataFrame, staging: st
     touched = b.select("bucket").distinct()
     old = cur.join(touched, "bucket", "left_semi").withColumn("_prio", F.lit(0))
     new = b.withColumn("_prio", F.lit(1))
-    merged = last_wins(old.unionByName(new.select(*old.columns)), "id", "_prio").drop("_prio")
+    merged = last_wins(old.unionByName(new.select(*old.columns)), key, "_prio").drop("_prio")
     merged.write.mode("overwrite").partitionBy("bucket").parquet(staging)
     staged = spark.read.parquet(staging)
     (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

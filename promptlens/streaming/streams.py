@@ -4,8 +4,8 @@
   streaming checkpoint replaces the reference's progress file, so a restart
   resumes after the last committed micro-batch.
 * streaming upsert: each micro-batch is merged into a keyed vector table
-  (latest wins), written to a new version folder and committed by batch id,
-  so a replayed batch is a no-op.
+  (latest wins) by rewriting only the hash buckets it touches, and is
+  committed by batch id, so a replayed batch is a no-op.
 * streaming dedupe: ``dropDuplicates`` on the text hash (state = seen hashes).
 * rate monitor: watermark + sliding / tumbling event-time windows, emitted in
   update mode and merged per window key by foreachBatch.
@@ -64,37 +64,27 @@ def stream_embed(spark: SparkSession, src: str, schema, out: str, key: str, text
 
 def upsert_batch(spark: SparkSession, table_root: str, batch: DataFrame, key: str,
                  batch_id: int) -> None:
-    """Merge ``batch`` into the current version of the table (latest wins) and
-    commit it as version ``batch_id``. A batch id already committed is
-    skipped, so replays are idempotent. Never writes the path it reads."""
-    versions = sorted(int(p.split("=")[1]) for p in _list(table_root) if p.startswith("v="))
-    if versions and batch_id <= versions[-1]:
+    """Merge one micro-batch into the keyed table: only the hash buckets the
+    batch touches are rewritten. A commit marker per batch id makes a replay
+    a no-op; a crash between the write and the marker is also safe, because
+    re-applying the same batch yields the same buckets."""
+    from promptlens.sources.io import upsert_vectors
+    marker = os.path.join(table_root + "-commits", f"batch={batch_id}")
+    if _exists(marker):
         return
-    new = batch.withColumn("_ver", F.lit(batch_id))
-    if versions:
-        cur = spark.read.parquet(os.path.join(table_root, f"v={versions[-1]}"))
-        merged = last_wins(cur.unionByName(new.select(*cur.columns)), key, "_ver")
-    else:
-        merged = new
-    merged.write.mode("overwrite").parquet(os.path.join(table_root, f"v={batch_id}"))
-
-
-def _list(root: str) -> list[str]:
-    """Child names of ``root`` through the Hadoop file system of the path
-    (works for local, HDFS and object stores alike)."""
+    upsert_vectors(spark, table_root, batch, scratch_path(spark, "upsert-stage"), key=key)
+    spark.createDataFrame([(batch_id,)], "batch_id long").write.mode("overwrite").parquet(marker)
+
+
+def _exists(path: str) -> bool:
     from pyspark.sql import SparkSession as _S
     spark = _S.getActiveSession()
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    return [st.getPath().getName() for st in fs.listStatus(p)]
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def current_version(spark: SparkSession, table_root: str) -> DataFrame:
-    versions = sorted(int(p.split("=")[1]) for p in _list(table_root) if p.startswith("v="))
-    return spark.read.parquet(os.path.join(table_root, f"v={versions[-1]}")).drop("_ver")
+    return spark.read.parquet(table_root).drop("bucket")
 
 
 def stream_upsert(spark: SparkSession, src: str, schema, table_root: str, key: str,

@@ -40,3 +40,19 @@ def test_stream_restart_no_duplicates(spark):
     assert first == docs.where("original_index < 100").count()
     assert res.count() == docs.count()
     assert res.select("original_index").distinct().count() == docs.count()
+
+
+def test_upsert_replay_is_idempotent(spark):
+    from promptlens.streaming import streams as ST
+    root = ST.fresh_dir(spark, "upsert-replay")
+    b1 = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v long")
+    b2 = spark.createDataFrame([("b", 20), ("c", 3)], "k string, v long")
+    ST.upsert_batch(spark, root, b1, "k", 0)
+    ST.upsert_batch(spark, root, b2, "k", 1)
+    want = {("a", 1), ("b", 20), ("c", 3)}
+    got = {(r.k, r.v) for r in ST.current_version(spark, root).collect()}
+    assert got == want
+    ST.upsert_batch(spark, root, b1, "k", 0)   # replay of a committed batch: no-op
+    assert {(r.k, r.v) for r in ST.current_version(spark, root).collect()} == want
+    ST.upsert_batch(spark, root, b2, "k", 2)   # same rows again under a new id: same table
+    assert {(r.k, r.v) for r in ST.current_version(spark, root).collect()} == want
