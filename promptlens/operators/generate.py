@@ -25,12 +25,20 @@ REFINE_GATE = 0.7
 
 def generate_prompts(targets: DataFrame, corpus: DataFrame, n: int = 1,
                      target_key: str = "vec_id", corpus_key: str = "original_index",
-                     vec: str = "embedding", exclude_self: bool = True) -> DataFrame:
+                     vec: str = "embedding", exclude_self: bool = True,
+                     approximate: bool = False, n_cells: int = 64, n_probe: int = 8) -> DataFrame:
     """Envelope per (target, slot): prompt of the slot-th nearest corpus row,
     its similarity, success and error. A target without any candidate gets
-    one row with ``success = false``."""
-    nn = topk_similar(targets, corpus, k=n, target_key=target_key, corpus_key=corpus_key,
-                      vec=vec, exclude_self=exclude_self)
+    one row with ``success = false``. ``approximate`` switches the search
+    to the cell-probe operator (for corpora where exact search is too
+    costly)."""
+    if approximate:
+        from promptlens.operators.ann import topk_approx
+        nn = topk_approx(targets, corpus, k=n, target_key=target_key, corpus_key=corpus_key,
+                         vec=vec, exclude_self=exclude_self, n_cells=n_cells, n_probe=n_probe)
+    else:
+        nn = topk_similar(targets, corpus, k=n, target_key=target_key, corpus_key=corpus_key,
+                          vec=vec, exclude_self=exclude_self)
     prompts = corpus.select(F.col(corpus_key).cast("long").alias("vec_id"), "prompt")
     got = nn.join(prompts, "vec_id")
     t = targets.select(F.col(target_key).cast("long").alias("target_id"))
