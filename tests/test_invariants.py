@@ -56,3 +56,18 @@ def test_upsert_replay_is_idempotent(spark):
     assert {(r.k, r.v) for r in ST.current_version(spark, root).collect()} == want
     ST.upsert_batch(spark, root, b2, "k", 2)   # same rows again under a new id: same table
     assert {(r.k, r.v) for r in ST.current_version(spark, root).collect()} == want
+
+
+def test_profile_identities(spark):
+    """The published profile's identities: question + instruction + other =
+    total, and duplicates = rows - distinct (nulls count as duplicates)."""
+    import __spark_entry__ as E
+    q = E.queries()
+    t = q["prompt_types"](spark, SF_SMALL).first()
+    c = q["profile_counts"](spark, SF_SMALL).first()
+    dd = q["profile_distinct"](spark, SF_SMALL).first()
+    from promptlens.plans import views as V
+    total_cases = V.textcases(spark, SF_SMALL).count()
+    assert t.question_prompts + t.instruction_prompts + t.other_prompts == total_cases
+    assert dd.duplicate_outputs == c.total_samples - dd.unique_outputs
+    assert dd.duplicate_outputs >= c.null_outputs
