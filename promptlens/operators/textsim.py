@@ -31,10 +31,6 @@ BLEU_EPSILON = 0.1
 ROUGE_EPS = 1e-8
 
 
-def _set_size(c):
-    return F.size(c)
-
-
 def jaccard_pairs(df: DataFrame, key, t1: str = "text1", t2: str = "text2") -> DataFrame:
     keys = [key] if isinstance(key, str) else list(key)
     a = F.array_distinct(T.lower_words(t1))
