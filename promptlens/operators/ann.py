@@ -1,6 +1,7 @@
 """Approximate top-k nearest neighbours by cell probing (inverted file).
 
-1. MLlib KMeans (distributed, seeded) learns ``n_cells`` centroids on the
+1. MLlib KMeans (distributed, seeded) learns ``n_cells`` centroids on a
+   deterministic sample (at most about ``train_rows`` vectors) of the
    normalised corpus; the centroid matrix (n_cells x dim, a size fixed by a
    parameter) is the only thing shipped to tasks.
 2. Every corpus vector is assigned to its nearest cell.
@@ -31,14 +32,19 @@ from promptlens.operators.vectors import _TOPK_SCHEMA, _block_topk
 def topk_approx(targets: DataFrame, corpus: DataFrame, k: int = 5, target_key: str = "vec_id",
                 corpus_key: str = "vec_id", vec: str = "embedding", n_cells: int = 16,
                 n_probe: int = 4, block_rows: int = 2048, exclude_self: bool = True,
-                seed: int = 42, max_iter: int = 20) -> DataFrame:
+                seed: int = 42, max_iter: int = 20, train_rows: int = 1_000_000) -> DataFrame:
     t = targets.select(F.col(target_key).cast("long").alias("target_id"),
                        VX.normalize(VX.as_double(vec)).alias("tv"))
     c = corpus.select(F.col(corpus_key).cast("long").alias("vec_id"),
                       VX.normalize(VX.as_double(vec)).alias("cv"))
     km = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="_f", predictionCol="cell",
                 initMode="k-means||")
-    model = km.fit(c.select(array_to_vector("cv").alias("_f")))
+    # centroids are learned on a deterministic hash sample of at most about
+    # ``train_rows`` vectors; every vector is still assigned to a cell
+    nc = c.count()
+    m = max(1, nc // max(1, train_rows))
+    train = c.where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(m)) == 0)
+    model = km.fit(train.select(array_to_vector("cv").alias("_f")))
     cents = np.vstack([np.asarray(x, dtype=np.float64) for x in model.clusterCenters()])
     norms = np.linalg.norm(cents, axis=1, keepdims=True)
     cents = np.where(norms > 0, cents / np.where(norms > 0, norms, 1.0), cents)
