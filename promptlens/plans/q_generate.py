@@ -176,13 +176,13 @@ def q_variant_rank(spark, d):
     tv = G.target_vectors(V.corpus(spark, d).where(F.col("output").isNotNull()), "original_index", "output")
     s = G.score_prompts(v.select("target_id", "variant", "variant_prompt"), tv, "variant_prompt")
     w = Window.partitionBy("target_id").orderBy(F.desc(F.round(F.coalesce("score", F.lit(0.0)), 9)), "variant")
-    return _r6(s.withColumn("rank", F.row_number().over(w)), ["score"])
+    return _r6(s.withColumn("rank", F.row_number().over(w).cast("long")), ["score"])
 
 
 @register("diverse_variants", V.oracle("""
 SELECT target_id, v AS variant,
        ['more specific', 'more creative', 'more detailed', 'more concise', 'more engaging'][v % 5 + 1] AS style,
-       round(0.5 + v * 0.3, 6) AS temperature,
+       round((0.5 + v * 0.3)::DOUBLE, 6) AS temperature,
        'Make it ' || ['more specific', 'more creative', 'more detailed', 'more concise', 'more engaging'][v % 5 + 1]
          || ': ' || coalesce(prompt, '') AS variant_prompt
 FROM gen1, range(0, 5) r(v)""", _GV, [_GEN1]))

@@ -235,9 +235,31 @@ def with_views(sql: str, *names: str) -> str:
     return ctes
 
 
+def _bigint_counts(sql: str) -> str:
+    """DuckDB's ``count_if`` returns HUGEINT; wrap every call in a BIGINT
+    cast so result types equal Spark's ``count_if`` (LONG)."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len(key) - 1
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = _bigint_counts(sql[j + len(key):k])
+        out.append(sql[i:j] + "CAST(" + key + inner + ") AS BIGINT)")
+        i = k + 1
+
+
 def oracle(sql_body: str, views: list[str], ctes: list[str] | None = None) -> str:
     """Build one statement: WITH <views>, <extra ctes> <sql_body>."""
     parts = with_views("", *views) + list(ctes or [])
-    if not parts:
-        return sql_body
-    return "WITH " + ",\n".join(parts) + "\n" + sql_body
+    sql = sql_body if not parts else "WITH " + ",\n".join(parts) + "\n" + sql_body
+    return _bigint_counts(sql)
