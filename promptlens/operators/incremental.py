@@ -1,4 +1,4 @@
-"""Incremental embedding pipeline: cache lookups, merges, training joins,
+"""Incremental embedding job: cache lookups, merges, training joins,
 resume ledger, batch plans and run summaries.
 
 Keyed de-duplication is written as ``groupBy + max_by/min_by`` rather than a

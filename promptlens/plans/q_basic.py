@@ -93,17 +93,23 @@ def q_results_roundtrip(spark, d):
 
 
 def _records(spark, d):
+    """Vector records typed by the row's data split (T-03/T-04)."""
+    from promptlens.operators.incremental import data_splits
     t = _training(spark, d)
-    kind = F.when(F.col("original_index") % 10 < 8, F.lit("train")).otherwise(F.lit("val"))
-    return IO.vector_records(t.withColumn("kind", kind), kind_col="kind")
+    splits = data_splits(V.pairs(spark, d), "original_index", seed=42).withColumnRenamed("split", "kind")
+    return IO.vector_records(t.join(splits, "original_index"), kind_col="kind")
 
 
-_REC_SQL = """rec AS (
-  SELECT (CASE WHEN original_index % 10 < 8 THEN 'train' ELSE 'val' END) || '-' || original_index AS id,
-         original_index, prompt, output, embedding,
-         greatest(1, floor(len(list_filter(regexp_split_to_array(coalesce(output, ''), '\\s+'), lambda w: w <> '')) * 0.75))::INT AS tokens,
-         CASE WHEN original_index % 10 < 8 THEN 'train' ELSE 'val' END AS type
-  FROM corpus)"""
+_REC_SQL = """sp AS (
+  SELECT original_index, CASE WHEN rn < floor(n * 0.8) THEN 'train'
+    WHEN rn < floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS split
+  FROM (SELECT original_index, row_number() OVER (ORDER BY md5('42|' || original_index), original_index) - 1 AS rn,
+               count(*) OVER () AS n FROM pairs)),
+rec AS (
+  SELECT s.split || '-' || c.original_index AS id, c.original_index, c.prompt, c.output, c.embedding,
+         greatest(1, floor(len(list_filter(regexp_split_to_array(coalesce(c.output, ''), '\\s+'), lambda w: w <> '')) * 0.75))::INT AS tokens,
+         s.split AS type
+  FROM corpus c JOIN sp s ON s.original_index = c.original_index)"""
 
 
 @register("vector_records", V.oracle("SELECT id, prompt, tokens, type FROM rec", ["corpus"], [_REC_SQL]))
@@ -127,8 +133,9 @@ def q_fetch_vectors(spark, d):
 @register("format_training", V.oracle("""
 SELECT id, prompt, output, tokens, round(list_sum(embedding), 6) AS vsum FROM rec""", ["corpus"], [_REC_SQL]))
 def q_format_training(spark, d):
-    f = IO.format_training(IO.fetch_vectors(_records(spark, d), 0, 1 << 62, "train").unionByName(
-        IO.fetch_vectors(_records(spark, d), 0, 1 << 62, "val")))
+    rec = _records(spark, d)
+    parts = [IO.fetch_vectors(rec, 0, 1 << 62, k) for k in ("train", "val", "test")]
+    f = IO.format_training(parts[0].unionByName(parts[1]).unionByName(parts[2]))
     return _r6(f.select("id", "prompt", "output", "tokens", VX.vec_sum("embedding").alias("vsum")), ["vsum"])
 
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from promptlens.operators import generate as G
-from promptlens.operators.pipeline import similarity_summary
+from promptlens.operators.incremental import similarity_summary
 from promptlens.plans import sqlfrag as S
 from promptlens.plans import views as V
 from promptlens.plans.q_textsim import CAND_SQL, candidates, metric_summary

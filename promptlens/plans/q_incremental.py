@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from promptlens.functions import text as T
 from promptlens.functions import vector as VX
 from promptlens.operators import embed as OE
-from promptlens.operators import pipeline as OP
+from promptlens.operators import incremental as OP
 from promptlens.plans import sqlfrag as S
 from promptlens.plans import views as V
 from promptlens.plans.registry import register

@@ -60,12 +60,13 @@ def q_endpoint_violations(spark, d):
 
 
 def _client_tiers(spark, d):
-    """One row per client: its tier (derived from the id) and its request count."""
+    """One row per client: its request count and a tier chosen by volume
+    (tier index = floor(log2(requests)), capped at the unknown last name)."""
     log = V.reqlog(spark, d)
     names = F.array(*[F.lit(n) for n in TIER_NAMES])
     g = log.groupBy("client").agg(F.count(F.lit(1)).alias("items"))
-    return g.select("client", F.element_at(names, (F.col("client") % len(TIER_NAMES)).cast("int") + 1)
-                    .alias("tier"), "items")
+    idx = F.least(F.lit(len(TIER_NAMES) - 1), F.floor(F.log2(F.col("items")))).cast("int")
+    return g.select("client", F.element_at(names, idx + 1).alias("tier"), "items")
 
 
 _TIER_SQL = "tiers AS (SELECT * FROM (VALUES " + ", ".join(
@@ -73,7 +74,8 @@ _TIER_SQL = "tiers AS (SELECT * FROM (VALUES " + ", ".join(
     for t in L.TIERS) + ") v(tier, requests_per_minute, requests_per_day, tokens_per_minute, tokens_per_day, " \
     "concurrent_requests, batch_queue_limit))"
 _CT_SQL = "ct AS (SELECT client, [" + ", ".join(f"'{n}'" for n in TIER_NAMES) + \
-    f"][client % {len(TIER_NAMES)} + 1] AS tier, count(*) AS items FROM reqlog GROUP BY client)"
+    f"][least({len(TIER_NAMES) - 1}, floor(log2(count(*))))::INT + 1] AS tier, count(*) AS items " \
+    "FROM reqlog GROUP BY client)"
 
 
 @register("tier_lookup", V.oracle("""

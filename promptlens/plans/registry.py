@@ -28,7 +28,7 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     # importing the binding modules fills the registry
     from promptlens.plans import (  # noqa: F401
-        q_basic, q_profile, q_vectors, q_pipeline, q_textsim, q_generate,
+        q_basic, q_profile, q_vectors, q_incremental, q_textsim, q_generate,
         q_refine, q_limits, q_streaming)
 
 

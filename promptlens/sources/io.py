@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptlens.operators.pipeline import last_wins
+from promptlens.operators.incremental import last_wins
 
 PAIRS_SCHEMA = T.StructType([
     T.StructField("original_index", T.LongType()),

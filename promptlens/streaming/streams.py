@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptlens.operators.embed import EmbeddingProvider, embed_texts
-from promptlens.operators.pipeline import last_wins
+from promptlens.operators.incremental import last_wins
 from promptlens.session import scratch_path
 
 

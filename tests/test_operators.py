@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from promptlens.functions.frames import grouped_median, with_row_index
 from promptlens.functions.rolling import rolling_range
-from promptlens.operators import pipeline as OP
+from promptlens.operators import incremental as OP
 from promptlens.operators import refine as R
 
 
