@@ -90,3 +90,22 @@ def q_stream_requests(spark, d):
                                 extra_aggs=[F.count_if(F.col("endpoint") != "error").alias("ok"),
                                             F.avg("value").alias("avg_value")])
     return _r6(r, ["avg_value"])
+
+
+@register("stream_tokens", V.oracle("""
+SELECT ws AS window_start_us, endpoint, count(*) AS n, sum(tokens)::BIGINT AS tokens FROM (
+  SELECT event_type AS endpoint, CAST(json_extract(props, '$.k') AS BIGINT) AS tokens,
+         (epoch_us(ts) // 3600000000) * 3600000000 - k * 3600000000 AS ws
+  FROM events, range(0, 24) r(k)) x
+GROUP BY 1, 2""", []))
+def q_stream_tokens(spark, d):
+    """ST-04, day form: 24 h token and request windows sliding by 1 h."""
+    raw = V.table(spark, d, "events")
+    ev = raw.select("event_id", F.timestamp_micros(epoch_micros(raw, "ts")).alias("ts"),
+                    F.col("event_type").alias("endpoint"),
+                    F.get_json_object("props", "$.k").cast("bigint").alias("tokens"))
+    src = ST.split_to_files(ev, ST.fresh_dir(spark, "tok-src"), "event_id", PARTS)
+    r = ST.stream_window_counts(spark, src, ev.schema, ST.fresh_dir(spark, "tok-out"), "ts", "endpoint",
+                                "24 hours", "1 hour", "2 days",
+                                extra_aggs=[F.sum("tokens").cast("long").alias("tokens")])
+    return r
