@@ -54,15 +54,18 @@ def _gram_rows(df: DataFrame, keys, text: str, ns=(1, 2, 3, 4)) -> DataFrame:
 
 
 def bleu_pairs(df: DataFrame, key, t1: str = "text1", t2: str = "text2") -> DataFrame:
-    """Sentence BLEU-4 per pair, by n-gram counting joins (linear in text
-    length, no per-pair Python). Null when either side has no token."""
+    """Sentence BLEU-4 per pair, by n-gram counting (linear in text length,
+    no per-pair Python). Both sides' n-grams go through one explode and one
+    ``groupBy(pair, n, gram)`` that counts each side; a second aggregate per
+    pair sums the clipped matches and the lengths. Null when either side has
+    no token."""
     keys = [key] if isinstance(key, str) else list(key)
-    ref = _gram_rows(df, keys, t1).groupBy(*keys, "n", "gram").agg(F.count(F.lit(1)).alias("rc"))
-    hyp = _gram_rows(df, keys, t2).groupBy(*keys, "n", "gram").agg(F.count(F.lit(1)).alias("hc"))
-    clip = (hyp.join(ref, keys + ["n", "gram"], "left")
-            .groupBy(*keys).agg(*[
-                F.sum(F.when(F.col("n") == n, F.least("hc", F.coalesce("rc", F.lit(0))))
-                      ).alias(f"m{n}") for n in (1, 2, 3, 4)]))
+    ref = _gram_rows(df, keys, t1).withColumn("_h", F.lit(0))
+    hyp = _gram_rows(df, keys, t2).withColumn("_h", F.lit(1))
+    g = (ref.unionByName(hyp).groupBy(*keys, "n", "gram")
+         .agg(F.count_if(F.col("_h") == 1).alias("hc"), F.count_if(F.col("_h") == 0).alias("rc")))
+    clip = g.groupBy(*keys).agg(
+        *[F.sum(F.when(F.col("n") == n, F.least("hc", "rc"))).alias(f"m{n}") for n in (1, 2, 3, 4)])
     base = df.select(*keys, F.size(T.lower_words(t1)).alias("r_len"),
                      F.size(T.lower_words(t2)).alias("c_len"))
     x = base.join(clip, keys, "left")
