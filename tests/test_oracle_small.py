@@ -26,8 +26,13 @@ def con():
 def test_query_matches_oracle(spark, con, name):
     import __spark_entry__ as E
     from tools.check_oracle import rows_of
-    pdf = E.queries()[name](spark, SF_SMALL).toPandas()
-    odf = con.execute(E.oracle_sql()[name]).df()
+    from tools.check_oracle import _TYPES
+    sdf = E.queries()[name](spark, SF_SMALL)
+    rel = con.sql(E.oracle_sql()[name])
+    assert {f.name: _TYPES.get(f.dataType.simpleString()) for f in sdf.schema.fields} == \
+        {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    pdf = sdf.toPandas()
+    odf = rel.df()
     c1, r1 = rows_of(pdf)
     c2, r2 = rows_of(odf)
     assert c1 == c2
