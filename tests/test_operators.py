@@ -129,3 +129,16 @@ def test_ann_exact_when_probing_all_cells(spark):
     ex = topk_similar(e, e, k=5)
     assert recall_at_k(topk_approx(e, e, k=5, n_cells=8, n_probe=8, block_rows=40), ex).first()[0] == 1.0
     assert recall_at_k(topk_approx(e, e, k=5, n_cells=8, n_probe=3), ex).first()[0] > 0.5
+
+
+def test_order_buckets_split_a_hot_key(spark):
+    """A key holding a third of the rows is cut into several buckets of
+    bounded size (the property the rolling and median plans rely on)."""
+    from promptlens.functions.frames import range_buckets
+    rows = [("hot" if i % 3 == 0 else f"k{i % 97}", i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "key string, t long")
+    b = range_buckets(df, ["key", "t"], 8)
+    sizes = {r["_b"]: r["count"] for r in b.groupBy("_b").count().collect()}
+    hot = {r["_b"] for r in b.where("key = 'hot'").select("_b").distinct().collect()}
+    assert len(hot) >= 2
+    assert max(sizes.values()) <= 2 * 6000 / 8
