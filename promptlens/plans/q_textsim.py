@@ -156,7 +156,56 @@ def q_rouge_pairs(spark, d):
     return _r6(TS.rouge_pairs(gen(spark, d), "target_id"), ["rouge_1", "rouge_2"])
 
 
-@register("rouge_l_pairs")
+# ROUGE-L in SQL: the LCS table row by row in a recursive CTE (each row the
+# running max of max(L[i-1][j], L[i-1][j-1] + match)), the same backtrack
+# path by a second recursive CTE, then the per-reference-sentence union.
+def _rl_sents(x):
+    return (f"list_transform(list_filter(string_split({x}, '.'), lambda s: length(s) > 0), "
+            f"lambda s: string_split(array_to_string({S.words('s')}, ' '), ' '))")
+
+ROUGE_L_CTES = [
+f"""rl_p AS (SELECT target_id, {_rl_sents('text1')} AS hs, {_rl_sents('text2')} AS rs FROM gen)""",
+"""rl_pairs AS (
+  SELECT p.target_id, b.b, a.a, p.rs[b.b] AS r, p.hs[a.a] AS h
+  FROM rl_p p, LATERAL (SELECT unnest(range(1, len(p.rs) + 1)) AS b) b,
+       LATERAL (SELECT unnest(range(1, len(p.hs) + 1)) AS a) a)""",
+"""rl_dp AS (
+  WITH RECURSIVE dp(target_id, b, a, r, h, i, rowv, rowsv) AS (
+    SELECT target_id, b, a, r, h, 0, list_transform(range(0, len(h) + 1), lambda x: 0),
+           [list_transform(range(0, len(h) + 1), lambda x: 0)]
+    FROM rl_pairs
+    UNION ALL
+    SELECT target_id, b, a, r, h, i + 1, nr, list_append(rowsv, nr) FROM (
+      SELECT *, list_concat([0], list_transform(range(1, len(h) + 1),
+               lambda j: list_max(list_transform(range(1, j + 1),
+                 lambda q: greatest(rowv[q + 1], rowv[q] + CASE WHEN h[q] = r[i + 1] THEN 1 ELSE 0 END))))) AS nr
+      FROM dp WHERE i < len(r)) z)
+  SELECT target_id, b, a, r, h, rowsv FROM dp WHERE i = len(r))""",
+"""rl_bt AS (
+  WITH RECURSIVE bt(target_id, b, a, r, h, t, i, j, pos) AS (
+    SELECT target_id, b, a, r, h, rowsv, len(r), len(h), []::INT[] FROM rl_dp
+    UNION ALL
+    SELECT target_id, b, a, r, h, t,
+      CASE WHEN r[i] = h[j] THEN i - 1 WHEN t[i][j + 1] >= t[i + 1][j] THEN i - 1 ELSE i END,
+      CASE WHEN r[i] = h[j] THEN j - 1 WHEN t[i][j + 1] >= t[i + 1][j] THEN j ELSE j - 1 END,
+      CASE WHEN r[i] = h[j] THEN list_append(pos, i - 1) ELSE pos END
+    FROM bt WHERE i > 0 AND j > 0)
+  SELECT target_id, b, a, pos FROM bt WHERE i = 0 OR j = 0)""",
+"""rl_union AS (
+  SELECT target_id, b, len(list_distinct(flatten(list(pos)))) AS u FROM rl_bt GROUP BY 1, 2)""",
+"""rl AS (
+  SELECT p.target_id, len(list_distinct(flatten(p.rs))) AS m, len(list_distinct(flatten(p.hs))) AS n,
+         coalesce((SELECT sum(u) FROM rl_union x WHERE x.target_id = p.target_id), 0) AS llcs,
+         len(p.hs) > 0 AND len(p.rs) > 0 AS ok
+  FROM rl_p p)""",
+]
+ROUGE_L_SELECT = """
+SELECT target_id, CASE WHEN ok THEN round(2.0 * ((pp * rr) / (pp + rr + 1e-8)), 6) END AS rouge_l FROM (
+  SELECT target_id, ok, CASE WHEN n > 0 THEN llcs / n ELSE 0.0 END AS pp, CASE WHEN m > 0 THEN llcs / m ELSE 0.0 END AS rr
+  FROM rl)"""
+
+
+@register("rouge_l_pairs", V.oracle(ROUGE_L_SELECT, _CV, _CG + ROUGE_L_CTES))
 def q_rouge_l_pairs(spark, d):
     return _r6(TS.rouge_l_pairs(gen(spark, d), "target_id"), ["rouge_l"])
 

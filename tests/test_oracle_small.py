@@ -9,7 +9,7 @@ from conftest import SF_SMALL
 FAST = ["profile_counts", "profile_distinct", "text_lengths", "prompt_types", "output_flags",
         "prompt_starters", "topk_similar", "hash_embed", "cache_misses", "embed_incremental",
         "data_splits", "jaccard_pairs", "bleu_pairs", "rouge_pairs", "pairwise_jaccard",
-        "rate_limit_rpm", "rate_limit_tokens", "validate_requests", "mutate_swap", "crossover",
+        "rate_limit_rpm", "rate_limit_tokens", "validate_requests", "mutate_swap", "crossover", "rouge_l_pairs",
         "candidate_pool", "evaluate_generated", "stream_dedupe", "vector_upsert"]
 
 
