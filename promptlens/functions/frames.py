@@ -145,9 +145,3 @@ def grouped_median(df: DataFrame, value: str, keys: list[str] | None = None,
     mids = ranked.where((F.col("_r") == lo) | (F.col("_r") == hi))
     res = mids.groupBy(*gk).agg(F.avg("_v").alias(out))
     return res.drop("_g") if not keys else res
-
-
-def scalar(df: DataFrame, expr: Column) -> Column:
-    """A one-value aggregate of ``df`` usable inside another frame's
-    expressions (a scalar subquery, planned once, no join)."""
-    return df.select(expr).scalar()
