@@ -142,3 +142,21 @@ def test_order_buckets_split_a_hot_key(spark):
     hot = {r["_b"] for r in b.where("key = 'hot'").select("_b").distinct().collect()}
     assert len(hot) >= 2
     assert max(sizes.values()) <= 2 * 6000 / 8
+
+
+def test_generation_envelopes(spark):
+    """Bad vectors and targets without candidates come back as rows with
+    success = false and an error, next to the good rows."""
+    from promptlens.operators.generate import generate_prompts, process_embeddings
+    corpus = spark.createDataFrame([(10, "p ten", "o", [1.0, 0.0]), (11, "p eleven", "o", [0.0, 1.0])],
+                                   "original_index long, prompt string, output string, embedding array<double>")
+    raw = spark.createDataFrame([(1, "x", "[0.9, 0.1]"), (2, "y", "[1.0"), (3, "z", "[1.0, 0.0, 0.0]")],
+                                "id long, tag string, vec string")
+    got = {r.id: r for r in process_embeddings(raw, corpus, "id", "vec", 2).collect()}
+    assert got[1].success and got[1].prompt == "p ten" and got[1].tag == "x"
+    assert (got[2].success, got[2].error) == (False, "invalid embedding")
+    assert (got[3].success, got[3].error) == (False, "wrong dimension")
+    empty = corpus.where("original_index < 0")
+    t = spark.createDataFrame([(5, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    r = generate_prompts(t, empty, n=1).collect()
+    assert len(r) == 1 and r[0].success is False and r[0].error == "no candidate"
