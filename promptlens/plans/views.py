@@ -188,8 +188,12 @@ TEXT_CASE_BASE = 1_000_000
 def textcases(spark, d) -> DataFrame:
     """pairs rows plus the literal cases (ids from 1,000,000)."""
     p = pairs(spark, d).select("original_index", "prompt", "output")
-    lit_rows = [(TEXT_CASE_BASE + i, t, t) for i, t in enumerate(TEXT_CASES)]
-    lits = spark.createDataFrame(lit_rows, "original_index long, prompt string, output string")
+    # literal rows as one JVM-side array literal (no Python-side data)
+    rows = F.array(*[F.struct(F.lit(TEXT_CASE_BASE + i).cast("long").alias("original_index"),
+                              F.lit(t).cast("string").alias("prompt"),
+                              F.lit(t).cast("string").alias("output"))
+                     for i, t in enumerate(TEXT_CASES)])
+    lits = spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
     return p.unionByName(lits)
 
 
