@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from promptlens.llm import binpack, bitpack
+from promptlens.llm import binpack, bitpack, langid, topk
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
     "op3_token_ids": bitpack.op3_token_ids,
     "op6_best_fit": binpack.op6_best_fit,
+    "op9_top_k": topk.op9_top_k,
+}
+ORACLE = {
+    "op9_top_k": topk.OP9_SQL,
 }
-ORACLE: dict[str, str] = {}
