@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from promptlens.llm import binpack, bitpack, langid, topk
+from promptlens.llm import binpack, bitpack, langid, topk, toxicity
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op3_token_ids": bitpack.op3_token_ids,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_best_fit": binpack.op6_best_fit,
     "op9_top_k": topk.op9_top_k,
 }
