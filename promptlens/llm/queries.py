@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from promptlens.llm import binpack, bitpack, langid, topk, toxicity
+from promptlens.llm import binpack, bitpack, decontaminate, langid, topk, toxicity
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op3_token_ids": bitpack.op3_token_ids,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_best_fit": binpack.op6_best_fit,
+    "op8_winnowing": decontaminate.op8_winnowing,
     "op9_top_k": topk.op9_top_k,
 }
 ORACLE = {
+    "op8_winnowing": decontaminate.OP8_SQL,
     "op9_top_k": topk.OP9_SQL,
 }
