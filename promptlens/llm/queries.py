@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from promptlens.llm import binpack, bitpack, decontaminate, langid, topk, toxicity
+from promptlens.llm import binpack, bitpack, decontaminate, jaccard, langid, topk, toxicity
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -11,8 +11,10 @@ QUERIES = {
     "op6_best_fit": binpack.op6_best_fit,
     "op8_winnowing": decontaminate.op8_winnowing,
     "op9_top_k": topk.op9_top_k,
+    "op10_jaccard": jaccard.op10_jaccard,
 }
 ORACLE = {
+    "op10_jaccard": jaccard.OP10_SQL,
     "op8_winnowing": decontaminate.OP8_SQL,
     "op9_top_k": topk.OP9_SQL,
 }
