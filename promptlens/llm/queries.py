@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from promptlens.llm import binpack, bitpack, decontaminate, jaccard, langid, topk, toxicity
+from promptlens.llm import binpack, bitpack, decontaminate, jaccard, langid, lm, pii, topk, toxicity
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op3_token_ids": bitpack.op3_token_ids,
+    "op4_lm_score": lm.op4_lm_score,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_best_fit": binpack.op6_best_fit,
+    "op7_pii": pii.op7_pii,
     "op8_winnowing": decontaminate.op8_winnowing,
     "op9_top_k": topk.op9_top_k,
     "op10_jaccard": jaccard.op10_jaccard,
