@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from promptlens.llm import binpack, bitpack, decontaminate, jaccard, langid, lm, pii, topk, toxicity
+from promptlens.llm import binpack, bitpack, decontaminate, htmltext, jaccard, langid, lm, pii, topk, toxicity
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
+    "op2_html_text": htmltext.op2_html_text,
     "op3_token_ids": bitpack.op3_token_ids,
     "op4_lm_score": lm.op4_lm_score,
     "op5_toxicity": toxicity.op5_toxicity,
