@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ def text_batches(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -
     array = batch.column(column)
     if not len(array):
         return
-    sizes = pa.compute.binary_length(array).fill_null(0).to_pylist()
+    sizes = pc.binary_length(array).fill_null(0).to_pylist()
     start = total = 0
     for i, size in enumerate(sizes):
         if total and total + size > max_bytes:

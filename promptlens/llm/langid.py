@@ -76,10 +76,8 @@ class Model:
     def __init__(self, langs: list[str], counts: np.ndarray):
         self.langs, self.code = langs, codewords(len(langs))
         p = (counts + SMOOTHING) / (counts + SMOOTHING).sum(1, keepdims=True)
-        cols = []
-        for bit in self.code.T:
-            one, two = p[bit > 0].mean(0), p[bit < 0].mean(0) if (bit < 0).any() else p.mean(0)
-            cols.append(np.log(one) - np.log(two))
+        cols = [np.zeros(BUCKETS)] if len(langs) < 2 else [
+            np.log(p[bit > 0].mean(0)) - np.log(p[bit < 0].mean(0)) for bit in self.code.T]
         self.weights = np.ascontiguousarray(np.array(cols).T, dtype="f4")
         self.trust = np.full(self.code.shape[1], 1 / self.code.shape[1])
 
@@ -145,7 +143,8 @@ def fit(labelled: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> Model:
                 bits = shared.value.code[shared.value.langs.index(lang)]
                 good += shared.value.margins(letters(text.as_py())) * bits > 0
                 n += 1
-        yield pa.RecordBatch.from_pydict({"n": [n], "good": pa.array([good], pa.list_(pa.float64()))})
+        if n:
+            yield pa.RecordBatch.from_pydict({"n": [n], "good": pa.array([good], pa.list_(pa.float64()))})
 
     model_bits = model.code.shape[1]
     told = drawn.filter(F.pmod(F.xxhash64("text"), F.lit(8)) == 0).mapInArrow(right, "n long, good array<double>")

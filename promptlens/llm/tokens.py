@@ -82,7 +82,7 @@ class Encoder:
         core = chunk.rstrip(WORD_ENDS)
         if core.isalpha() and "Σ" not in core:
             low = core.lower()
-            if low.isascii() or unicodedata.is_normalized("NFC", low):
+            if low.isascii() or low.isalpha() and unicodedata.is_normalized("NFC", low):
                 head = self._cores[low]
                 return head if len(core) == len(chunk) else head + self._words[chunk[len(core):]]
         return self._full(chunk)
