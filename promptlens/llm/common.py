@@ -52,3 +52,14 @@ def text_batches(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -
             start, total = i, 0
         total += size
     yield start, len(sizes)
+
+
+#: Rows up to which a stored table of a few numbers a row is broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored ``df`` of a few numbers a row, marked for broadcast if it has
+    at most ``rows`` rows (counted from the files' footers); beyond that it is
+    left to Spark, which shuffles both sides. The result is the same."""
+    return F.broadcast(df) if df.count() <= rows else df

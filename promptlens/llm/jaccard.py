@@ -9,14 +9,16 @@ To share T shingles two documents must share one of their |x| - ceil(3|x|/4) +
 1 rarest, so only these short lists are merged (Spark sorts and merges the
 postings by shingle and joins the documents of a list); the lists left out,
 the longest, are never read through: a candidate is probed for their shingles
-by binary search in its sorted set, until T is reached or out of reach. Which
+by binary search in its sorted set, if the short lists it occurs in and all
+long ones together reach T. Which
 shingles are frequent is told by a bounded sample of documents; the sample
 orders the lists and has no influence on the result.
 
 Groups are not expanded into pairs:
 - documents with equal sets are one class, represented by its smallest id;
 - first every document of a list is checked against the list's first document
-  (a star), and the links found are joined to components;
+  (a star) if they meet in enough lists, and the links found are joined to
+  components;
 - then only pairs of *different* components that meet in a short list are
   checked, so what is one component costs no pair; of a list's components the
   one with most documents is only met by the others.
@@ -39,17 +41,21 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from promptlens.llm.common import stored, table
+from promptlens.llm.common import small, stored, table
 from promptlens.llm.components import components
 
 SHINGLE = 5
 #: Documents of the sample that orders the lists, and entries kept of it.
-SAMPLE_DOCS, SAMPLE_SEEN, SAMPLE_ENTRIES = 8192, 3, 1 << 20
+SAMPLE_DOCS, SAMPLE_SEEN, SAMPLE_ENTRIES = 4096, 3, 1 << 20
 #: Documents of a list per salt.
 LIST_PER_SALT = 5000
+#: Places over which the partners of one document are dealt.
+SALTS = 16
+#: Share of the needed common short lists from which a star is checked.
+STAR_SHARE = 0.25
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -134,30 +140,50 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     return often["shingle"].to_numpy("i8"), often["count"].to_numpy("i8"), 1 / share
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    def build(batches):
-        for batch in batches:
-            found = [shingles(t.as_py()).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "shingles"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(build, "doc_id long, shingles binary")
+def enough(a: str, b: str, common: str) -> Column:
+    """Whether a pair of sets of sizes a and b that has met in ``common`` short
+    lists can share T shingles: the set whose short lists end first in the
+    order of lists can share no more than its long lists besides."""
+    total = F.ceil(3 * (F.col(a) + F.col(b)) / 7)
+    long_lists = F.greatest(*(F.ceil(3 * F.col(x) / 4) - 1 for x in (a, b)))
+    return F.col(common) >= total - long_lists
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` that link."""
-    pairs = stored(pairs, name)
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = stored(_sets(docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi")), f"{name}-sets")
+    """The pairs (a, b) of ``pairs`` that link. The sets of a and of its
+    partners are brought to one place, over salts if there are many, and a's
+    set is probed there; every set travels once per pair."""
+    pairs = stored(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")), name)
+    wanted = pairs.select(F.col("b").alias("id"), F.col("a").alias("centre"), "salt").union(
+        pairs.select("a", "a", "salt").distinct())
+    wanted = stored(wanted, f"{name}-sets")
 
-    def check(batches):
+    def build(batches):
         for batch in batches:
-            good = [links(np.frombuffer(x.as_buffer(), "i8"), np.frombuffer(y.as_buffer(), "i8"))
-                    for x, y in zip(batch.column("sa"), batch.column("sb"))]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            found = [shingles(t.as_py()).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("centre", "salt", "id")), pa.array(found, pa.binary())],
+                ["centre", "salt", "id", "shingles"])
 
-    joined = (pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-              .join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a"))
-    return stored(joined.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), f"{name}-links")
+    def check(batches):
+        at, centres = None, []
+        for batch in batches:
+            good: list[tuple[int, int]] = []
+            for centre, salt, own, data in zip(*(batch.column(c).to_pylist() for c in ("centre", "salt", "id", "shingles"))):
+                found = np.frombuffer(data, "i8")
+                if (centre, salt) != at:
+                    at, centres = (centre, salt), []
+                if own == centre:
+                    centres.append(found)
+                elif any(links(c, found) for c in centres):
+                    good.append((centre, own))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in good], pa.int64()), "b": pa.array([x for _, x in good], pa.int64())})
+
+    sets = (docs.join(small(wanted), docs["doc_id"] == wanted["id"]).select("centre", "salt", "id", "text")
+            .mapInArrow(build, "centre long, salt int, id long, shingles binary"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sets.repartition(parts, "centre", "salt").sortWithinPartitions("centre", "salt", F.col("id") != F.col("centre"))
+    return stored(dealt.mapInArrow(check, "a long, b long").distinct(), f"{name}-links")
 
 
 def similar(docs: DataFrame) -> DataFrame:
@@ -188,11 +214,12 @@ def similar(docs: DataFrame) -> DataFrame:
     classes = stored(indexed.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
 
     # Short lists of the representatives, dealt over salts where they are long.
-    reps = indexed.join(classes.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").filter("n > 0")
-    postings = reps.select("doc_id", "n", F.explode(F.arrays_zip("rare", "seen")).alias("r")).select(
+    firsts = stored(classes.filter("rep is not null").select("rep").distinct(), "representatives")
+    reps = indexed.join(small(firsts), F.col("doc_id") == F.col("rep"), "left_semi").filter("n > 0")
+    postings = reps.select("doc_id", F.col("n").cast("int").alias("n"), F.explode(F.arrays_zip("rare", "seen")).alias("r")).select(
         F.col("r.rare").alias("shingle"), "doc_id", "n",
         F.ceil(F.col("r.seen") * F.lit(per) / LIST_PER_SALT).cast("int").alias("salts"))
-    postings = postings.withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("doc_id"), F.col("salts").cast("long"))).otherwise(F.lit(0).cast("long")))
+    postings = postings.withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("doc_id"), F.col("salts").cast("long"))).otherwise(F.lit(0).cast("long")).cast("int"))
     part = Window.partitionBy("shingle", "salt")
     lists = (postings.withColumn("first", F.min(F.struct("doc_id", "n")).over(part)).withColumn("df", F.count(F.lit(1)).over(part))
              .filter("df > 1 or salts > 1").select("shingle", "doc_id", "n", "salts", "first"))
@@ -203,7 +230,8 @@ def similar(docs: DataFrame) -> DataFrame:
     stars = lists.select(F.col("first.doc_id").alias("a"), F.col("first.n").alias("na"), F.col("doc_id").alias("b"), F.col("n").alias("nb"))
     stars = stars.union(heads.join(crowns, "shingle").select("crown.doc_id", "crown.n", "first.doc_id", "first.n"))
     fits = 4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")
-    first = _verified(docs, stars.filter(F.col("a") != F.col("b")).filter(fits).select("a", "b").distinct(), "stars")
+    stars = stars.filter(F.col("a") != F.col("b")).filter(fits).groupBy("a", "b", "na", "nb").agg((F.count(F.lit(1)) / STAR_SHARE).alias("met"))
+    first = _verified(docs, stars.filter(enough("na", "nb", "met")).select("a", "b").distinct(), "stars")
 
     # Pairs of different components that meet in a short list.
     label = stored(components(first), "star-components")
@@ -216,7 +244,10 @@ def similar(docs: DataFrame) -> DataFrame:
     minor = met.filter("component <> major").select("shingle", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
     every = met.select("shingle", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), "major")
     across = (minor.join(every, "shingle").filter((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("a") < F.col("b"))))
-              .filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+              .filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
+                                   F.least("na", "nb").alias("na"), F.greatest("na", "nb").alias("nb"))
+              .groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("met")))
+    across = across.filter(enough("na", "nb", "met")).select("a", "b").distinct()
     second = _verified(docs, across, "across")
 
     label = components(first.union(second))
