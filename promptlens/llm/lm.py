@@ -38,7 +38,9 @@ from pyspark.sql import functions as F
 
 from promptlens.llm.common import id_remainder, stored, table
 
-CHUNK_TOKENS = 1 << 22
+CHUNK_TOKENS = 1 << 21
+#: Tokens whose n-grams are probed at once.
+PROBED_TOKENS = 1 << 18
 BUCKET_TOKENS = 1 << 21
 MIN_COUNT = 2
 LEVEL_BASE = 1.3
@@ -305,17 +307,18 @@ def score(docs: DataFrame, prior: float = PRIOR, max_bits: int = MAX_BITS) -> Da
                 base = np.log10(c + 1.0) - np.log10(n_all + distinct + 1.0)
                 h = word_hashes(r["words"])
                 end = r["words"].index("")
-                with np.errstate(over="ignore"):
-                    single = stands[filt.levels(unigram(h))]
-                    before = histories(ids, ends, end)
+                single = stands[filt.levels(unigram(h))]
+                before, p = histories(ids, ends, end), np.empty(len(ids))
+                p1 = (single + 1.0) / (n_all + distinct + 1.0)
+                for k in range(0, len(ids), PROBED_TOKENS):
+                    part = slice(k, k + PROBED_TOKENS)
                     # each different pair of words is probed once
-                    pair, back = np.unique(before << 32 | ids, return_inverse=True)
+                    pair, back = np.unique(before[part] << 32 | ids[part], return_inverse=True)
                     u, w = pair >> 32, pair & 0xFFFFFFFF
                     both = stands[filt.levels(bigram(h[u], h[w]))]
-                p1 = (single + 1.0) / (n_all + distinct + 1.0)
-                # a pair is not seen more often than either of its words
-                both = np.minimum(both, np.minimum(np.maximum(single[u], 1), np.maximum(single[w], 1)))
-                p = np.log10((both + prior * p1[w]) / (single[u] + prior))[back]
+                    # a pair is not seen more often than either of its words
+                    both = np.minimum(both, np.minimum(np.maximum(single[u], 1), np.maximum(single[w], 1)))
+                    p[part] = np.log10((both + prior * p1[w]) / (single[u] + prior))[back]
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": pa.array(r["doc_ids"], pa.int64()), "held_out": pa.array(r["held"], pa.bool_()),
                     "n_tokens": ends - starts, "n_known": np.add.reduceat((c > 0)[ids].astype("i8"), starts),
