@@ -109,6 +109,8 @@ def parse(text: str) -> Node:
                 if stack[i].tag == tag:
                     del stack[i:]
                     break
+            else:  # it closes nothing, but what follows is another block
+                stack[-1].items.append(Node(tag))
             continue
         link = False
         if stack[-1].tag == "p":
