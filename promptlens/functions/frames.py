@@ -1,27 +1,17 @@
-"""DataFrame-level helpers shared by operators: distributed row index,
-size-checked broadcast, exact grouped median.
+"""DataFrame-level helpers shared by operators: distributed row index and
+exact grouped median. One plan each, whatever the size of the input.
 
-None of these moves a whole table through the driver or one task: the only
-driver-side data are per-partition counts (one row per partition).
+Neither moves rows through the driver or a whole group through one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-# Upper bound of rows we are willing to broadcast after a runtime count.
-BROADCAST_MAX_ROWS = 2_000_000
+import uuid
 
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when a runtime count proves it is small.
-
-    Beyond the bound the frame is returned unchanged and the join falls back
-    to a shuffle join (AQE may still convert it from runtime statistics).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+from promptlens.session import scratch_path
 
 
 def _num_partitions(df: DataFrame, n: int | None) -> int:
@@ -30,118 +20,75 @@ def _num_partitions(df: DataFrame, n: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-SAMPLE_PER_BUCKET = 64
-# Largest group we let one task hold (a checked bound, then the split plan).
-SINGLE_TASK_MAX_ROWS = 2_000_000
-
-
-def range_buckets(df: DataFrame, order_cols: list, num_buckets: int | None = None,
-                  name: str = "_b") -> DataFrame:
-    """Add a bucket id that is monotone in ``order_cols`` order.
-
-    Bounds come from a deterministic hash sample (about 64 rows per bucket,
-    sorted and cut on the driver: a size fixed by the bucket count, not by
-    the data), so every re-evaluation of the plan -- another branch of the
-    same query, or a task retried after an executor loss -- puts each row in
-    the same bucket. (``repartitionByRange`` samples with a seed derived
-    from the RDD id, so two evaluations may cut differently.)"""
-    p = _num_partitions(df, num_buckets)
-    cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    n = df.count()
-    if p <= 1 or n == 0:
-        return df.withColumn(name, F.lit(0))
-    m = max(1, n // (p * SAMPLE_PER_BUCKET))
-    key = F.struct(*cols)
-    sample = (df.select(key.alias("_k")).where(F.pmod(F.xxhash64("_k"), F.lit(m)) == 0)
-              .orderBy("_k").collect())
-    if not sample:
-        return df.withColumn(name, F.lit(0))
-    step = len(sample) / p
-    bounds = []
-    for i in range(1, p):
-        b = sample[min(len(sample) - 1, int(i * step))]["_k"]
-        if not bounds or b != bounds[-1]:
-            bounds.append(b)
-    fields = df.select(key.alias("_k")).schema["_k"].dataType.fields
-    lits = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, fields)])
-            for b in bounds]
-    return df.withColumn(name, _bucket_of(key, lits, 0, len(lits)))
-
-
-def _bucket_of(key, lits, lo: int, hi: int):
-    """Number of bounds <= key, as a balanced CASE tree over lits[lo:hi]:
-    log2(buckets) comparisons per row instead of one per bound."""
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(key >= lits[mid], _bucket_of(key, lits, mid + 1, hi)).otherwise(
-        _bucket_of(key, lits, lo, mid))
-
-
 def with_row_index(df: DataFrame, order_cols: list, name: str = "row_index",
                    num_partitions: int | None = None) -> DataFrame:
     """0-based position of each row in ``order_cols`` order.
 
-    Rows get an order-preserving bucket; a row's position is its rank inside
-    its bucket plus the sizes of all earlier buckets (the zipWithIndex
-    pattern in DataFrame form). No task sees more than one bucket; the
-    offsets table has one row per bucket. ``order_cols`` must be a total
-    order.
+    The rows are range-partitioned, sorted and written once to the checkpoint
+    folder with their partition and their place in it; a row's position is
+    that place plus the sizes of the earlier partitions (one row per
+    partition, so that table may be broadcast). The written table keeps the
+    partitioning fixed for every later reader and for retried tasks.
+    ``order_cols`` must be a total order.
     """
+    spark = df.sparkSession
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    x = range_buckets(df, order_cols, num_partitions)
-    x = x.withColumn("_pos", F.row_number().over(Window.partitionBy("_b").orderBy(*cols)) - 1)
-    counts = x.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
-                         F.lit(0)).alias("_off"))
-    # one row per bucket: a proven size bound
-    out = x.join(F.broadcast(offsets), "_b")
-    return out.withColumn(name, (F.col("_off") + F.col("_pos")).cast("long")).drop("_b", "_pos", "_off")
-
-
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Row count of the largest group (a one-row aggregate; the check behind
-    every single-task fast path)."""
-    if not keys:
-        return df.count()
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-
-
-def grouped_median(df: DataFrame, value: str, keys: list[str] | None = None,
-                   out: str = "median", num_partitions: int | None = None,
-                   single_task_max_rows: int = SINGLE_TASK_MAX_ROWS) -> DataFrame:
-    """Exact median (mean of the two middle values) per group, by sorting.
-
-    Spark's ``median``/``percentile`` keep every distinct value of a group in
-    one buffer; here rows get an order-preserving bucket on ``(keys, value)``
-    so a hot group is spread over many tasks, and only the one or two middle
-    rows of each group are picked out by position.
+    tag = "_at_" + uuid.uuid4().hex[:8]
+    placed = (df.repartitionByRange(_num_partitions(df, num_partitions), *cols).sortWithinPartitions(*cols)
+              .withColumn(tag, F.monotonically_increasing_id()))
+    path = scratch_path(spark, "row-index")
+    placed.write.parquet(path)
+    placed = spark.read.schema(placed.schema).parquet(path)
+    # the id holds the partition above bit 33 and the place below
+    placed = placed.withColumn("_b", F.shiftright(tag, 33)).withColumn("_pos", F.col(tag).bitwiseAND((1 << 33) - 1))
+    counts = placed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_off"))
+    out = placed.join(F.broadcast(offsets), "_b")
+    return out.withColumn(name, (F.col("_off") + F.col("_pos")).cast("long")).drop("_b", "_pos", "_off", tag)
+
+
+#: Value ranges per group from which a median's neighbourhood is cut out.
+VALUE_BUCKETS = 4096
+
+
+def _value_bucket(v: Column, lo: Column, hi: Column) -> Column:
+    """Order-preserving bucket of a value between its group's extremes."""
+    width = hi - lo
+    flat = (width <= 0) | F.isnan(width) | (F.abs(width) == float("inf"))
+    return F.when(flat, F.lit(0)).otherwise(
+        F.least(F.floor((v - lo) / F.nullif(width, F.lit(0.0)) * VALUE_BUCKETS), F.lit(VALUE_BUCKETS - 1))).cast("int")
+
+
+def grouped_median(df: DataFrame, value: str, keys: list[str] | None = None, out: str = "median") -> DataFrame:
+    """Exact median (mean of the two middle values) per group.
+
+    Values are counted first, with map-side partial counts, so repeated
+    values cost one row however hot they or their group are. Each group's
+    range is cut into ``VALUE_BUCKETS`` equal value ranges; the running total
+    of the ranges (at most that many rows per group) says in which one or two
+    the middle places lie, and only the distinct values of those are ordered.
     """
     keys = list(keys or [])
     base = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    # checked fast path: small groups fit one task's buffer
-    if largest_group(base, keys) <= single_task_max_rows:
-        g = base.groupBy(*keys) if keys else base.groupBy()
-        return g.agg(F.median("_v").alias(out))
     if not keys:
         base = base.withColumn("_g", F.lit(0))
-        gk = ["_g"]
-    else:
-        gk = keys
-    x = range_buckets(base, gk + ["_v"], num_partitions)
-    x = x.withColumn("_pos", F.row_number().over(Window.partitionBy("_b", *gk).orderBy("_v")) - 1)
-    pieces = x.groupBy(*gk, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    wg = Window.partitionBy(*gk).orderBy("_b")
-    pieces = (pieces
-              .withColumn("_off", F.coalesce(F.sum("_n").over(
-                  wg.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .withColumn("_total", F.sum("_n").over(Window.partitionBy(*gk))))
-    # (groups x buckets) rows: AQE broadcasts it when small, else shuffles
-    ranked = x.join(pieces, gk + ["_b"])
-    ranked = ranked.withColumn("_r", F.col("_off") + F.col("_pos"))
-    lo = F.floor((F.col("_total") - 1) / 2)
-    hi = F.ceil((F.col("_total") - 1) / 2)
-    mids = ranked.where((F.col("_r") == lo) | (F.col("_r") == hi))
-    res = mids.groupBy(*gk).agg(F.avg("_v").alias(out))
+    gk = keys or ["_g"]
+    same = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in gk]
+    counts = base.groupBy(*gk, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    ends = counts.groupBy(*gk).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
+    x = counts.alias("x").join(ends.alias("y"), same).select(
+        *[F.col(f"x.{k}") for k in gk], "_v", "_n", "_total", _value_bucket(F.col("_v"), F.col("_lo"), F.col("_hi")).alias("_b"))
+    lo, hi = F.floor((F.col("_total") - 1) / 2), F.ceil((F.col("_total") - 1) / 2)
+    ranges = x.groupBy(*gk, "_b").agg(F.sum("_n").alias("_in"), F.max("_total").alias("_t"))
+    before = F.sum("_in").over(Window.partitionBy(*gk).orderBy("_b")) - F.col("_in")
+    ranges = ranges.withColumn("_before", before)
+    last = F.floor((F.col("_t") - 1) / 2), F.ceil((F.col("_t") - 1) / 2)
+    middle = ranges.where((F.col("_before") <= last[1]) & (F.col("_before") + F.col("_in") > last[0]))
+    near = x.alias("x").join(middle.alias("y"), [*same, F.col("x._b") == F.col("y._b")]).select(
+        *[F.col(f"x.{k}") for k in gk], F.col("x._b").alias("_b"), "_v", "_n", "_total", "_before")
+    upto = F.sum("_n").over(Window.partitionBy(*gk, "_b").orderBy("_v")) + F.col("_before")
+    near = near.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_n"))
+    holds = lambda place: ((F.col("_from") <= place) & (F.col("_upto") > place)).cast("int")
+    weight = holds(lo) + holds(hi)
+    res = near.where(weight > 0).groupBy(*gk).agg((F.sum(F.col("_v") * weight) / 2).alias(out))
     return res.drop("_g") if not keys else res

@@ -1,19 +1,17 @@
 """Exact rolling range aggregates over (t - width, t] per key, without a
 window that puts a whole key in one task.
 
-``Window.partitionBy(key).orderBy(t).rangeBetween(...)`` sorts every row of
-a key in one task; an endpoint holding a third of all requests would then be
-a third of the job in one task. Instead we use prefix counts:
+Time is cut into buckets of width / n. A window that ends at t in bucket b
+holds three parts:
 
-    count(t - width, t] = C(t) - C(t - width),   C(x) = #events with t <= x
+- its own bucket up to t (peers of t included, like a SQL RANGE frame);
+- the n - 1 whole buckets before, from per-bucket totals (one row per key and
+  non-empty bucket);
+- what is later than t - width in bucket b - n. As width is n buckets, those
+  events, moved forward by width, fall into bucket b: they are later than t.
 
-Events and two probes per event (at t and at t - width) get an
-order-preserving bucket on (key, time, kind) -- a hot key is split over many
-buckets by time -- and a running count/sum inside each (bucket, key) slice
-plus the totals of the earlier slices of the same key gives C at every
-probe. The oldest event in
-the frame is the event whose per-key rank is C(t - width) + 1 (an equi-join
-on (key, rank), unique on both sides).
+So one sort per (key, bucket) over the events of two buckets, and one small
+window over the bucket totals, give every sum; a hot key is split by time.
 """
 
 from __future__ import annotations
@@ -21,67 +19,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptlens.functions.frames import range_buckets
+#: Buckets per window, the first that divides its width; more for windows of
+#: a day and longer.
+BUCKETS = (60, 50, 10, 7, 5, 4, 3, 2, 1)
+DAY = 86_400_000_000
 
-# Largest key we let one task sort in a plain window (a checked bound).
-SINGLE_TASK_MAX_ROWS = 2_000_000
+
+def _buckets(width: int) -> int:
+    return next(n for n in ((1440, *BUCKETS) if width >= DAY else BUCKETS) if width % n == 0)
 
 
 def rolling_range(df: DataFrame, keys: list[str], ts: str, width: int, id_col: str,
-                  value: str | None = None, num_partitions: int | None = None,
-                  with_oldest: bool = True, single_task_max_rows: int = SINGLE_TASK_MAX_ROWS) -> DataFrame:
+                  value: str | None = None, with_oldest: bool = True) -> DataFrame:
     """Per event: ``win_count``, ``win_sum`` (of ``value``) and, optionally,
-    ``win_oldest`` (smallest ts) over (ts - width, ts] within ``keys``.
-    Peers (equal ts) are inside the frame, like a SQL RANGE frame.
+    ``win_oldest`` (smallest ts) over (ts - width, ts] within ``keys``."""
+    n = _buckets(width)
+    size = width // n
+    v = F.coalesce(F.col(value).cast("long"), F.lit(0)) if value else F.lit(0)
+    events = df.select(*keys, F.col(ts).cast("long").alias("_t"), v.cast("long").alias("_v"), F.col(id_col).alias("_id"))
+    events = events.withColumn("_b", F.expr(f"(_t - pmod(_t, {size})) div {size}"))
+    totals = events.groupBy(*keys, "_b").agg(
+        F.count(F.lit(1)).alias("_c"), F.sum("_v").alias("_s"), F.min("_t").alias("_m"))
+
+    # own bucket and the moved events of the bucket n before
+    moved = events.select(*keys, (F.col("_t") + width).alias("_t"), "_v", "_id", (F.col("_b") + n).alias("_b"), F.lit(True).alias("_moved"))
+    both = events.withColumn("_moved", F.lit(False)).unionByName(moved)
+    place = Window.partitionBy(*keys, "_b").orderBy("_t")
+    own, later = place.rangeBetween(Window.unboundedPreceding, Window.currentRow), place.rangeBetween(1, Window.unboundedFollowing)
+    part = lambda moved, x, w, f=F.sum: f(F.when(F.col("_moved") == moved, x)).over(w)
+    told = both.select(
+        *keys, "_b", "_id", "_moved",
+        *(F.coalesce(part(False, x, own), F.lit(0)) + F.coalesce(part(True, x, later), F.lit(0))
+          for x in (F.lit(1), F.col("_v"))),
+        F.coalesce(part(True, F.col("_t") - width, later, F.min)).alias("_old"), part(False, F.col("_t"), own, F.min).alias("_own"),
+    ).toDF(*keys, "_b", "_id", "_moved", "_ec", "_es", "_old", "_own").where("not _moved")
 
-    A runtime check picks the plan: when the largest key has at most
-    ``single_task_max_rows`` rows, a plain RANGE window (one sort per key)
-    is cheapest; beyond that the prefix-count plan splits hot keys."""
-    largest = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-               .agg(F.max("_n")).first()[0] or 0)
-    if largest <= single_task_max_rows:
-        w = (Window.partitionBy(*keys).orderBy(F.col(ts).cast("long"))
-             .rangeBetween(-(width - 1), Window.currentRow))
-        v = F.col(value).cast("long") if value else F.lit(0).cast("long")
-        out = df.withColumn("win_count", F.count(F.lit(1)).over(w)).withColumn("win_sum", F.sum(v).over(w))
-        if with_oldest:
-            out = out.withColumn("win_oldest", F.min(F.col(ts).cast("long")).over(w))
-        return out
-    p = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    v = F.col(value).cast("long") if value else F.lit(0).cast("long")
-    ev = df.select(*keys, F.col(ts).cast("long").alias("_t"), v.alias("_v"), F.col(id_col).alias("_id"))
-    rows = ev.select(*keys, "_t", F.lit(0).alias("_k"), F.lit(1).cast("long").alias("_c"), "_v", "_id",
-                     F.lit(0).alias("_which"))
-    now = ev.select(*keys, "_t", F.lit(1).alias("_k"), F.lit(0).cast("long").alias("_c"),
-                    F.lit(0).cast("long").alias("_v"), "_id", F.lit(1).alias("_which"))
-    old = ev.select(*keys, (F.col("_t") - F.lit(width)).alias("_t"), F.lit(1).alias("_k"),
-                    F.lit(0).cast("long").alias("_c"), F.lit(0).cast("long").alias("_v"), "_id",
-                    F.lit(2).alias("_which"))
-    u = rows.unionByName(now).unionByName(old)
-    part = range_buckets(u, [*keys, "_t", "_k"], p, name="_pid")
-    slice_w = (Window.partitionBy("_pid", *keys).orderBy("_t", "_k", "_which", "_id")
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    run = (part.withColumn("_rc", F.sum("_c").over(slice_w))
-           .withColumn("_rs", F.sum("_v").over(slice_w)))
-    # totals of each (partition, key) slice, then offsets of earlier slices
-    pieces = part.groupBy("_pid", *keys).agg(F.sum("_c").alias("_tc"), F.sum("_v").alias("_ts"))
-    kw = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.select("_pid", *keys,
-                           F.coalesce(F.sum("_tc").over(kw), F.lit(0)).alias("_oc"),
-                           F.coalesce(F.sum("_ts").over(kw), F.lit(0)).alias("_os"))
-    full = run.join(pieces, ["_pid", *keys])
-    full = full.select(*keys, "_t", "_id", "_which", (F.col("_rc") + F.col("_oc")).alias("C"),
-                       (F.col("_rs") + F.col("_os")).alias("S"))
-    probes = full.where(F.col("_which") > 0).groupBy("_id").agg(
-        F.max(F.when(F.col("_which") == 1, F.col("C"))).alias("_cn"),
-        F.max(F.when(F.col("_which") == 2, F.col("C"))).alias("_co"),
-        F.max(F.when(F.col("_which") == 1, F.col("S"))).alias("_sn"),
-        F.max(F.when(F.col("_which") == 2, F.col("S"))).alias("_so"))
-    out = df.join(probes, df[id_col] == probes["_id"]).drop("_id")
-    out = (out.withColumn("win_count", F.col("_cn") - F.col("_co"))
-           .withColumn("win_sum", F.col("_sn") - F.col("_so")))
-    if with_oldest:
-        ranks = full.where(F.col("_which") == 0).select(*keys, F.col("C").alias("_r"),
-                                                        F.col("_t").alias("win_oldest"))
-        out = out.withColumn("_r", F.col("_co") + 1).join(ranks, [*keys, "_r"], "left").drop("_r")
-    return out.drop("_cn", "_co", "_sn", "_so")
+    # whole buckets between
+    span = Window.partitionBy(*keys).orderBy("_b").rangeBetween(-(n - 1), -1)
+    between = totals.select(*keys, "_b", F.coalesce(F.sum("_c").over(span), F.lit(0)).alias("_bc"),
+                            F.coalesce(F.sum("_s").over(span), F.lit(0)).alias("_bs"), F.min("_m").over(span).alias("_bm"))
+    same = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in (*keys, "_b")]
+    told = told.alias("x").join(between.alias("y"), same)
+    told = told.select("_id", (F.col("_ec") + F.col("_bc")).alias("win_count"), (F.col("_es") + F.col("_bs")).alias("win_sum"),
+                       *([F.coalesce("_old", "_bm", "_own").alias("win_oldest")] if with_oldest else []))
+    return df.join(told, df[id_col] == told["_id"]).drop("_id")

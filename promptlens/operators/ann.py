@@ -1,17 +1,16 @@
 """Approximate top-k nearest neighbours by cell probing (inverted file).
 
-1. MLlib KMeans (distributed, seeded) learns ``n_cells`` centroids on a
-   deterministic sample (at most about ``train_rows`` vectors) of the
-   normalised corpus; the centroid matrix (n_cells x dim, a size fixed by a
-   parameter) is the only thing shipped to tasks.
-2. Every corpus vector is assigned to its nearest cell.
-3. Every target picks its ``n_probe`` nearest cells (numpy over Arrow batches).
-4. A target meets only the corpus rows of its probed cells. A cell is split
-   into sub-blocks of at most ``block_rows`` rows (sizes from a per-cell
-   count table), so a cell holding a third of the corpus is spread over many
-   tasks; the target rows are replicated to the sub-blocks of their cells.
-5. Each (cell, sub-block) cogroup keeps k per target; the final rank uses the
-   exact tie-break of the exact operator.
+1. Pivots: the ``n_cells`` corpus vectors with the smallest md5 of seed and
+   id, a choice that every run and every plan makes alike. Only the pivot
+   matrix (n_cells x dim, a size fixed by a parameter) is shipped to tasks.
+2. Every corpus vector belongs to the cell of its nearest pivot.
+3. Every target probes the cells of its ``n_probe`` nearest pivots.
+4. A target meets only the corpus rows of its probed cells. Both sides of a
+   cell are dealt into sub-blocks of about ``block_rows`` rows (sizes from
+   per-cell counts), so a cell that holds a third of the corpus, or that every
+   target probes, is spread over many tasks of bounded size.
+5. Each pair of sub-blocks keeps k per target; the final rank uses the exact
+   tie-break of the exact operator.
 
 Work is about targets x corpus x n_probe / n_cells instead of targets x corpus.
 """
@@ -20,8 +19,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,55 +26,47 @@ from promptlens.functions import vector as VX
 from promptlens.operators.vectors import _TOPK_SCHEMA, _block_topk
 
 
+def pivots(corpus: DataFrame, n_cells: int, seed: int, key: str = "vec_id", vec: str = "cv") -> np.ndarray:
+    """The pivot vectors, nearest ties going to the first (in md5 order)."""
+    order = [F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key)]
+    rows = corpus.orderBy(*order).limit(n_cells).select(vec).collect()
+    return np.array([r[0] for r in rows], dtype=np.float64)
+
+
 def topk_approx(targets: DataFrame, corpus: DataFrame, k: int = 5, target_key: str = "vec_id",
                 corpus_key: str = "vec_id", vec: str = "embedding", n_cells: int = 16,
-                n_probe: int = 4, block_rows: int = 2048, exclude_self: bool = True,
-                seed: int = 42, max_iter: int = 20, train_rows: int = 1_000_000) -> DataFrame:
+                n_probe: int = 10, block_rows: int = 2048, exclude_self: bool = True,
+                seed: int = 42) -> DataFrame:
     t = targets.select(F.col(target_key).cast("long").alias("target_id"),
                        VX.normalize(VX.as_double(vec)).alias("tv"))
     c = corpus.select(F.col(corpus_key).cast("long").alias("vec_id"),
                       VX.normalize(VX.as_double(vec)).alias("cv"))
-    km = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="_f", predictionCol="cell",
-                initMode="k-means||")
-    # centroids are learned on a deterministic hash sample of at most about
-    # ``train_rows`` vectors; every vector is still assigned to a cell
-    nc = c.count()
-    m = max(1, nc // max(1, train_rows))
-    train = c.where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(m)) == 0)
-    model = km.fit(train.select(array_to_vector("cv").alias("_f")))
-    cents = np.vstack([np.asarray(x, dtype=np.float64) for x in model.clusterCenters()])
-    norms = np.linalg.norm(cents, axis=1, keepdims=True)
-    cents = np.where(norms > 0, cents / np.where(norms > 0, norms, 1.0), cents)
-    probe = min(n_probe, cents.shape[0])
-
-    def nearest_cells(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            m = np.vstack(pdf["tv"].to_numpy()) @ cents.T
-            top = np.argsort(-m, axis=1, kind="stable")[:, :probe]
-            yield pd.DataFrame({"target_id": np.repeat(pdf["target_id"].to_numpy(), probe),
-                                "cell": top.reshape(-1).astype(np.int32)})
+    cents = pivots(c, n_cells, seed)
+    probe = min(n_probe, len(cents))
 
-    def own_cell(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            m = np.vstack(pdf["cv"].to_numpy()) @ cents.T
-            yield pd.DataFrame({"vec_id": pdf["vec_id"].to_numpy(),
-                                "cell": np.argmax(m, axis=1).astype(np.int32)})
+    def cells(column: str, key: str, n: int):
+        def assign(batches):
+            for pdf in batches:
+                if len(pdf) == 0 or n == 0:
+                    continue
+                near = np.round(np.vstack(pdf[column].to_numpy()) @ cents.T, 9)
+                top = np.argsort(-near, axis=1, kind="stable")[:, :n]
+                yield pd.DataFrame({key: np.repeat(pdf[key].to_numpy(), n),
+                                    column: pdf[column].repeat(n).to_numpy(),
+                                    "cell": top.reshape(-1).astype(np.int32)})
+        return assign
 
-    t_cells = t.select("target_id", "tv").mapInPandas(nearest_cells, "target_id long, cell int")
-    c_cells = c.select("vec_id", "cv").mapInPandas(own_cell, "vec_id long, cell int")
-    # sub-blocks per cell from a per-cell count table (n_cells rows)
-    sizes = c_cells.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.select("cell", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block_rows)))
-                         .cast("int").alias("_subs"))
-    cc = (c.join(c_cells, "vec_id").join(F.broadcast(sizes), "cell")
-          .withColumn("sub", F.pmod(F.xxhash64("vec_id"), F.col("_subs")).cast("int")).drop("_subs"))
-    tc = (t.join(t_cells, "target_id").join(F.broadcast(sizes), "cell")
-          .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("_subs") - 1))).drop("_subs"))
-    cand = (tc.groupBy("cell", "sub").cogroup(cc.groupBy("cell", "sub"))
+    cc = c.mapInPandas(cells("cv", "vec_id", min(1, probe)), "vec_id long, cv array<double>, cell int")
+    tc = t.mapInPandas(cells("tv", "target_id", probe), "target_id long, tv array<double>, cell int")
+    # sub-blocks of either side from its per-cell counts (n_cells rows)
+    subs = lambda df, name: df.groupBy("cell").agg(
+        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(block_rows))).cast("int").alias(name))
+    sizes = F.broadcast(subs(cc, "_cs").join(subs(tc, "_ts"), "cell"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    cc = cc.join(sizes, "cell").select("vec_id", "cv", "cell", own("vec_id", "_cs").alias("sub"), every("_ts").alias("tsub"))
+    tc = tc.join(sizes, "cell").select("target_id", "tv", "cell", every("_cs").alias("sub"), own("target_id", "_ts").alias("tsub"))
+    cand = (tc.groupBy("cell", "sub", "tsub").cogroup(cc.groupBy("cell", "sub", "tsub"))
             .applyInPandas(_block_topk(k, exclude_self, None), _TOPK_SCHEMA))
     w = Window.partitionBy("target_id").orderBy(F.desc(F.round("similarity", 9)), F.asc("vec_id"))
     ranked = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -71,9 +71,9 @@ def endpoint_violations(log: DataFrame, limits: DataFrame, key: str = "client",
                         endpoint: str = "endpoint", ts: str = "us",
                         id_col: str = "event_id") -> DataFrame:
     """Per (client, endpoint) minute counts against the endpoint's limit.
-    ``limits`` is a small dimension (one row per endpoint, broadcast)."""
+    ``limits`` has one row per endpoint; Spark picks the join by its size."""
     r = rolling_range(log, [key, endpoint], ts, MINUTE_US, id_col, with_oldest=False)
-    j = r.join(F.broadcast(limits), endpoint, "left")
+    j = r.join(limits, endpoint, "left")
     prior = F.col("win_count") - 1
     return j.select(id_col, key, endpoint, F.col("limit_per_minute"),
                     prior.alias("prior_requests"),

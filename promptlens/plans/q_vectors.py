@@ -142,21 +142,44 @@ def q_vector_report(spark, d):
 
 
 # ----------------------------------------------------------------- approximate
-ANN_CELLS, ANN_PROBE = 16, 6
-
-
-@register("topk_approx")
+ANN_CELLS, ANN_PROBE, ANN_SEED = 16, 10, 42
+
+_NV = "nv AS (SELECT vec_id, list_transform(embedding, lambda x: x / nullif({n}, 0)) AS v FROM emb)".format(
+    n=S.norm("embedding"))
+_CELLS = f"""pv AS (
+  SELECT v, row_number() OVER (ORDER BY md5('{ANN_SEED}|' || CAST(vec_id AS VARCHAR)), vec_id) AS cell FROM nv
+  QUALIFY cell <= {ANN_CELLS}),
+near AS (
+  SELECT n.vec_id, p.cell, row_number() OVER (
+    PARTITION BY n.vec_id ORDER BY round(list_dot_product(n.v, p.v), 9) DESC, p.cell) AS place
+  FROM nv n CROSS JOIN pv p),
+scored AS (
+  SELECT t.vec_id AS target_id, c.vec_id, list_dot_product(tv.v, cv.v) AS similarity
+  FROM near t JOIN near c ON c.cell = t.cell AND c.place = 1 AND t.place <= {ANN_PROBE} AND c.vec_id <> t.vec_id
+  JOIN nv tv ON tv.vec_id = t.vec_id JOIN nv cv ON cv.vec_id = c.vec_id),
+found AS (
+  SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY round(similarity, 9) DESC, vec_id) AS rank
+  FROM scored QUALIFY rank <= 5)"""
+_EXACT5 = """best AS (
+  SELECT a.vec_id AS target_id, b.vec_id, row_number() OVER (
+    PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.v, b.v), 9) DESC, b.vec_id) AS rank
+  FROM nv a JOIN nv b ON a.vec_id <> b.vec_id QUALIFY rank <= 5)"""
+
+
+@register("topk_approx", V.oracle("SELECT target_id, vec_id, rank, round(similarity, 6) AS similarity FROM found",
+                                  ["emb"], [_NV, _CELLS]))
 def q_topk_approx(spark, d):
-    """V-04 approximate mode (KMeans cells, probe the nearest cells)."""
+    """V-04 approximate mode (cells of md5-chosen pivots, probe the nearest)."""
     from promptlens.operators.ann import topk_approx
     e = V.emb(spark, d)
-    return _r6(topk_approx(e, e, k=5, n_cells=ANN_CELLS, n_probe=ANN_PROBE), ["similarity"])
+    return _r6(topk_approx(e, e, k=5, n_cells=ANN_CELLS, n_probe=ANN_PROBE, seed=ANN_SEED), ["similarity"])
 
 
-@register("ann_recall")
+@register("ann_recall", V.oracle("""SELECT round(count(f.vec_id) / count(*), 6) AS recall
+FROM best b LEFT JOIN found f ON f.target_id = b.target_id AND f.vec_id = b.vec_id""", ["emb"], [_NV, _CELLS, _EXACT5]))
 def q_ann_recall(spark, d):
     """recall@5 of the approximate mode against the exact operator."""
     from promptlens.operators.ann import recall_at_k, topk_approx
     e = V.emb(spark, d)
-    approx = topk_approx(e, e, k=5, n_cells=ANN_CELLS, n_probe=ANN_PROBE)
+    approx = topk_approx(e, e, k=5, n_cells=ANN_CELLS, n_probe=ANN_PROBE, seed=ANN_SEED)
     return _r6(recall_at_k(approx, OV.topk_similar(e, e, k=5)), ["recall"])

@@ -24,12 +24,10 @@ def staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
     path = _STAGED.get(key)
     if path is None:
         path = scratch_path(spark, f"view-{name}")
-        # Fixed fan-out: consumers do per-row CPU work (top-k kernels,
-        # providers, array expressions), so a small staged view must not
-        # collapse to one file; spark.sql.shuffle.partitions (sized for the
-        # data) bounds it, two waves of the cluster's cores cap it.
-        parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions", "200")),
-                           2 * spark.sparkContext.defaultParallelism))
+        # consumers do per-row CPU work (top-k kernels, providers, array
+        # expressions), so a small staged view must not collapse to one file;
+        # the fan-out is the one the session is set up with for its data
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
         build().repartition(parts).write.mode("overwrite").parquet(path)
         _STAGED[key] = path
     return spark.read.parquet(path)

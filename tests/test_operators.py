@@ -34,28 +34,41 @@ def test_row_index_and_median(spark):
     rows = idx.orderBy("u").collect()
     assert [r.i for r in rows] == list(range(len(rows)))
     import statistics
-    for cap in (0, 10_000):  # 0 forces the sort-based plan
-        med = {r.g: r.median for r in grouped_median(df, "v", ["g"], num_partitions=8,
-                                                      single_task_max_rows=cap).collect()}
-        for g in range(7):
-            vals = [(i * 37) % 101 for i in range(500) if i % 7 == g]
-            assert med[g] == statistics.median(vals)
+    med = {r.g: r.median for r in grouped_median(df, "v", ["g"]).collect()}
+    for g in range(7):
+        vals = [(i * 37) % 101 for i in range(500) if i % 7 == g]
+        assert med[g] == statistics.median(vals)
+
+
+def test_median_of_few_hot_and_odd_values(spark):
+    """Ten values, one value in most rows, null keys, extremes far apart."""
+    import statistics
+    rows = [("few", float(i % 10)) for i in range(997)] + [("hot", 0.0)] * 500 + [("hot", float(i)) for i in range(499)]
+    rows += [(None, x) for x in (1.5, 2.5, -1e9, 1e9)] + [("one", 7.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    want = {}
+    for g, v in rows:
+        if v is not None:
+            want.setdefault(g, []).append(v)
+    assert {r.g: r.m for r in grouped_median(df, "v", ["g"], out="m").collect()} == \
+        {g: statistics.median(v) for g, v in want.items()}
+    assert grouped_median(df, "v", out="m").first().m == statistics.median([v for _, v in rows if v is not None])
+    assert grouped_median(df.limit(0), "v", ["g"]).count() == 0
 
 
 def test_rolling_range_matches_brute_force(spark):
     # a hot key (a third of rows) plus many small keys, with timestamp ties
     rows = []
     for i in range(600):
-        key = "hot" if i % 3 == 0 else f"k{i % 17}"
+        key = "hot" if i % 3 == 0 else f"k{i % 17}" if i % 17 else None
         rows.append((i, key, (i * 7919) % 1000 // 2, i % 5))
     df = spark.createDataFrame(rows, "id long, key string, t long, v long")
-    for cap in (0, 10_000):  # 0 forces the hot-key (prefix count) plan
+    for width in (50, 60, 13, 1):
         got = {r.id: (r.win_count, r.win_sum, r.win_oldest)
-               for r in rolling_range(df, ["key"], "t", 50, "id", value="v", num_partitions=8,
-                                      single_task_max_rows=cap).collect()}
+               for r in rolling_range(df, ["key"], "t", width, "id", value="v").collect()}
         for i, key, t, v in rows:
-            frame = [(t2, v2) for _, k2, t2, v2 in rows if k2 == key and t - 50 < t2 <= t]
-            assert got[i] == (len(frame), sum(x[1] for x in frame), min(x[0] for x in frame)), (cap, i)
+            frame = [(t2, v2) for _, k2, t2, v2 in rows if k2 == key and t - width < t2 <= t]
+            assert got[i] == (len(frame), sum(x[1] for x in frame), min(x[0] for x in frame)), (width, i)
 
 
 def test_edits(spark):
@@ -131,17 +144,14 @@ def test_ann_exact_when_probing_all_cells(spark):
     assert recall_at_k(topk_approx(e, e, k=5, n_cells=8, n_probe=3), ex).first()[0] > 0.5
 
 
-def test_order_buckets_split_a_hot_key(spark):
-    """A key holding a third of the rows is cut into several buckets of
-    bounded size (the property the rolling and median plans rely on)."""
-    from promptlens.functions.frames import range_buckets
-    rows = [("hot" if i % 3 == 0 else f"k{i % 97}", i) for i in range(6000)]
-    df = spark.createDataFrame(rows, "key string, t long")
-    b = range_buckets(df, ["key", "t"], 8)
-    sizes = {r["_b"]: r["count"] for r in b.groupBy("_b").count().collect()}
-    hot = {r["_b"] for r in b.where("key = 'hot'").select("_b").distinct().collect()}
-    assert len(hot) >= 2
-    assert max(sizes.values()) <= 2 * 6000 / 8
+def test_hot_key_windows_are_cut_by_time(spark):
+    """No window of the rolling plan is partitioned by the key alone, but the
+    one over the bucket totals."""
+    df = spark.createDataFrame([(1, "a", 5, 1)], "id long, key string, t long, v long")
+    plan = rolling_range(df, ["key"], "t", 60, "id", value="v")._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x.split("Window ")[1] for x in plan.splitlines() if "Window " in x]
+    events = [w for w in windows if "_t#" in w.rsplit("], [", 1)[1]]
+    assert events and all("_b#" in w.rsplit("], [", 2)[1] for w in events)
 
 
 def test_generation_envelopes(spark):

@@ -10,8 +10,9 @@ SKIP = {"hill_climb", "beam_search", "evolve", "anneal", "strategy_compare", "ru
 
 
 def _names():
-    import __spark_entry__ as E
-    return sorted(n for n in E.queries() if n not in SKIP and not n.startswith("stream_"))
+    from promptlens.plans import registry
+    registry.load_all()
+    return sorted(n for n in registry.QUERIES if n not in SKIP and not n.startswith("stream_"))
 
 
 def _plan(df):
