@@ -14,6 +14,14 @@ from pyspark.sql import functions as F
 from promptlens.session import scratch_path
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the checkpoint folder and read back: what made
+    it (a provider's calls, say) is not run again by later readers."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _num_partitions(df: DataFrame, n: int | None) -> int:
     if n:
         return n
@@ -31,14 +39,11 @@ def with_row_index(df: DataFrame, order_cols: list, name: str = "row_index",
     partitioning fixed for every later reader and for retried tasks.
     ``order_cols`` must be a total order.
     """
-    spark = df.sparkSession
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     tag = "_at_" + uuid.uuid4().hex[:8]
     placed = (df.repartitionByRange(_num_partitions(df, num_partitions), *cols).sortWithinPartitions(*cols)
               .withColumn(tag, F.monotonically_increasing_id()))
-    path = scratch_path(spark, "row-index")
-    placed.write.parquet(path)
-    placed = spark.read.schema(placed.schema).parquet(path)
+    placed = written(placed, "row-index")
     # the id holds the partition above bit 33 and the place below
     placed = placed.withColumn("_b", F.shiftright(tag, 33)).withColumn("_pos", F.col(tag).bitwiseAND((1 << 33) - 1))
     counts = placed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))

@@ -84,15 +84,31 @@ class HashProvider:
         return out
 
 
-def _with_retries(provider, texts):
+def _one(provider, text):
+    """A text by itself: transient failures are retried, whatever else the
+    provider raises fails this text at once."""
     for attempt in range(MAX_ATTEMPTS):
         try:
-            return provider.embed(texts)
-        except TransientError as e:  # retry the batch, then fail its rows alone
-            if attempt == MAX_ATTEMPTS - 1:
-                return [(None, 0, f"failed after {MAX_ATTEMPTS} attempts: {e}")] * len(texts)
+            return provider.embed([text])[0]
+        except TransientError as e:
+            error = f"failed after {MAX_ATTEMPTS} attempts: {e}"
+        except Exception as e:  # noqa: BLE001  the provider is foreign code
+            return None, 0, f"{type(e).__name__}: {e}"
+        if attempt < MAX_ATTEMPTS - 1:
             time.sleep(BACKOFF_SECONDS[min(attempt, len(BACKOFF_SECONDS) - 1)])
-    return [(None, 0, "unreachable")] * len(texts)
+    return None, 0, error
+
+
+def _with_retries(provider, texts):
+    """The batch in one call; if that fails, each text by itself, so that one
+    bad text costs no other its vector."""
+    try:
+        found = provider.embed(texts)
+        if len(found) == len(texts):
+            return found
+    except Exception:  # noqa: BLE001  told apart text by text below
+        pass
+    return [_one(provider, t) for t in texts]
 
 
 def embed_texts(df: DataFrame, text_col: str, provider: EmbeddingProvider | None = None,

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptlens.functions import text as T
+from promptlens.functions.frames import written
 from promptlens.functions import vector as VX
 from promptlens.operators.embed import EmbeddingProvider, HashProvider, embed_texts
 from promptlens.operators.vectors import topk_similar
@@ -60,9 +61,9 @@ def prompt_from_text(texts: DataFrame, corpus: DataFrame, key: str, text_col: st
     """Embed each text, then generate from the vector (nearest corpus output
     by the same provider). Adds text_length and embedding_dimension."""
     provider = provider or HashProvider()
-    q = embed_texts(texts.select(key, text_col), text_col, provider)
+    q = written(embed_texts(texts.select(key, text_col), text_col, provider), "embedded-texts")
     ok = q.where(F.col("success"))
-    cv = embed_corpus(corpus, provider=provider)
+    cv = written(embed_corpus(corpus, provider=provider), "embedded-corpus")
     gen = generate_prompts(ok.select(key, "embedding"), cv, n=1, target_key=key,
                            exclude_self=False)
     meta = q.select(F.col(key).cast("long").alias("target_id"),
@@ -83,7 +84,9 @@ def process_embeddings(df: DataFrame, corpus: DataFrame, key: str, vec_json: str
     every other column, and isolate bad rows as ``success = false``."""
     parsed = df.withColumn("_v", F.from_json(F.col(vec_json), "array<double>"))
     bad_reason = (F.when(F.col("_v").isNull(), F.lit("invalid embedding"))
-                  .when(F.size("_v") != expected_dim, F.lit("wrong dimension")))
+                  .when(F.size("_v") != expected_dim, F.lit("wrong dimension"))
+                  .when(F.exists("_v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))),
+                        F.lit("invalid embedding")))
     parsed = parsed.withColumn("_err", bad_reason)
     good = parsed.where(F.col("_err").isNull()).select(F.col(key).alias("_k"), F.col("_v").alias("embedding"))
     gen = generate_prompts(good, corpus, n=1, target_key="_k", exclude_self=False)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptlens.functions import text as T
-from promptlens.functions.frames import with_row_index
+from promptlens.functions.frames import with_row_index, written
 from promptlens.operators.embed import EmbeddingProvider, embed_texts
 
 
@@ -31,9 +31,13 @@ def first_wins(df: DataFrame, key: str, order: str) -> DataFrame:
 
 def cache_misses(texts: DataFrame, cache: DataFrame, key: str = "text_hash",
                  order: str = "original_index") -> DataFrame:
-    """Texts whose hash is not cached, one row per hash (the first seen)."""
-    uniq = first_wins(texts, key, order)
-    return uniq.join(cache.select(key), key, "left_anti")
+    """Texts whose hash is not cached, one row per hash (the first seen).
+
+    Cached texts go first; what is left is narrowed to the smallest ``order``
+    per hash on the two key columns alone, and only those rows' texts move."""
+    missing = texts.join(cache.select(key), key, "left_anti")
+    first = missing.groupBy(key).agg(F.min(order).alias(order))
+    return missing.join(first, [key, order], "left_semi").dropDuplicates([key])
 
 
 def cache_merge(existing: DataFrame, new: DataFrame, key: str = "text_hash") -> DataFrame:
@@ -59,9 +63,11 @@ def embed_incremental(dataset: DataFrame, cache: DataFrame, text_col: str = "out
     cache; rows of failed texts are absent from the training rows."""
     miss = cache_misses(dataset.select("original_index", key, text_col), cache, key)
     new = embed_texts(miss, text_col, provider).where(F.col("success"))
-    new = new.select(key, F.col("original_index").alias("vec_id"), "embedding",
-                     F.size("embedding").alias("embedding_dim"))
-    merged = cache_merge(cache.select(key, "vec_id", "embedding", "embedding_dim"), new, key)
+    # written once: both results read it, the provider is called once per miss
+    new = written(new.select(key, F.col("original_index").alias("vec_id"), "embedding",
+                             F.size("embedding").alias("embedding_dim")), "new-vectors")
+    # misses are not in the cache, so the new cache is an append
+    merged = cache.select(key, "vec_id", "embedding", "embedding_dim").unionByName(new)
     train = training_join(dataset, merged, key)
     return merged, train
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from promptlens.functions import text as T
 from promptlens.operators.generate import best_per_target, score_prompts
-from promptlens.session import ensure_checkpoint_dir
+from promptlens.functions.frames import written
 
 # Fixed values of the mutation operators, verbatim and in their natural order.
 SYNONYMS = {
@@ -130,10 +130,9 @@ def crossover(p1: Column, p2: Column, *key) -> tuple[Column, Column]:
 
 # ----------------------------------------------------------------- strategies
 def _cut(df: DataFrame, it: int, every: int = CHECKPOINT_EVERY) -> DataFrame:
-    if (it + 1) % every == 0:
-        ensure_checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
-    return df
+    """Every ``every`` rounds the frame is written and read back: that cuts the
+    lineage and the size estimates, which would multiply with every join."""
+    return written(df, "round") if (it + 1) % every == 0 else df
 
 
 def _score(df: DataFrame, tvecs: DataFrame, col: str, out: str) -> DataFrame:
@@ -240,8 +239,11 @@ def evolve(population: DataFrame, tvecs: DataFrame, generations: int = MAX_ITERA
         kids = pop.select("target_id").distinct().select(
             "target_id", F.explode(F.sequence(F.lit(1), F.lit(size))).alias("child"))
         # tournament: the 3 slots with the smallest draws, winner = best score
-        entrants = kids.select("target_id", "child",
-                               F.explode(F.sequence(F.lit(1), F.lit(size))).alias("slot"))
+        # the slots that exist: a target may start with fewer candidates
+        placed = Window.partitionBy("target_id").orderBy("slot")
+        seats = pop.select("target_id", "slot", F.col("prompt").alias("p2"), F.row_number().over(placed).alias("seat"),
+                           F.count(F.lit(1)).over(Window.partitionBy("target_id")).alias("n"))
+        entrants = kids.join(seats.select("target_id", "slot"), "target_id")
         entrants = entrants.withColumn("_u", uniform(seed, F.col("target_id"), g, F.col("child"),
                                                      F.col("slot"), "tour"))
         wt = Window.partitionBy("target_id", "child").orderBy("_u", "slot")
@@ -249,10 +251,10 @@ def evolve(population: DataFrame, tvecs: DataFrame, generations: int = MAX_ITERA
         ent = entrants.join(pop, ["target_id", "slot"])
         win = ent.groupBy("target_id", "child").agg(
             F.max_by(F.col("prompt"), F.struct(F.round("score", 9), -F.col("slot"))).alias("winner"))
-        # second parent: a uniformly drawn slot
-        p2slot = (F.floor(uniform(seed, F.col("target_id"), g, F.col("child"), "p2") * size) + 1).cast("int")
-        win = win.withColumn("slot", p2slot).join(pop.select("target_id", "slot", F.col("prompt").alias("p2")),
-                                                  ["target_id", "slot"])
+        # second parent: a uniformly drawn one of them
+        drawn = (F.floor(uniform(seed, F.col("target_id"), g, F.col("child"), "p2") * F.col("n")) + 1).cast("int")
+        win = win.join(seats.select("target_id", "n").distinct(), "target_id").withColumn("seat", drawn)
+        win = win.join(seats.select("target_id", "seat", "p2"), ["target_id", "seat"])
         key = (seed, F.col("target_id"), g, F.col("child"))
         o1, o2 = crossover(F.col("winner"), F.col("p2"), *key)
         do_cx = uniform(*key, "cx") < F.lit(cx_rate)
@@ -262,16 +264,14 @@ def evolve(population: DataFrame, tvecs: DataFrame, generations: int = MAX_ITERA
         kid = kid.select("target_id", F.col("child").alias("slot"),
                          F.when(do_mut, mutate(F.col("prompt"), rate, *key)).otherwise(F.col("prompt"))
                          .alias("prompt"))
-        pop = _score(kid, tvecs, "prompt", "score")
+        pop = _cut(_score(kid, tvecs, "prompt", "score"), g, 1)  # scored once, read by the next lines and rounds
         gb = best_per_target(pop).select("target_id", F.col("prompt").alias("gp"), F.col("score").alias("gs"))
         best = best.join(gb, "target_id", "left").select(
             "target_id",
             F.when(F.round("gs", 9) > F.round("best_score", 9), F.col("gp")).otherwise(F.col("best_prompt")).alias("best_prompt"),
             F.when(F.round("gs", 9) > F.round("best_score", 9), F.col("gs")).otherwise(F.col("best_score"))
             .alias("best_score"))
-        if (g + 1) % CHECKPOINT_EVERY == 0:
-            pop = _cut(pop, g)
-            best = _cut(best, g)
+        best = _cut(best, g)
     return best.select("target_id", F.col("best_prompt").alias("prompt"), F.col("best_score").alias("score"),
                        F.lit(generations).alias("rounds"), F.lit("evolutionary").alias("strategy"))
 

@@ -227,10 +227,10 @@ def q_candidate_pool(spark, d):
 
 
 @register("score_prompts", V.oracle("""
-SELECT target_id, round(score, 6) AS score FROM scored WHERE slot = 1""", _GV, _SC))
+SELECT target_id, slot, round(score, 6) AS score FROM scored""", _GV, _SC))
 def q_score_prompts(spark, d):
-    c = candidates(spark, d).where(F.col("slot") == 1).select("target_id", "prompt")
-    return _r6(G.score_prompts(c, tvecs(spark, d)).select("target_id", "score"), ["score"])
+    c = candidates(spark, d).select("target_id", "slot", "prompt")
+    return _r6(G.score_prompts(c, tvecs(spark, d)).select("target_id", "slot", "score"), ["score"])
 
 
 _BEST = """best AS (

@@ -113,6 +113,56 @@ def test_provider_rows_fail_alone(spark):
     bad = spark.createDataFrame([(9, "boom here")], "id long, t string")
     r = OE.embed_texts(bad, "t", Flaky()).first()
     assert r.success is False and r.error.startswith("failed after 3 attempts")
+    # one bad text among many in one batch, and an exception that is no retry case
+    many = spark.createDataFrame([(i, "boom" if i == 7 else f"text {i}") for i in range(20)], "id long, t string").coalesce(1)
+    assert {r.id for r in OE.embed_texts(many, "t", Flaky()).where("not success").collect()} == {7}
+
+    class Broken(OE.HashProvider):
+        def embed(self, texts):
+            if "boom" in texts:
+                raise KeyError("boom")
+            return super().embed(texts)
+
+    got = {r.id: r.error for r in OE.embed_texts(many, "t", Broken()).collect()}
+    assert got.pop(7).startswith("KeyError") and set(got.values()) == {None}
+
+
+def test_provider_is_called_once_per_text(spark):
+    from promptlens.operators import embed as OE
+    from promptlens.operators.generate import prompt_from_text
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counting(OE.HashProvider):
+        def embed(self, texts):
+            calls.add(len(texts))
+            return super().embed(texts)
+
+    corpus = spark.createDataFrame([(i, f"p{i}", f"out {i}") for i in range(30)], "original_index long, prompt string, output string")
+    texts = spark.createDataFrame([(i, f"out {i}") for i in range(12)], "id long, text string")
+    got = prompt_from_text(texts, corpus, "id", provider=Counting()).collect()
+    assert {(r.target_id, r.prompt) for r in got} == {(i, f"p{i}") for i in range(12)}
+    assert calls.value == 42
+
+
+def test_population_grows_to_its_size(spark):
+    """A target that starts with two candidates breeds full generations."""
+    from promptlens.operators import refine as R
+    sizes = []
+    score = R._score
+
+    def spy(df, tvecs, col, out):
+        sizes.append(df.groupBy("target_id").count().first()["count"])
+        return score(df, tvecs, col, out)
+
+    R._score = spy
+    try:
+        pop = spark.createDataFrame([(1, 1, "alpha beta gamma", 0.1), (1, 2, "delta epsilon zeta", 0.2)],
+                                    "target_id long, slot int, prompt string, score double")
+        tv = spark.createDataFrame([(1, [1.0] * 64)], "target_id long, target_vec array<double>")
+        R.evolve(pop, tv, generations=3)
+    finally:
+        R._score = score
+    assert sizes == [R.POPULATION] * 3
 
 
 def test_topk_matches_brute_force_any_blocking(spark):
@@ -160,12 +210,14 @@ def test_generation_envelopes(spark):
     from promptlens.operators.generate import generate_prompts, process_embeddings
     corpus = spark.createDataFrame([(10, "p ten", "o", [1.0, 0.0]), (11, "p eleven", "o", [0.0, 1.0])],
                                    "original_index long, prompt string, output string, embedding array<double>")
-    raw = spark.createDataFrame([(1, "x", "[0.9, 0.1]"), (2, "y", "[1.0"), (3, "z", "[1.0, 0.0, 0.0]")],
+    raw = spark.createDataFrame([(1, "x", "[0.9, 0.1]"), (2, "y", "[1.0"), (3, "z", "[1.0, 0.0, 0.0]"),
+                                 (4, "n", "[1.0, null]")],
                                 "id long, tag string, vec string")
     got = {r.id: r for r in process_embeddings(raw, corpus, "id", "vec", 2).collect()}
     assert got[1].success and got[1].prompt == "p ten" and got[1].tag == "x"
     assert (got[2].success, got[2].error) == (False, "invalid embedding")
     assert (got[3].success, got[3].error) == (False, "wrong dimension")
+    assert (got[4].success, got[4].error) == (False, "invalid embedding")
     empty = corpus.where("original_index < 0")
     t = spark.createDataFrame([(5, [1.0, 0.0])], "vec_id long, embedding array<double>")
     r = generate_prompts(t, empty, n=1).collect()
