@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptlens.llm import tokens
-from promptlens.llm.common import stored, table
+from promptlens.llm.common import parted, stored, table
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
     def encode(batches):
         enc = tokens.encoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in parted(batches):
             rows: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 data = memoryview(enc.encode(text.as_py()) + end)

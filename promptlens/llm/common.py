@@ -54,6 +54,16 @@ def text_batches(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -
     yield start, len(sizes)
 
 
+def parted(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, see :func:`text_batches`; Arrow's
+    unused memory is handed back at the end, as workers are kept for later
+    stages."""
+    for batch in batches:
+        for a, b in text_batches(batch, column):
+            yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
+
+
 #: Rows up to which a stored table of a few numbers a row is broadcast.
 BROADCAST_ROWS = 500_000
 

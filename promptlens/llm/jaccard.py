@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from promptlens.llm.common import small, stored, table
+from promptlens.llm.common import parted, small, stored, table
 from promptlens.llm.components import components
 
 SHINGLE = 5
@@ -62,7 +62,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word)
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = value
         return value
@@ -159,7 +159,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     wanted = stored(wanted, f"{name}-sets")
 
     def build(batches):
-        for batch in batches:
+        for batch in parted(batches):
             found = [shingles(t.as_py()).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("centre", "salt", "id")), pa.array(found, pa.binary())],
@@ -196,7 +196,7 @@ def similar(docs: DataFrame) -> DataFrame:
 
     def index(batches):
         hot, heat = shared.value
-        for batch in batches:
+        for batch in parted(batches):
             rows = ([], [], [], [])
             for text in batch.column("text"):
                 found = shingles(text.as_py())

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptlens.llm.common import stored, table
+from promptlens.llm.common import parted, stored, table
 
 #: Fixed value: kinds in the order of their spans.
 BASE = ("email", "ip", "card", "phone")
@@ -229,7 +229,7 @@ def find(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def tell(batches):
-        for batch in batches:
+        for batch in parted(batches):
             counts, digests, spans = ([], [], [], []), [], []
             for value in batch.column("text"):
                 base, named = shared.value.spans(value.as_py())
@@ -261,7 +261,7 @@ def redact(docs: DataFrame, model: Model) -> DataFrame:
         return "".join(out) + text[done:] if out else text
 
     def apply(batches):
-        for batch in batches:
+        for batch in parted(batches):
             texts = pa.array([clean(t.as_py()) for t in batch.column("text")], pa.string())
             yield batch.set_column(batch.schema.get_field_index("text"), "text", texts)
 

@@ -48,7 +48,7 @@ class _Cache(dict):
 class Encoder:
     """ids of texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, cache_entries: int = 300_000):
+    def __init__(self, path: str, cache_entries: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptlens.llm.common import id_remainder, table
+from promptlens.llm.common import id_remainder, parted, table
 
 PLAIN, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENT, END = range(8)
 
@@ -306,7 +306,7 @@ def score(docs: DataFrame, model: Model, carried: list[str]) -> DataFrame:
 
     def tell(batches):
         lexicon = Lexicon(shared.value.learned)
-        for batch in batches:
+        for batch in parted(batches):
             values = [shared.value.score(t.as_py(), lexicon) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(values, pa.float64())],
                                              [*carried, "score"])
