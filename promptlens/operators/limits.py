@@ -107,3 +107,35 @@ def validate_requests(df: DataFrame, dims: str = "dims", text: str = "text",
         F.when((F.col(batch) < 1) | (F.col(batch) > max_batch), F.lit("bad batch size"))))
     return df.select("*", (F.size(reasons) == 0).alias("valid"),
                      F.array_join(reasons, ",").alias("reasons"))
+
+
+def tier_violations(log: DataFrame, client_tiers: DataFrame, spark: SparkSession, key: str = "client",
+                    tier_col: str = "tier", ts: str = "us", tokens: str = "tokens",
+                    id_col: str = "event_id") -> DataFrame:
+    """Every logged request against its client's tier: requests and tokens of
+    the last minute and day. Requests count without the present one, tokens
+    with it; a null limit never triggers, a client of an unknown tier has no
+    row (see ``tier_rejects``)."""
+    minute = rolling_range(log, [key], ts, MINUTE_US, id_col, value=tokens, with_oldest=False)
+    day = rolling_range(log.select(id_col, key, ts, tokens), [key], ts, DAY_US, id_col, value=tokens, with_oldest=False)
+    day = day.select(id_col, (F.col("win_count") - 1).alias("day_requests"), F.col("win_sum").alias("day_tokens"))
+    limits = client_tiers.select(key, tier_col).join(F.broadcast(tiers(spark)), "tier" if tier_col == "tier" else
+                                                     F.col(tier_col) == F.col("tier"))  # 6 tiers
+    j = minute.join(day, id_col).join(limits, key)
+    over = lambda used, limit: F.coalesce(used, F.lit(False)).alias(limit)
+    prior = F.col("win_count") - 1
+    return j.select(id_col, key, "tier", prior.alias("minute_requests"), "day_requests",
+                    F.col("win_sum").alias("minute_tokens"), "day_tokens",
+                    over(prior >= F.col("requests_per_minute"), "over_rpm"),
+                    over(F.col("day_requests") >= F.col("requests_per_day"), "over_rpd"),
+                    over(F.col("win_sum") > F.col("tokens_per_minute"), "over_tpm"),
+                    over(F.col("day_tokens") > F.col("tokens_per_day"), "over_tpd"))
+
+
+def validate_concurrency(df: DataFrame, tier: str = "tier", concurrent: str = "max_concurrent",
+                         most: int = MAX_CONCURRENT) -> DataFrame:
+    """Requested concurrency in 1..``most`` and a known tier name."""
+    reasons = F.array_compact(F.array(
+        F.when(F.coalesce((F.col(concurrent) < 1) | (F.col(concurrent) > most), F.lit(True)), F.lit("bad concurrency")),
+        F.when(~F.coalesce(F.col(tier).isin([t[0] for t in TIERS]), F.lit(False)), F.lit("unknown tier"))))
+    return df.select("*", (F.size(reasons) == 0).alias("valid"), F.array_join(reasons, ",").alias("reasons"))

@@ -106,3 +106,35 @@ SELECT request_id, valid, reasons FROM (
 def q_validate_requests(spark, d):
     r = L.validate_requests(V.requests(spark, d), expected_dim=REQ_DIM, max_batch=REQ_MAX_BATCH)
     return r.select("request_id", "valid", "reasons")
+
+
+_TV = """tv AS (
+  SELECT r.event_id, r.client, t.*, count(*) OVER m - 1 AS minute_requests, count(*) OVER d - 1 AS day_requests,
+         sum(coalesce(r.tokens, 0)) OVER m AS minute_tokens, sum(coalesce(r.tokens, 0)) OVER d AS day_tokens
+  FROM reqlog r JOIN ct c ON c.client = r.client LEFT JOIN tiers t ON t.tier = c.tier
+  WINDOW m AS (PARTITION BY r.client ORDER BY r.us RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW),
+         d AS (PARTITION BY r.client ORDER BY r.us RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW))"""
+
+
+@register("tier_violations", V.oracle("""
+SELECT event_id, client, tier, minute_requests, day_requests, CAST(minute_tokens AS BIGINT) AS minute_tokens,
+       CAST(day_tokens AS BIGINT) AS day_tokens,
+       coalesce(minute_requests >= requests_per_minute, false) AS over_rpm,
+       coalesce(day_requests >= requests_per_day, false) AS over_rpd,
+       coalesce(minute_tokens > tokens_per_minute, false) AS over_tpm,
+       coalesce(day_tokens > tokens_per_day, false) AS over_tpd
+FROM tv WHERE tier IS NOT NULL""", ["reqlog"], [_TIER_SQL, _CT_SQL, _TV]))
+def q_tier_violations(spark, d):
+    """W-03: requests and tokens per minute and day against the client's tier."""
+    return L.tier_violations(V.reqlog(spark, d), _client_tiers(spark, d), spark)
+
+
+@register("validate_concurrency", V.oracle(f"""
+SELECT client, len(r) = 0 AS valid, array_to_string(r, ',') AS reasons FROM (
+  SELECT client, list_filter([
+    CASE WHEN items < 1 OR items > {L.MAX_CONCURRENT} THEN 'bad concurrency' END,
+    CASE WHEN tier NOT IN (SELECT tier FROM tiers) THEN 'unknown tier' END], lambda x: x IS NOT NULL) AS r
+  FROM ct)""", ["reqlog"], [_TIER_SQL, _CT_SQL]))
+def q_validate_concurrency(spark, d):
+    """F-02: requested concurrency (here the client's requests) and tier name."""
+    return L.validate_concurrency(_client_tiers(spark, d), concurrent="items").select("client", "valid", "reasons")
