@@ -81,8 +81,11 @@ def grouped_median(df: DataFrame, value: str, keys: list[str] | None = None, out
     same = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in gk]
     counts = base.groupBy(*gk, "_v").agg(F.count(F.lit(1)).alias("_n"))
     ends = counts.groupBy(*gk).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
-    x = counts.alias("x").join(ends.alias("y"), same).select(
-        *[F.col(f"x.{k}") for k in gk], "_v", "_n", "_total", _value_bucket(F.col("_v"), F.col("_lo"), F.col("_hi")).alias("_b"))
+    if keys:
+        x = counts.alias("x").join(ends.alias("y"), same).select(*[F.col(f"x.{k}") for k in gk], "_v", "_n", "_total", "_lo", "_hi")
+    else:  # one row of extremes
+        x = counts.select("_g", "_v", "_n", *(ends.select(c).scalar().alias(c) for c in ("_total", "_lo", "_hi")))
+    x = x.select(*gk, "_v", "_n", "_total", _value_bucket(F.col("_v"), F.col("_lo"), F.col("_hi")).alias("_b"))
     lo, hi = F.floor((F.col("_total") - 1) / 2), F.ceil((F.col("_total") - 1) / 2)
     ranges = x.groupBy(*gk, "_b").agg(F.sum("_n").alias("_in"), F.max("_total").alias("_t"))
     before = F.sum("_in").over(Window.partitionBy(*gk).orderBy("_b")) - F.col("_in")

@@ -115,9 +115,10 @@ def q_eval_similarity(spark, d):
 SELECT round(avg(prompt_words), 6) AS mean, round(stddev_pop(prompt_words), 6) AS std,
        round(median(prompt_words), 6) AS median FROM ev""", _GV, [_GEN1, _EVAL]))
 def q_eval_prompt_length(spark, d):
-    e = evals(spark, d).withColumn("metric", F.lit("prompt_length"))
-    r = metric_summary(e.select("metric", F.col("prompt_words").cast("double").alias("value")))
-    return _r6(r.select("mean", "std", "median"), ["mean", "std", "median"])
+    from promptlens.functions.frames import grouped_median
+    e = evals(spark, d).select(F.col("prompt_words").cast("double").alias("value"))
+    r = e.agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    return _r6(r.withColumn("median", grouped_median(e, "value").select("median").scalar()), ["mean", "std", "median"])
 
 
 @register("effectiveness", V.oracle("""
