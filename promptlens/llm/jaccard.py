@@ -16,9 +16,9 @@ orders the lists and has no influence on the result.
 
 Groups are not expanded into pairs:
 - documents with equal sets are one class, represented by its smallest id;
-- first every document of a list is checked against the list's first document
-  (a star) if they meet in enough lists, and the links found are joined to
-  components;
+- first every document of a list is checked against the list's most central
+  document, the one that shares most of its short lists (a star), if they meet
+  in enough lists; the links found are joined to components;
 - then only pairs of *different* components that meet in a short list are
   checked, so what is one component costs no pair; of a list's components the
   one with most documents is only met by the others.
@@ -56,6 +56,8 @@ LIST_PER_SALT = 5000
 SALTS = 16
 #: Share of the needed common short lists from which a star is checked.
 STAR_SHARE = 0.25
+#: Common lists that are asked for, as a share of the smaller set.
+COMMON_SHARE = 0.02
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -149,6 +151,15 @@ def enough(a: str, b: str, common: str) -> Column:
     return F.col(common) >= total - long_lists
 
 
+def common_lists() -> Column:
+    """How many lists a pair (na, nb) is asked to have in common. Any number m
+    is right that leaves the first |x| - T + m lists of either set, in which m
+    must be shared, among its short ones."""
+    total = F.ceil(3 * (F.col("na") + F.col("nb")) / 7)
+    room = F.least(*(total - F.ceil(3 * F.col(x) / 4) + 1 for x in ("na", "nb")))
+    return F.greatest(F.least(1 + F.floor(F.least("na", "nb") * COMMON_SHARE), room), F.lit(1))
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) of ``pairs`` that link. The sets of a and of its
     partners are brought to one place, over salts if there are many, and a's
@@ -216,38 +227,44 @@ def similar(docs: DataFrame) -> DataFrame:
     # Short lists of the representatives, dealt over salts where they are long.
     firsts = stored(classes.filter("rep is not null").select("rep").distinct(), "representatives")
     reps = indexed.join(small(firsts), F.col("doc_id") == F.col("rep"), "left_semi").filter("n > 0")
-    postings = reps.select("doc_id", F.col("n").cast("int").alias("n"), F.explode(F.arrays_zip("rare", "seen")).alias("r")).select(
-        F.col("r.rare").alias("shingle"), "doc_id", "n",
+    postings = reps.select("doc_id", F.col("n").cast("int").alias("n"), F.posexplode(F.arrays_zip("rare", "seen")).alias("place", "r")).select(
+        F.col("r.rare").alias("shingle"), "doc_id", "n", "place",
         F.ceil(F.col("r.seen") * F.lit(per) / LIST_PER_SALT).cast("int").alias("salts"))
     postings = postings.withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("doc_id"), F.col("salts").cast("long"))).otherwise(F.lit(0).cast("long")).cast("int"))
     part = Window.partitionBy("shingle", "salt")
-    lists = (postings.withColumn("first", F.min(F.struct("doc_id", "n")).over(part)).withColumn("df", F.count(F.lit(1)).over(part))
-             .filter("df > 1 or salts > 1").select("shingle", "doc_id", "n", "salts", "first"))
-    lists = stored(lists, "short-lists")
+    lists = stored(postings.withColumn("df", F.count(F.lit(1)).over(part)).filter("df > 1 or salts > 1").drop("df"), "short-lists")
+    # The fewer of its short lists a document shares, the farther it is from the middle of its group.
+    held = lists.groupBy("doc_id").agg(F.count(F.lit(1)).alias("shared"))
+    lists = lists.join(held, "doc_id").withColumn("apart", (1000 - F.floor(4000 * F.col("shared") / F.col("n"))).cast("int"))
+    lists = stored(lists.drop("shared"), "central-lists")
+    rows = lists.withColumn("first", F.min(F.struct("apart", "doc_id", "n")).over(part))
     # one row per salt of the long lists
-    heads = lists.filter("salts > 1").select("shingle", "first").distinct()
+    heads = rows.filter("salts > 1").select("shingle", "first").distinct()
     crowns = heads.groupBy("shingle").agg(F.min("first").alias("crown"))
-    stars = lists.select(F.col("first.doc_id").alias("a"), F.col("first.n").alias("na"), F.col("doc_id").alias("b"), F.col("n").alias("nb"))
+    stars = rows.select(F.col("first.doc_id").alias("a"), F.col("first.n").alias("na"), F.col("doc_id").alias("b"), F.col("n").alias("nb"))
     stars = stars.union(heads.join(crowns, "shingle").select("crown.doc_id", "crown.n", "first.doc_id", "first.n"))
     fits = 4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")
     stars = stars.filter(F.col("a") != F.col("b")).filter(fits).groupBy("a", "b", "na", "nb").agg((F.count(F.lit(1)) / STAR_SHARE).alias("met"))
     first = _verified(docs, stars.filter(enough("na", "nb", "met")).select("a", "b").distinct(), "stars")
+    label = stored(components(first), "star-components")
 
     # Pairs of different components that meet in a short list.
-    label = stored(components(first), "star-components")
-    told = (lists.select("shingle", "doc_id", "n").join(label, F.col("doc_id") == F.col("node"), "left")
-            .select("shingle", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")))
+    told = (lists.select("shingle", "doc_id", "n", "place").join(label, F.col("doc_id") == F.col("node"), "left")
+            .select("shingle", "doc_id", "n", "place", F.coalesce("component", "doc_id").alias("component")))
     told = stored(told, "labelled-lists")
     sizes = told.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("size"))
     most = sizes.groupBy("shingle").agg(F.max(F.struct("size", "component")).alias("most"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     met = told.join(most.select("shingle", F.col("most.component").alias("major")), "shingle")
-    minor = met.filter("component <> major").select("shingle", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    every = met.select("shingle", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), "major")
-    across = (minor.join(every, "shingle").filter((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("a") < F.col("b"))))
-              .filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-                                   F.least("na", "nb").alias("na"), F.greatest("na", "nb").alias("nb"))
-              .groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("met")))
-    across = across.filter(enough("na", "nb", "met")).select("a", "b").distinct()
+    minor = met.filter("component <> major").select("shingle", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("component").alias("ca"))
+    every = met.select("shingle", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb"), "major")
+    total = F.ceil(3 * (F.col("na") + F.col("nb")) / 7)
+    other = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("a") < F.col("b")))
+    # all of it is the join's own condition: only rows of lists near the top of both come out
+    met = minor.join(every, (minor["shingle"] == every["shingle"]) & other & fits
+                     & (F.col("pa") < F.col("na") - total + common_lists()) & (F.col("pb") < F.col("nb") - total + common_lists()))
+    across = (met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), common_lists().alias("asked"))
+              .groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.min("asked").alias("asked"))
+              .filter("met >= asked").select("a", "b"))
     second = _verified(docs, across, "across")
 
     label = components(first.union(second))
