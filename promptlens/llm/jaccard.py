@@ -57,7 +57,7 @@ SALTS = 16
 #: Share of the needed common short lists from which a star is checked.
 STAR_SHARE = 0.25
 #: Common lists that are asked for, as a share of the smaller set.
-COMMON_SHARE = 0.02
+COMMON_SHARE = 0.06
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
