@@ -10,11 +10,12 @@ below: P(w | u) = (c(uw) + PRIOR P(w)) / (c(u) + PRIOR), P(w) = (c(w) + 1) /
 
 Stages, all on Spark: texts become chunks of word numbers (one pass, the words
 of a chunk once); the chunks' words are summed by word, giving every chunk the
-exact training counts of its words; the chunks' n-grams, already summed per
-chunk, are summed by hash bucket. A bucket owns one segment of the filter. The
-filter is broadcast: it never has more than ``max_bits`` bits, which bounds it
-whatever the corpus; if the grams need more, the least count that enters is
-raised until they fit, so only rare grams fall back to the order below.
+exact training counts of its words; the chunks' n-grams, held-out ones with a
+count of 0, go to their hash bucket, already summed per chunk. A bucket sums
+them, builds its own segment of the filter, probes it for every gram sent and
+answers each chunk with the levels. The filter grows with the grams: a segment
+is as large as its bucket needs, the number of buckets follows the tokens, and
+no task or driver ever holds more than one segment.
 
 Words are runs of anything but ASCII white space, A-Z lower-cased; a text ends
 with an end token, which is also the history of the first token.
@@ -39,13 +40,12 @@ from pyspark.sql import functions as F
 from promptlens.llm.common import id_remainder, stored, table
 
 CHUNK_TOKENS = 1 << 21
-#: Tokens whose n-grams are probed at once.
+#: Tokens whose probabilities are computed at once, grams probed at once.
 PROBED_TOKENS = 1 << 18
 BUCKET_TOKENS = 1 << 21
 MIN_COUNT = 2
 LEVEL_BASE = 1.3
 PROBES = 8
-MAX_BITS = 1 << 28
 PRIOR = 200.0
 LEVELS = 127
 CHUNKS = ("chunk long, doc_ids array<long>, held array<boolean>, ends array<long>, low binary, high binary, "
@@ -154,54 +154,87 @@ def _unpack5(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def gram_counts(coded: DataFrame, buckets: int) -> DataFrame:
-    """bucket, grams (5-byte hashes), levels: n-grams of all training texts
-    seen MIN_COUNT times or more."""
-
-    def count(batches):
+def chunk_grams(r: dict, buckets: int) -> tuple[np.ndarray, ...]:
+    """A chunk's distinct pairs (history << 32 | word), the place of each
+    token's pair in them, and of the grams (pairs, then words) in the order in
+    which they are sent: that order, hashes, training counts, buckets."""
+    ids, ends = _numbers(r), np.array(r["ends"])
+    h, end = word_hashes(r["words"]), r["words"].index("")
+    token = histories(ids, ends, end) << 32 | ids
+    del ids
+    by_pair = np.argsort(token).astype("u4")
+    token = token[by_pair]
+    first = np.r_[True, token[1:] != token[:-1]]
+    pair, back = token[first], np.empty(len(token), "u4")
+    back[by_pair] = np.cumsum(first, dtype="u4") - np.uint32(1)
+    del token, by_pair, first
+    train = np.repeat(~np.array(r["held"]), np.diff(np.r_[0, ends]))
+    n = np.r_[np.bincount(back[train], minlength=len(pair)), np.array(r["n_train"])]
+    with np.errstate(over="ignore"):
+        grams = np.r_[bigram(h[pair >> 32], h[pair & 0xFFFFFFFF]), unigram(h)]
+    bucket = ((grams >> np.uint64(40)) % np.uint64(buckets)).astype("u4")
+    order = np.argsort(bucket.astype("i8") * 3 + np.minimum(n, 2), kind="stable").astype("u4")
+    return pair, back, order, grams[order], n[order], bucket[order]
+
+
+def gram_levels(coded: DataFrame, buckets: int) -> DataFrame:
+    """chunk, bucket, levels (a byte each) of every chunk's n-grams, in the
+    order of :func:`chunk_grams`."""
+
+    def send(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                ids, ends = _numbers(r), np.array(r["ends"])
-                train = np.repeat(~np.array(r["held"]), np.diff(np.r_[0, ends]))
-                if not train.any():
-                    continue
-                h = word_hashes(r["words"])
-                end = r["words"].index("")
-                with np.errstate(over="ignore"):
-                    two = bigram(h[histories(ids, ends, end)[train]], h[ids[train]])
-                    known = np.flatnonzero(r["n_train"])
-                    one = unigram(h[known])
-                grams, n = np.unique(two, return_counts=True)
-                grams, n = np.r_[grams, one], np.r_[n, np.array(r["n_train"])[known]]
-                bucket = (grams >> np.uint64(40)).astype("i8") % buckets
-                order = np.lexsort((n > 1, bucket))
-                grams, n, bucket = grams[order], n[order], bucket[order]
+            for i in range(batch.num_rows):
+                r = {c: v[0] for c, v in batch.slice(i, 1).to_pydict().items()}
+                grams, n, bucket = chunk_grams(r, buckets)[3:]
                 cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-                for b in np.unique(bucket):
+                for b in np.flatnonzero(np.diff(cuts)):
                     part = slice(cuts[b], cuts[b + 1])
-                    many = n[part] > 1
                     yield pa.RecordBatch.from_pydict({
-                        "bucket": pa.array([b], pa.int64()), "grams": pa.array([_pack5(grams[part])], pa.binary()),
-                        "more": pa.array([n[part][many].astype("<u4").tobytes()], pa.binary())})
-
-    def total(key, sent):
-        n = []
-        for g, more in zip(sent.column("grams"), sent.column("more")):
+                        "chunk": pa.array([r["chunk"]], pa.int64()), "bucket": pa.array([b], pa.int64()),
+                        "unseen": pa.array([int((n[part] == 0).sum())], pa.int64()),
+                        "grams": pa.array([_pack5(grams[part])], pa.binary()),
+                        "more": pa.array([n[part][n[part] > 1].astype("<u4").tobytes()], pa.binary())})
+
+    def answer(key, sent):
+        n, sizes = [], []
+        for unseen, g, more in zip(sent.column("unseen").to_pylist(), sent.column("grams"), sent.column("more")):
             more = np.frombuffer(more.as_py(), "<u4").astype("i8")
-            n += [np.ones(len(g.as_buffer()) // 5 - len(more), "i8"), more]
+            sizes.append(len(g.as_buffer()) // 5)
+            n += [np.zeros(unseen, "i8"), np.ones(sizes[-1] - unseen - len(more), "i8"), more]
         grams, n = _unpack5(b"".join(g.as_py() for g in sent.column("grams"))), np.concatenate(n)
         order = np.argsort(grams, kind="stable")
-        grams, n = grams[order], n[order]
-        starts = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
-        n = np.add.reduceat(n, starts)
-        keep = n >= MIN_COUNT
-        return pa.table({
-            "bucket": pa.array([key[0].as_py()], pa.int64()), "grams": pa.array([_pack5(grams[starts][keep])], pa.binary()),
-            "levels": pa.array([levels(n[keep]).tobytes()], pa.binary())})
-
-    sent = coded.select("words", "n_train", "ends", "held", "low", "high").mapInArrow(
-        count, "bucket long, grams binary, more binary")
-    return sent.groupBy("bucket").applyInArrow(total, "bucket long, grams binary, levels binary")
+        ranked = grams[order]
+        first = np.r_[True, ranked[1:] != ranked[:-1]]
+        grams, total = ranked[first], np.add.reduceat(n[order], np.flatnonzero(first))
+        seen = total >= MIN_COUNT
+        level = levels(total[seen])
+        size = segment_size(int(level.sum(dtype="i8")))
+        filt = LogFrequencyFilter(np.packbits(segment(grams[seen], level, size), bitorder="little"), size, 1)
+        found = np.concatenate([filt.levels(grams[k:k + PROBED_TOKENS]) for k in range(0, len(grams), PROBED_TOKENS)]).astype("u1")
+        told = np.empty(len(order), "u1")
+        told[order] = found[np.cumsum(first) - 1]
+        cuts = np.cumsum(sizes)[:-1]
+        return pa.table({"chunk": sent.column("chunk"), "bucket": sent.column("bucket"),
+                         "levels": pa.array([part.tobytes() for part in np.split(told, cuts)], pa.binary())})
+
+    sent = coded.select("chunk", "words", "n_train", "ends", "held", "low", "high").mapInArrow(
+        send, "chunk long, bucket long, unseen long, grams binary, more binary")
+    return sent.groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, levels binary")
+
+
+def segment_size(inserted: int) -> int:
+    """Bits for so many insertions (a gram counts once a level)."""
+    return max(64, int(np.ceil(inserted * PROBES / np.log(2) / 8)) * 8)
+
+
+def segment(grams: np.ndarray, level: np.ndarray, size: int) -> np.ndarray:
+    """The bits of a segment, a byte each."""
+    bits = np.zeros(size, "u1")
+    for q in range(1, int(level.max(initial=0)) + 1):
+        part = grams[level >= q]
+        for probe in range(PROBES):
+            bits[LogFrequencyFilter.places(part, q, probe, size)] = 1
+    return bits
 
 
 class LogFrequencyFilter:
@@ -231,8 +264,10 @@ class LogFrequencyFilter:
         return out
 
 
-def build_filter(counts: DataFrame, buckets: int, max_bits: int = MAX_BITS) -> LogFrequencyFilter:
-    """``counts`` must be stored. Collected: the segments, max_bits together."""
+def build_filter(counts: DataFrame, buckets: int, max_bits: int | None = None) -> LogFrequencyFilter:
+    """All segments of ``counts`` (bucket, grams, levels) in one filter of at
+    most ``max_bits`` bits, the rarest grams left out, or without a bound.
+    Everything is collected: for small tables; ``score`` does not use it."""
 
     def tally(batches):
         n = np.zeros(LEVELS + 1, "i8")
@@ -247,7 +282,7 @@ def build_filter(counts: DataFrame, buckets: int, max_bits: int = MAX_BITS) -> L
         by_level[r["level"]] = r["n"]
     least = 1
     inserted = lambda q: int((by_level * np.arange(LEVELS + 1))[q:].sum())
-    while least < LEVELS and inserted(least) * PROBES / np.log(2) > max_bits:
+    while max_bits and least < LEVELS and inserted(least) * PROBES / np.log(2) > max_bits:
         least += 1
     size = max(64, int(np.ceil(inserted(least) * PROBES / np.log(2) / buckets / 8)) * 8)
 
@@ -256,10 +291,7 @@ def build_filter(counts: DataFrame, buckets: int, max_bits: int = MAX_BITS) -> L
             for r in batch.to_pylist():
                 grams, level = _unpack5(r["grams"]), np.frombuffer(r["levels"], "u1")
                 grams, level = grams[level >= least], level[level >= least]
-                bits = np.zeros(size, "u1")
-                for q in range(1, int(level.max(initial=0)) + 1):
-                    for probe in range(PROBES):
-                        bits[LogFrequencyFilter.places(grams[level >= q], q, probe, size)] = 1
+                bits = segment(grams, level, size)
                 yield pa.RecordBatch.from_pydict({"bucket": [r["bucket"]], "bits": pa.array(
                     [np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
@@ -271,9 +303,8 @@ def build_filter(counts: DataFrame, buckets: int, max_bits: int = MAX_BITS) -> L
 
 # -- scoring ------------------------------------------------------------------
 
-def score(docs: DataFrame, prior: float = PRIOR, max_bits: int = MAX_BITS) -> DataFrame:
+def score(docs: DataFrame, prior: float = PRIOR) -> DataFrame:
     """``docs`` (doc_id, text, held_out) -> SCORES and train_tokens."""
-    spark = docs.sparkSession
     coded = stored(chunks(docs), "chunks", "zstd")
     words = coded.select("chunk", F.posexplode(F.arrays_zip("words", "n_train"))).select(
         "chunk", F.col("pos").alias("word_no"), F.col("col.words").alias("word"), F.col("col.n_train").alias("n"))
@@ -284,20 +315,26 @@ def score(docs: DataFrame, prior: float = PRIOR, max_bits: int = MAX_BITS) -> Da
     totals = known.agg(F.sum("n").alias("n"), F.sum(F.col("first").cast("long")).alias("v")).first()
     n_all, distinct = totals["n"] or 0, totals["v"] or 0
 
-    buckets = max(1, -(-n_all // BUCKET_TOKENS))
-    table_ = build_filter(stored(gram_counts(coded, buckets), "gram-levels", "zstd"), buckets, max_bits)
-    shared = spark.sparkContext.broadcast((table_, n_all, distinct, prior))
-    # a chunk's known words: at most CHUNK_TOKENS
+    tokens = coded.agg(F.sum(F.element_at("ends", -1)).alias("n")).first()["n"] or 0
+    buckets = max(1, -(-tokens // BUCKET_TOKENS))
+    answers = stored(gram_levels(coded, buckets), "gram-levels", "zstd")
+    # a chunk's known words and its grams' levels: at most CHUNK_TOKENS and twice that
     lists = known.groupBy("chunk").agg(F.collect_list(F.struct("word_no", "c")).alias("known"))
-    told = coded.select("chunk", "doc_ids", "held", "ends", "low", "high", "words").join(lists, "chunk", "left")
+    parts = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "levels")).alias("parts"))
+    told = coded.join(parts, "chunk").join(lists, "chunk", "left")
 
     def tell(batches):
-        filt, n_all, distinct, prior = shared.value
         stands = level_counts()
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                r = {c: one.column(c)[0].as_py() for c in ("doc_ids", "held", "ends", "low", "high", "words")}
+                r = {c: one.column(c)[0].as_py() for c in ("doc_ids", "held", "ends", "low", "high", "words", "parts")}
+                r["n_train"] = one.column("n_train")[0].values.to_numpy()
+                pair, back, order = chunk_grams(r, buckets)[:3]
+                level = np.empty(len(order), "u1")
+                level[order] = np.frombuffer(b"".join(p["levels"] for p in sorted(r["parts"], key=lambda p: p["bucket"])), "u1")
+                both, single = level[:len(pair)], stands[level[len(pair):]]
+                del order
                 ids, ends = _numbers(r), np.array(r["ends"])
                 starts = np.r_[0, ends[:-1]]
                 c = np.zeros(len(r["words"]), "i8")
@@ -305,24 +342,18 @@ def score(docs: DataFrame, prior: float = PRIOR, max_bits: int = MAX_BITS) -> Da
                     flat = one.column("known")[0].values
                     c[flat.field("word_no").to_numpy()] = flat.field("c").to_numpy()
                 base = np.log10(c + 1.0) - np.log10(n_all + distinct + 1.0)
-                h = word_hashes(r["words"])
-                end = r["words"].index("")
-                single = stands[filt.levels(unigram(h))]
-                before, p = histories(ids, ends, end), np.empty(len(ids))
-                p1 = (single + 1.0) / (n_all + distinct + 1.0)
-                for k in range(0, len(ids), PROBED_TOKENS):
+                p1, p = (single + 1.0) / (n_all + distinct + 1.0), np.empty(len(pair))
+                for k in range(0, len(pair), PROBED_TOKENS):
                     part = slice(k, k + PROBED_TOKENS)
-                    # each different pair of words is probed once
-                    pair, back = np.unique(before[part] << 32 | ids[part], return_inverse=True)
-                    u, w = pair >> 32, pair & 0xFFFFFFFF
-                    both = stands[filt.levels(bigram(h[u], h[w]))]
+                    u, w = pair[part] >> 32, pair[part] & 0xFFFFFFFF
                     # a pair is not seen more often than either of its words
-                    both = np.minimum(both, np.minimum(np.maximum(single[u], 1), np.maximum(single[w], 1)))
-                    p[part] = np.log10((both + prior * p1[w]) / (single[u] + prior))[back]
+                    n = np.minimum(stands[both[part]], np.minimum(np.maximum(single[u], 1), np.maximum(single[w], 1)))
+                    p[part] = np.log10((n + prior * p1[w]) / (single[u] + prior))
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": pa.array(r["doc_ids"], pa.int64()), "held_out": pa.array(r["held"], pa.bool_()),
                     "n_tokens": ends - starts, "n_known": np.add.reduceat((c > 0)[ids].astype("i8"), starts),
-                    "base_score": np.add.reduceat(base[ids], starts), "score": np.add.reduceat(p, starts)})
+                    "base_score": np.add.reduceat(base[ids], starts), "score": np.add.reduceat(p[back], starts)})
+                del pair, back, p, ids, r, one
 
     return told.mapInArrow(tell, SCORES).withColumn("train_tokens", F.lit(n_all).cast("long"))
 

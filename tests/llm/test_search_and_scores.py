@@ -86,6 +86,39 @@ def test_filter_keeps_every_gram_and_few_others(spark):
     assert (known[level == 8] == 8).mean() > 0.9 and (known[level == 1] == 0).mean() > 0.9
 
 
+def test_lm_filter_grows_with_the_grams(spark, monkeypatch):
+    """Many buckets, small chunks: every gram seen is found, once or more."""
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", 100)
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(900)}" for _ in range(30)), i % 5 == 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, DOCS + ", held_out boolean").repartition(3)
+    toks = {i: [*t.split(), ""] for i, t, _ in rows}
+    one, two = collections.Counter(), collections.Counter()
+    for i, _, held in rows:
+        if not held:
+            one.update(toks[i])
+            two.update(zip(["", *toks[i]], toks[i]))
+    coded = lm.chunks(docs, 200).cache()
+    assert coded.count() > 6
+    buckets = 19
+    answers = collections.defaultdict(list)
+    for r in lm.gram_levels(coded, buckets).collect():
+        answers[r["chunk"]].append((r["bucket"], r["levels"]))
+    checked = wrong = 0
+    for r in coded.collect():
+        r = r.asDict()
+        pair, _, order, *_ = lm.chunk_grams(r, buckets)
+        level = np.empty(len(order), "u1")
+        level[order] = np.frombuffer(b"".join(d for _, d in sorted(answers[r["chunk"]])), "u1")
+        w = r["words"]
+        counts = np.array([two[w[p >> 32], w[p & 0xFFFFFFFF]] for p in pair.tolist()] + [one[x] for x in w])
+        want = np.where(counts >= lm.MIN_COUNT, lm.levels(np.maximum(counts, 1)), 0)
+        assert (level >= want).all()
+        checked, wrong = checked + len(want), wrong + (level != want).sum()
+    assert wrong <= 0.02 * checked
+    coded.unpersist()
+
+
 def test_lm_of_nothing(spark):
     none = spark.createDataFrame([], DOCS + ", held_out boolean")
     assert lm.score(none).count() == 0
