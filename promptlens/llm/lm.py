@@ -1,7 +1,7 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 n-grams (n = 1, 2) of all training texts are counted; those seen ``MIN_COUNT``
-times or more enter a Bloom filter with their quantised log count: a gram of
+times or more, so all, enter a Bloom filter with their quantised log count: a gram of
 level q is inserted as (gram, 1) ... (gram, q). A worker estimates a count by
 repeated membership probes, level after level until one misses. Probabilities
 are smoothed with a Dirichlet prior of ``PRIOR`` pseudo-counts from the order
@@ -43,7 +43,7 @@ CHUNK_TOKENS = 1 << 21
 #: Tokens whose probabilities are computed at once, grams probed at once.
 PROBED_TOKENS = 1 << 18
 BUCKET_TOKENS = 1 << 21
-MIN_COUNT = 2
+MIN_COUNT = 1
 LEVEL_BASE = 1.3
 PROBES = 8
 PRIOR = 200.0
