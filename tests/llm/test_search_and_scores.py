@@ -168,6 +168,17 @@ def test_winnowing_matches_brute_force(spark, short):
     assert any(r["n_items"] for r in found) and all(r["n_items"] == len(r["items"]) for r in found)
 
 
+def test_winnowing_of_final_sigmas(spark):
+    """Lower case of a capital sigma depends on what follows it."""
+    long = " ".join(f"ΟΔΟΣ{c} ΛΟΓΟΣ" for c in "abcdefgh")
+    items = [(1, "ΛΟΓΟΣ ΝΕΟΣ"), (2, long), (3, "λογος"), (4, "λογοσ")]
+    texts = [(1, "ΛΟΓΟΣ.ΝΕΟΣ"), (2, long.replace(" ", ".")), (3, "ΛΟΓΟΣ'ΝΕΟΣ:ΛΟΓΟΣ"), (4, "λογος"), (5, "λογοσ.x"), (6, "ΛΟΓΟΣ"), (7, "ΝΕΟΣ ΛΟΓΟΣ")]
+    found = decontaminate.contamination(spark.createDataFrame(texts, DOCS), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], list(r["items"])) for r in found.collect()}
+    assert got == {i: plain_contamination(t, items) for i, t in texts}
+    assert got[1] == (2, 2, ["1"]) and got[2][1] == 16 and got[3][1] == 2 and got[4][2] == ["3"] and got[7][1] == 0
+
+
 def test_winnowing_edges_and_plan(spark):
     docs = spark.createDataFrame([(1, "a b c")], DOCS)
     none = spark.createDataFrame([], "item_id long, text string")
