@@ -4,9 +4,9 @@
    class words, runs of equal siblings folded into one node) is counted per
    host; a host's most frequent skeleton is its wrapper tree.
 2. Every page is aligned with the wrapper tree of its host by simple tree
-   matching. The texts met at a wrapper node are counted over all pages of the
-   host: a node that has one and the same text nearly everywhere is template,
-   a node whose texts vary is a slot.
+   matching. The texts met at a wrapper node are counted over the distinct
+   pages of the host (by main text: copies count once): a text that a node has
+   nearly everywhere is template there, and what differs from it is content.
 3. A page's main text is what its slots hold inside the content region
    (``article`` or ``main``, else the body), without navigation, headers and
    footers of the page, sidebars, notices, adverts, forms, comments and blocks
@@ -19,7 +19,7 @@ more rows than others.
 
 Defined results: null html is empty and gives the empty text; a null or broken
 url belongs to the host ""; repeated rows and null ids stay rows; pages of a
-host with fewer than ``MIN_PAGES`` pages have no template nodes. Extra columns
+host with fewer than ``MIN_PAGES`` distinct pages have no template nodes. Extra columns
 are ignored; an empty table gives no rows.
 """
 
@@ -274,47 +274,57 @@ def _dumped(root: Node) -> str:
     return json.dumps(skeleton([root]), separators=(",", ":"), ensure_ascii=False)
 
 
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode(), digest_size=8).digest()
+
+
+def _node_texts(root: Node, place: dict[tuple, int]) -> dict[int, bytes]:
+    """Digest of all text that a page has at each wrapper node."""
+    held: dict[int, list[str]] = {}
+    for keys, block, _ in blocks(root, (root.key,), True):
+        if keys in place:
+            held.setdefault(place[keys], []).append(block)
+    return {node: _digest("\n".join(parts)) for node, parts in held.items()}
+
+
 def induce(pages: DataFrame) -> DataFrame:
-    """``pages`` (host, html) -> host, wrapper (skeleton), template (numbers
-    of its constant nodes)."""
+    """``pages`` (host, html) -> host, wrapper (skeleton), template (node and
+    text of its constant nodes). Pages with one main text count once."""
 
     def shapes(batches):
         for batch in batches:
-            n: Counter = Counter()
+            found = set()
             for host, text in zip(batch.column("host").to_pylist(), batch.column("html")):
-                n[host, _dumped(parse(text.as_py() or ""))] += 1
+                root = parse(text.as_py() or "")
+                found.add((host, _dumped(root), _digest(main_text(root))))
             yield pa.RecordBatch.from_pydict({
-                "host": pa.array([h for h, _ in n], pa.string()), "wrapper": pa.array([s for _, s in n], pa.string()),
-                "n": pa.array(list(n.values()), pa.int64())})
+                "host": pa.array([f[0] for f in found], pa.string()), "wrapper": pa.array([f[1] for f in found], pa.string()),
+                "page": pa.array([f[2] for f in found], pa.binary())})
 
-    seen = pages.select("host", "html").mapInArrow(shapes, "host string, wrapper string, n long")
-    seen = seen.groupBy("host", "wrapper").agg(F.sum("n").alias("n"))
+    seen = pages.select("host", "html").mapInArrow(shapes, "host string, wrapper string, page binary").distinct()
+    seen = seen.groupBy("host", "wrapper").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "wrapper"))
     trees = stored(seen.withColumn("rank", rank).filter("rank = 1").select("host", "wrapper"), "wrappers")
 
     def texts(batches):
         for batch in batches:
-            n: Counter = Counter()
+            found = set()
             for host, text, tree in zip(batch.column("host").to_pylist(), batch.column("html"), batch.column("wrapper").to_pylist()):
                 root = parse(text.as_py() or "")
-                place = alignment(_dumped(root), tree)
-                held: dict[int, list[str]] = {}
-                for keys, block, _ in blocks(root, (root.key,), True):
-                    if keys in place:
-                        held.setdefault(place[keys], []).append(block)
-                for node, parts in held.items():
-                    n[host, node, hashlib.blake2b("\n".join(parts).encode(), digest_size=8).digest()] += 1
-            keys = list(n)
+                page = _digest(main_text(root))
+                found.update((host, page, *x) for x in _node_texts(root, alignment(_dumped(root), tree)).items())
+            keys = list(found)
             yield pa.RecordBatch.from_pydict({
-                "host": pa.array([k[0] for k in keys], pa.string()), "node": pa.array([k[1] for k in keys], pa.int32()),
-                "text": pa.array([k[2] for k in keys], pa.binary()), "n": pa.array(list(n.values()), pa.int64())})
-
-    met = pages.select("host", "html").join(trees, "host").mapInArrow(texts, "host string, node int, text binary, n long")
-    constant = (met.groupBy("host", "node", "text").agg(F.sum("n").alias("n")).groupBy("host", "node")
-                .agg(F.max("n").alias("most"), F.sum("n").alias("all"))
-                .filter((F.col("all") >= MIN_PAGES) & (F.col("most") >= CONSTANT_SHARE * F.col("all"))))
+                "host": pa.array([k[0] for k in keys], pa.string()), "page": pa.array([k[1] for k in keys], pa.binary()),
+                "node": pa.array([k[2] for k in keys], pa.int32()), "text": pa.array([k[3] for k in keys], pa.binary())})
+
+    met = pages.select("host", "html").join(trees, "host").mapInArrow(texts, "host string, page binary, node int, text binary")
+    once = met.groupBy("host", "page", "node").agg(F.min("text").alias("text"))
+    constant = (once.groupBy("host", "node", "text").agg(F.count("*").alias("n")).groupBy("host", "node")
+                .agg(F.max(F.struct("n", "text")).alias("most"), F.sum("n").alias("all"))
+                .filter((F.col("all") >= MIN_PAGES) & (F.col("most.n") >= CONSTANT_SHARE * F.col("all"))))
     # nodes of one wrapper: bounded by its own skeleton
-    constant = constant.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("template"))
+    constant = constant.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("node", F.col("most.text").alias("text")))).alias("template"))
     return stored(trees.join(constant, "host", "left"), "host-wrappers")
 
 
@@ -330,8 +340,10 @@ def extract(pages: DataFrame, wrappers: DataFrame, carried: list[str]) -> DataFr
                     root = parse(text.as_py() or "")
                     template = frozenset()
                     if constant and tree:
-                        gone = set(constant)
-                        template = frozenset(k for k, node in alignment(_dumped(root), tree).items() if node in gone)
+                        place = alignment(_dumped(root), tree)
+                        own = _node_texts(root, place)
+                        gone = {c["node"] for c in constant if own.get(c["node"]) == c["text"]}
+                        template = frozenset(k for k, node in place.items() if node in gone)
                     out.append(main_text(root, template))
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in carried), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())],

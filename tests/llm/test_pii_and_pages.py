@@ -143,3 +143,21 @@ def test_constant_nodes_become_template(spark):
     tree = wrappers.filter("host = 'ex.org'").first()
     assert json.loads(tree["wrapper"])[0] == "html" and len(tree["template"]) == 2
     assert pages.filter(F.col("host") == "").count() == 2
+
+
+def extracted(spark, htmls):
+    rows = [(i, f"http://ex.org/{i}", h) for i, h in enumerate(htmls)]
+    pages = htmltext.with_host(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    return {r["page_id"]: r["text"] for r in htmltext.extract(pages, htmltext.induce(pages), ["page_id"]).collect()}
+
+
+def test_copies_are_no_template_evidence(spark):
+    page = "<body><p>Site rules</p><article><h1>{0}</h1><p>{0} text</p></article></body>"
+    copies = extracted(spark, [page.format("same")] * 6 + [page.format("same").replace("rules", "mirror")] * 3)
+    assert set(copies.values()) == {"same\n\nsame text"}
+    got = extracted(spark, [page.format("same")] * 60 + [page.format(f"own{i}") for i in range(4)])
+    assert got[0] == "same\n\nsame text" and all(got[60 + i] == f"own{i}\n\nown{i} text" for i in range(4))
+    # a text of its own at a template node stays
+    page = "<body><blockquote>{1}</blockquote><div>story {0}</div></body>"
+    got = extracted(spark, [page.format(i, "Rules" if i else "Not the rules") for i in range(20)])
+    assert got[0] == "Not the rules\n\nstory 0" and got[7] == "story 7"
