@@ -10,7 +10,9 @@
 3. A page's main text is what its slots hold inside the content region
    (``article`` or ``main``, else the body), without navigation, headers and
    footers of the page, sidebars, notices, adverts, forms, comments and blocks
-   that are mostly links.
+   that are mostly links. Names (class, id, role) only decide on minor parts: a
+   named part that holds the region or most of its text stays, comments only if
+   nothing else is left; whether it is template is for the wrapper to say.
 
 Wrapper trees and template nodes are joined to the pages by host; they are a
 few hundred bytes a host, and Spark chooses the kind of join by their size.
@@ -49,14 +51,21 @@ BLOCKS = frozenset(
     "dialog noscript iframe object svg select button template video audio canvas center".split())
 VOID = frozenset("hr".split())
 NEVER = frozenset(
-    "head nav footer aside form fieldset noscript iframe object svg select button template dialog video audio canvas".split())
+    "head nav footer aside noscript iframe object svg select button template dialog video audio canvas".split())
 PARTS = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice "
     "alert popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments "
     "disqus reply replies respond share sharing social related recommended recommendations newsletter subscribe "
     "subscription signup login search widget pagination pager toolbar copyright".split())
+#: Words that may stand beside those of PARTS in one class or id.
+SHAPES = frozenset("area bar block box button buttons container group inner item links list outer panel section widget wrapper".split())
+COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+FORMS = frozenset("form fieldset".split())
+#: Never left out by name; ids of ANCHORS are link targets.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ANCHORS = HEADINGS | frozenset("section p li dt dd td th".split())
 PAGE_HEADS = frozenset("header masthead topbar".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu".split())
 REGIONS = frozenset("article main".split())
 #: Open elements that a start tag closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -73,18 +82,20 @@ _WORD = re.compile(r"[a-z]+")
 class Node:
     """A block element: ``items`` are texts, (text,) of a link, and nodes."""
 
-    __slots__ = ("tag", "words", "role", "items", "key")
+    __slots__ = ("tag", "words", "names", "role", "items", "key")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.items, self.words, self.role = tag, [], frozenset(), ""
+        self.tag, self.items, self.words, self.names, self.role = tag, [], frozenset(), frozenset(), ""
         if "=" in attrs:
-            words = set()
+            words, names = set(), set()
             for name, a, b, c in _ATTR.findall(attrs):
                 value = (a or b or c).lower()
                 if name.lower() == "role":
                     self.role = value
                 words.update(_WORD.findall(value))
-            self.words = frozenset(words)
+                if name.lower() in ("class", "itemprop") or name.lower() == "id" and tag not in ANCHORS:
+                    names.update(value.split())
+            self.words, self.names = frozenset(words), frozenset(names)
         self.key = f"{tag}.{'.'.join(sorted(self.words))}" if self.words else tag
 
 
@@ -211,21 +222,43 @@ def _clean(parts: list[str]) -> str:
 
 
 def _boilerplate(node: Node, inside: bool) -> bool:
-    if node.tag in NEVER or node.role in ROLES or node.words & PARTS:
+    """By its kind; html, body, regions and headings never are."""
+    if _kept(node):
+        return False
+    if node.tag in NEVER or node.role in ROLES:
         return True
-    return not inside and (node.tag == "header" or bool(node.words & PAGE_HEADS))
+    return not inside and (node.tag == "header" or bool(node.names & PAGE_HEADS))
 
 
-def blocks(node: Node, keys: tuple, inside: bool):
-    """(key path, text, letters in links) of the blocks of content below."""
+def _kept(node: Node) -> bool:
+    return node.tag in REGIONS or node.tag in HEADINGS or node.tag in ("html", "body") or node.role in REGIONS
+
+
+@lru_cache(maxsize=65536)
+def _part_words(name: str) -> frozenset:
+    """Words of PARTS in a class or id that has no words but such and SHAPES."""
+    words = frozenset(_WORD.findall(name))
+    return words & PARTS if words <= PARTS | SHAPES else frozenset()
+
+
+def _named(node: Node) -> bool:
+    """A part by its name, unless it holds most text."""
+    if _kept(node):
+        return False
+    return node.tag in FORMS or node.role == "form" or any(map(_part_words, node.names))
+
+
+def blocks(node: Node, keys: tuple, inside: bool, stays: set | None = None):
+    """(key path, text, letters in links) of the blocks of content below; of
+    named parts all, or those in ``stays`` (by id)."""
     parts, linked = [], 0
     for item in node.items:
         if isinstance(item, Node):
             if text := _clean(parts):
                 yield keys, text, linked
             parts, linked = [], 0
-            if not _boilerplate(item, inside):
-                yield from blocks(item, (*keys, item.key), inside)
+            if not _boilerplate(item, inside) and (stays is None or id(item) in stays or not _named(item)):
+                yield from blocks(item, (*keys, item.key), inside, stays)
         elif isinstance(item, tuple):
             parts.append(item[0])
             linked += len(_clean([item[0]]))
@@ -235,27 +268,59 @@ def blocks(node: Node, keys: tuple, inside: bool):
         yield keys, text, linked
 
 
-def _regions(node: Node, keys: tuple):
-    """Outermost content regions that are in no boilerplate."""
+def _letters(node: Node, inside: bool, stays: set | None = None) -> int:
+    return sum(len(text) for _, text, _ in blocks(node, (), inside, stays))
+
+
+def _parts(node: Node, inside: bool):
+    """Outermost named parts."""
+    for item in node.items:
+        if isinstance(item, Node) and not _boilerplate(item, inside):
+            if _named(item):
+                yield item
+            else:
+                yield from _parts(item, inside)
+
+
+def _staying(node: Node, inside: bool) -> set | None:
+    """Named parts below that hold more than half of the text; all (None) if
+    nothing would be left."""
+    stays, at = set(), node
+    while at is not None:
+        found, whole, at = list(_parts(at, inside)), _letters(at, inside), None
+        for part in found:
+            comments = any(_part_words(name) & COMMENTS for name in part.names)
+            if not comments and 2 * _letters(part, inside) > whole:
+                stays.add(id(part))
+                at = part
+    return stays if _letters(node, inside, stays) else None
+
+
+def _regions(node: Node, keys: tuple, named: bool = False):
+    """Outermost content regions that are in no boilerplate, and in no named
+    part unless ``named``."""
     for item in node.items:
-        if isinstance(item, Node) and not _boilerplate(item, False):
+        if isinstance(item, Node) and not _boilerplate(item, False) and (named or not _named(item)):
             here = (*keys, item.key)
             if item.tag in REGIONS or item.role in REGIONS:
                 yield item, here
             else:
-                yield from _regions(item, here)
+                yield from _regions(item, here, named)
 
 
 def _region(root: Node) -> tuple[Node, tuple, bool]:
     """The content region: of several the one with most text, an article in it
-    if that holds most of its text; else the whole page."""
+    if that holds most of its text; else the whole page. A region in a named
+    part counts if there is no other and it holds most text of the page."""
     node, keys, inside = root, (root.key,), False
     while True:
-        found = [(sum(len(t) for _, t, _ in blocks(n, k, True)), -i, n, k) for i, (n, k) in enumerate(_regions(node, keys))]
+        outer = list(_regions(node, keys))
+        regions = outer or ([] if inside else list(_regions(node, keys, True)))
+        found = [(_letters(n, True, set()), _letters(n, True), -i, n, k) for i, (n, k) in enumerate(regions)]
         if not found:
             return node, keys, inside
-        most, _, n, k = max(found, key=lambda x: x[:2])
-        if inside and 2 * most < sum(len(t) for _, t, _ in blocks(node, keys, True)):
+        most, all_, _, n, k = max(found, key=lambda x: x[:3])
+        if inside and 2 * most < _letters(node, True, set()) or not outer and 2 * all_ < _letters(node, False):
             return node, keys, inside
         node, keys, inside = n, k, True
 
@@ -264,7 +329,7 @@ def main_text(root: Node, template: frozenset = frozenset()) -> str:
     """Blocks of the content region, without those whose key path is template;
     outside a marked region also without blocks that are mostly links."""
     node, keys, inside = _region(root)
-    return "\n\n".join(text for path, text, linked in blocks(node, keys, inside)
+    return "\n\n".join(text for path, text, linked in blocks(node, keys, inside, _staying(node, inside))
                        if path not in template and (inside or linked <= LINK_SHARE * len(text)))
 
 

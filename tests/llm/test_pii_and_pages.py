@@ -161,3 +161,16 @@ def test_copies_are_no_template_evidence(spark):
     page = "<body><blockquote>{1}</blockquote><div>story {0}</div></body>"
     got = extracted(spark, [page.format(i, "Rules" if i else "Not the rules") for i in range(20)])
     assert got[0] == "Not the rules\n\nstory 0" and got[7] == "story 7"
+
+
+def test_names_do_not_take_content():
+    body = "<p>The story itself is here.</p>"
+    for page in (f'<body class="post no-sidebar">{body}</body>', f'<article class="post has-comments comments">{body}</article>',
+                 f"<form id=aspnet>{body}</form>", f"<form><article>{body}</article></form>", f'<div class="widget"><div class=search>{body}</div></div>',
+                 f'<body><div class=sidebar><main>{body}</main></div><p>x</p></body>'):
+        assert text_of(page).startswith("The story itself is here."), page
+    page = f'<article>{body}<h2 id="related-work">Related work</h2><section id="search"><p>On search.</p></section><div class="related-work"><p>More</p></div></article>'
+    assert text_of(page) == "The story itself is here.\n\nRelated work\n\nOn search.\n\nMore"
+    # minor parts and comments still go
+    page = f'<article>{body}<div class="share-buttons">Share</div><div class=comments>{"long answer " * 20}</div><form>Mail</form></article>'
+    assert text_of(page) == "The story itself is here."
