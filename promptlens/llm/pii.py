@@ -10,8 +10,9 @@ patterns then discover identifiers that no expression describes: a token with
 a digit that follows them.
 
 Base spans always stay; discovered spans never overlap them. Learning and
-finding read every whole text. Only the confident patterns come to the driver,
-at most ``MAX_PATTERNS``, the best supported first.
+finding read every whole text. Scores stay in Spark: confident patterns meet
+the corpus counts of their words there, and all that pass, without a limit,
+come to the driver and go to the tasks.
 
 Defined results: null and empty texts have no spans; repeated rows and ids are
 rows of their own and null ids stay; an instance counts once per pattern however
@@ -44,8 +45,11 @@ _SECRET = re.compile(r"(?<![0-9A-Za-z])[0-9a-f]{32,128}(?![0-9A-Za-z])")
 _DIGIT = re.compile(r"[0-9]")
 _QUOTES = "\"'`()[]{}<>,;:.!?"
 
-MIN_INSTANCES, CONFIDENCE, PRECISION, ROUNDS, MAX_PATTERNS = 5, 0.8, 0.5, 3, 10_000
+MIN_INSTANCES, CONFIDENCE, PRECISION, ROUNDS = 5, 0.8, 0.5, 3
 LONGEST_WORD, LONGEST_VALUE = 40, 128
+#: Patterns up to which tasks count only them; beyond, all pairs of words are
+#: counted and joined. The result is the same.
+SENT_PATTERNS = 200_000
 
 
 def _emails(text: str):
@@ -182,20 +186,37 @@ def _confident(edges: DataFrame, trusted: DataFrame) -> DataFrame:
     return told.select("pattern", F.col("as_kind").alias("kind"), "share", F.col("good").alias("instances"), "places")
 
 
-def _occurrences(docs: DataFrame, patterns: list[str]) -> DataFrame:
-    """How often each pattern's two words occur in all texts."""
-    shared = docs.sparkSession.sparkContext.broadcast({tuple(p.split(" ")) for p in patterns})
+def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """How often the two words of each of ``patterns`` (stored, distinct)
+    occur in all texts."""
+    few = patterns.count() <= SENT_PATTERNS
+    shared = docs.sparkSession.sparkContext.broadcast({tuple(r[0].split(" ")) for r in patterns.collect()} if few else None)
 
     def count(batches):
-        n, wanted = Counter(), shared.value
-        for batch in batches:
+        wanted = shared.value
+        for batch in parted(batches):
+            n: Counter = Counter()
             for text in batch.column("text"):
                 words = (text.as_py() or "").lower().split()
-                n.update(p for p in zip(words, words[1:]) if p in wanted)
-        yield pa.RecordBatch.from_pydict({"pattern": pa.array([" ".join(p) for p in n], pa.string()),
-                                          "all": pa.array(list(n.values()), pa.int64())})
+                pairs = zip(words, words[1:])
+                n.update(pairs if wanted is None else (p for p in pairs if p in wanted))
+            yield pa.RecordBatch.from_pydict({"pattern": pa.array([" ".join(p) for p in n], pa.string()),
+                                              "all": pa.array(list(n.values()), pa.int64())})
+
+    counted = docs.select("text").mapInArrow(count, "pattern string, all long")
+    if not few:
+        counted = counted.join(patterns, "pattern", "left_semi")
+    return counted.groupBy("pattern").agg(F.sum("all").alias("all"))
+
 
-    return docs.select("text").mapInArrow(count, "pattern string, all long").groupBy("pattern").agg(F.sum("all").alias("all"))
+def _precise(docs: DataFrame, confident: DataFrame) -> DataFrame:
+    """pattern, kind, share of the stored ``confident`` patterns whose places
+    mostly introduce an instance; of several kinds the best supported."""
+    met = _occurrences(docs, stored(confident.select("pattern").distinct(), "patterns"))
+    passed = confident.join(met, "pattern", "left").filter(
+        F.col("places") >= PRECISION * F.greatest(F.coalesce("all", F.lit(0)), F.lit(1)))
+    best = passed.groupBy("pattern").agg(F.min(F.struct((-F.col("instances")).alias("i"), "kind", "share")).alias("b"))
+    return best.select("pattern", "b.kind", "b.share")
 
 
 def learn(docs: DataFrame, rounds: int = ROUNDS) -> Model:
@@ -203,25 +224,21 @@ def learn(docs: DataFrame, rounds: int = ROUNDS) -> Model:
     edges = stored(_edges(docs), "pattern-edges")
     trusted = edges.filter("kind is not null").select("instance", "kind").distinct()
     seeds, most = trusted, 0
-    good: dict = {}
+    good = None
     for _ in range(rounds):
         confident = stored(_confident(edges, trusted), "confident-patterns")
-        rows = confident.orderBy(F.desc("instances"), "pattern", "kind").limit(MAX_PATTERNS).collect()
-        if not rows:
+        if confident.isEmpty():
             break
-        seen = {r["pattern"]: r["all"] for r in _occurrences(docs, sorted({r["pattern"] for r in rows})).collect()}
-        good = {r["pattern"]: (r["kind"], r["share"]) for r in reversed(rows)
-                if r["places"] >= PRECISION * max(seen.get(r["pattern"], 0), 1)}
-        if not good or len(good) == most:
+        good = stored(_precise(docs, confident), "precise-patterns")
+        if (n := good.count()) in (0, most):
             break
-        most = len(good)
-        scored = docs.sparkSession.createDataFrame([(p, k, float(s)) for p, (k, s) in good.items()], "pattern string, kind string, share double")
+        most = n
         # noisy-or of the patterns that hold an instance
-        new = (edges.select("pattern", "instance").join(scored, "pattern").groupBy("instance", "kind")
+        new = (edges.select("pattern", "instance").join(good, "pattern").groupBy("instance", "kind")
                .agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("share"), F.lit(1e-6)))))).alias("score"))
                .filter(F.col("score") >= CONFIDENCE).select("instance", "kind"))
         trusted = stored(seeds.union(new.join(seeds, "instance", "left_anti")).distinct(), "trusted")
-    return Model({p: k for p, (k, _) in good.items()})
+    return Model({r["pattern"]: r["kind"] for r in good.collect()} if good is not None else {})
 
 
 def find(docs: DataFrame, model: Model) -> DataFrame:

@@ -72,6 +72,22 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert clean[None]["text"] == "mail me at [EMAIL]" and clean[50]["text"] is None
 
 
+def test_precise_patterns_pass_whatever_chance_contexts_rank_before(spark, monkeypatch):
+    """10,001 well supported contexts that fail the precision test, and one
+    rarer that passes; counted either way."""
+    rows = [(f"the c{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}", "secret", 0.9, 9, 9) for i in range(10_001)]
+    confident = spark.createDataFrame(rows + [("my key:", "secret", 1.0, 5, 5)], "pattern string, kind string, share double, instances long, places long")
+    docs = spark.createDataFrame([(" ".join(f"{r[0]} x" for r in rows[k::50]) + " my key: v",) for k in range(50)] * 20, "text string")
+    confident = confident.union(spark.createDataFrame([("my rare:", "email", 1.0, 5, 5), ("my rare:", "ip", 0.9, 7, 7)], confident.schema))
+    for sent in (pii.SENT_PATTERNS, 10):
+        monkeypatch.setattr(pii, "SENT_PATTERNS", sent)
+        got = {tuple(r) for r in pii._precise(docs, confident).collect()}
+        assert got == {("my rare:", "ip", 0.9)}
+    some = docs.limit(5)
+    assert ("my key:", "secret", 1.0) in {tuple(r) for r in pii._precise(some, confident).collect()}
+    assert not hasattr(pii, "MAX_PATTERNS")
+
+
 def test_pii_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     model = pii.learn(docs)
