@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from promptlens.llm import binpack, bitpack, decontaminate, htmltext, jaccard, langid, lm, pii, topk, toxicity
+from promptlens.llm import binpack, bitpack, chat, decontaminate, htmltext, jaccard, langid, lm, merkle, pii, topk, toxicity, whiten
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_winnowing": decontaminate.op8_winnowing,
     "op9_top_k": topk.op9_top_k,
     "op10_jaccard": jaccard.op10_jaccard,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_chat_format": chat.op12_chat_format,
+    "op13_whiten": whiten.op13_whiten,
 }
 ORACLE = {
     "op10_jaccard": jaccard.OP10_SQL,
+    "op11_merkle_manifest": merkle.OP11_SQL,
+    "op12_chat_format": chat.OP12_SQL,
     "op8_winnowing": decontaminate.OP8_SQL,
     "op9_top_k": topk.OP9_SQL,
 }
