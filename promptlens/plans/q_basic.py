@@ -12,9 +12,12 @@ from promptlens.functions import text as T
 from promptlens.functions import vector as VX
 from promptlens.plans import views as V
 from promptlens.plans.registry import register
+from promptlens.session import scratch_path
 from promptlens.sources import io as IO
+from promptlens.sources.vectortable import VectorTable
 
 FETCH_LO, FETCH_HI = 100, 200
+ROWS_PER_BUCKET = 64  # indices per bucket of the range layout; small, so that the test tables have several
 
 
 def _r6(df, cols):
@@ -23,7 +26,7 @@ def _r6(df, cols):
 
 @register("src_pairs", V.oracle("SELECT original_index, prompt, output FROM pairs", ["pairs"]))
 def q_src_pairs(spark, d):
-    path = IO.scratch(spark, "pairs-csv")
+    path = scratch_path(spark, "pairs-csv")
     IO.write_pairs_csv(V.pairs(spark, d), path)
     return IO.read_pairs(spark, path)
 
@@ -31,7 +34,7 @@ def q_src_pairs(spark, d):
 @register("src_embeddings", V.oracle("""
 SELECT vec_id, label, len(embedding) AS dims, round(list_sum(embedding), 6) AS vsum FROM emb""", ["emb"]))
 def q_src_embeddings(spark, d):
-    path = IO.scratch(spark, "emb") + ".jsonl"
+    path = scratch_path(spark, "emb") + ".jsonl"
     e = V.emb(spark, d)
     e.select("vec_id", "label", F.to_json("embedding").alias("embedding")).write.json(path)
     r = IO.read_embeddings(spark, path, schema="vec_id long, label int, embedding string")
@@ -43,7 +46,7 @@ def q_src_embeddings(spark, d):
 SELECT text_hash, vec_id, embedding_dim::BIGINT AS embedding_dim, round(list_sum(embedding), 6) AS vsum FROM cache""",
                                 ["cache"]))
 def q_src_cache(spark, d):
-    path = IO.scratch(spark, "cache")
+    path = scratch_path(spark, "cache")
     IO.write_cache(V.cache(spark, d), path)
     c = IO.read_cache(spark, path)
     return _r6(c.select("text_hash", "vec_id", F.col("embedding_dim").cast("long").alias("embedding_dim"),
@@ -53,7 +56,7 @@ def q_src_cache(spark, d):
 @register("cache_roundtrip", V.oracle("""
 SELECT text_hash, vec_id, round(list_sum(embedding), 6) AS vsum FROM cache""", ["cache"]))
 def q_cache_roundtrip(spark, d):
-    path = IO.scratch(spark, "cache") + ".jsonl"
+    path = scratch_path(spark, "cache") + ".jsonl"
     IO.write_cache(V.cache(spark, d), path, fmt="jsonl")
     c = IO.read_cache(spark, path)
     return _r6(c.select("text_hash", "vec_id", VX.vec_sum("embedding").alias("vsum")), ["vsum"])
@@ -70,7 +73,7 @@ SELECT count(*) AS rows, count_if(embedding IS NULL) AS missing_embedding, count
        count_if(output IS NULL) AS missing_output, count_if(embedding IS NOT NULL AND prompt IS NOT NULL) AS usable
 FROM corpus""", ["corpus"]))
 def q_training_required_fields(spark, d):
-    path = IO.scratch(spark, "train") + ".jsonl"
+    path = scratch_path(spark, "train") + ".jsonl"
     IO.write_training(_training(spark, d), path)
     return IO.required_fields_report(IO.read_training(spark, path))
 
@@ -78,7 +81,7 @@ def q_training_required_fields(spark, d):
 @register("training_roundtrip", V.oracle("""
 SELECT original_index, prompt, output, round(list_sum(embedding), 6) AS vsum FROM corpus""", ["corpus"]))
 def q_training_roundtrip(spark, d):
-    path = IO.scratch(spark, "train-pq")
+    path = scratch_path(spark, "train-pq")
     IO.write_training(_training(spark, d), path, fmt="parquet")
     t = IO.usable_training(IO.read_training(spark, path, fmt="parquet"))
     return _r6(t.select("original_index", "prompt", "output", VX.vec_sum("embedding").alias("vsum")), ["vsum"])
@@ -87,7 +90,7 @@ def q_training_roundtrip(spark, d):
 @register("results_roundtrip", V.oracle("""
 SELECT original_index, success, toxic FROM results""", ["results"]))
 def q_results_roundtrip(spark, d):
-    path = IO.scratch(spark, "results") + ".jsonl"
+    path = scratch_path(spark, "results") + ".jsonl"
     IO.write_results(V.results(spark, d).select("original_index", "success", "toxic"), path)
     return spark.read.schema("original_index long, success boolean, toxic int").json(path)
 
@@ -123,9 +126,10 @@ SELECT id, original_index AS index, prompt, output, tokens, type, round(list_sum
 FROM rec WHERE type = 'train' AND original_index >= {FETCH_LO} AND original_index < {FETCH_HI}""",
                                     ["corpus"], [_REC_SQL]))
 def q_fetch_vectors(spark, d):
-    path = IO.scratch(spark, "vectors")
-    _records(spark, d).write.parquet(path)
-    f = IO.fetch_vectors(spark.read.parquet(path), FETCH_LO, FETCH_HI, "train")
+    rec = _records(spark, d)
+    table = VectorTable(spark, scratch_path(spark, "vectors")).create(rec.schema, "id", ROWS_PER_BUCKET, "range", "index")
+    table.upsert(rec)
+    f = IO.fetch_vectors(table.fetch(FETCH_LO, FETCH_HI), FETCH_LO, FETCH_HI, "train")
     return _r6(f.select("id", "index", "prompt", "output", "tokens", "type",
                         VX.vec_sum("embedding").alias("vsum")), ["vsum"])
 
@@ -155,10 +159,10 @@ def q_vector_upsert(spark, d):
     second = c.join(langs, "vec_id").where(F.col("lang") == "en").select(
         F.concat(F.lit("doc-"), F.col("vec_id").cast("string")).alias("id"),
         F.transform("embedding", lambda x: -x).alias("values"), F.lit("second").alias("src"))
-    root = IO.scratch(spark, "vec-table")
-    IO.upsert_vectors(spark, root, first, IO.scratch(spark, "stage"))
-    IO.upsert_vectors(spark, root, second, IO.scratch(spark, "stage"))
-    t = spark.read.parquet(root)
+    table = VectorTable(spark, scratch_path(spark, "vec-table")).create(first.schema, "id", buckets=16)
+    table.upsert(first)
+    table.upsert(second)
+    t = table.read()
     return _r6(t.select("id", VX.vec_sum("values").alias("vsum"), "src"), ["vsum"])
 
 
@@ -176,7 +180,7 @@ def q_report_roundtrip(spark, d):
     cols = r.columns
     long = r.selectExpr("stack(%d, %s) as (metric, value)" % (
         len(cols), ", ".join(f"'{c}', cast({c} as bigint)" for c in cols)))
-    path = IO.scratch(spark, "report") + ".json"
+    path = scratch_path(spark, "report") + ".json"
     IO.write_report(long, path)
     back = spark.read.schema("metric string, value long, generated_at timestamp").json(path)
     return back.select("metric", "value")

@@ -30,7 +30,8 @@ VECTOR_SCHEMA = T.StructType([
         T.StructField("output", T.StringType()),
         T.StructField("prompt", T.StringType()),
         T.StructField("tokens", T.IntegerType()),
-        T.StructField("type", T.StringType())]))])
+        T.StructField("type", T.StringType())])),
+    T.StructField("index", T.LongType())])
 
 REQUIRED_TRAINING_FIELDS = ["embedding", "prompt", "output"]
 HASH_BUCKET_CHARS = 2  # 256 buckets from the first two hex digits of the hash
@@ -43,9 +44,11 @@ def write_pairs_csv(df: DataFrame, path: str) -> None:
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header; quoted multi-line text; an empty field is null."""
-    return (spark.read.schema(PAIRS_SCHEMA).option("header", True).option("multiLine", True)
-            .option("escape", '"').csv(path))
+    """CSV with a header; quoted multi-line text; an empty field is null. Such
+    a file cannot be split, so its rows are dealt over all tasks once read."""
+    pairs = (spark.read.schema(PAIRS_SCHEMA).option("header", True).option("multiLine", True)
+             .option("escape", '"').csv(path))
+    return pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 # ----------------------------------------------------------------- embeddings
@@ -53,7 +56,11 @@ def read_embeddings(spark: SparkSession, path: str, key: str = "embedding",
                     schema: T.StructType | None = None) -> DataFrame:
     """Dispatch on suffix: .json (one JSON document), .jsonl (one object per
     line), anything else CSV. Rows without ``key`` are dropped; a vector
-    given as JSON text is parsed to ``ARRAY<DOUBLE>``."""
+    given as JSON text is parsed to ``ARRAY<DOUBLE>``. Vectors with null, NaN
+    or infinite components stay: ``vectors.validate_dims`` counts them and
+    ``vectors.invalid_dims`` lists them. A .json document and a CSV file with
+    line breaks in fields are one task each to read; the rows are dealt anew
+    afterwards, so that what follows is not."""
     low = path.rstrip("/").lower()
     if low.endswith(".jsonl"):
         r = spark.read.schema(schema) if schema else spark.read
@@ -64,6 +71,8 @@ def read_embeddings(spark: SparkSession, path: str, key: str = "embedding",
     else:
         r = spark.read.schema(schema) if schema else spark.read.option("inferSchema", False)
         df = r.option("header", True).option("escape", '"').csv(path)
+    if not low.endswith(".jsonl"):
+        df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     if isinstance(df.schema[key].dataType, T.StringType):
         df = df.withColumn(key, F.from_json(F.col(key), "array<double>"))
     else:
@@ -84,7 +93,9 @@ def write_cache(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     if fmt == "jsonl":
         x.write.mode("overwrite").json(path)
     else:
-        x.withColumn("bucket", hash_bucket()).write.mode("overwrite").partitionBy("bucket").parquet(path)
+        # a bucket is one task's, so it becomes one file and not one per task
+        dealt = x.withColumn("bucket", hash_bucket()).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket")
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def read_cache(spark: SparkSession, path: str, order: str = "vec_id") -> DataFrame:
@@ -134,22 +145,23 @@ def required_fields_report(df: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------- vector table
 def vector_records(df: DataFrame, kind: str | None = None, kind_col: str | None = None,
                    index: str = "original_index") -> DataFrame:
-    """``id = '<type>-<index>'`` with a metadata struct."""
+    """``id = '<type>-<index>'`` with a metadata struct; ``index`` is carried
+    as a number too, so that ranges of it are found without parsing ids."""
     typ = F.col(kind_col) if kind_col else F.lit(kind)
     return df.select(
         F.concat(typ, F.lit("-"), F.col(index).cast("string")).alias("id"),
         F.col("embedding").alias("values"),
         F.struct(F.col("output"), F.col("prompt"), F.col("tokens").cast("int").alias("tokens"),
-                 typ.alias("type")).alias("metadata"))
+                 typ.alias("type")).alias("metadata"),
+        F.col(index).cast("long").alias("index"))
 
 
 def fetch_vectors(table: DataFrame, id_lo: int, id_hi: int, kind: str) -> DataFrame:
-    """Records of ``kind`` whose numeric id suffix is in [id_lo, id_hi);
-    only existing ids come back; metadata is flattened. The type filter is a
-    nested-field predicate Parquet can push down."""
-    idx = F.element_at(F.split(F.col("id"), "-"), -1).cast("long")
-    x = table.where((F.col("metadata.type") == kind) & (idx >= id_lo) & (idx < id_hi))
-    return x.select("id", idx.alias("index"), F.col("values").alias("embedding"),
+    """Records of ``kind`` whose index is in [id_lo, id_hi); only existing ids
+    come back; metadata is flattened. Both filters reach the Parquet reader
+    (see :meth:`vectortable.VectorTable.fetch` for a table laid out by index)."""
+    x = table.where((F.col("metadata.type") == kind) & (F.col("index") >= id_lo) & (F.col("index") < id_hi))
+    return x.select("id", "index", F.col("values").alias("embedding"),
                     "metadata.prompt", "metadata.output", "metadata.tokens", "metadata.type")
 
 
@@ -157,29 +169,6 @@ def format_training(fetched: DataFrame) -> DataFrame:
     return fetched.select("embedding", "prompt", "output", "tokens", "id")
 
 
-def upsert_vectors(spark: SparkSession, root: str, batch: DataFrame, staging: str,
-                   replace_all: bool = False, key: str = "id") -> None:
-    """Insert-or-replace by ``key`` into a parquet table partitioned by key
-    bucket. Only buckets the batch touches are read (dynamic partition
-    pruning on the semi-join) and rewritten (dynamic partition overwrite);
-    merged buckets are staged first, so the table path is never read and
-    written by the same job. Re-applying the same batch gives the same
-    table. ``replace_all`` clears the table."""
-    b = batch.withColumn("bucket", F.substring(F.md5(F.col(key).cast("string")), 1, HASH_BUCKET_CHARS))
-    if replace_all or not _exists(spark, root):
-        b.write.mode("overwrite").partitionBy("bucket").parquet(root)
-        return
-    cur = spark.read.parquet(root)
-    touched = b.select("bucket").distinct()
-    old = cur.join(touched, "bucket", "left_semi").withColumn("_prio", F.lit(0))
-    new = b.withColumn("_prio", F.lit(1))
-    merged = last_wins(old.unionByName(new.select(*old.columns)), key, "_prio").drop("_prio")
-    merged.write.mode("overwrite").partitionBy("bucket").parquet(staging)
-    staged = spark.read.parquet(staging)
-    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("bucket").parquet(root))
-
-
 def write_results(df: DataFrame, path: str) -> None:
     """One JSON object per line (the single-array form needs one writer and
     is not offered)."""
@@ -188,9 +177,3 @@ def write_results(df: DataFrame, path: str) -> None:
 
 def write_report(df: DataFrame, path: str) -> None:
     df.withColumn("generated_at", F.current_timestamp()).write.mode("overwrite").json(path)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    from promptlens.session import scratch_path
-    return scratch_path(spark, name)
-

@@ -3,9 +3,9 @@
 * resumable embedding: file stream -> provider -> foreachBatch append; the
   streaming checkpoint replaces the reference's progress file, so a restart
   resumes after the last committed micro-batch.
-* streaming upsert: each micro-batch is merged into a keyed vector table
-  (latest wins) by rewriting only the hash buckets it touches, and is
-  committed by batch id, so a replayed batch is a no-op.
+* streaming upsert: each micro-batch becomes the next version of a keyed
+  vector table (latest wins): only the buckets it touches are written, once,
+  and the version carries the batch id, so a replayed batch is a no-op.
 * streaming dedupe: ``dropDuplicates`` on the text hash (state = seen hashes).
 * rate monitor: watermark + sliding / tumbling event-time windows, emitted in
   update mode and merged per window key by foreachBatch.
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from promptlens.operators.embed import EmbeddingProvider, embed_texts
 from promptlens.operators.incremental import last_wins
 from promptlens.session import scratch_path
+from promptlens.sources.vectortable import VectorTable, open_or_create
 
 
 def split_to_files(df: DataFrame, path: str, order: str, parts: int) -> str:
@@ -62,39 +63,31 @@ def stream_embed(spark: SparkSession, src: str, schema, out: str, key: str, text
     return spark.read.parquet(out)
 
 
-def upsert_batch(spark: SparkSession, table_root: str, batch: DataFrame, key: str,
-                 batch_id: int) -> None:
-    """Merge one micro-batch into the keyed table: only the hash buckets the
-    batch touches are rewritten. A commit marker per batch id makes a replay
-    a no-op; a crash between the write and the marker is also safe, because
-    re-applying the same batch yields the same buckets."""
-    from promptlens.sources.io import upsert_vectors
-    marker = os.path.join(table_root + "-commits", f"batch={batch_id}")
-    if _exists(marker):
-        return
-    upsert_vectors(spark, table_root, batch, scratch_path(spark, "upsert-stage"), key=key)
-    spark.createDataFrame([(batch_id,)], "batch_id long").write.mode("overwrite").parquet(marker)
-
-
-def _exists(path: str) -> bool:
-    from pyspark.sql import SparkSession as _S
-    spark = _S.getActiveSession()
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def upsert_batch(spark: SparkSession, table_root: str, batch: DataFrame, key: str, batch_id: int,
+                 order: str | None = None, buckets: int = 64) -> int:
+    """Merge one micro-batch into the versioned table: its buckets are written
+    once and the next version is put in place with the batch's number, so a
+    replay is a no-op and a crash before that leaves the table as it was."""
+    rows = batch.drop(order) if order else batch
+    table = open_or_create(spark, table_root, rows.schema, key, buckets=buckets)
+    return table.upsert(batch, order=order, source="stream", batch_id=batch_id)
 
 
 def current_version(spark: SparkSession, table_root: str) -> DataFrame:
-    return spark.read.parquet(table_root).drop("bucket")
+    return VectorTable(spark, table_root).read()
 
 
 def stream_upsert(spark: SparkSession, src: str, schema, table_root: str, key: str,
                   value_cols: list[str], max_files: int = 8) -> DataFrame:
+    """Each micro-batch, the latest ``_order`` of a key first, into the table;
+    returns the table at the version that the stream has reached."""
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
               .option("recursiveFileLookup", "true").parquet(src))
 
+    open_or_create(spark, table_root, stream.select(key, *value_cols).schema, key)
+
     def sink(batch: DataFrame, batch_id: int) -> None:
-        b = last_wins(batch.select(key, *value_cols, "_order"), key, "_order").drop("_order")
-        upsert_batch(spark, table_root, b, key, batch_id)
+        upsert_batch(spark, table_root, batch.select(key, *value_cols, "_order"), key, batch_id, order="_order")
 
     q = (stream.writeStream.foreachBatch(sink).trigger(availableNow=True)
          .option("checkpointLocation", table_root + "-checkpoint").start())
