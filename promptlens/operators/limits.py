@@ -48,7 +48,7 @@ def rate_limit_rpm(log: DataFrame, keys: list[str], limit: int, ts: str = "us",
     """Requests in the last 60 s before each request (peers included);
     throttled when that prior count reaches ``limit``; wait = 60 s minus the
     age of the oldest request in the window."""
-    r = rolling_range(log, keys, ts, MINUTE_US, id_col)
+    r = rolling_range(log.select(id_col, *keys, ts), keys, ts, MINUTE_US)
     prior = F.col("win_count") - 1
     throttled = prior >= F.lit(limit)
     return r.select(id_col, *keys, prior.alias("prior_requests"), throttled.alias("throttled"),
@@ -60,7 +60,7 @@ def rate_limit_tokens(log: DataFrame, keys: list[str], daily_limit: int | None,
                       ts: str = "us", tokens: str = "tokens", id_col: str = "event_id") -> DataFrame:
     """24 h token sum of earlier requests plus this request's estimate
     against the daily limit; a null limit never triggers."""
-    r = rolling_range(log, keys, ts, DAY_US, id_col, value=tokens, with_oldest=False)
+    r = rolling_range(log.select(id_col, *keys, ts, tokens), keys, ts, DAY_US, value=tokens, with_oldest=False)
     prior = F.col("win_sum") - F.col(tokens)
     lim = F.lit(daily_limit).cast("long")
     exceeds = F.coalesce(prior + F.col(tokens) > lim, F.lit(False))
@@ -72,7 +72,7 @@ def endpoint_violations(log: DataFrame, limits: DataFrame, key: str = "client",
                         id_col: str = "event_id") -> DataFrame:
     """Per (client, endpoint) minute counts against the endpoint's limit.
     ``limits`` has one row per endpoint; Spark picks the join by its size."""
-    r = rolling_range(log, [key, endpoint], ts, MINUTE_US, id_col, with_oldest=False)
+    r = rolling_range(log.select(id_col, key, endpoint, ts), [key, endpoint], ts, MINUTE_US, with_oldest=False)
     j = r.join(limits, endpoint, "left")
     prior = F.col("win_count") - 1
     return j.select(id_col, key, endpoint, F.col("limit_per_minute"),
@@ -116,20 +116,20 @@ def tier_violations(log: DataFrame, client_tiers: DataFrame, spark: SparkSession
     the last minute and day. Requests count without the present one, tokens
     with it; a null limit never triggers, a client of an unknown tier has no
     row (see ``tier_rejects``)."""
-    minute = rolling_range(log, [key], ts, MINUTE_US, id_col, value=tokens, with_oldest=False)
-    day = rolling_range(log.select(id_col, key, ts, tokens), [key], ts, DAY_US, id_col, value=tokens, with_oldest=False)
-    day = day.select(id_col, (F.col("win_count") - 1).alias("day_requests"), F.col("win_sum").alias("day_tokens"))
+    minute = rolling_range(log.select(id_col, key, ts, tokens), [key], ts, MINUTE_US, value=tokens, with_oldest=False)
+    minute = minute.withColumnsRenamed({"win_count": "minute_count", "win_sum": "minute_tokens"})
+    both = rolling_range(minute, [key], ts, DAY_US, value=tokens, with_oldest=False)
     limits = client_tiers.select(key, tier_col).join(F.broadcast(tiers(spark)), "tier" if tier_col == "tier" else
                                                      F.col(tier_col) == F.col("tier"))  # 6 tiers
-    j = minute.join(day, id_col).join(limits, key)
+    j = both.join(limits, key)
     over = lambda used, limit: F.coalesce(used, F.lit(False)).alias(limit)
-    prior = F.col("win_count") - 1
-    return j.select(id_col, key, "tier", prior.alias("minute_requests"), "day_requests",
-                    F.col("win_sum").alias("minute_tokens"), "day_tokens",
-                    over(prior >= F.col("requests_per_minute"), "over_rpm"),
-                    over(F.col("day_requests") >= F.col("requests_per_day"), "over_rpd"),
-                    over(F.col("win_sum") > F.col("tokens_per_minute"), "over_tpm"),
-                    over(F.col("day_tokens") > F.col("tokens_per_day"), "over_tpd"))
+    minute_requests, day_requests = F.col("minute_count") - 1, F.col("win_count") - 1
+    return j.select(id_col, key, "tier", minute_requests.alias("minute_requests"), day_requests.alias("day_requests"),
+                    "minute_tokens", F.col("win_sum").alias("day_tokens"),
+                    over(minute_requests >= F.col("requests_per_minute"), "over_rpm"),
+                    over(day_requests >= F.col("requests_per_day"), "over_rpd"),
+                    over(F.col("minute_tokens") > F.col("tokens_per_minute"), "over_tpm"),
+                    over(F.col("win_sum") > F.col("tokens_per_day"), "over_tpd"))
 
 
 def validate_concurrency(df: DataFrame, tier: str = "tier", concurrent: str = "max_concurrent",
