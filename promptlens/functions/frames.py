@@ -52,51 +52,55 @@ def with_row_index(df: DataFrame, order_cols: list, name: str = "row_index",
     return out.withColumn(name, (F.col("_off") + F.col("_pos")).cast("long")).drop("_b", "_pos", "_off", tag)
 
 
-#: Value ranges per group from which a median's neighbourhood is cut out.
-VALUE_BUCKETS = 4096
-
+def value_counts(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """(keys, _v, _n, _at): how often each value occurs in each group, nulls
+    left out, written once in the order of (keys, _v), where ``_at`` numbers
+    the slices of that order. Slices hold about as many distinct values each,
+    so neither a hot value or group nor one far extreme makes a large one."""
+    base = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    counts = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    dealt = counts.repartitionByRange(_num_partitions(df, None), *keys, "_v").sortWithinPartitions(*keys, "_v")
+    return written(dealt.withColumn("_at", F.shiftright(F.monotonically_increasing_id(), 33)), "value-counts")
 
-def _value_bucket(v: Column, lo: Column, hi: Column) -> Column:
-    """Order-preserving bucket of a value between its group's extremes."""
-    width = hi - lo
-    flat = (width <= 0) | F.isnan(width) | (F.abs(width) == float("inf"))
-    return F.when(flat, F.lit(0)).otherwise(
-        F.least(F.floor((v - lo) / F.nullif(width, F.lit(0.0)) * VALUE_BUCKETS), F.lit(VALUE_BUCKETS - 1))).cast("int")
 
+def grouped_summary(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
+    """keys, n, mean, std (population), min, max and exact median (mean of the
+    two middle values) of ``value`` per group, nulls left out.
 
-def grouped_median(df: DataFrame, value: str, keys: list[str] | None = None, out: str = "median") -> DataFrame:
-    """Exact median (mean of the two middle values) per group.
-
-    Values are counted first, with map-side partial counts, so repeated
-    values cost one row however hot they or their group are. Each group's
-    range is cut into ``VALUE_BUCKETS`` equal value ranges; the running total
-    of the ranges (at most that many rows per group) says in which one or two
-    the middle places lie, and only the distinct values of those are ordered.
+    Everything comes from the written :func:`value_counts`, so the input is
+    read for them and for the borders of their slices only. A group's running
+    total over its slices (a row each) tells in which one or two the middle
+    places lie; only these are ordered by value, slice by slice.
     """
-    keys = list(keys or [])
-    base = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    if not keys:
-        base = base.withColumn("_g", F.lit(0))
-    gk = keys or ["_g"]
-    same = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in gk]
-    counts = base.groupBy(*gk, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    ends = counts.groupBy(*gk).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
-    if keys:
-        x = counts.alias("x").join(ends.alias("y"), same).select(*[F.col(f"x.{k}") for k in gk], "_v", "_n", "_total", "_lo", "_hi")
-    else:  # one row of extremes
-        x = counts.select("_g", "_v", "_n", *(ends.select(c).scalar().alias(c) for c in ("_total", "_lo", "_hi")))
-    x = x.select(*gk, "_v", "_n", "_total", _value_bucket(F.col("_v"), F.col("_lo"), F.col("_hi")).alias("_b"))
+    gk = list(keys or [])
+    if not gk:
+        df, gk = df.withColumn("_g", F.lit(0)), ["_g"]
+    counts = value_counts(df, value, gk)
+    group = Window.partitionBy(*gk).orderBy("_at")
+    slices = counts.groupBy(*gk, "_at").agg(F.sum("_n").alias("_in"))
+    slices = slices.select(*gk, "_at", (F.sum("_in").over(group) - F.col("_in")).alias("_before"),
+                           F.col("_in"), F.sum("_in").over(Window.partitionBy(*gk)).alias("_total"))
     lo, hi = F.floor((F.col("_total") - 1) / 2), F.ceil((F.col("_total") - 1) / 2)
-    ranges = x.groupBy(*gk, "_b").agg(F.sum("_n").alias("_in"), F.max("_total").alias("_t"))
-    before = F.sum("_in").over(Window.partitionBy(*gk).orderBy("_b")) - F.col("_in")
-    ranges = ranges.withColumn("_before", before)
-    last = F.floor((F.col("_t") - 1) / 2), F.ceil((F.col("_t") - 1) / 2)
-    middle = ranges.where((F.col("_before") <= last[1]) & (F.col("_before") + F.col("_in") > last[0]))
-    near = x.alias("x").join(middle.alias("y"), [*same, F.col("x._b") == F.col("y._b")]).select(
-        *[F.col(f"x.{k}") for k in gk], F.col("x._b").alias("_b"), "_v", "_n", "_total", "_before")
-    upto = F.sum("_n").over(Window.partitionBy(*gk, "_b").orderBy("_v")) + F.col("_before")
+    middle = slices.where((F.col("_before") <= hi) & (F.col("_before") + F.col("_in") > lo))
+    same = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in gk]
+    near = counts.alias("x").join(middle.alias("y"), [*same, F.col("x._at") == F.col("y._at")]).select(
+        *[F.col(f"x.{k}") for k in gk], F.col("x._at").alias("_at"), "_v", "_n", "_before", "_total")
+    upto = F.sum("_n").over(Window.partitionBy(*gk, "_at").orderBy("_v")) + F.col("_before")
     near = near.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_n"))
     holds = lambda place: ((F.col("_from") <= place) & (F.col("_upto") > place)).cast("int")
-    weight = holds(lo) + holds(hi)
-    res = near.where(weight > 0).groupBy(*gk).agg((F.sum(F.col("_v") * weight) / 2).alias(out))
-    return res.drop("_g") if not keys else res
+    median = near.groupBy(*gk).agg((F.sum(F.col("_v") * (holds(lo) + holds(hi))) / 2).alias("median"))
+    n = F.sum("_n")
+    moments = counts.groupBy(*gk).agg(n.alias("n"), (F.sum(F.col("_v") * F.col("_n")) / n).alias("mean"),
+                                      F.min("_v").alias("min"), F.max("_v").alias("max"))
+    centred = counts.alias("x").join(moments.alias("y"), same).select(*[F.col(f"x.{k}") for k in gk], "_n", (F.col("_v") - F.col("mean")).alias("_d"))
+    spread = centred.groupBy(*gk).agg(F.sqrt(F.sum(F.col("_n") * F.col("_d") * F.col("_d")) / F.sum("_n")).alias("std"))
+    out = moments
+    for part in (spread, median):
+        part = part.select(*[F.col(k).alias(f"_{k}") for k in gk], part.columns[-1])
+        out = out.join(part, [out[k].eqNullSafe(part[f"_{k}"]) for k in gk]).drop(*[f"_{k}" for k in gk])
+    return out.select(*(keys or []), "n", "mean", "std", "min", "max", "median")
+
+
+def grouped_median(df: DataFrame, value: str, keys: list[str] | None = None, out: str = "median") -> DataFrame:
+    """Exact median per group, see :func:`grouped_summary`."""
+    return grouped_summary(df, value, keys).select(*(keys or []), F.col("median").alias(out))

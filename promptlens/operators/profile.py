@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptlens.functions import text as T
-from promptlens.functions.frames import grouped_median
+from promptlens.functions.frames import grouped_summary
 
 
 def profile_counts(df: DataFrame) -> DataFrame:
@@ -85,13 +85,10 @@ def output_flags(df: DataFrame) -> DataFrame:
 def sentence_stats(df: DataFrame) -> DataFrame:
     """Mean and exact median of sentences per output (null outputs skipped).
 
-    The median is a sort-based exact median, so no task holds every value."""
+    Both come from the counts of the values, see ``grouped_summary``."""
     s = df.select(T.sentence_count("output").alias("sentences"))
-    mean = s.agg(F.avg("sentences").alias("avg_sentences_per_output"))
-    med = grouped_median(s, "sentences", out="median_sentences_per_output")
-    return mean.select("avg_sentences_per_output",
-                       med.select("median_sentences_per_output").scalar()
-                       .alias("median_sentences_per_output"))
+    told = grouped_summary(s, "sentences").select("mean", "median")
+    return told.groupBy().agg(F.max("mean").alias("avg_sentences_per_output"), F.max("median").alias("median_sentences_per_output"))
 
 
 def length_histogram(df: DataFrame, column: str = "prompt", bins: int = 50) -> DataFrame:
