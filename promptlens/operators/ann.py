@@ -1,75 +1,241 @@
-"""Approximate top-k nearest neighbours by cell probing (inverted file).
-
-1. Pivots: the ``n_cells`` corpus vectors with the smallest md5 of seed and
-   id, a choice that every run and every plan makes alike. Only the pivot
-   matrix (n_cells x dim, a size fixed by a parameter) is shipped to tasks.
-2. Every corpus vector belongs to the cell of its nearest pivot.
-3. Every target probes the cells of its ``n_probe`` nearest pivots.
-4. A target meets only the corpus rows of its probed cells. Both sides of a
-   cell are dealt into sub-blocks of about ``block_rows`` rows (sizes from
-   per-cell counts), so a cell that holds a third of the corpus, or that every
-   target probes, is spread over many tasks of bounded size.
-5. Each pair of sub-blocks keeps k per target; the final rank uses the exact
-   tie-break of the exact operator.
-
-Work is about targets x corpus x n_probe / n_cells instead of targets x corpus.
+"""Approximate top-k nearest neighbours: a two-level tree of cells with
+quantised residuals and an exact re-rank (V-04, J-05, F-06).
+
+1. Tree. The corpus gets about the root of its rows as cells and about the
+   fourth root as upper nodes: the vectors with the smallest md5 of seed and
+   id, moved once to the mean of the sampled vectors that are nearest to them.
+   A cell hangs below its nearest upper node. The tree is of a bounded size
+   (``TREE_BYTES``), whatever the corpus, and goes to the tasks.
+2. A vector visits its ``VISITED`` nearest upper nodes only. A corpus vector is
+   put into its nearest cell below them, and into up to ``SPILL`` - 1 more ones
+   that are nearly as near (``MARGIN``); a target probes its nearest quarter of
+   the cells.
+3. Corpus vectors travel as residuals to their cell's centre, one byte a
+   component, with the norm of what the bytes leave out. So a block's product
+   gives each pair an interval that holds the cosine, and a target keeps every
+   row that can still be among its k best.
+4. What is left, a few rows more than k per target, is scored by the vectors
+   themselves. The result is that of an exact search of the probed cells.
+
+Cells are dealt into sub-blocks of about ``block_rows`` rows on both sides
+(sizes from per-cell counts), so a cell that holds a third of the corpus, or
+that every target probes, is spread over many tasks of bounded size.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+from functools import cached_property
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptlens.functions import vector as VX
-from promptlens.operators.vectors import _TOPK_SCHEMA, _block_topk
+from promptlens.functions.frames import written
+
+#: Bytes of all cell centres; more rows than this leaves room for make larger cells.
+TREE_BYTES = 64 << 20
+#: Sampled rows per cell from which centres are moved.
+SAMPLE_PER_CELL = 64
+VISITED, SPILL, MARGIN = 4, 6, 0.5
+#: Share of the cells that a target probes.
+PROBED = 0.25
+
+
+#: Scores of vectors against cells that are held at once.
+SCORES_AT_ONCE = 1 << 21
+
+
+@dataclass(frozen=True)
+class CellTree:
+    tops: np.ndarray
+    cells: np.ndarray
+    parent: np.ndarray
+
+    @property
+    def probes(self) -> int:
+        return max(1, int(len(self.cells) * PROBED))
+
+    @cached_property
+    def children(self) -> np.ndarray:
+        """Cells below each upper node, ascending, then -1."""
+        below = [np.flatnonzero(self.parent == u) for u in range(len(self.tops))]
+        out = np.full((len(below), max(map(len, below), default=0)), -1)
+        for u, cells in enumerate(below):
+            out[u, : len(cells)] = cells
+        return out
+
+    def descend(self, vectors: np.ndarray, n: int, margin: float | None = None,
+                visited: int | None = VISITED) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of the up to ``n`` nearest cells of each vector below
+        the upper nodes that it visits (all, if None), within ``margin`` of the
+        nearest; of equally near ones the first."""
+        visited = min(visited or len(self.tops), len(self.tops))
+        step = max(1, SCORES_AT_ONCE // max(1, visited * self.children.shape[1]))
+        parts = [self._descend(vectors[i:i + step], n, margin, visited) for i in range(0, len(vectors), step)]
+        return (np.concatenate([rows + i * step for i, (rows, _) in enumerate(parts)]),
+                np.concatenate([cells for _, cells in parts]))
+
+    def _descend(self, v: np.ndarray, n: int, margin: float | None, visited: int) -> tuple[np.ndarray, np.ndarray]:
+        tops = np.argsort(-np.round(v @ self.tops.T, 9), axis=1, kind="stable")[:, :visited]
+        cells = self.children[tops]
+        near = np.full(cells.shape, -np.inf)
+        for u in np.unique(tops):
+            row, slot = np.nonzero(tops == u)
+            kids = self.children[u][self.children[u] >= 0]
+            near[row, slot, : len(kids)] = np.round(v[row] @ self.cells[kids].T, 9)
+        cells, near = cells.reshape(len(v), -1), near.reshape(len(v), -1)
+        by_cell = np.argsort(cells, axis=1, kind="stable")
+        cells, near = np.take_along_axis(cells, by_cell, 1), np.take_along_axis(near, by_cell, 1)
+        best = np.argsort(-near, axis=1, kind="stable")[:, :n]
+        cells, near = np.take_along_axis(cells, best, 1), np.take_along_axis(near, best, 1)
+        keep = np.isfinite(near)
+        if margin is not None:
+            keep &= near[:, :1] - near <= margin
+        rows, places = np.nonzero(keep)
+        return rows, cells[rows, places]
+
+
+def _digest(key: str, seed: int):
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
 
 
-def pivots(corpus: DataFrame, n_cells: int, seed: int, key: str = "vec_id", vec: str = "cv") -> np.ndarray:
-    """The pivot vectors, nearest ties going to the first (in md5 order)."""
-    order = [F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key)]
-    rows = corpus.orderBy(*order).limit(n_cells).select(vec).collect()
-    return np.array([r[0] for r in rows], dtype=np.float64)
+def _centred(sample: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """Each centre moved to the mean direction of the sampled vectors nearest
+    to it; one that has none stays."""
+    dim = centres.shape[1]
+
+    def add(batches):
+        total, count = np.zeros(centres.shape), np.zeros(len(centres), dtype="i8")
+        for pdf in batches:
+            if len(pdf):
+                v = np.vstack(pdf["cv"].to_numpy())
+                at = np.argmax(np.round(v @ centres.T, 9), axis=1)
+                np.add.at(total, at, v)
+                count += np.bincount(at, minlength=len(centres))
+        hit = np.flatnonzero(count)
+        if len(hit):
+            yield pd.DataFrame({"cell": hit.astype("i4"), "s": list(total[hit])})
+
+    def join(key, pdf):
+        return pd.DataFrame({"cell": [key[0]], "s": [np.sum(np.vstack(pdf["s"].to_numpy()), axis=0)]})
+
+    schema = "cell int, s array<double>"
+    told = sample.select("cv").mapInPandas(add, schema).groupBy("cell").applyInPandas(join, schema)
+    moved = centres.copy()
+    for r in told.collect():
+        length = np.linalg.norm(r["s"])
+        if length > 0:
+            moved[r["cell"]] = np.array(r["s"]) / length
+    return moved.reshape(-1, dim)
+
+
+def cell_tree(c: DataFrame, rows: int, seed: int) -> CellTree:
+    """``c``: (vec_id, cv), unit vectors. At most TREE_BYTES come to the driver."""
+    first = c.select("cv").limit(1).collect()
+    dim = len(first[0][0]) if first else 1
+    n_cells = max(1, min(math.ceil(rows ** 0.5), TREE_BYTES // (8 * dim)))
+    n_tops = max(1, math.ceil(n_cells ** 0.5))
+    share = min(1.0, SAMPLE_PER_CELL * n_cells / max(rows, 1))
+    digest = _digest("vec_id", seed)
+    pivots = np.array([r[0] for r in c.orderBy(digest, "vec_id").limit(n_cells).select("cv").collect()], dtype="f8").reshape(-1, dim)
+    if not len(pivots):
+        return CellTree(np.zeros((0, dim)), np.zeros((0, dim)), np.zeros(0, "i8"))
+    drawn = c.where(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") < int(share * 2 ** 32)) if share < 1 else c
+    tops, cells = _centred(drawn, pivots[:n_tops]), _centred(drawn, pivots)
+    return CellTree(tops, cells, np.argmax(np.round(cells @ tops.T, 9), axis=1))
+
+
+def _quantise(residual: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One byte a component, the step, and an upper bound of the norm left out."""
+    step = np.abs(residual).max(axis=1, initial=0.0) / 127
+    code = np.round(residual / np.where(step > 0, step, 1)[:, None]).astype("i1")
+    left = np.linalg.norm(residual - code * step[:, None], axis=1)
+    return code, step, left * (1 + 1e-9) + 1e-12
+
+
+def _bounds(tree: CellTree, k: int, exclude_self: bool, min_sim: float | None):
+    """Kernel of one pair of sub-blocks: rows that can be among a target's k
+    best, with the interval of their cosine."""
+    schema = {"target_id": "i8", "vec_id": "i8", "low": "f8", "high": "f8"}
+
+    def run(tp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
+        if not len(tp) or not len(cp):
+            return pd.DataFrame({name: pd.Series([], dtype=kind) for name, kind in schema.items()})
+        tv = np.vstack(tp["tv"].to_numpy())
+        tid, cid = tp["target_id"].to_numpy("i8"), cp["vec_id"].to_numpy("i8")
+        code = np.frombuffer(b"".join(cp["code"]), "i1").reshape(len(cp), -1).astype("f4")
+        near = (tv @ tree.cells[int(cp["cell"].iloc[0])])[:, None] + (tv.astype("f4") @ code.T) * cp["step"].to_numpy()[None, :]
+        # single precision of the product adds its own error
+        off = cp["left"].to_numpy() + 1e-6 * (1 + 127 * cp["step"].to_numpy() * tv.shape[1] ** 0.5)
+        low, high = near - off, near + off
+        out = tid[:, None] == cid[None, :] if exclude_self else np.zeros(near.shape, dtype=bool)
+        if min_sim is not None:
+            out |= high < min_sim
+        low[out] = high[out] = -np.inf
+        kk = min(k, low.shape[1])
+        kth = -np.partition(-low, kk - 1, axis=1)[:, kk - 1]
+        rows, cols = np.nonzero((high >= kth[:, None]) & ~out)
+        return pd.DataFrame({"target_id": tid[rows], "vec_id": cid[cols], "low": low[rows, cols], "high": high[rows, cols]})
+
+    return run
 
 
 def topk_approx(targets: DataFrame, corpus: DataFrame, k: int = 5, target_key: str = "vec_id",
-                corpus_key: str = "vec_id", vec: str = "embedding", n_cells: int = 16,
-                n_probe: int = 10, block_rows: int = 2048, exclude_self: bool = True,
-                seed: int = 42) -> DataFrame:
-    t = targets.select(F.col(target_key).cast("long").alias("target_id"),
-                       VX.normalize(VX.as_double(vec)).alias("tv"))
-    c = corpus.select(F.col(corpus_key).cast("long").alias("vec_id"),
-                      VX.normalize(VX.as_double(vec)).alias("cv"))
-    cents = pivots(c, n_cells, seed)
-    probe = min(n_probe, len(cents))
-
-    def cells(column: str, key: str, n: int):
-        def assign(batches):
-            for pdf in batches:
-                if len(pdf) == 0 or n == 0:
-                    continue
-                near = np.round(np.vstack(pdf[column].to_numpy()) @ cents.T, 9)
-                top = np.argsort(-near, axis=1, kind="stable")[:, :n]
-                yield pd.DataFrame({key: np.repeat(pdf[key].to_numpy(), n),
-                                    column: pdf[column].repeat(n).to_numpy(),
-                                    "cell": top.reshape(-1).astype(np.int32)})
-        return assign
-
-    cc = c.mapInPandas(cells("cv", "vec_id", min(1, probe)), "vec_id long, cv array<double>, cell int")
-    tc = t.mapInPandas(cells("tv", "target_id", probe), "target_id long, tv array<double>, cell int")
-    # sub-blocks of either side from its per-cell counts (n_cells rows)
+                corpus_key: str = "vec_id", vec: str = "embedding", block_rows: int = 2048,
+                exclude_self: bool = True, min_sim: float | None = None, seed: int = 42,
+                probes: int | None = None, visited: int | None = VISITED) -> DataFrame:
+    """target_id, vec_id, rank, similarity, as :func:`vectors.topk_similar`.
+    ``probes`` cells, a quarter of them if left out, are searched per target;
+    with all of them and ``visited=None`` the result is that of the exact search."""
+    t = targets.where(F.col(vec).isNotNull()).select(
+        F.col(target_key).cast("long").alias("target_id"), VX.normalize(VX.as_double(vec)).alias("tv"))
+    c = written(corpus.where(F.col(vec).isNotNull()).select(
+        F.col(corpus_key).cast("long").alias("vec_id"), VX.normalize(VX.as_double(vec)).alias("cv")), "ann-corpus")
+    rows = c.count()  # from the files' footers
+    tree = cell_tree(c, rows, seed)
+    probed = tree.probes if probes is None else probes
+
+    def place(batches):
+        for pdf in batches:
+            if len(pdf):
+                v = np.vstack(pdf["cv"].to_numpy())
+                at, cell = tree.descend(v, SPILL, MARGIN, visited)
+                code, step, left = _quantise(v[at] - tree.cells[cell])
+                yield pd.DataFrame({"vec_id": pdf["vec_id"].to_numpy()[at], "cell": cell.astype("i4"),
+                                    "code": [x.tobytes() for x in code], "step": step, "left": left})
+
+    def ask(batches):
+        for pdf in batches:
+            if len(pdf) and len(tree.cells):
+                at, cell = tree.descend(np.vstack(pdf["tv"].to_numpy()), probed, None, visited)
+                yield pd.DataFrame({"target_id": pdf["target_id"].to_numpy()[at], "tv": pdf["tv"].to_numpy()[at], "cell": cell.astype("i4")})
+
+    cc = c.mapInPandas(place, "vec_id long, cell int, code binary, step double, left double")
+    tc = t.mapInPandas(ask, "target_id long, tv array<double>, cell int")
+    # sub-blocks of either side from its per-cell counts (a row per cell)
     subs = lambda df, name: df.groupBy("cell").agg(
         F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(block_rows))).cast("int").alias(name))
     sizes = F.broadcast(subs(cc, "_cs").join(subs(tc, "_ts"), "cell"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    cc = cc.join(sizes, "cell").select("vec_id", "cv", "cell", own("vec_id", "_cs").alias("sub"), every("_ts").alias("tsub"))
+    cc = cc.join(sizes, "cell").select("vec_id", "code", "step", "left", "cell", own("vec_id", "_cs").alias("sub"), every("_ts").alias("tsub"))
     tc = tc.join(sizes, "cell").select("target_id", "tv", "cell", every("_cs").alias("sub"), own("target_id", "_ts").alias("tsub"))
-    cand = (tc.groupBy("cell", "sub", "tsub").cogroup(cc.groupBy("cell", "sub", "tsub"))
-            .applyInPandas(_block_topk(k, exclude_self, None), _TOPK_SCHEMA))
+    met = (tc.groupBy("cell", "sub", "tsub").cogroup(cc.groupBy("cell", "sub", "tsub"))
+           .applyInPandas(_bounds(tree, k, exclude_self, min_sim), "target_id long, vec_id long, low double, high double"))
+    # a row met in several cells has several intervals, all of which hold
+    one = met.groupBy("target_id", "vec_id").agg(F.max("low").alias("low"), F.min("high").alias("high"))
+    place_of = F.row_number().over(Window.partitionBy("target_id").orderBy(F.desc("low"), "vec_id"))
+    kth = F.min(F.when(F.col("place") <= k, F.col("low"))).over(Window.partitionBy("target_id"))
+    left = one.withColumn("place", place_of).withColumn("kth", kth).where(F.col("high") >= F.col("kth")).select("target_id", "vec_id")
+    scored = left.join(c, "vec_id").join(t, "target_id").select("target_id", "vec_id", VX.dot("tv", "cv").alias("similarity"))
+    if min_sim is not None:
+        scored = scored.where(F.col("similarity") >= min_sim)
     w = Window.partitionBy("target_id").orderBy(F.desc(F.round("similarity", 9)), F.asc("vec_id"))
-    ranked = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("target_id", "vec_id", F.col("rank").cast("long").alias("rank"), "similarity")
 
 

@@ -21,10 +21,12 @@ from typing import Iterator, Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from promptlens.functions import text as TX
+
 MAX_ATTEMPTS = 3
 BACKOFF_SECONDS = (1.0, 2.0)
 
@@ -84,12 +86,12 @@ class HashProvider:
         return out
 
 
-def _one(provider, text):
+def _one(call, text):
     """A text by itself: transient failures are retried, whatever else the
     provider raises fails this text at once."""
     for attempt in range(MAX_ATTEMPTS):
         try:
-            return provider.embed([text])[0]
+            return call([text])[0]
         except TransientError as e:
             error = f"failed after {MAX_ATTEMPTS} attempts: {e}"
         except Exception as e:  # noqa: BLE001  the provider is foreign code
@@ -99,16 +101,17 @@ def _one(provider, text):
     return None, 0, error
 
 
-def _with_retries(provider, texts):
-    """The batch in one call; if that fails, each text by itself, so that one
-    bad text costs no other its vector."""
+def call_with_retries(call, texts):
+    """``call(texts)``, a provider's method, for the batch in one call; if that
+    fails, for each text by itself, so that one bad text costs no other its
+    result."""
     try:
-        found = provider.embed(texts)
+        found = call(texts)
         if len(found) == len(texts):
             return found
     except Exception:  # noqa: BLE001  told apart text by text below
         pass
-    return [_one(provider, t) for t in texts]
+    return [_one(call, t) for t in texts]
 
 
 def embed_texts(df: DataFrame, text_col: str, provider: EmbeddingProvider | None = None,
@@ -127,7 +130,7 @@ def embed_texts(df: DataFrame, text_col: str, provider: EmbeddingProvider | None
         provider.open()
         for pdf in batches:
             texts = [None if (isinstance(x, float) or x is None) else x for x in pdf[text_col].tolist()]
-            res = _with_retries(provider, texts)
+            res = call_with_retries(provider.embed, texts)
             pdf = pdf.copy()
             pdf[out] = [r[0] for r in res]
             pdf["tokens_used"] = np.array([r[1] for r in res], dtype=np.int32)
@@ -138,6 +141,33 @@ def embed_texts(df: DataFrame, text_col: str, provider: EmbeddingProvider | None
     return df.mapInPandas(run, schema)
 
 
+def _hash_code(word: Column, dim: int) -> Column:
+    """2 * bucket, plus 1 for a negative sign, of a word."""
+    h = F.md5(word.cast("binary"))
+    bucket = F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim
+    return (2 * bucket + F.conv(F.substring(h, 9, 1), 16, 10).cast("long") % 2).cast("int")
+
+
+def hash_score(text: Column, unit_target: Column, dim: int = 64) -> Column:
+    """Cosine of a unit (or zero) vector and the default provider's vector of
+    ``text``, as a JVM expression: the words' codes are sorted, so that equal
+    buckets follow each other, and folded once into the product and the norm.
+    0.0 where the provider has no vector (no words) or there is no target."""
+    def step(a: Column, code: Column) -> Column:
+        sign = F.lit(1.0) - F.lit(2.0) * (code % 2)
+        bucket = F.shiftright(code, 1)
+        same = a["bucket"] == bucket
+        return F.struct(bucket.alias("bucket"), F.when(same, a["run"] + sign).otherwise(sign).alias("run"),
+                        F.when(same, a["squares"]).otherwise(a["squares"] + a["run"] * a["run"]).alias("squares"),
+                        (a["product"] + sign * F.get(unit_target, bucket)).alias("product"))
+
+    zero = F.lit(0.0)
+    start = F.struct(F.lit(-1).alias("bucket"), zero.alias("run"), zero.alias("squares"), zero.alias("product"))
+    codes = F.array_sort(F.transform(TX.words(F.lower(text)), lambda w: _hash_code(w, dim)))
+    score = F.aggregate(codes, start, step, lambda a: F.try_divide(a["product"], F.sqrt(a["squares"] + a["run"] * a["run"])))
+    return F.coalesce(score, zero)
+
+
 def sparse_vector(df: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
     """(key, bucket, value) for every non-zero component."""
     x = df.select(key, F.posexplode(vec).alias("bucket", "value"))

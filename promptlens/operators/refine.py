@@ -1,22 +1,33 @@
-"""Prompt refinement as batch operators: every target advances together, one
-DataFrame round per iteration.
+"""Prompt refinement as batch operators: every target advances together.
+
+A search is a state per target and two column expressions: the prompts that the
+state proposes in a round, and the state that follows from them and their
+scores. With the default scorer, hashed words against the target's vector, both
+are JVM expressions: a target's row holds its state and its vector, and all
+rounds are one projection, without a shuffle, a window or Python. With a text or
+embedding provider, a round sends the proposed prompts, one row each, through
+the providers, and is written before the next one begins.
 
 Randomness is a uniform drawn from md5(seed | target | iteration | slot |
 position | purpose), never ``rand()``: a retried task or a different number
-of partitions gives the same table. Lineage is cut with a reliable
-``checkpoint()`` (in the shared ``spark.checkpoint.dir``): after every round
-where a round reads its state more than once (beam, evolution: an uncut plan
-would grow exponentially), every third round where it reads it once.
+of partitions gives the same table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptlens.functions import text as T
-from promptlens.operators.generate import best_per_target, score_prompts
+from promptlens.functions import vector as VX
+from promptlens.functions.columns import let
 from promptlens.functions.frames import written
+from promptlens.operators.embed import EmbeddingProvider, hash_score
+from promptlens.operators.generate import best_per_target, score_prompts
+from promptlens.operators.respond import TextProvider
 
 # Fixed values of the mutation operators, verbatim and in their natural order.
 SYNONYMS = {
@@ -37,11 +48,39 @@ TEMPERATURE = 1.0
 COOLING = 0.95
 BEAM_WIDTH = 3
 MAX_NO_IMPROVEMENT = 5
-CHECKPOINT_EVERY = 1   # beam / evolve read their state several times per round
-CHECKPOINT_LINEAR = 3  # hill climbing / annealing read it once: a linear plan
 SEED = 42
 
 
+@dataclass(frozen=True)
+class RefineConfig:
+    """How a prompt is refined; every field reaches the strategy."""
+    strategy: str = "simple"
+    iterations: int = MAX_ITERATIONS
+    population: int = POPULATION
+    mutation_rate: float = MUTATION_RATE
+    crossover_rate: float = CROSSOVER_RATE
+    temperature: float = TEMPERATURE
+    cooling: float = COOLING
+    beam_width: int = BEAM_WIDTH
+    patience: int = MAX_NO_IMPROVEMENT
+    seed: int = SEED
+
+    def __post_init__(self) -> None:
+        if self.strategy not in STRATEGIES:
+            raise ValueError(f"unknown strategy {self.strategy!r}; expected one of {STRATEGIES}")
+        for name in ("population", "beam_width", "patience"):
+            if getattr(self, name) < 1:
+                raise ValueError(f"{name} must be at least 1")
+        for name in ("mutation_rate", "crossover_rate"):
+            if not 0 <= getattr(self, name) <= 1:
+                raise ValueError(f"{name} must lie in 0..1")
+        if self.iterations < 0 or self.temperature <= 0 or not 0 < self.cooling <= 1:
+            raise ValueError("iterations >= 0, temperature > 0 and cooling in (0, 1] are asked for")
+
+
+STRATEGIES = ("simple", "hill_climbing", "evolutionary", "beam_search", "simulated_annealing")
+
+
 def uniform(*parts) -> Column:
     """u in [0, 1) from md5 of the '|'-joined parts (columns or literals)."""
     cols = [p if isinstance(p, Column) else F.lit(p) for p in parts]
@@ -95,24 +134,23 @@ def mutate(prompt: Column, rate: float, *key) -> Column:
     """Each original word position i, with probability ``rate``, applies one
     of the five edits (chosen uniformly) to the current word list at index i;
     an edit whose index no longer exists is skipped."""
-    w0 = T.words(prompt)
-
     def step(acc, i):
         t = F.floor(uniform(*key, i, "t") * 5).cast("int")
         r = uniform(*key, i, "r")
         r2 = uniform(*key, i, "r2")
         hit = uniform(*key, i, "m") < F.lit(rate)
-        edited = (F.when(t == 0, edit_synonym(acc, i, r))
-                  .when(t == 1, edit_insert(acc, r, r2))
-                  .when(t == 2, edit_delete(acc, i))
-                  .when(t == 3, edit_swap(acc, i))
-                  .otherwise(edit_restructure(acc)))
+        edited = let(t, lambda t: F.when(t == 0, edit_synonym(acc, i, r))
+                     .when(t == 1, edit_insert(acc, r, r2))
+                     .when(t == 2, edit_delete(acc, i))
+                     .when(t == 3, edit_swap(acc, i))
+                     .otherwise(edit_restructure(acc)))
         return F.when(hit, edited).otherwise(acc)
 
-    seq = F.when(F.size(w0) > 0, F.sequence(F.lit(0), F.size(w0) - 1)).otherwise(
-        F.array().cast("array<int>"))
-    out = F.aggregate(seq, w0, step)
-    return F.when(F.size(w0) == 0, prompt).otherwise(F.array_join(out, " "))
+    def edited(w0):
+        return F.when(F.size(w0) == 0, prompt).otherwise(
+            F.array_join(F.aggregate(F.sequence(F.lit(0), F.size(w0) - 1), w0, step), " "))
+
+    return let(T.words(prompt), edited)
 
 
 def crossover(p1: Column, p2: Column, *key) -> tuple[Column, Column]:
@@ -128,152 +166,232 @@ def crossover(p1: Column, p2: Column, *key) -> tuple[Column, Column]:
             F.when(ok, F.array_join(o2, " ")).otherwise(p2))
 
 
-# ----------------------------------------------------------------- strategies
-def _cut(df: DataFrame, it: int, every: int = CHECKPOINT_EVERY) -> DataFrame:
-    """Every ``every`` rounds the frame is written and read back: that cuts the
-    lineage and the size estimates, which would multiply with every join."""
-    return written(df, "round") if (it + 1) % every == 0 else df
+# ----------------------------------------------------------------- searches
+@dataclass(frozen=True)
+class Search:
+    """``propose(state, target, it)``: the prompts to score; ``accept(state,
+    prompts, scores, target, it)``: the state afterwards; ``state``: its type."""
+    state: str
+    propose: Callable[[Column, Column, Column], Column]
+    accept: Callable[[Column, Column, Column, Column, Column], Column]
 
 
-def _score(df: DataFrame, tvecs: DataFrame, col: str, out: str) -> DataFrame:
-    return score_prompts(df, tvecs, col, out=out)
+def _gain(new: Column, old: Column) -> Column:
+    return F.round(new, 9) > F.round(old, 9)  # ties within 1e-9: no gain
 
 
-def hill_climb(start: DataFrame, tvecs: DataFrame, iterations: int = MAX_ITERATIONS,
-               rate: float = MUTATION_RATE, patience: int = MAX_NO_IMPROVEMENT,
-               seed: int = SEED) -> DataFrame:
-    """start: (target_id, prompt, score). Accept a mutation only if strictly
-    better; stop a target after ``patience`` misses in a row."""
-    st = start.select("target_id", "prompt", "score", F.lit(0).alias("misses"),
-                      F.lit(0).alias("rounds"))
-    for it in range(iterations):
-        # stopped targets carry a null candidate (the provider skips it) and
-        # keep their state; one pass, no split/union, stable partitioning
-        active = F.col("misses") < patience
-        cand = st.withColumn("cand", F.when(active, mutate(F.col("prompt"), rate, seed,
-                                                           F.col("target_id"), it, 0)))
-        cand = _score(cand, tvecs, "cand", "cand_score")
-        better = active & (F.round("cand_score", 9) > F.round("score", 9))  # ties within 1e-9: no gain
-        st = _cut(cand.select(
-            "target_id",
-            F.when(better, F.col("cand")).otherwise(F.col("prompt")).alias("prompt"),
-            F.when(better, F.col("cand_score")).otherwise(F.col("score")).alias("score"),
-            F.when(better, F.lit(0)).when(active, F.col("misses") + 1).otherwise(F.col("misses"))
-            .alias("misses"),
-            F.when(active, F.col("rounds") + 1).otherwise(F.col("rounds")).alias("rounds")), it,
-            CHECKPOINT_LINEAR)
-    return st.select("target_id", "prompt", "score", "rounds", F.lit("hill_climbing").alias("strategy"))
-
-
-def anneal(start: DataFrame, tvecs: DataFrame, iterations: int = MAX_ITERATIONS,
-           rate: float = MUTATION_RATE, t0: float = TEMPERATURE, cooling: float = COOLING,
-           seed: int = SEED) -> DataFrame:
-    """Accept if better or u < exp(delta / T); T <- cooling * T. Best kept apart."""
-    st = start.select("target_id", "prompt", "score", F.col("prompt").alias("best_prompt"),
-                      F.col("score").alias("best_score"))
-    temp = t0
-    for it in range(iterations):
-        cand = st.withColumn("cand", mutate(F.col("prompt"), rate, seed, F.col("target_id"), it, 1))
-        cand = _score(cand, tvecs, "cand", "cand_score")
-        delta = F.col("cand_score") - F.col("score")
-        accept = (F.round("cand_score", 9) > F.round("score", 9)) | (
-            uniform(seed, F.col("target_id"), it, "accept") < F.exp(delta / F.lit(temp)))
-        nb = F.round("cand_score", 9) > F.round("best_score", 9)
-        st = cand.select(
-            "target_id",
-            F.when(accept, F.col("cand")).otherwise(F.col("prompt")).alias("prompt"),
-            F.when(accept, F.col("cand_score")).otherwise(F.col("score")).alias("score"),
-            F.when(accept & nb, F.col("cand")).otherwise(F.col("best_prompt")).alias("best_prompt"),
-            F.when(accept & nb, F.col("cand_score")).otherwise(F.col("best_score")).alias("best_score"))
-        st = _cut(st, it, CHECKPOINT_LINEAR)
-        temp *= cooling
-    return st.select("target_id", F.col("best_prompt").alias("prompt"), F.col("best_score").alias("score"),
-                     F.lit(iterations).alias("rounds"), F.lit("simulated_annealing").alias("strategy"))
-
-
-def beam_step(beam: DataFrame, tvecs: DataFrame, it: int, width: int = BEAM_WIDTH,
-              rate: float = MUTATION_RATE, seed: int = SEED) -> DataFrame:
-    """One round: 2 mutations per beam member, keep the top ``width`` of old
-    and new (ties: lower slot first). beam: (target_id, slot, prompt, score)."""
-    from pyspark.sql import Window
-    kids = beam.select("target_id", "slot", "prompt",
-                       F.explode(F.array(F.lit(1), F.lit(2))).alias("m"))
-    kids = kids.select("target_id", (F.col("slot") * 10 + F.col("m")).alias("origin"),
-                       mutate(F.col("prompt"), rate, seed, F.col("target_id"), it, F.col("slot"), F.col("m"))
-                       .alias("prompt"))
-    kids = _score(kids, tvecs, "prompt", "score")
-    old = beam.select("target_id", (F.col("slot") * 10).alias("origin"), "prompt", "score")
-    allc = old.unionByName(kids.select("target_id", "origin", "prompt", "score"))
-    w = Window.partitionBy("target_id").orderBy(F.desc(F.round("score", 9)), "origin")
-    top = allc.withColumn("slot", F.row_number().over(w)).where(F.col("slot") <= width)
-    return top.select("target_id", "slot", "prompt", "score")
-
-
-def beam_search(start: DataFrame, tvecs: DataFrame, iterations: int = MAX_ITERATIONS,
-                width: int = BEAM_WIDTH, rate: float = MUTATION_RATE, seed: int = SEED) -> DataFrame:
-    """start: (target_id, slot, prompt, score) candidates; the beam starts as
-    the best ``width`` of them."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("target_id").orderBy(F.desc(F.round("score", 9)), "slot")
-    beam = start.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= width) \
-        .select("target_id", F.col("_r").alias("slot"), "prompt", "score")
+def _ranked(entries: Column) -> Column:
+    """``entries`` (struct with score and place) best score first, then place."""
+    return F.array_sort(F.transform(entries, lambda x: F.struct(
+        (-F.round(x["score"], 9)).alias("key"), x["place"].alias("place"), x["prompt"].alias("prompt"), x["score"].alias("score"))))
+
+
+def _entry(place: Column, prompt: Column, score: Column) -> Column:
+    return F.struct(place.cast("int").alias("place"), prompt.alias("prompt"), score.alias("score"))
+
+
+_POOL = "array<struct<place: int, prompt: string, score: double>>"
+
+
+def hill_search(c: RefineConfig) -> Search:
+    """Accept a mutation only if strictly better; stop a target after
+    ``patience`` misses in a row."""
+    def propose(s, target, it):
+        return F.when(s["misses"] < c.patience, F.array(mutate(s["prompt"], c.mutation_rate, c.seed, target, it, 0))).otherwise(
+            F.array().cast("array<string>"))
+
+    def accept(s, prompts, scores, target, it):
+        better = _gain(F.get(scores, F.lit(0)), s["score"])
+        moved = F.struct(F.when(better, F.get(prompts, F.lit(0))).otherwise(s["prompt"]).alias("prompt"),
+                         F.when(better, F.get(scores, F.lit(0))).otherwise(s["score"]).alias("score"),
+                         F.when(better, F.lit(0)).otherwise(s["misses"] + 1).alias("misses"), (s["rounds"] + 1).alias("rounds"))
+        return F.when(F.size(prompts) > 0, moved).otherwise(s)
+
+    return Search("struct<prompt: string, score: double, misses: int, rounds: int>", propose, accept)
+
+
+def anneal_search(c: RefineConfig) -> Search:
+    """Accept if better or u < exp(delta / T); T falls by ``cooling`` a round.
+    The best is kept apart."""
+    def propose(s, target, it):
+        return F.array(mutate(s["prompt"], c.mutation_rate, c.seed, target, it, 1))
+
+    def accept(s, prompts, scores, target, it):
+        heat = F.lit(c.temperature) * F.pow(F.lit(c.cooling), it)
+        taken = _gain(F.get(scores, F.lit(0)), s["score"]) | (uniform(c.seed, target, it, "accept") < F.exp((F.get(scores, F.lit(0)) - s["score"]) / heat))
+        best = taken & _gain(F.get(scores, F.lit(0)), s["best_score"])
+        pick = lambda hit, new, name: F.when(hit, new).otherwise(s[name]).alias(name)
+        return F.struct(pick(taken, F.get(prompts, F.lit(0)), "prompt"), pick(taken, F.get(scores, F.lit(0)), "score"),
+                        pick(best, F.get(prompts, F.lit(0)), "best_prompt"), pick(best, F.get(scores, F.lit(0)), "best_score"))
+
+    return Search("struct<prompt: string, score: double, best_prompt: string, best_score: double>", propose, accept)
+
+
+def beam_search_of(c: RefineConfig) -> Search:
+    """Two mutations per beam member; the best ``beam_width`` of old and new
+    stay (ties: lower place first). The best score of each round is kept."""
+    def propose(s, target, it):
+        return F.flatten(F.transform(s["beam"], lambda b: F.transform(
+            F.array(F.lit(1), F.lit(2)), lambda m: mutate(b["prompt"], c.mutation_rate, c.seed, target, it, b["place"], m))))
+
+    def accept(s, prompts, scores, target, it):
+        old = F.transform(s["beam"], lambda b: _entry(b["place"] * 10, b["prompt"], b["score"]))
+        parent = lambda i: F.get(s["beam"], F.floor(i / 2).cast("int"))["place"]
+        new = F.transform(prompts, lambda p, i: _entry(parent(i) * 10 + i % 2 + 1, p, F.get(scores, i)))
+        kept = F.transform(F.slice(_ranked(F.concat(old, new)), 1, c.beam_width), lambda x, i: _entry(i + 1, x["prompt"], x["score"]))
+        return let(kept, lambda beam: F.struct(beam.alias("beam"), F.concat(s["history"], F.array(F.get(beam, F.lit(0))["score"])).alias("history")))
+
+    return Search(f"struct<beam: {_POOL}, history: array<double>>", propose, accept)
+
+
+def evolve_search(c: RefineConfig) -> Search:
+    """Tournament of 3, crossover and mutation by their rates; the population
+    is replaced each round, grows to its size in the first, and the best ever
+    is kept apart."""
+    def child(s, target, it, k):
+        key = (c.seed, target, it, k)
+        drawn = F.array_sort(F.transform(s["pool"], lambda x: F.struct(
+            uniform(*key, x["place"], "tour").alias("u"), x["place"].alias("place"), x["prompt"].alias("prompt"), x["score"].alias("score"))))
+        first = F.get(_ranked(F.slice(drawn, 1, min(3, c.population))), F.lit(0))["prompt"]
+        second = F.get(s["pool"], F.floor(uniform(*key, "p2") * F.size(s["pool"])).cast("int"))["prompt"]
+
+        def born(a, b):
+            one, two = crossover(a, b, *key)
+            mixed = F.when(uniform(*key, "cx") < c.crossover_rate, F.when(uniform(*key, "pick") < 0.5, one).otherwise(two)).otherwise(a)
+            return let(mixed, lambda m: F.when(uniform(*key, "mut") < c.mutation_rate, mutate(m, c.mutation_rate, *key)).otherwise(m))
+
+        return let(first, lambda a: let(second, lambda b: born(a, b)))
+
+    def propose(s, target, it):
+        return F.transform(F.sequence(F.lit(1), F.lit(c.population)), lambda k: child(s, target, it, k))
+
+    def accept(s, prompts, scores, target, it):
+        pool = F.transform(prompts, lambda p, i: _entry(i + 1, p, F.get(scores, i)))
+
+        def best(pool, top):
+            better = _gain(top["score"], s["best_score"])
+            return F.struct(pool.alias("pool"), F.when(better, top["prompt"]).otherwise(s["best_prompt"]).alias("best_prompt"),
+                            F.when(better, top["score"]).otherwise(s["best_score"]).alias("best_score"))
+
+        return let(pool, lambda pool: let(F.get(_ranked(pool), F.lit(0)), lambda top: best(pool, top)))
+
+    return Search(f"struct<pool: {_POOL}, best_prompt: string, best_score: double>", propose, accept)
+
+
+def run_search(search: Search, start: DataFrame, tvecs: DataFrame, iterations: int, provider: EmbeddingProvider | None = None,
+               text_provider: TextProvider | None = None) -> DataFrame:
+    """``start`` (target_id, state) -> (target_id, state) after all rounds."""
+    target = F.col("target_id")
+    start = start.select("target_id", F.col("state").cast(search.state).alias("state"))
+    if iterations < 1:
+        return start
+    if provider is None and text_provider is None:
+        def step(s, it):
+            return let(search.propose(s, target, it), lambda prompts: let(
+                F.transform(prompts, lambda p: hash_score(p, F.col("_tv"))),
+                lambda scores: search.accept(s, prompts, scores, target, it).cast(search.state)))
+
+        rows = start.join(tvecs.select("target_id", VX.normalize("target_vec").alias("_tv")), "target_id", "left")
+        return rows.select("target_id", F.aggregate(F.sequence(F.lit(0), F.lit(iterations - 1)), "state", step).alias("state"))
+    state = start
     for it in range(iterations):
-        beam = _cut(beam_step(beam, tvecs, it, width, rate, seed), it)
-    best = beam.where(F.col("slot") == 1)
-    return best.select("target_id", "prompt", "score", F.lit(iterations).alias("rounds"),
-                       F.lit("beam_search").alias("strategy"))
-
-
-def evolve(population: DataFrame, tvecs: DataFrame, generations: int = MAX_ITERATIONS,
-           size: int = POPULATION, cx_rate: float = CROSSOVER_RATE, rate: float = MUTATION_RATE,
-           seed: int = SEED) -> DataFrame:
-    """Tournament of 3, crossover with probability ``cx_rate``, mutation with
-    probability ``rate``; the population is fully replaced each generation and
-    the best ever is tracked apart. population: (target_id, slot, prompt, score)
-    with slots 1..size."""
-    from pyspark.sql import Window
-    pop = population.select("target_id", "slot", "prompt", "score")
-    best = best_per_target(pop).select("target_id", F.col("prompt").alias("best_prompt"),
-                                       F.col("score").alias("best_score"))
-    for g in range(generations):
-        kids = pop.select("target_id").distinct().select(
-            "target_id", F.explode(F.sequence(F.lit(1), F.lit(size))).alias("child"))
-        # tournament: the 3 slots with the smallest draws, winner = best score
-        # the slots that exist: a target may start with fewer candidates
-        placed = Window.partitionBy("target_id").orderBy("slot")
-        seats = pop.select("target_id", "slot", F.col("prompt").alias("p2"), F.row_number().over(placed).alias("seat"),
-                           F.count(F.lit(1)).over(Window.partitionBy("target_id")).alias("n"))
-        entrants = kids.join(seats.select("target_id", "slot"), "target_id")
-        entrants = entrants.withColumn("_u", uniform(seed, F.col("target_id"), g, F.col("child"),
-                                                     F.col("slot"), "tour"))
-        wt = Window.partitionBy("target_id", "child").orderBy("_u", "slot")
-        entrants = entrants.withColumn("_r", F.row_number().over(wt)).where(F.col("_r") <= min(3, size))
-        ent = entrants.join(pop, ["target_id", "slot"])
-        win = ent.groupBy("target_id", "child").agg(
-            F.max_by(F.col("prompt"), F.struct(F.round("score", 9), -F.col("slot"))).alias("winner"))
-        # second parent: a uniformly drawn one of them
-        drawn = (F.floor(uniform(seed, F.col("target_id"), g, F.col("child"), "p2") * F.col("n")) + 1).cast("int")
-        win = win.join(seats.select("target_id", "n").distinct(), "target_id").withColumn("seat", drawn)
-        win = win.join(seats.select("target_id", "seat", "p2"), ["target_id", "seat"])
-        key = (seed, F.col("target_id"), g, F.col("child"))
-        o1, o2 = crossover(F.col("winner"), F.col("p2"), *key)
-        do_cx = uniform(*key, "cx") < F.lit(cx_rate)
-        off = F.when(do_cx, F.when(uniform(*key, "pick") < 0.5, o1).otherwise(o2)).otherwise(F.col("winner"))
-        kid = win.select("target_id", "child", off.alias("prompt"))
-        do_mut = uniform(*key, "mut") < F.lit(rate)
-        kid = kid.select("target_id", F.col("child").alias("slot"),
-                         F.when(do_mut, mutate(F.col("prompt"), rate, *key)).otherwise(F.col("prompt"))
-                         .alias("prompt"))
-        pop = _cut(_score(kid, tvecs, "prompt", "score"), g, 1)  # scored once, read by the next lines and rounds
-        gb = best_per_target(pop).select("target_id", F.col("prompt").alias("gp"), F.col("score").alias("gs"))
-        best = best.join(gb, "target_id", "left").select(
-            "target_id",
-            F.when(F.round("gs", 9) > F.round("best_score", 9), F.col("gp")).otherwise(F.col("best_prompt")).alias("best_prompt"),
-            F.when(F.round("gs", 9) > F.round("best_score", 9), F.col("gs")).otherwise(F.col("best_score"))
-            .alias("best_score"))
-        best = _cut(best, g)
-    return best.select("target_id", F.col("best_prompt").alias("prompt"), F.col("best_score").alias("score"),
-                       F.lit(generations).alias("rounds"), F.lit("evolutionary").alias("strategy"))
+        asked = written(state.select("target_id", "state", search.propose(F.col("state"), target, F.lit(it)).alias("prompts")), "asked")
+        rows = asked.select("target_id", F.posexplode("prompts").alias("place", "prompt"))
+        told = score_prompts(rows, tvecs, "prompt", provider, "score", text_provider)
+        scores = told.groupBy("target_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "score"))), lambda x: x["score"]).alias("scores"))
+        met = asked.join(scores, "target_id", "left").withColumn("scores", F.coalesce("scores", F.array().cast("array<double>")))
+        state = written(met.select("target_id", search.accept(F.col("state"), F.col("prompts"), F.col("scores"), target, F.lit(it))
+                                   .cast(search.state).alias("state")), "round")
+    return state
+
+
+def _told(rows: DataFrame, prompt: str, score: str, rounds: Column, strategy: str) -> DataFrame:
+    return rows.select("target_id", F.col(f"state.{prompt}").alias("prompt"), F.col(f"state.{score}").alias("score"),
+                       rounds.alias("rounds"), F.lit(strategy).alias("strategy"))
+
+
+def hill_climb(start: DataFrame, tvecs: DataFrame, config: RefineConfig = RefineConfig(), provider: EmbeddingProvider | None = None,
+               text_provider: TextProvider | None = None) -> DataFrame:
+    """start: (target_id, prompt, score)."""
+    state = F.struct("prompt", "score", F.lit(0).alias("misses"), F.lit(0).alias("rounds"))
+    done = run_search(hill_search(config), start.select("target_id", state.alias("state")), tvecs, config.iterations, provider, text_provider)
+    return _told(done, "prompt", "score", F.col("state.rounds"), "hill_climbing")
+
+
+def anneal(start: DataFrame, tvecs: DataFrame, config: RefineConfig = RefineConfig(), provider: EmbeddingProvider | None = None,
+           text_provider: TextProvider | None = None) -> DataFrame:
+    """start: (target_id, prompt, score)."""
+    state = F.struct("prompt", "score", F.col("prompt").alias("best_prompt"), F.col("score").alias("best_score"))
+    done = run_search(anneal_search(config), start.select("target_id", state.alias("state")), tvecs, config.iterations, provider, text_provider)
+    return _told(done, "best_prompt", "best_score", F.lit(config.iterations), "simulated_annealing")
+
+
+def _pooled(pool: DataFrame) -> DataFrame:
+    """(target_id, pool): the candidates of a target by slot. As many as a
+    target was given, so a bounded few."""
+    return pool.groupBy("target_id").agg(F.sort_array(F.collect_list(
+        _entry(F.col("slot"), F.col("prompt"), F.col("score")))).cast(_POOL).alias("pool"))
+
+
+def _beams(pool: DataFrame, config: RefineConfig) -> DataFrame:
+    best = F.transform(F.slice(_ranked(F.col("pool")), 1, config.beam_width), lambda x, i: _entry(i + 1, x["prompt"], x["score"]))
+    return _pooled(pool).select("target_id", F.struct(best.alias("beam"), F.array().cast("array<double>").alias("history")).alias("state"))
+
+
+def beam_state(pool: DataFrame, tvecs: DataFrame, config: RefineConfig, provider: EmbeddingProvider | None = None,
+               text_provider: TextProvider | None = None) -> DataFrame:
+    """pool: (target_id, slot, prompt, score). (target_id, state) with the beam
+    and the history of its best scores."""
+    return run_search(beam_search_of(config), _beams(pool, config), tvecs, config.iterations, provider, text_provider)
+
+
+def beam_search(pool: DataFrame, tvecs: DataFrame, config: RefineConfig = RefineConfig(), provider: EmbeddingProvider | None = None,
+                text_provider: TextProvider | None = None) -> DataFrame:
+    """The beam starts as the best ``beam_width`` of a target's candidates."""
+    done = beam_state(pool, tvecs, config, provider, text_provider)
+    top = done.select("target_id", F.get("state.beam", F.lit(0)).alias("state"))
+    return _told(top, "prompt", "score", F.lit(config.iterations), "beam_search")
+
+
+def beam_step(pool: DataFrame, tvecs: DataFrame, config: RefineConfig = RefineConfig()) -> DataFrame:
+    """The beam after one round, a row per member: target_id, slot, prompt, score."""
+    done = beam_state(pool, tvecs, replace(config, iterations=1))
+    return done.select("target_id", F.inline("state.beam")).withColumnRenamed("place", "slot")
+
+
+def beam_history(pool: DataFrame, tvecs: DataFrame, config: RefineConfig = RefineConfig()) -> DataFrame:
+    """target_id, iteration, score: the best of the beam after each round."""
+    done = beam_state(pool, tvecs, config)
+    return done.select("target_id", F.posexplode("state.history").alias("iteration", "score"))
+
+
+def running_best(history: DataFrame, patience: int = MAX_NO_IMPROVEMENT) -> DataFrame:
+    """``history`` (target_id, iteration, score) with ``best_so_far``,
+    ``streak``, the rounds since the best last rose, and ``stop_round``, the
+    first round in which the streak reaches ``patience`` (null if none does).
+
+    Rises part a target's rounds into islands; a round's place in its island is
+    its streak. A target has as many rows as rounds, so its window is small."""
+    rounds = Window.partitionBy("target_id").orderBy("iteration")
+    before = F.max(F.round("score", 9)).over(rounds.rowsBetween(Window.unboundedPreceding, -1))
+    told = history.withColumn("best_so_far", F.max("score").over(rounds.rowsBetween(Window.unboundedPreceding, 0)))
+    told = told.withColumn("_rise", F.coalesce(F.round("score", 9) > before, F.lit(True)).cast("int"))
+    told = told.withColumn("_island", F.sum("_rise").over(rounds.rowsBetween(Window.unboundedPreceding, 0)))
+    island = Window.partitionBy("target_id", "_island").orderBy("iteration")
+    told = told.withColumn("streak", (F.row_number().over(island) - 1).cast("int"))
+    stop = F.min(F.when(F.col("streak") >= patience, F.col("iteration"))).over(Window.partitionBy("target_id"))
+    return told.withColumn("stop_round", stop).drop("_rise", "_island")
+
+
+def evolve(pool: DataFrame, tvecs: DataFrame, config: RefineConfig = RefineConfig(), provider: EmbeddingProvider | None = None,
+           text_provider: TextProvider | None = None) -> DataFrame:
+    """pool: (target_id, slot, prompt, score), the first population; a target
+    may start with fewer candidates than ``population``."""
+    top = F.get(_ranked(F.col("pool")), F.lit(0))
+    start = _pooled(pool).select("target_id", "pool", top.alias("top"))
+    start = start.select("target_id", F.struct("pool", F.col("top.prompt").alias("best_prompt"), F.col("top.score").alias("best_score")).alias("state"))
+    done = run_search(evolve_search(config), start, tvecs, config.iterations, provider, text_provider)
+    return _told(done, "best_prompt", "best_score", F.lit(config.iterations), "evolutionary")
 
 
 def simple_refine(pool: DataFrame) -> DataFrame:
@@ -281,30 +399,24 @@ def simple_refine(pool: DataFrame) -> DataFrame:
     return b.select("target_id", "prompt", "score", F.lit(0).alias("rounds"), F.lit("simple").alias("strategy"))
 
 
-STRATEGIES = ("simple", "hill_climbing", "evolutionary", "beam_search", "simulated_annealing")
+def refine(config: RefineConfig, pool: DataFrame, tvecs: DataFrame, provider: EmbeddingProvider | None = None,
+           text_provider: TextProvider | None = None) -> DataFrame:
+    """Dispatch by ``config.strategy``; pool: (target_id, slot, prompt, score)."""
+    if config.strategy == "simple":
+        return simple_refine(pool)
+    if config.strategy in ("hill_climbing", "simulated_annealing"):
+        first = pool.where(F.col("slot") == 1).select("target_id", "prompt", "score")
+        run = hill_climb if config.strategy == "hill_climbing" else anneal
+        return run(first, tvecs, config, provider, text_provider)
+    run = beam_search if config.strategy == "beam_search" else evolve
+    return run(pool, tvecs, config, provider, text_provider)
 
 
-def refine(strategy: str, pool: DataFrame, tvecs: DataFrame, iterations: int = MAX_ITERATIONS) -> DataFrame:
-    """Dispatch by name; pool: (target_id, slot, prompt, score) candidates."""
-    if strategy == "simple":
-        return simple_refine(pool)
-    first = pool.where(F.col("slot") == 1).select("target_id", "prompt", "score")
-    if strategy == "hill_climbing":
-        return hill_climb(first, tvecs, iterations)
-    if strategy == "simulated_annealing":
-        return anneal(first, tvecs, iterations)
-    if strategy == "beam_search":
-        return beam_search(pool, tvecs, iterations)
-    if strategy == "evolutionary":
-        return evolve(pool, tvecs, iterations)
-    raise ValueError(f"unknown strategy {strategy!r}; expected one of {STRATEGIES}")
-
-
-def compare_strategies(pool: DataFrame, tvecs: DataFrame,
-                       strategies=("simple", "hill_climbing", "evolutionary"),
-                       iterations: int = MAX_ITERATIONS) -> DataFrame:
+def compare_strategies(pool: DataFrame, tvecs: DataFrame, strategies=("simple", "hill_climbing", "evolutionary"),
+                       config: RefineConfig = RefineConfig(), provider: EmbeddingProvider | None = None,
+                       text_provider: TextProvider | None = None) -> DataFrame:
     """Scores of several strategies side by side, one row per target."""
-    parts = [refine(s, pool, tvecs, iterations).select("target_id", "strategy", "score") for s in strategies]
+    parts = [refine(replace(config, strategy=s), pool, tvecs, provider, text_provider).select("target_id", "strategy", "score") for s in strategies]
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)

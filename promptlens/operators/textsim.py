@@ -123,28 +123,53 @@ def _sentences(text: str) -> list[list[str]]:
     return [" ".join(s.split()).split(" ") for s in text.split(".") if len(s) > 0]
 
 
+#: Occurrences from which a word's bit mask is kept.
+_OFTEN = 16
+
+
 def _lcs_positions(ref: list[str], hyp: list[str]) -> set[int]:
-    """Positions (in ``ref``) of one longest common subsequence.
+    """Positions (in ``ref``) of one longest common subsequence, the one that a
+    walk back from the end finds that goes up in ``ref`` where it can.
 
-    Each DP row is one numpy step: L[i] = cummax(max(L[i-1][j],
-    L[i-1][j-1] + match)), so a row costs O(len(hyp)) vector work."""
+    A row of the length table is a bit vector over ``hyp`` with a 0 where the
+    length grows, and follows from the row before by an addition. Every root-th
+    row is kept; the walk rebuilds the rows between two of them when it gets
+    there, so memory is about 2 sqrt(n) m bits."""
     n, m = len(ref), len(hyp)
     if n == 0 or m == 0:
         return set()
-    ids: dict[str, int] = {}
-    r = np.array([ids.setdefault(w, len(ids)) for w in ref])
-    h = np.array([ids.setdefault(w, len(ids)) for w in hyp])
-    table = np.zeros((n + 1, m + 1), dtype=np.int32)
-    for i in range(1, n + 1):
-        prev = table[i - 1]
-        cand = np.maximum(prev[1:], prev[:-1] + (h == r[i - 1]))
-        table[i, 1:] = np.maximum.accumulate(cand)
+    places: dict[str, list[int]] = {}
+    for j, w in enumerate(hyp):
+        places.setdefault(w, []).append(j)
+    often = {w: sum(1 << j for j in at) for w, at in places.items() if len(at) >= _OFTEN}
+    full = (1 << m) - 1
+
+    def rows(first: int, last: int, row: int) -> list[int]:
+        """Rows ``first`` + 1 to ``last`` after ``row``."""
+        out = []
+        for w in ref[first:last]:
+            mask = often[w] if w in often else sum(1 << j for j in places.get(w, ()))
+            hit = row & mask
+            row = ((row + hit) | (row - hit)) & full
+            out.append(row)
+        return out
+
+    step = max(1, int(n ** 0.5))
+    kept = {0: full}
+    for first in range(0, n, step):
+        last = min(n, first + step)
+        kept[last] = rows(first, last, kept[first])[-1]
     out, i, j = set(), n, m
+    first, block = n, []
+    grown = lambda row, j: j - (row & ((1 << j) - 1)).bit_count()  # noqa: E731  the length in the first j columns
     while i > 0 and j > 0:
+        if i <= first:  # rows first .. first + step, the walk is below the last one
+            first = (i - 1) // step * step
+            block = [kept[first], *rows(first, min(n, first + step), kept[first])]
         if ref[i - 1] == hyp[j - 1]:
             out.add(i - 1)
             i, j = i - 1, j - 1
-        elif table[i - 1, j] >= table[i, j - 1]:
+        elif not block[i - first] >> (j - 1) & 1 or grown(block[i - 1 - first], j) == grown(block[i - first], j):
             i -= 1
         else:
             j -= 1

@@ -13,7 +13,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptlens.functions import vector as VX
@@ -39,18 +39,25 @@ def embedding_stats(df: DataFrame, vec: str = "embedding") -> DataFrame:
                     F.col("max_value").cast("double").alias("max_value"))
 
 
+def bad_vector(vec: str, expected_dim: int) -> Column:
+    """Whether a vector is null, has another dimension, or holds a component
+    that is null, NaN or infinite; never null itself."""
+    odd = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.coalesce((F.size(vec) != expected_dim) | odd, F.lit(True))
+
+
 def validate_dims(df: DataFrame, expected_dim: int, vec: str = "embedding") -> DataFrame:
-    """One row: valid flag, total, invalid count, expected dim. Empty input
-    is invalid. The invalid rows themselves come from ``invalid_dims``."""
-    g = df.agg(F.count(F.lit(1)).alias("total"),
-               F.count_if(F.coalesce(F.size(vec) != expected_dim, F.lit(True))).alias("invalid_count"))
+    """One row: valid flag, total, invalid count (see :func:`bad_vector`),
+    expected dim. Empty input is invalid. The invalid rows themselves come from
+    ``invalid_dims``."""
+    g = df.agg(F.count(F.lit(1)).alias("total"), F.count_if(bad_vector(vec, expected_dim)).alias("invalid_count"))
     return g.select(((F.col("total") > 0) & (F.col("invalid_count") == 0)).alias("valid"),
                     "total", "invalid_count", F.lit(expected_dim).alias("expected_dim"))
 
 
 def invalid_dims(df: DataFrame, expected_dim: int, key: str, vec: str = "embedding") -> DataFrame:
     dims = F.when(F.col(vec).isNotNull(), F.size(vec))
-    return df.where(F.coalesce(dims != expected_dim, F.lit(True))).select(key, dims.alias("dims"))
+    return df.where(bad_vector(vec, expected_dim)).select(key, dims.alias("dims"))
 
 
 def adjacent_cosine(df: DataFrame, key: str = "vec_id", vec: str = "embedding") -> DataFrame:

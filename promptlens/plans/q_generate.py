@@ -5,11 +5,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from promptlens.functions.frames import grouped_summary
+from promptlens.operators import evaluate as EV
 from promptlens.operators import generate as G
+from promptlens.operators import textsim as TS
 from promptlens.operators.incremental import similarity_summary
+from promptlens.operators.respond import EchoProvider
 from promptlens.plans import sqlfrag as S
 from promptlens.plans import views as V
-from promptlens.plans.q_textsim import CAND_SQL, candidates, metric_summary
+from promptlens.plans.q_textsim import (
+    CAND_SQL, DISTINCT_SQL, DIV_METRIC_CTES, DIV_METRIC_ROWS, GEN_SQL, N_CANDIDATES, SUMMARY_SQL, TEXT_METRIC_CTES,
+    TEXT_METRIC_ROWS, candidates)
+from promptlens.plans.q_vectors import ann_ctes
 from promptlens.plans.registry import register
 
 GATE = 0.4  # below the service's 0.7 so both outcomes occur on the test tables
@@ -22,7 +29,7 @@ def _r6(df, cols):
 def gen1(spark, d):
     from promptlens.plans.stage import staged
     return staged(spark, d, "gen1",
-                  lambda: G.generate_prompts(V.emb(spark, d), V.corpus(spark, d), n=1))
+                  lambda: G.generate_prompts(V.emb(spark, d), V.corpus(spark, d), n=1, exact=True))
 
 
 _GEN1 = f"""gen1 AS (
@@ -52,6 +59,21 @@ def q_generate_prompts(spark, d):
     return _r6(gen1(spark, d).drop("error"), ["similarity"])
 
 
+_GEN_NEAR = """near1 AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY round(similarity, 9) DESC, vec_id) AS slot FROM scored)
+  WHERE slot <= 2)"""
+
+
+@register("generate_prompts_approx", V.oracle("""
+SELECT e.vec_id AS target_id, n.slot, n.vec_id, c.prompt, round(n.similarity, 6) AS similarity, c.prompt IS NOT NULL AS success
+FROM emb e LEFT JOIN near1 n ON n.target_id = e.vec_id LEFT JOIN corpus c ON c.original_index = n.vec_id""",
+                                              _GV, [ann_ctes("corpus", "original_index"), _GEN_NEAR]))
+def q_generate_prompts_approx(spark, d):
+    """V-06 by the default search, a quarter of the cell tree."""
+    g = G.generate_prompts(V.emb(spark, d), V.corpus(spark, d), n=2)
+    return _r6(g.drop("error"), ["similarity"])
+
+
 @register("prompt_quality", V.oracle(f"""
 SELECT g.target_id, g.slot, round({S.cosine('t.embedding', 'c.embedding')}, 6) AS similarity,
        {S.word_count('g.prompt')}::BIGINT AS prompt_words, round({S.norm('t.embedding')}, 6) AS target_norm,
@@ -92,14 +114,9 @@ def q_refine_gate(spark, d):
 
 
 def eval_similarity(e):
-    ok = e.where(F.col("success"))
-    from promptlens.functions.frames import grouped_median
-    agg = ok.agg(F.count(F.lit(1)).alias("n"), F.avg("similarity").alias("mean"),
-                 F.stddev_pop("similarity").alias("std"), F.min("similarity").alias("min"),
-                 F.max("similarity").alias("max"))
-    med = grouped_median(ok, "similarity", out="median")
-    return agg.select("n", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("mean", "std", "min", "max")],
-                      F.coalesce(med.select("median").scalar(), F.lit(0.0)).alias("median"))
+    told = grouped_summary(e.where(F.col("success")), "similarity")
+    return told.groupBy().agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"),
+                              *[F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in ("mean", "std", "min", "max", "median")])
 
 
 @register("eval_similarity", V.oracle("""
@@ -115,36 +132,56 @@ def q_eval_similarity(spark, d):
 SELECT round(avg(prompt_words), 6) AS mean, round(stddev_pop(prompt_words), 6) AS std,
        round(median(prompt_words), 6) AS median FROM ev""", _GV, [_GEN1, _EVAL]))
 def q_eval_prompt_length(spark, d):
-    from promptlens.functions.frames import grouped_median
-    e = evals(spark, d).select(F.col("prompt_words").cast("double").alias("value"))
-    r = e.agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    return _r6(r.withColumn("median", grouped_median(e, "value").select("median").scalar()), ["mean", "std", "median"])
+    told = grouped_summary(evals(spark, d), "prompt_words")
+    return _r6(told.groupBy().agg(*[F.max(c).alias(c) for c in ("mean", "std", "median")]), ["mean", "std", "median"])
 
 
-@register("effectiveness", V.oracle("""
-SELECT 'offline' AS model, count(*) AS n, round(avg(similarity), 6) AS cosine_similarity,
-       round(avg(prompt_words), 6) AS prompt_length, round(avg(response_words), 6) AS response_length
-FROM ev WHERE success""", _GV, [_GEN1, _EVAL]))
-def q_effectiveness(spark, d):
-    e = evals(spark, d).where(F.col("success")).withColumn("model", F.lit("offline"))
-    r = e.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.avg("similarity").alias("cosine_similarity"),
-                               F.avg("prompt_words").alias("prompt_length"),
-                               F.avg("response_words").alias("response_length"))
-    return _r6(r, ["cosine_similarity", "prompt_length", "response_length"])
+_TV = S.hash_embed_cte("tvs", "corpus", "original_index", "output")
+_CVS = S.hash_embed_cte("cvs", "cand_k", "cid", "prompt")
+_CAND_K = "cand_k AS (SELECT target_id * 100 + slot AS cid, target_id, slot, prompt FROM candidates)"
+_SCORED = """scored AS (
+  SELECT k.target_id, k.slot, k.prompt,
+         CASE WHEN k.target_id IN (SELECT original_index FROM tvs) THEN coalesce((
+           SELECT sum(c.value * t.value) FROM cvs c JOIN tvs t ON c.bucket = t.bucket
+           WHERE c.cid = k.cid AND t.original_index = k.target_id), 0.0) ELSE 0.0 END AS score
+  FROM cand_k k)"""
+_SC = [CAND_SQL, _CAND_K, _TV, _CVS, _SCORED]
 
 
-def verdicts(sim_mean, distinct1_mean):
-    def v(x):
-        return (F.when(x > 0.8, F.lit("high")).when(x > 0.6, F.lit("middle")).otherwise(F.lit("low")))
-    return v(sim_mean).alias("similarity_verdict"), v(distinct1_mean).alias("diversity_verdict")
+def _echoed(spark, d):
+    """Best candidates evaluated by another text model, the one that says the
+    prompt itself; its answers and the targets are hashed words."""
+    c = candidates(spark, d).where(F.col("slot") == 1)
+    made = c.select("target_id", "slot", F.lit(None).cast("long").alias("vec_id"), "prompt",
+                    F.col("prompt").isNotNull().alias("success"), F.lit(None).cast("string").alias("error"))
+    tv = tvecs(spark, d).select(F.col("target_id").alias("vec_id"), F.col("target_vec").alias("embedding"))
+    return G.evaluate_generated(made, V.corpus(spark, d), tv, text_provider=EchoProvider())
+
+
+@register("effectiveness", V.oracle(f"""
+SELECT model, count_if(success) AS n, count_if(NOT success) AS errors,
+       round(avg(similarity) FILTER (success), 6) AS cosine_similarity,
+       round(avg(prompt_words) FILTER (success), 6) AS prompt_length, round(avg(response_words) FILTER (success), 6) AS response_length
+FROM (SELECT 'stored' AS model, similarity, prompt_words, response_words, success FROM ev
+      UNION ALL SELECT 'echo', score, {S.word_count('prompt')}, {S.word_count('prompt')}, len({S.words('prompt')}) > 0
+      FROM scored WHERE slot = 1)
+GROUP BY model""", _GV, [_GEN1, _EVAL, *_SC]))
+def q_effectiveness(spark, d):
+    """A-26: two text models, with the prompts that each could not answer."""
+    both = evals(spark, d).withColumn("model", F.lit("stored")).unionByName(_echoed(spark, d).withColumn("model", F.lit("echo")))
+    return _r6(EV.effectiveness(both), ["cosine_similarity", "prompt_length", "response_length"])
 
 
 @register("verdicts", V.oracle("""
-SELECT target_id, CASE WHEN similarity > 0.8 THEN 'high' WHEN similarity > 0.6 THEN 'middle' ELSE 'low' END AS verdict
-FROM ev""", _GV, [_GEN1, _EVAL]))
+SELECT e.target_id, CASE WHEN similarity > 0.8 THEN 'high' WHEN similarity > 0.6 THEN 'middle' ELSE 'low' END AS similarity_verdict,
+       CASE WHEN distinct_n > 0.8 THEN 'high' WHEN distinct_n > 0.6 THEN 'middle' WHEN distinct_n IS NOT NULL THEN 'low' END AS diversity_verdict
+FROM ev e LEFT JOIN dn ON dn.target_id = e.target_id AND dn.n = 1""", _GV, [_GEN1, _EVAL, CAND_SQL, DISTINCT_SQL]))
 def q_verdicts(spark, d):
-    e = evals(spark, d)
-    return e.select("target_id", verdicts(F.col("similarity"), F.lit(0.0))[0].alias("verdict"))
+    """P-24: of each target's similarity and of its candidates' distinct words."""
+    div = TS.distinct_ngrams(candidates(spark, d), "target_id", ns=(1,)).select("target_id", "distinct_n")
+    e = evals(spark, d).join(div, "target_id", "left")
+    return e.select("target_id", EV.verdict(F.col("similarity")).alias("similarity_verdict"),
+                    F.when(F.col("distinct_n").isNotNull(), EV.verdict(F.col("distinct_n"))).alias("diversity_verdict"))
 
 
 def _variant_ctes():
@@ -180,12 +217,12 @@ def q_variant_rank(spark, d):
     return _r6(s.withColumn("rank", F.row_number().over(w).cast("long")), ["score"])
 
 
-@register("diverse_variants", V.oracle("""
-SELECT target_id, v AS variant,
-       ['more specific', 'more creative', 'more detailed', 'more concise', 'more engaging'][v % 5 + 1] AS style,
-       round((0.5 + v * 0.3)::DOUBLE, 6) AS temperature,
-       'Make it ' || ['more specific', 'more creative', 'more detailed', 'more concise', 'more engaging'][v % 5 + 1]
-         || ': ' || coalesce(prompt, '') AS variant_prompt
+_STYLES = "[" + ", ".join(f"'{x}'" for x in G.VARIANT_STYLES) + "]"
+
+
+@register("diverse_variants", V.oracle(f"""
+SELECT target_id, v AS variant, {_STYLES}[v % 5 + 1] AS style, round((0.5 + v * 0.3)::DOUBLE, 6) AS temperature,
+       'Make it ' || {_STYLES}[v % 5 + 1] || ': ' || coalesce(prompt, '') AS variant_prompt
 FROM gen1, range(0, 5) r(v)""", _GV, [_GEN1]))
 def q_diverse_variants(spark, d):
     v = G.diverse_variants(gen1(spark, d).select("target_id", "prompt"), 5)
@@ -209,18 +246,6 @@ def candidate_pool(spark, d):
     return staged(spark, d, "candidate_pool", build)
 
 
-_TV = S.hash_embed_cte("tvs", "corpus", "original_index", "output")
-_CVS = S.hash_embed_cte("cvs", "cand_k", "cid", "prompt")
-_CAND_K = "cand_k AS (SELECT target_id * 100 + slot AS cid, target_id, slot, prompt FROM candidates)"
-_SCORED = """scored AS (
-  SELECT k.target_id, k.slot, k.prompt,
-         CASE WHEN k.target_id IN (SELECT original_index FROM tvs) THEN coalesce((
-           SELECT sum(c.value * t.value) FROM cvs c JOIN tvs t ON c.bucket = t.bucket
-           WHERE c.cid = k.cid AND t.original_index = k.target_id), 0.0) ELSE 0.0 END AS score
-  FROM cand_k k)"""
-_SC = [CAND_SQL, _CAND_K, _TV, _CVS, _SCORED]
-
-
 @register("candidate_pool", V.oracle("""
 SELECT target_id, slot, prompt, round(score, 6) AS score FROM scored""", _GV, _SC))
 def q_candidate_pool(spark, d):
@@ -288,7 +313,7 @@ FROM bq b LEFT JOIN best x ON x.item_id = b.item_id""", _GV, _PFT_CTES))
 def q_prompt_from_text(spark, d):
     b = V.table(spark, d, "benchmark").select(F.col("item_id"), "text")
     c = V.corpus(spark, d).where(F.col("output").isNotNull())
-    return _r6(G.prompt_from_text(b, c, "item_id"), ["similarity"])
+    return _r6(G.prompt_from_text(b, c, "item_id", exact=True), ["similarity"])
 
 
 def _raw_file(spark, d):
@@ -311,61 +336,41 @@ LEFT JOIN (
                  {S.cosine('a.embedding', 'b.embedding')} AS sim
           FROM emb a JOIN corpus b ON true) s) WHERE rank = 1) r ON r.target_id = d.doc_id""", _GV))
 def q_process_file(spark, d):
-    r = G.process_embeddings(_raw_file(spark, d), V.corpus(spark, d), "doc_id", "embedding_json", 64)
+    r = G.process_embeddings(_raw_file(spark, d), V.corpus(spark, d), "doc_id", "embedding_json", 64, exact=True)
     return _r6(r, ["similarity"])
 
 
-# ----------------------------------------------------------------- report
-# ----------------------------------------------------------------- E-01
-def evaluate_test_set(spark, d):
-    """One long table: embedding similarity (successful rows), generated
-    prompt length, text metrics against the reference prompt, diversity of
-    the candidate sets -- mean, population std and exact median each."""
-    from promptlens.plans.q_textsim import diversity_metrics_long, text_metrics_long
-    e = evals(spark, d)
-    sim = e.where(F.col("success")).select(F.lit("embedding_similarity").alias("metric"),
-                                           F.col("similarity").alias("value"))
-    pl = e.select(F.lit("prompt_length").alias("metric"), F.col("prompt_words").cast("double").alias("value"))
-    rows = (sim.unionByName(pl).unionByName(text_metrics_long(spark, d).drop("target_id"))
-            .unionByName(diversity_metrics_long(spark, d).drop("target_id")))
-    return metric_summary(rows)
+# ----------------------------------------------------------------- E-01, E-03
+def _test_set_sql(select: str) -> str:
+    """All candidates of every prompt-owning vector against its prompt."""
+    evaluated = f"""tev AS (
+  SELECT k.target_id, k.slot, k.prompt AS text1, p.prompt AS text2,
+         CASE WHEN c.output IS NOT NULL THEN {S.cosine('p.embedding', 'c.embedding')} END AS similarity,
+         {S.word_count('k.prompt')} AS words
+  FROM cand_ids k JOIN corpus p ON p.original_index = k.target_id JOIN corpus c ON c.original_index = k.vec_id),
+gen AS (SELECT target_id * 100 + slot AS target_id, text1, text2 FROM tev)"""
+    ids = CAND_SQL.replace("candidates AS", "cand_ids AS").replace("rank AS slot, prompt", "rank AS slot, vec_id, prompt")
+    rows = ("SELECT 'embedding_similarity' AS metric, similarity AS value FROM tev "
+            "UNION ALL SELECT 'prompt_length', words::DOUBLE FROM tev UNION ALL " + TEXT_METRIC_ROWS + " UNION ALL " + DIV_METRIC_ROWS)
+    ctes = [ids, evaluated, *[c for c in TEXT_METRIC_CTES if c not in (CAND_SQL, GEN_SQL)], *DIV_METRIC_CTES]
+    return V.oracle(select.format(summary=SUMMARY_SQL.format(rows=rows)), _GV, ctes)
 
 
-def _e01_sql():
-    from promptlens.plans import q_textsim as QT
-    rows = ("SELECT 'embedding_similarity' AS metric, similarity AS value FROM ev WHERE success "
-            "UNION ALL SELECT 'prompt_length', prompt_words::DOUBLE FROM ev UNION ALL "
-            + QT.TEXT_METRIC_ROWS + " UNION ALL " + QT.DIV_METRIC_ROWS)
-    ctes = [_GEN1, _EVAL] + QT.TEXT_METRIC_CTES + [c for c in QT.DIV_METRIC_CTES if c not in QT.TEXT_METRIC_CTES]
-    return V.oracle(QT.SUMMARY_SQL.format(rows=rows), _GV, ctes)
+def evaluated_test_set(spark, d):
+    c = V.corpus(spark, d)
+    told = EV.evaluate_test_set(c.select("original_index", "prompt", "embedding"), c, n_candidates=N_CANDIDATES, exact=True)
+    return _r6(told.select("metric", "mean", "std", "median"), ["mean", "std", "median"])
 
 
-@register("evaluate_test_set", _e01_sql())
+@register("evaluate_test_set", _test_set_sql("{summary}"))
 def q_evaluate_test_set(spark, d):
-    return _r6(evaluate_test_set(spark, d), ["mean", "std", "median"])
-
-
-def _verdict(x):
-    return F.when(x > 0.8, F.lit("high")).when(x > 0.6, F.lit("middle")).otherwise(F.lit("low"))
-
-
-def _e03_sql():
-    from promptlens.plans import q_textsim as QT
-    rows = ("SELECT 'embedding_similarity' AS metric, similarity AS value FROM ev WHERE success "
-            "UNION ALL SELECT 'prompt_length', prompt_words::DOUBLE FROM ev UNION ALL "
-            + QT.TEXT_METRIC_ROWS + " UNION ALL " + QT.DIV_METRIC_ROWS)
-    ctes = [_GEN1, _EVAL] + QT.TEXT_METRIC_CTES + [c for c in QT.DIV_METRIC_CTES if c not in QT.TEXT_METRIC_CTES]
-    v = "CASE WHEN mean > 0.8 THEN 'high' WHEN mean > 0.6 THEN 'middle' ELSE 'low' END"
-    return V.oracle(f"""
-SELECT metric, mean, std, median,
-       CASE WHEN metric IN ('embedding_similarity', 'diversity_distinct_1grams') THEN {v} END AS verdict
-FROM ({QT.SUMMARY_SQL.format(rows=rows)})""", _GV, ctes)
+    return evaluated_test_set(spark, d)
 
 
-@register("eval_report", _e03_sql())
+@register("eval_report", _test_set_sql("""
+SELECT metric, mean, std, median, CASE WHEN metric IN ('embedding_similarity', 'diversity_distinct_1grams') THEN
+  CASE WHEN mean > 0.8 THEN 'high' WHEN mean > 0.6 THEN 'middle' ELSE 'low' END END AS verdict
+FROM ({summary})"""))
 def q_eval_report(spark, d):
-    """E-03: the E-01 metric table with verdicts for embedding similarity
-    and distinct-1 diversity (strict > 0.8 high, > 0.6 middle, else low)."""
-    r = _r6(evaluate_test_set(spark, d), ["mean", "std", "median"])
-    judged = F.col("metric").isin("embedding_similarity", "diversity_distinct_1grams")
-    return r.withColumn("verdict", F.when(judged, _verdict(F.col("mean"))))
+    """E-03: the E-01 metric table with verdicts."""
+    return EV.report(evaluated_test_set(spark, d))

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from promptlens.functions import text as T
+from promptlens.functions.frames import written
+from promptlens.operators import evaluate as EV
 from promptlens.operators import textsim as TS
 from promptlens.operators import vectors as OV
 from promptlens.plans import sqlfrag as S
@@ -227,7 +229,7 @@ def q_length_diversity(spark, d):
     return _r6(TS.length_diversity(candidates(spark, d), "target_id"), ["avg_length", "length_std"])
 
 
-_DN = f"""dng AS (
+DISTINCT_SQL = f"""dng AS (
   SELECT target_id, n, unnest(CASE WHEN len(t) >= n THEN list_transform(range(1, len(t) - n + 2),
            lambda i: array_to_string(t[i:i + n - 1], ' ')) ELSE [] END) AS gram
   FROM (SELECT target_id, {S.lower_words('prompt')} AS t FROM candidates), (VALUES (1), (2), (3)) v(n)),
@@ -239,7 +241,7 @@ dn AS (
 
 
 @register("distinct_ngrams", V.oracle("""
-SELECT target_id, n, round(distinct_n, 6) AS distinct_n FROM dn""", _CV, _CC + [_DN]))
+SELECT target_id, n, round(distinct_n, 6) AS distinct_n FROM dn""", _CV, _CC + [DISTINCT_SQL]))
 def q_distinct_ngrams(spark, d):
     return _r6(TS.distinct_ngrams(candidates(spark, d), "target_id"), ["distinct_n"])
 
@@ -280,31 +282,13 @@ _DIV_COLS = ["type_token_ratio", "avg_length", "length_std", "avg_pairwise_simil
 
 
 @register("diversity", V.oracle("SELECT target_id, vocabulary_size, length_range, " + ", ".join(
-    f"round({c}, 6) AS {c}" for c in _DIV_COLS) + " FROM div", _CV, _CC + [_DN, _PJ, _DIV]))
+    f"round({c}, 6) AS {c}" for c in _DIV_COLS) + " FROM div", _CV, _CC + [DISTINCT_SQL, _PJ, _DIV]))
 def q_diversity(spark, d):
     r = TS.diversity(candidates(spark, d), "target_id", "slot")
     return _r6(r.select("target_id", "vocabulary_size", "length_range", *_DIV_COLS), _DIV_COLS)
 
 
 # ----------------------------------------------------------------- A-20/A-21
-def metric_summary(long_df, value="value", group="metric"):
-    """mean / population std / exact median per metric (rows with a value)."""
-    from promptlens.functions.frames import grouped_median
-    x = long_df.where(F.col(value).isNotNull())
-    stats = [F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")]
-    med = grouped_median(x, value, [group], out="median")
-    return x.groupBy(group).agg(*stats).join(med, group)
-
-
-def text_metrics_long(spark, d):
-    g = gen(spark, d)
-    m = (TS.jaccard_pairs(g, "target_id")
-         .join(TS.bleu_pairs(g, "target_id"), "target_id")
-         .join(TS.rouge_pairs(g, "target_id"), "target_id"))
-    cols = ["bleu", "rouge_1", "rouge_2", "jaccard", "word_overlap"]
-    stack = "stack(%d, %s) as (metric, value)" % (
-        len(cols), ", ".join(f"'text_{c}', {c}" for c in cols))
-    return m.selectExpr("target_id", stack)
 
 
 TEXT_METRIC_ROWS = f"""
@@ -316,33 +300,25 @@ TEXT_METRIC_ROWS = f"""
   UNION ALL SELECT 'text_jaccard', CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END
     FROM (SELECT list_distinct({S.lower_words('text1')}) AS a, list_distinct({S.lower_words('text2')}) AS b FROM gen)
   UNION ALL SELECT 'text_word_overlap', CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / least(len(a), len(b)) END
-    FROM (SELECT list_distinct({S.lower_words('text1')}) AS a, list_distinct({S.lower_words('text2')}) AS b FROM gen)"""
-TEXT_METRIC_CTES = _CG + _bleu_sql() + [_ROUGE_CTE]
+    FROM (SELECT list_distinct({S.lower_words('text1')}) AS a, list_distinct({S.lower_words('text2')}) AS b FROM gen)
+  UNION ALL SELECT 'text_rouge_l', rouge_l FROM ({ROUGE_L_SELECT.replace('round(', '(').replace(', 6)', ')')})"""
+TEXT_METRIC_CTES = _CG + _bleu_sql() + [_ROUGE_CTE] + ROUGE_L_CTES
 SUMMARY_SQL = ("SELECT metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, "
                "round(median(value), 6) AS median FROM ({rows}) WHERE value IS NOT NULL GROUP BY 1")
 
 
 @register("eval_text_metrics", V.oracle(SUMMARY_SQL.format(rows=TEXT_METRIC_ROWS), _CV, TEXT_METRIC_CTES))
 def q_eval_text_metrics(spark, d):
-    return _r6(metric_summary(text_metrics_long(spark, d)), ["mean", "std", "median"])
-
-
-_DIV_METRICS = ["vocabulary_size", "type_token_ratio", "avg_pairwise_similarity",
-                "distinct_1grams", "distinct_2grams", "distinct_3grams"]
+    rows = EV.long(EV.text_metrics(written(gen(spark, d), "pairs"), ["target_id"]), "text_", EV.TEXT_METRICS)
+    return _r6(EV.summary(rows).select("metric", "mean", "std", "median"), ["mean", "std", "median"])
 
 
 DIV_METRIC_ROWS = " UNION ALL ".join(f"SELECT 'diversity_{c}' AS metric, {c}::DOUBLE AS value FROM div"
-                                     for c in _DIV_METRICS)
-DIV_METRIC_CTES = _CC + [_DN, _PJ, _DIV]
-
-
-def diversity_metrics_long(spark, d):
-    r = TS.diversity(candidates(spark, d), "target_id", "slot")
-    stack = "stack(%d, %s) as (metric, value)" % (
-        len(_DIV_METRICS), ", ".join(f"'diversity_{c}', cast({c} as double)" for c in _DIV_METRICS))
-    return r.selectExpr("target_id", stack)
+                                     for c in EV.DIVERSITY_METRICS)
+DIV_METRIC_CTES = _CC + [DISTINCT_SQL, _PJ, _DIV]
 
 
 @register("eval_diversity", V.oracle(SUMMARY_SQL.format(rows=DIV_METRIC_ROWS), _CV, DIV_METRIC_CTES))
 def q_eval_diversity(spark, d):
-    return _r6(metric_summary(diversity_metrics_long(spark, d)), ["mean", "std", "median"])
+    rows = EV.long(TS.diversity(candidates(spark, d), "target_id", "slot"), "diversity_", EV.DIVERSITY_METRICS)
+    return _r6(EV.summary(rows).select("metric", "mean", "std", "median"), ["mean", "std", "median"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from promptlens.functions import vector as VX
+from promptlens.operators import ann as ANN
 from promptlens.operators import vectors as OV
 from promptlens.plans import sqlfrag as S
 from promptlens.plans import views as V
@@ -142,22 +143,59 @@ def q_vector_report(spark, d):
 
 
 # ----------------------------------------------------------------- approximate
-ANN_CELLS, ANN_PROBE, ANN_SEED = 16, 10, 42
-
-_NV = "nv AS (SELECT vec_id, list_transform(embedding, lambda x: x / nullif({n}, 0)) AS v FROM emb)".format(
-    n=S.norm("embedding"))
-_CELLS = f"""pv AS (
-  SELECT v, row_number() OVER (ORDER BY md5('{ANN_SEED}|' || CAST(vec_id AS VARCHAR)), vec_id) AS cell FROM nv
-  QUALIFY cell <= {ANN_CELLS}),
+def _centres(name: str, n: str) -> str:
+    """The first ``n`` vectors in md5 order, each moved to the mean direction
+    of the sampled vectors nearest to it."""
+    return f"""{name}0 AS (SELECT i AS cell, v FROM ord, counts WHERE i <= {n}),
+{name}a AS (
+  SELECT s.vec_id, s.v, p.cell FROM drawn s CROSS JOIN {name}0 p
+  QUALIFY row_number() OVER (PARTITION BY s.vec_id ORDER BY round(list_dot_product(s.v, p.v), 9) DESC, p.cell) = 1),
+{name}m AS (
+  SELECT cell, list(x ORDER BY d) AS m FROM (
+    SELECT cell, d, sum(x) AS x FROM (SELECT cell, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM {name}a) GROUP BY cell, d)
+  GROUP BY cell),
+{name} AS (
+  SELECT c.cell, CASE WHEN m IS NULL THEN c.v ELSE list_transform(m, lambda x: x / {S.norm('m')}) END AS v
+  FROM {name}0 c LEFT JOIN {name}m ON {name}m.cell = c.cell)"""
+
+
+def ann_ctes(corpus: str = "emb", key: str = "vec_id", targets: str = "emb", target_key: str = "vec_id",
+             seed: int = 42) -> str:
+    """CTE ``scored`` (target_id, vec_id, similarity): all rows of the cells
+    that each target probes. States the tree of :mod:`promptlens.operators.ann`."""
+    unit = lambda x: f"list_transform({x}, lambda x: x / nullif({S.norm(x)}, 0))"
+    return f"""nv AS (SELECT {key} AS vec_id, {unit('embedding')} AS v FROM {corpus}),
+tv AS (SELECT {target_key} AS target_id, {unit('embedding')} AS v FROM {targets}),
+counts AS (
+  SELECT n, c, CAST(ceil(sqrt(c)) AS BIGINT) AS t, least(1.0, {ANN.SAMPLE_PER_CELL} * c / n) AS share
+  FROM (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS c FROM nv)),
+ord AS (SELECT vec_id, v, md5('{seed}|' || CAST(vec_id AS VARCHAR)) AS h, row_number() OVER (ORDER BY h, vec_id) AS i FROM nv),
+drawn AS (
+  SELECT vec_id, v FROM ord, counts
+  WHERE share >= 1 OR CAST('0x' || substr(h, 1, 8) AS BIGINT) < CAST(floor(share * 4294967296) AS BIGINT)),
+{_centres('tops', 't')},
+{_centres('cells', 'c')},
+tree AS (
+  SELECT c.cell, c.v, t.cell AS top FROM cells c CROSS JOIN tops t
+  QUALIFY row_number() OVER (PARTITION BY c.cell ORDER BY round(list_dot_product(c.v, t.v), 9) DESC, t.cell) = 1),
+every AS (SELECT 0 AS side, vec_id AS id, v FROM nv UNION ALL SELECT 1, target_id, v FROM tv),
+visit AS (
+  SELECT e.side, e.id, e.v, t.cell AS top FROM every e CROSS JOIN tops t
+  QUALIFY row_number() OVER (PARTITION BY e.side, e.id ORDER BY round(list_dot_product(e.v, t.v), 9) DESC, t.cell) <= {ANN.VISITED}),
 near AS (
-  SELECT n.vec_id, p.cell, row_number() OVER (
-    PARTITION BY n.vec_id ORDER BY round(list_dot_product(n.v, p.v), 9) DESC, p.cell) AS place
-  FROM nv n CROSS JOIN pv p),
+  SELECT x.side, x.id, x.cell, row_number() OVER w AS place, max(sim) OVER (PARTITION BY x.side, x.id) - sim AS off
+  FROM (SELECT v.side, v.id, t.cell, round(list_dot_product(v.v, t.v), 9) AS sim FROM visit v JOIN tree t ON t.top = v.top) x
+  WINDOW w AS (PARTITION BY x.side, x.id ORDER BY sim DESC, x.cell)),
 scored AS (
-  SELECT t.vec_id AS target_id, c.vec_id, list_dot_product(tv.v, cv.v) AS similarity
-  FROM near t JOIN near c ON c.cell = t.cell AND c.place = 1 AND t.place <= {ANN_PROBE} AND c.vec_id <> t.vec_id
-  JOIN nv tv ON tv.vec_id = t.vec_id JOIN nv cv ON cv.vec_id = c.vec_id),
-found AS (
+  SELECT p.target_id, p.vec_id, list_dot_product(tv.v, nv.v) AS similarity FROM (
+    SELECT DISTINCT t.id AS target_id, c.id AS vec_id
+    FROM near t JOIN near c ON c.cell = t.cell AND c.side = 0 AND t.side = 1 AND c.id <> t.id
+      AND c.place <= {ANN.SPILL} AND c.off <= {ANN.MARGIN}
+    JOIN counts ON t.place <= greatest(1, CAST(floor(counts.c * {ANN.PROBED}) AS BIGINT))) p
+  JOIN tv ON tv.target_id = p.target_id JOIN nv ON nv.vec_id = p.vec_id)"""
+
+
+_FOUND = """found AS (
   SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY round(similarity, 9) DESC, vec_id) AS rank
   FROM scored QUALIFY rank <= 5)"""
 _EXACT5 = """best AS (
@@ -167,19 +205,25 @@ _EXACT5 = """best AS (
 
 
 @register("topk_approx", V.oracle("SELECT target_id, vec_id, rank, round(similarity, 6) AS similarity FROM found",
-                                  ["emb"], [_NV, _CELLS]))
+                                  ["emb"], [ann_ctes(), _FOUND]))
 def q_topk_approx(spark, d):
-    """V-04 approximate mode (cells of md5-chosen pivots, probe the nearest)."""
-    from promptlens.operators.ann import topk_approx
+    """V-04 approximate mode: a quarter of the cells of a two-level tree."""
+    e = V.emb(spark, d)
+    return _r6(ANN.topk_approx(e, e, k=5), ["similarity"])
+
+
+@register("topk_approx_threshold", V.oracle(
+    f"SELECT target_id, vec_id, rank, round(similarity, 6) AS similarity FROM found WHERE similarity >= {TOPK_MIN_SIM}",
+    ["emb"], [ann_ctes(), _FOUND]))
+def q_topk_approx_threshold(spark, d):
+    """F-06 on the approximate search."""
     e = V.emb(spark, d)
-    return _r6(topk_approx(e, e, k=5, n_cells=ANN_CELLS, n_probe=ANN_PROBE, seed=ANN_SEED), ["similarity"])
+    return _r6(ANN.topk_approx(e, e, k=5, min_sim=TOPK_MIN_SIM), ["similarity"])
 
 
 @register("ann_recall", V.oracle("""SELECT round(count(f.vec_id) / count(*), 6) AS recall
-FROM best b LEFT JOIN found f ON f.target_id = b.target_id AND f.vec_id = b.vec_id""", ["emb"], [_NV, _CELLS, _EXACT5]))
+FROM best b LEFT JOIN found f ON f.target_id = b.target_id AND f.vec_id = b.vec_id""", ["emb"], [ann_ctes(), _FOUND, _EXACT5]))
 def q_ann_recall(spark, d):
     """recall@5 of the approximate mode against the exact operator."""
-    from promptlens.operators.ann import recall_at_k, topk_approx
     e = V.emb(spark, d)
-    approx = topk_approx(e, e, k=5, n_cells=ANN_CELLS, n_probe=ANN_PROBE, seed=ANN_SEED)
-    return _r6(recall_at_k(approx, OV.topk_similar(e, e, k=5)), ["recall"])
+    return _r6(ANN.recall_at_k(ANN.topk_approx(e, e, k=5), OV.topk_similar(e, e, k=5)), ["recall"])

@@ -12,16 +12,16 @@ def test_refinement_never_loses(spark):
     tv = tvecs(spark, SF_SMALL).cache()
     init = {r.target_id: r.score for r in pool.where("slot = 1").collect()}
     best0 = {r.target_id: r.score for r in pool.groupBy("target_id").agg(F.max("score").alias("score")).collect()}
-    hc = {r.target_id: r.score for r in R.refine("hill_climbing", pool, tv, 4).collect()}
-    bs = {r.target_id: r.score for r in R.refine("beam_search", pool, tv, 3).collect()}
-    ev = {r.target_id: r.score for r in R.refine("evolutionary", pool, tv, 3).collect()}
+    hc = {r.target_id: r.score for r in R.refine(R.RefineConfig("hill_climbing", 4), pool, tv).collect()}
+    bs = {r.target_id: r.score for r in R.refine(R.RefineConfig("beam_search", 3), pool, tv).collect()}
+    ev = {r.target_id: r.score for r in R.refine(R.RefineConfig("evolutionary", 3), pool, tv).collect()}
     for t, s in init.items():
         assert hc[t] >= s - 1e-12
     for t, s in best0.items():
         assert bs[t] >= s - 1e-12
         assert ev[t] >= s - 1e-12
     try:
-        R.refine("nope", pool, tv)
+        R.RefineConfig("nope")
         raise AssertionError("unknown strategy accepted")
     except ValueError:
         pass

@@ -3,7 +3,7 @@ mutation edits, rolling windows against brute force, determinism."""
 
 from pyspark.sql import functions as F
 
-from promptlens.functions.frames import grouped_median, with_row_index
+from promptlens.functions.frames import grouped_median, grouped_summary, value_counts, with_row_index
 from promptlens.functions.rolling import rolling_range
 from promptlens.operators import incremental as OP
 from promptlens.operators import refine as R
@@ -56,6 +56,26 @@ def test_median_of_few_hot_and_odd_values(spark):
     assert grouped_median(df.limit(0), "v", ["g"]).count() == 0
 
 
+def test_summary_with_a_far_extreme(spark):
+    """One extreme value: slices are cut by counts of values, the input is read
+    for the counts only, and hot values cost a row."""
+    import statistics
+    values = [float(i) for i in range(5000)] + [1e300, -1e300] + [2500.0] * 3000 + [None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    known = [v for v in values if v is not None]
+    told = grouped_summary(df, "v")
+    r = told.first()
+    assert (r["n"], r["median"], r["min"], r["max"]) == (len(known), statistics.median(known), -1e300, 1e300)
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" not in plan and "ExistingRDD" not in plan  # the written counts alone are read
+    spread = value_counts(df, "v", []).groupBy("_at").count().collect()
+    assert len(spread) > 1 and max(x["count"] for x in spread) < 5000
+    two = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 4.0), (None, 3.0), (None, 5.0)], "g string, v double")
+    got = {x["g"]: x for x in grouped_summary(two, "v", ["g"]).collect()}
+    assert abs(got["a"]["std"] - 1.247219128924647) < 1e-12 and got["a"]["median"] == 2.0
+    assert (got[None]["mean"], got[None]["median"], got[None]["std"]) == (4.0, 4.0, 1.0)
+
+
 def test_rolling_range_matches_brute_force(spark):
     # a hot key (a third of rows) plus many small keys, with timestamp ties
     rows = []
@@ -65,12 +85,24 @@ def test_rolling_range_matches_brute_force(spark):
     df = spark.createDataFrame(rows, "id long, key string, t long, v long")
     for width in (50, 60, 13, 1):
         got = {r.id: (r.win_count, r.win_sum, r.win_oldest)
-               for r in rolling_range(df, ["key"], "t", width, "id", value="v").collect()}
+               for r in rolling_range(df, ["key"], "t", width, value="v").collect()}
         for i, key, t, v in rows:
             frame = [(t2, v2) for _, k2, t2, v2 in rows if k2 == key and t - width < t2 <= t]
             assert got[i] == (len(frame), sum(x[1] for x in frame), min(x[0] for x in frame)), (width, i)
 
 
+def test_bad_vectors_are_invalid(spark):
+    """F-01: null, NaN and infinite components, other dimensions, null vectors."""
+    from promptlens.operators.vectors import invalid_dims, validate_dims
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 2.0]), (2, [1.0, None]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [1.0]), (6, None), (7, [])]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    r = validate_dims(df, 2).first()
+    assert (r["valid"], r["total"], r["invalid_count"]) == (False, 7, 6)
+    assert {x["id"]: x["dims"] for x in invalid_dims(df, 2, "id").collect()} == {2: 2, 3: 2, 4: 2, 5: 1, 6: None, 7: 0}
+    assert validate_dims(df.where("id = 1"), 2).first()["valid"] and not validate_dims(df.limit(0), 2).first()["valid"]
+
+
 def test_edits(spark):
     df = spark.createDataFrame([("a b c",), ("a b c d",), ("w1 w2 w3 w4 w5 w6 w7",)], "p string")
     w = F.split("p", " ")
@@ -144,27 +176,6 @@ def test_provider_is_called_once_per_text(spark):
     assert calls.value == 42
 
 
-def test_population_grows_to_its_size(spark):
-    """A target that starts with two candidates breeds full generations."""
-    from promptlens.operators import refine as R
-    sizes = []
-    score = R._score
-
-    def spy(df, tvecs, col, out):
-        sizes.append(df.groupBy("target_id").count().first()["count"])
-        return score(df, tvecs, col, out)
-
-    R._score = spy
-    try:
-        pop = spark.createDataFrame([(1, 1, "alpha beta gamma", 0.1), (1, 2, "delta epsilon zeta", 0.2)],
-                                    "target_id long, slot int, prompt string, score double")
-        tv = spark.createDataFrame([(1, [1.0] * 64)], "target_id long, target_vec array<double>")
-        R.evolve(pop, tv, generations=3)
-    finally:
-        R._score = score
-    assert sizes == [R.POPULATION] * 3
-
-
 def test_topk_matches_brute_force_any_blocking(spark):
     """Exact top-k equals numpy brute force for several block layouts."""
     import numpy as np
@@ -184,24 +195,33 @@ def test_topk_matches_brute_force_any_blocking(spark):
         assert {t: [v[i] for i in range(1, 6)] for t, v in got.items()} == want, (block_rows, tasks)
 
 
-def test_ann_exact_when_probing_all_cells(spark):
-    from promptlens.operators.ann import recall_at_k, topk_approx
-    from promptlens.operators.vectors import topk_similar
-    from promptlens.plans import views as V
-    e = V.emb(spark, "/root/testdata/sf0.001")
-    ex = topk_similar(e, e, k=5)
-    assert recall_at_k(topk_approx(e, e, k=5, n_cells=8, n_probe=8, block_rows=40), ex).first()[0] == 1.0
-    assert recall_at_k(topk_approx(e, e, k=5, n_cells=8, n_probe=3), ex).first()[0] > 0.5
+def _windows(plan):
+    return [x.split("Window ")[1] for x in plan.splitlines() if "Window " in x]
 
 
-def test_hot_key_windows_are_cut_by_time(spark):
-    """No window of the rolling plan is partitioned by the key alone, but the
-    one over the bucket totals."""
+def test_no_rolling_window_is_by_key_alone(spark):
+    """Events meet by (key, bucket), bucket totals by (key, span)."""
     df = spark.createDataFrame([(1, "a", 5, 1)], "id long, key string, t long, v long")
-    plan = rolling_range(df, ["key"], "t", 60, "id", value="v")._jdf.queryExecution().optimizedPlan().toString()
-    windows = [x.split("Window ")[1] for x in plan.splitlines() if "Window " in x]
-    events = [w for w in windows if "_t#" in w.rsplit("], [", 1)[1]]
-    assert events and all("_b#" in w.rsplit("], [", 2)[1] for w in events)
+    plan = rolling_range(df, ["key"], "t", 60, value="v")._jdf.queryExecution().optimizedPlan().toString()
+    found = _windows(plan)
+    assert found
+    for w in found:
+        by = w.rsplit("], [", 2)[1]
+        assert "key#" in by and ("_b#" in by or "_span#" in by), w
+    assert "Join" not in plan  # the rows carry their columns along
+
+
+def test_one_key_over_a_year(spark):
+    """Every 20 minutes for a year, one key: exact day and minute windows."""
+    step, day = 1_200_000_000, 86_400_000_000
+    n = 365 * 72
+    df = spark.range(n).select(F.lit("k").alias("key"), (F.col("id") * step).alias("t"), (F.col("id") % 3).alias("v"), F.lit("x").alias("payload"))
+    got = rolling_range(df, ["key"], "t", day, value="v").orderBy("t").collect()
+    assert len(got) == n and got[0]["payload"] == "x"
+    for i in (0, 1, 71, 72, 100, 5000, n - 1):
+        first = max(0, i - 71)
+        assert (got[i]["win_count"], got[i]["win_sum"], got[i]["win_oldest"]) == (i - first + 1, sum(j % 3 for j in range(first, i + 1)), first * step)
+    assert {r["win_count"] for r in rolling_range(df, ["key"], "t", 60_000_000).select("win_count").distinct().collect()} == {1}
 
 
 def test_generation_envelopes(spark):
@@ -220,5 +240,6 @@ def test_generation_envelopes(spark):
     assert (got[4].success, got[4].error) == (False, "invalid embedding")
     empty = corpus.where("original_index < 0")
     t = spark.createDataFrame([(5, [1.0, 0.0])], "vec_id long, embedding array<double>")
-    r = generate_prompts(t, empty, n=1).collect()
-    assert len(r) == 1 and r[0].success is False and r[0].error == "no candidate"
+    for exact in (True, False):
+        r = generate_prompts(t, empty, n=1, exact=exact).collect()
+        assert len(r) == 1 and r[0].success is False and r[0].error == "no candidate"

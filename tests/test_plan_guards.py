@@ -5,14 +5,10 @@ import pytest
 
 from conftest import SF_SMALL
 
-SKIP = {"hill_climb", "beam_search", "evolve", "anneal", "strategy_compare", "running_best",
-        "ann_recall", "topk_approx"}  # iterative: their per-round plans are the ones below
-
-
 def _names():
     from promptlens.plans import registry
     registry.load_all()
-    return sorted(n for n in registry.QUERIES if n not in SKIP and not n.startswith("stream_"))
+    return sorted(registry.QUERIES)
 
 
 def _plan(df):
@@ -23,7 +19,7 @@ def _plan(df):
 def test_no_python_udf_or_cartesian(spark, name):
     import __spark_entry__ as E
     plan = _plan(E.queries()[name](spark, SF_SMALL))
-    for bad in ("BatchEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
+    for bad in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert bad not in plan, f"{name}: {bad}"
 
 

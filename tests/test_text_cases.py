@@ -76,6 +76,48 @@ def test_lcs():
     assert len(TS._lcs_positions(ref, hyp)) == 4
 
 
+def _plain_lcs(ref, hyp):
+    """The length table whole, walked back from its end."""
+    n, m = len(ref), len(hyp)
+    t = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            t[i][j] = t[i - 1][j - 1] + 1 if ref[i - 1] == hyp[j - 1] else max(t[i - 1][j], t[i][j - 1])
+    out, i, j = set(), n, m
+    while i and j:
+        if ref[i - 1] == hyp[j - 1]:
+            out.add(i - 1)
+            i, j = i - 1, j - 1
+        elif t[i - 1][j] >= t[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out
+
+
+def test_lcs_positions_match_the_whole_table():
+    import random
+    rng = random.Random(3)
+    for trial in range(300):
+        letters = "ab" if trial % 3 == 0 else "abcdefgh" if trial % 3 == 1 else [f"w{i}" for i in range(40)]
+        ref = [rng.choice(letters) for _ in range(rng.randrange(0, 60))]
+        hyp = [rng.choice(letters) for _ in range(rng.randrange(0, 60))]
+        assert TS._lcs_positions(ref, hyp) == _plain_lcs(ref, hyp), (ref, hyp)
+
+
+def test_lcs_of_long_sentences_in_little_memory():
+    import random
+    import tracemalloc
+    rng = random.Random(4)
+    ref = [f"w{rng.randrange(3000)}" for _ in range(20_000)]
+    hyp = [w for w in ref if rng.random() < 0.7]
+    tracemalloc.start()
+    found = TS._lcs_positions(ref, hyp)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == len(hyp) and peak < 50 << 20
+
+
 def test_bleu_identical_and_disjoint(spark):
     df = spark.createDataFrame([(1, "a b c d e", "a b c d e"), (2, "a b", "x y"), (3, "", "x")],
                                "k int, text1 string, text2 string")
@@ -92,9 +134,9 @@ def test_distinct_ngrams(spark):
 
 
 def test_verdict_strict(spark):
-    from promptlens.plans.q_generate import verdicts
+    from promptlens.operators.evaluate import verdict
     df = spark.createDataFrame([(0.8,), (0.81,), (0.6,)], "x double")
-    got = [r[0] for r in df.select(verdicts(F.col("x"), F.col("x"))[0]).collect()]
+    got = [r[0] for r in df.select(verdict(F.col("x"))).collect()]
     assert got == ["middle", "high", "low"]
 
 
