@@ -328,8 +328,11 @@ def anneal(start: DataFrame, tvecs: DataFrame, config: RefineConfig = RefineConf
 
 def _pooled(pool: DataFrame) -> DataFrame:
     """(target_id, pool): the candidates of a target by slot. As many as a
-    target was given, so a bounded few."""
-    return pool.groupBy("target_id").agg(F.sort_array(F.collect_list(
+    target was given, so a bounded few. Dealt by a stated number of partitions:
+    the rows are small, but each stands for a whole search, so they are not to
+    be put together by their bytes."""
+    parts = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pool.repartition(parts, "target_id").groupBy("target_id").agg(F.sort_array(F.collect_list(
         _entry(F.col("slot"), F.col("prompt"), F.col("score")))).cast(_POOL).alias("pool"))
 
 
@@ -356,13 +359,13 @@ def beam_search(pool: DataFrame, tvecs: DataFrame, config: RefineConfig = Refine
 def beam_step(pool: DataFrame, tvecs: DataFrame, config: RefineConfig = RefineConfig()) -> DataFrame:
     """The beam after one round, a row per member: target_id, slot, prompt, score."""
     done = beam_state(pool, tvecs, replace(config, iterations=1))
-    return done.select("target_id", F.inline("state.beam")).withColumnRenamed("place", "slot")
+    return done.select("target_id", F.inline_outer("state.beam")).withColumnRenamed("place", "slot")
 
 
 def beam_history(pool: DataFrame, tvecs: DataFrame, config: RefineConfig = RefineConfig()) -> DataFrame:
     """target_id, iteration, score: the best of the beam after each round."""
     done = beam_state(pool, tvecs, config)
-    return done.select("target_id", F.posexplode("state.history").alias("iteration", "score"))
+    return done.select("target_id", F.posexplode_outer("state.history").alias("iteration", "score"))
 
 
 def running_best(history: DataFrame, patience: int = MAX_NO_IMPROVEMENT) -> DataFrame:
