@@ -6,7 +6,8 @@
 * streaming upsert: each micro-batch becomes the next version of a keyed
   vector table (latest wins): only the buckets it touches are written, once,
   and the version carries the batch id, so a replayed batch is a no-op.
-* streaming dedupe: ``dropDuplicates`` on the text hash (state = seen hashes).
+* streaming dedupe: ``dropDuplicates`` on the text hash (state = seen hashes),
+  or within a watermark (state = the hashes of that span).
 * rate monitor: watermark + sliding / tumbling event-time windows, emitted in
   update mode and merged per window key by foreachBatch.
 """
@@ -18,24 +19,34 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from promptlens.functions.frames import written
 from promptlens.operators.embed import EmbeddingProvider, embed_texts
 from promptlens.operators.incremental import last_wins
-from promptlens.session import scratch_path
 from promptlens.sources.vectortable import VectorTable, open_or_create
 
 
 def split_to_files(df: DataFrame, path: str, order: str, parts: int) -> str:
-    """Write ``df`` as ``parts`` time-ordered parquet folders (one write per
-    equal-width range of ``order``, oldest first), so a file stream reading
-    one folder per trigger sees the data in order."""
+    """Write ``df`` as ``parts`` time-ordered parquet folders (equal-width
+    ranges of ``order``, oldest first), so a file stream reading one folder per
+    trigger sees the data in order."""
     b = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
     lo, hi = b["lo"], b["hi"]
+    if lo is None:
+        return write_parts(df.withColumn("_part", F.lit(0)), path, "_part", 1)
     step = (hi - lo) / parts if hi != lo else 1
+    bounds = [lo + i * step for i in range(1, parts)]
+    part = sum((F.coalesce(F.col(order) >= F.lit(x), F.lit(False)).cast("int") for x in bounds), F.lit(0))
+    return write_parts(df.withColumn("_part", part), path, "_part", parts)
+
+
+def write_parts(df: DataFrame, path: str, part: str, parts: int, one_file: bool = False) -> str:
+    """Write the rows of ``part`` = 0, 1, ... into folders of their own, one
+    after the other, so that a file stream meets them in that order. ``df`` is
+    evaluated once."""
+    rows = written(df, "stream-parts")
     for i in range(parts):
-        cond = F.col(order) >= F.lit(lo + i * step) if i else F.lit(True)
-        if i < parts - 1:
-            cond = cond & (F.col(order) < F.lit(lo + (i + 1) * step))
-        df.where(cond).write.mode("overwrite").parquet(os.path.join(path, f"part={i:04d}"))
+        some = rows.where(F.col(part) == i).drop(part)
+        (some.coalesce(1) if one_file else some).write.mode("overwrite").parquet(os.path.join(path, f"part={i:04d}"))
     return path
 
 
@@ -97,13 +108,27 @@ def stream_upsert(spark: SparkSession, src: str, schema, table_root: str, key: s
 
 def stream_dedupe(spark: SparkSession, src: str, schema, out: str, key: str,
                   max_files: int = 8) -> DataFrame:
+    """First row of each key, however far apart: the state holds every key."""
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+              .option("recursiveFileLookup", "true").parquet(src))
+    return _to_files(stream.dropDuplicates([key]), out)
+
+
+def stream_dedupe_within(spark: SparkSession, src: str, schema, out: str, key: str, ts: str, within: str,
+                         max_files: int = 8) -> DataFrame:
+    """First row of each key, as long as its repeats come within ``within`` of
+    event time: a key leaves the state when the watermark has passed that, so
+    the state is bounded by the rows of that span."""
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
               .option("recursiveFileLookup", "true").parquet(src))
-    d = stream.dropDuplicates([key])
-    q = (d.writeStream.format("parquet").option("path", out)
+    return _to_files(stream.withWatermark(ts, within).dropDuplicatesWithinWatermark([key]), out)
+
+
+def _to_files(rows: DataFrame, out: str) -> DataFrame:
+    q = (rows.writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", out + "-checkpoint").trigger(availableNow=True).start())
     _run(q)
-    return spark.read.parquet(out)
+    return rows.sparkSession.read.schema(rows.schema).parquet(out)
 
 
 def stream_window_counts(spark: SparkSession, src: str, schema, out: str, ts: str,
@@ -129,7 +154,3 @@ def stream_window_counts(spark: SparkSession, src: str, schema, out: str, ts: st
     res = spark.read.parquet(out)
     return last_wins(res.withColumn("_k", F.struct("window_start_us", group)), "_k", "_batch") \
         .drop("_k", "_batch")
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return scratch_path(spark, name)

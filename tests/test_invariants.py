@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from promptlens.session import scratch_path
 
 
 def test_refinement_never_loses(spark):
@@ -31,9 +32,9 @@ def test_stream_restart_no_duplicates(spark):
     from promptlens.plans import views as V
     from promptlens.streaming import streams as ST
     docs = V.docs(spark, SF_SMALL).select("original_index", "output", "text_hash")
-    src = ST.fresh_dir(spark, "restart-src")
+    src = scratch_path(spark, "restart-src")
     ST.split_to_files(docs.where("original_index < 100"), src + "/a", "original_index", 2)
-    out = ST.fresh_dir(spark, "restart-out")
+    out = scratch_path(spark, "restart-out")
     first = ST.stream_embed(spark, src, docs.schema, out, "original_index", "output").count()
     ST.split_to_files(docs.where("original_index >= 100"), src + "/b", "original_index", 2)
     res = ST.stream_embed(spark, src, docs.schema, out, "original_index", "output")
@@ -44,7 +45,7 @@ def test_stream_restart_no_duplicates(spark):
 
 def test_upsert_replay_is_idempotent(spark):
     from promptlens.streaming import streams as ST
-    root = ST.fresh_dir(spark, "upsert-replay")
+    root = scratch_path(spark, "upsert-replay")
     b1 = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v long")
     b2 = spark.createDataFrame([("b", 20), ("c", 3)], "k string, v long")
     ST.upsert_batch(spark, root, b1, "k", 0)
