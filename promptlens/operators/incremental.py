@@ -8,7 +8,7 @@ a third of all rows still leaves one row per task before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptlens.functions import text as T
@@ -87,6 +87,27 @@ def progress_ledger(ledger: DataFrame, key: str = "original_index") -> DataFrame
                     F.count_if(~F.col("success")).alias("failed_count"))
 
 
+class Ledger:
+    """Attempts of a run under one folder: (key, success, attempt), appended by
+    batch, read as a whole. The last attempt of a row counts."""
+
+    SCHEMA = "original_index long, success boolean, attempt int"
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def append(self, attempts: DataFrame) -> None:
+        attempts.select(F.col("original_index").cast("long"), "success", F.col("attempt").cast("int")).write.mode("append").parquet(self.root)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(self.root)
+
+    def failed(self, max_attempts: int) -> DataFrame:
+        """Rows whose last attempt failed and that may be tried again."""
+        last = last_wins(self.read(), "original_index", "attempt")
+        return last.where(~F.col("success") & (F.col("attempt") < max_attempts))
+
+
 # ----------------------------------------------------------------- batches
 def batch_plan(df: DataFrame, size: int, key: str = "original_index",
                last_processed: int = -1) -> DataFrame:

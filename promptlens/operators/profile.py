@@ -25,13 +25,18 @@ def profile_counts(df: DataFrame) -> DataFrame:
 
 
 def profile_distinct(df: DataFrame) -> DataFrame:
-    """nunique ignores null; duplicates = rows - nunique (nulls count)."""
-    agg = df.agg(F.count(F.lit(1)).alias("n"),
-                 F.count_distinct("prompt").alias("unique_prompts"),
-                 F.count_distinct("output").alias("unique_outputs"))
-    return agg.select("unique_prompts", "unique_outputs",
-                      (F.col("n") - F.col("unique_prompts")).alias("duplicate_prompts"),
-                      (F.col("n") - F.col("unique_outputs")).alias("duplicate_outputs"))
+    """nunique ignores null; duplicates = rows - nunique (nulls count). What is
+    shuffled is a digest per distinct text of a task, and each column is an
+    aggregate of its own, so no row is multiplied."""
+    def unique(column: str) -> DataFrame:
+        digests = df.where(F.col(column).isNotNull()).select(F.unhex(F.sha2(column, 256)).alias("d")).distinct()
+        return digests.agg(F.count(F.lit(1)).alias("n"))
+
+    n = df.agg(F.count(F.lit(1)).alias("n"))
+    told = n.select("n", unique("prompt").scalar().alias("unique_prompts"), unique("output").scalar().alias("unique_outputs"))
+    return told.select("unique_prompts", "unique_outputs",
+                       (F.col("n") - F.col("unique_prompts")).alias("duplicate_prompts"),
+                       (F.col("n") - F.col("unique_outputs")).alias("duplicate_outputs"))
 
 
 def with_lengths(df: DataFrame) -> DataFrame:
@@ -112,9 +117,28 @@ def length_relation(df: DataFrame) -> DataFrame:
                  F.avg("output_length").alias("avg_output_length"))
 
 
-def word_frequency(df: DataFrame, column: str = "prompt", k: int = 50) -> DataFrame:
-    """Most common lower-cased words; partial aggregation combines hot words
-    map-side before the shuffle."""
+def length_bins(df: DataFrame, bins: int = 20) -> DataFrame:
+    """Pairs with an output by equal-width bins of both lengths: prompt_bin,
+    output_bin, n; the last bin of either is closed."""
+    x = with_lengths(df).where(F.col("output").isNotNull()).select(
+        F.col("prompt_length").cast("double").alias("p"), F.col("output_length").cast("double").alias("o"))
+    ends = x.agg(*[f(c).alias(f"{side}_{c}") for c in ("p", "o") for side, f in (("lo", F.min), ("hi", F.max))])
+
+    def placed(c: str):
+        lo, hi = (ends.select(f"{side}_{c}").scalar() for side in ("lo", "hi"))
+        at = F.least(F.floor((F.col(c) - lo) / F.nullif(hi - lo, F.lit(0.0)) * bins), F.lit(bins - 1))
+        return F.coalesce(at, F.lit(0)).cast("long")
+
+    return x.where(F.col("p").isNotNull()).select(placed("p").alias("prompt_bin"), placed("o").alias("output_bin")).groupBy("prompt_bin", "output_bin").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def word_frequency(df: DataFrame, column: str = "prompt", k: int = 50, stop_words: DataFrame | None = None) -> DataFrame:
+    """Most common lower-cased words, without those of ``stop_words`` (word);
+    partial aggregation combines hot words map-side before the shuffle, and
+    stop words leave after it, when a word is one row."""
     w = df.select(F.explode(T.lower_words(column)).alias("word"))
     g = w.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    if stop_words is not None:
+        g = g.join(stop_words.select(F.lower("word").alias("word")).distinct(), "word", "left_anti")
     return g.orderBy(F.desc("n"), F.asc("word")).limit(k)

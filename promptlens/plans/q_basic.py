@@ -42,6 +42,17 @@ def q_src_embeddings(spark, d):
                         VX.vec_sum("embedding").alias("vsum")), ["vsum"])
 
 
+@register("src_embeddings_csv", V.oracle("""
+SELECT vec_id, label, len(embedding) AS dims, round(list_sum(embedding), 6) AS vsum FROM emb""", ["emb"]))
+def q_src_embeddings_csv(spark, d):
+    """SRC-02 from a CSV with the vector as JSON text."""
+    path = scratch_path(spark, "emb") + ".csv"
+    V.emb(spark, d).select("vec_id", "label", F.to_json("embedding").alias("embedding")).write.option("header", True).option(
+        "quoteAll", True).option("escape", '"').csv(path)
+    r = IO.read_embeddings(spark, path, schema="vec_id long, label int, embedding string")
+    return _r6(r.select("vec_id", "label", F.size("embedding").cast("long").alias("dims"), VX.vec_sum("embedding").alias("vsum")), ["vsum"])
+
+
 @register("src_cache", V.oracle("""
 SELECT text_hash, vec_id, embedding_dim::BIGINT AS embedding_dim, round(list_sum(embedding), 6) AS vsum FROM cache""",
                                 ["cache"]))
@@ -121,6 +132,15 @@ def q_vector_records(spark, d):
     return r.select("id", "metadata.prompt", "metadata.tokens", "metadata.type")
 
 
+@register("hash_records", V.oracle("""
+SELECT c.text_hash AS id, min(d.output) AS text, min(d.text_hash) AS text_hash, round(min(list_sum(c.embedding)), 6) AS vsum
+FROM cache c JOIN docs d ON d.text_hash = c.text_hash GROUP BY 1""", ["cache", "docs"]))
+def q_hash_records(spark, d):
+    """P-16, the record shape keyed by the hash of the text."""
+    r = IO.hash_records(V.cache(spark, d), V.docs(spark, d).withColumn("prompt", F.lit(None).cast("string")))
+    return _r6(r.select("id", "metadata.text", "metadata.text_hash", VX.vec_sum("values").alias("vsum")), ["vsum"])
+
+
 @register("fetch_vectors", V.oracle(f"""
 SELECT id, original_index AS index, prompt, output, tokens, type, round(list_sum(embedding), 6) AS vsum
 FROM rec WHERE type = 'train' AND original_index >= {FETCH_LO} AND original_index < {FETCH_HI}""",

@@ -14,6 +14,7 @@ from promptlens.operators import incremental as OP
 from promptlens.plans import sqlfrag as S
 from promptlens.plans import views as V
 from promptlens.plans.registry import register
+from promptlens.session import scratch_path
 
 BATCH_SIZE = 200
 ELAPSED_SECONDS = 120.0
@@ -197,6 +198,27 @@ def q_progress_ledger(spark, d):
     return OP.progress_ledger(ledger)
 
 
+_TRIES = """tries AS (
+  SELECT original_index, success, 1 AS attempt FROM results WHERE success IS NOT NULL
+  UNION ALL SELECT original_index, original_index % 2 = 0, 2 FROM results WHERE NOT success
+  UNION ALL SELECT original_index, false, 3 FROM results WHERE NOT success AND original_index % 2 = 1)"""
+
+
+@register("progress_retries", V.oracle("""
+SELECT max(original_index) AS last_processed_index, count_if(success) AS total_processed, count_if(NOT success) AS failed_count
+FROM (SELECT original_index, max_by(success, attempt) AS success FROM tries GROUP BY 1)""", ["results"], [_TRIES]))
+def q_progress_retries(spark, d):
+    """SNK-08 with retries: failed rows are tried again, those with an even
+    index come through at the second attempt, the others never."""
+    first = V.results(spark, d).where(F.col("success").isNotNull()).select("original_index", "success", F.lit(1).alias("attempt"))
+    ledger = OP.Ledger(spark, scratch_path(spark, "ledger"))
+    ledger.append(first)
+    even = F.col("original_index") % 2 == 0
+    for attempt, outcome in ((2, even), (3, F.lit(False))):
+        ledger.append(ledger.failed(max_attempts=3).select("original_index", outcome.alias("success"), F.lit(attempt).alias("attempt")))
+    return OP.progress_ledger(ledger.read())
+
+
 @register("batch_plan", V.oracle(f"""
 SELECT original_index, (original_index // {BATCH_SIZE})::BIGINT AS batch_num FROM docs
 WHERE original_index // {BATCH_SIZE} >= (399 + 1) // {BATCH_SIZE}""", ["docs"]))

@@ -156,6 +156,16 @@ def vector_records(df: DataFrame, kind: str | None = None, kind_col: str | None
         F.col(index).cast("long").alias("index"))
 
 
+def hash_records(cache: DataFrame, rows: DataFrame, text: str = "output", prompt: str = "prompt") -> DataFrame:
+    """A record per cached text: id is its hash; the text and a prompt of it are
+    found in ``rows`` (text_hash, text, prompt), '' where there is none."""
+    one = rows.groupBy("text_hash").agg(F.min(text).alias("_text"), F.min(prompt).alias("_prompt"))
+    known = cache.join(one, "text_hash", "left")
+    empty = F.lit("")
+    return known.select(F.col("text_hash").alias("id"), F.col("embedding").alias("values"), F.struct(
+        F.coalesce("_text", empty).alias("text"), F.coalesce("_prompt", empty).alias("prompt"), F.col("text_hash")).alias("metadata"))
+
+
 def fetch_vectors(table: DataFrame, id_lo: int, id_hi: int, kind: str) -> DataFrame:
     """Records of ``kind`` whose index is in [id_lo, id_hi); only existing ids
     come back; metadata is flattened. Both filters reach the Parquet reader
