@@ -28,7 +28,18 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete tables of :func:`stored` that nothing reads any more. Only what
+    has been read by a finished job may go: a plan that is still to run reads
+    the files."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def id_remainder(doc_id: str | Column, modulus: int) -> Column:

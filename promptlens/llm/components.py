@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptlens.llm.common import stored
+from promptlens.llm.common import free, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,13 +24,16 @@ def components(links: DataFrame) -> DataFrame:
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", "m"))
         small = small.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        edges = stored(small, "edges")
+        before, edges = edges, stored(small, "edges")
+        free(before)
         was, mark = mark, _mark(edges)
         if mark == was:
             break
     found = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return found.union(roots)
+    told = stored(found.union(roots), "components")
+    free(edges)
+    return told
 
 
 def _mark(edges: DataFrame) -> tuple:

@@ -253,7 +253,7 @@ def plain_classes(rows):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_jaccard_join_matches_brute_force(spark, monkeypatch, seed):
     monkeypatch.setattr(jaccard, "LIST_PER_SALT", 3)
-    monkeypatch.setattr(jaccard, "SAMPLE_DOCS", 40)
+    monkeypatch.setattr(jaccard, "SAMPLE_SHARE", 0.4)
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(60)]
     passage = " ".join(rng.choice(words) for _ in range(60))
@@ -281,6 +281,37 @@ def test_jaccard_ids(spark):
     assert jaccard.similar(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_rows_of_repeated_and_missing_ids_keep_their_links(spark):
+    """A null id bridges others and takes their smallest id; rows of one id are
+    linked each by its own text, however often a row is repeated."""
+    base = [f"w{i}" for i in range(90)]
+    step = lambda k: " ".join(base[k:] + [f"x{i}" for i in range(k)])  # noqa: E731  about k / 90 away from its neighbours
+    other = " ".join(f"y{i}" for i in range(40))
+    rows = [(5, step(0)), (None, step(8)), (9, step(16)), (5, other), (20, other + " tail"), (None, "alone in the world is this text")]
+    rows += [(30, " ".join(f"z{i}" for i in range(50)))] * 60 + [(31, " ".join(f"z{i}" for i in range(50)) + " end")] * 60
+    assert not linked(rows[0][1], rows[2][1]) and linked(rows[0][1], rows[1][1]) and linked(rows[1][1], rows[2][1])
+    got = collections.Counter(tuple(r)[:1] + (tuple(r)[2],) for r in jaccard.similar(spark.createDataFrame(rows, DOCS).repartition(4)).collect())
+    assert got == {(5, 5): 2, (None, 5): 1, (9, 5): 1, (20, 5): 1, (None, None): 1, (30, 30): 60, (31, 30): 60}
+    first = [(r["doc_id"], r["component_id"]) for r in jaccard.grouped(spark.createDataFrame(rows, DOCS)).filter("first").collect()]
+    assert sorted(set(first), key=str) == sorted([(5, 5), (None, None), (30, 30)], key=str)
+
+
+def linked(a, b):
+    x, y = (set(zip(*(t.split()[i:] for i in range(5)))) for t in (a, b))
+    return 100 * len(x & y) >= 75 * len(x | y)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sets(st.integers(0, 2 ** 40), max_size=60), st.sets(st.integers(0, 2 ** 40), max_size=60), st.sets(st.integers(0, 2 ** 40), max_size=200))
+def test_bitmaps_lose_no_link(a, b, both):
+    a, b = a | both, b | both
+    if a and b:
+        x, y = (np.array(sorted(s), "i8") for s in (a, b))
+        may = jaccard.may_link(len(x), jaccard.bitmap(x), len(y), jaccard.bitmap(y))
+        assert may == jaccard.may_link(len(y), jaccard.bitmap(y), len(x), jaccard.bitmap(x))
+        assert may or not jaccard.links(x, y)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.sets(st.integers(0, 40)), st.sets(st.integers(0, 40)))
 def test_probe_is_the_threshold(a, b):
