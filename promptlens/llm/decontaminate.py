@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptlens.llm.common import ASCII_LOWER, ASCII_UPPER, stored, table
+from promptlens.llm.common import ASCII_LOWER, ASCII_UPPER, small, stored, table
 
 GRAM, WINDOW = 5, 10
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -112,9 +112,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, windo
 
     # 3: extend
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & a["_h"].eqNullSafe(b["_h"])
-    picked = known.filter("met").select("doc_id", "_h").distinct()
+    picked = stored(known.filter("met").select("doc_id", "_h").distinct(), "picked")
     texts = docs.select("doc_id", F.xxhash64("text").alias("_h"), "text")
-    texts = texts.join(picked, same(texts, picked), "left_semi").dropDuplicates(["doc_id", "_h"])
+    texts = texts.join(small(picked), same(texts, picked), "left_semi").dropDuplicates(["doc_id", "_h"])
     texts = stored(texts.select("doc_id", "_h", exact_words("text").alias("w")), "candidates")
     item_places = items.withColumn("grams", _places("iw", gram, short)).select("item_id", "text", F.explode("grams").alias("g"))
     item_places = item_places.select("item_id", F.xxhash64("text").alias("ih"), F.col("g.hash").alias("hash"), F.col("g.place").alias("q"))
