@@ -7,7 +7,8 @@ checkpoint folder and hands the next stage the reread table.
 
 Defined results: empty tables pass through every stage; null and blank texts
 are rejected by the first; rows with a null id take part everywhere (their
-duplicates are found by text); extra columns stay as they are.
+duplicates are found by text); extra columns stay as they are, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -16,44 +17,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptlens.llm import binpack, decontaminate, jaccard, langid, pii, tokens
-from promptlens.llm.common import stored, table
+from promptlens.llm.common import small, stored, table
 
 #: Letters from which on an ambiguous text is rejected: short texts are
 #: ambiguous by nature, long ones only if they are in no learned language.
 AMBIGUOUS_LETTERS = 200
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """row (all columns of ``docs``), id, h (hash of the text): names of the
+    stages' own never meet those of the documents."""
+    return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].cast("long").alias("id"), F.xxhash64(docs["text"]).alias("h"))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and long texts whose two nearest
     codewords lie close together; a null lang becomes the predicted one."""
     model = langid.fit(docs.select("doc_id", "text", "lang"))
-    told = langid.predict(docs, model, docs.columns)
+    # the other columns go along under numbers, so that none is taken for a result
+    own = {c: "text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)}
+    told = langid.predict(docs.select(*(docs[c].alias(name) for c, name in own.items())), model, list(own.values()))
     lost = F.col("lang_pred") == langid.UNDETERMINED if model.langs else ~F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if model.langs:
         lost |= F.col("ambiguous") & (F.length(F.regexp_replace("text", r"\P{L}", "")) >= AMBIGUOUS_LETTERS)
-    filled = F.coalesce("lang", F.when(F.col("lang_pred") != langid.UNDETERMINED, F.col("lang_pred")))
-    return told.filter(~lost).withColumn("lang", filled).select(*docs.columns)
+    lang = F.coalesce(F.col(own["lang"]), F.when(F.col("lang_pred") != langid.UNDETERMINED, F.col("lang_pred")))
+    return told.filter(~lost).select(*((lang if c == "lang" else F.col(name)).alias(c) for c, name in own.items()))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near duplicates the document with the smallest
-    id; one row of it if rows repeat the id. A null id is replaced, for this
-    stage, by a negative hash of the text."""
-    key = F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.shiftrightunsigned(F.xxhash64("text"), 2)) - 1)
-    keyed = docs.withColumn("__key", key)
-    found = jaccard.similar(keyed.select(F.col("__key").alias("doc_id"), "text"))
-    first = stored(found.filter("doc_id = component_id").groupBy("doc_id").count().withColumnRenamed("doc_id", "__first"), "kept-ids")
-    once = keyed.join(first.filter("count = 1"), F.col("__key") == F.col("__first"), "left_semi")
-    again = keyed.join(first.filter("count > 1"), F.col("__key") == F.col("__first"), "left_semi").dropDuplicates(["__key"])
-    return once.union(again).select(*docs.columns)
+    id. Rows count as the same only if their texts are near duplicates: another
+    text under the same id, or under none, stays. Of rows with the same id and
+    text the first by all their columns stays; texts without words all stay."""
+    found = jaccard.grouped(docs.select("doc_id", "text"))
+    kept = found.filter("first").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("words"))
+    kept = stored(kept.select(F.col("doc_id").alias("kept_id"), F.col("h").alias("kept_h"), ((F.col("rows") == 1) | (F.col("words") == 0)).alias("whole")), "kept-ids")
+    rows = _carried(docs)
+    same = rows["id"].eqNullSafe(kept["kept_id"]) & (rows["h"] == kept["kept_h"])
+    once = rows.join(kept.filter("whole"), same, "left_semi")
+    again = rows.join(kept.filter(~F.col("whole")), same, "left_semi")
+    again = again.groupBy("id", "h").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return once.select("row.*").union(again.select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
     found = decontaminate.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    hit = found.filter("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("_h").alias("__h")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__h"))
-    return docs.join(stored(hit, "contaminated"), same, "left_anti")
+    hit = stored(found.filter("n_hit > 0").select(F.col("doc_id").cast("long").alias("hit_id"), F.col("_h").alias("hit_h")).distinct(), "contaminated")
+    rows = _carried(docs)
+    return rows.join(small(hit), rows["id"].eqNullSafe(hit["hit_id"]) & (rows["h"] == hit["hit_h"]), "left_anti").select("row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
