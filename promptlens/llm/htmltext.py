@@ -282,18 +282,26 @@ def _parts(node: Node, inside: bool):
                 yield from _parts(item, inside)
 
 
-def _staying(node: Node, inside: bool) -> set | None:
-    """Named parts below that hold more than half of the text; all (None) if
-    nothing would be left."""
+def _prose(node: Node, inside: bool) -> int:
+    """Letters of paragraphs below."""
+    return sum(_letters(item, inside) if item.tag == "p" else _prose(item, inside)
+               for item in node.items if isinstance(item, Node) and not _boilerplate(item, inside))
+
+
+def _staying(node: Node, inside: bool) -> set:
+    """Named parts below that hold more than half of the text and are what they
+    are called by mistake: they hold a region, or paragraphs for the most part.
+    A page that has nothing but a form, a sidebar or comments has no text."""
     stays, at = set(), node
     while at is not None:
         found, whole, at = list(_parts(at, inside)), _letters(at, inside), None
         for part in found:
             comments = any(_part_words(name) & COMMENTS for name in part.names)
-            if not comments and 2 * _letters(part, inside) > whole:
+            most = not comments and 2 * _letters(part, inside) > whole
+            if most and (next(_regions(part, (), True), None) or 2 * _prose(part, inside) > _letters(part, inside)):
                 stays.add(id(part))
                 at = part
-    return stays if _letters(node, inside, stays) else None
+    return stays
 
 
 def _regions(node: Node, keys: tuple, named: bool = False):

@@ -6,8 +6,8 @@ Patterns and instances form a graph of (pattern, instance) edges; Spark scores
 it in rounds: a pattern is confident in a kind if most of its instances are
 trusted as that kind and most places where its two words occur introduce one;
 an instance becomes trusted by confident patterns (noisy-or). Confident
-patterns then discover identifiers that no expression describes: a token with
-a digit that follows them.
+patterns then discover identifiers that no expression describes: whatever token
+follows them. Learning looks at tokens with a digit only.
 
 Base spans always stay; discovered spans never overlap them. Learning and
 finding read every whole text. Scores stay in Spark: confident patterns meet
@@ -25,6 +25,7 @@ import hashlib
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SECRET = re.compile(r"(?<![0-9A-Za-z])[0-9a-f]{32,128}(?![0-9A-Za-z])")
 _DIGIT = re.compile(r"[0-9]")
+_TOKEN = re.compile(r"\S+")
 _QUOTES = "\"'`()[]{}<>,;:.!?"
 
 MIN_INSTANCES, CONFIDENCE, PRECISION, ROUNDS = 5, 0.8, 0.5, 3
@@ -101,13 +103,54 @@ def _token(text: str, start: int) -> int:
     return start
 
 
+def _key(first: str, second: str) -> str | None:
+    """The pattern of two words, if they are words; a long one stands as a
+    digest, so that a pattern is of bounded size."""
+    words = [w.lower() for w in (first, second)]
+    if any(_DIGIT.search(w) for w in words):
+        return None
+    return " ".join(w if len(w) <= LONGEST_WORD else "#" + hashlib.sha256(w.encode("utf-8", "surrogatepass")).hexdigest() for w in words)
+
+
 def pattern(text: str, start: int) -> str | None:
     """The two words before the token at ``start``, if they are words."""
-    begin = _token(text, start)
-    words = text[max(0, begin - 3 * LONGEST_WORD):begin].lower().split()[-2:]
-    if len(words) < 2 or any(len(w) > LONGEST_WORD or _DIGIT.search(w) for w in words):
-        return None
-    return " ".join(words)
+    words, end = [], _token(text, start)
+    while len(words) < 2:
+        while end and text[end - 1].isspace():
+            end -= 1
+        if not end:
+            return None
+        start = _token(text, end - 1)
+        words.append(text[start:end])
+        end = start
+    return _key(words[1], words[0])
+
+
+def _bare(text: str, start: int, end: int) -> tuple[int, int]:
+    """A token without quotes and end marks around it."""
+    while start < end and text[start] in _QUOTES:
+        start += 1
+    while end > start and text[end - 1] in _QUOTES:
+        end -= 1
+    return start, end
+
+
+def introduced(text: str, patterns: dict, seconds: tuple[str, ...]):
+    """(start, end, kind) of every token that a confident pattern introduces,
+    whatever it is made of."""
+    low = text.lower()
+    if not any(w in low for w in seconds):
+        return
+    first = second = None
+    for m in _TOKEN.finditer(text):
+        token = m[0]
+        if second is not None and second.lower() in patterns[None]:
+            kind = patterns.get(_key(first, second)) if first is not None else None
+            if kind:
+                a, b = _bare(text, *m.span())
+                if a < b:
+                    yield a, b, kind
+        first, second = second, token
 
 
 def candidates(text: str, spans: list[tuple[int, int, int]]):
@@ -136,19 +179,41 @@ class Model:
 
     patterns: dict
 
+    @cached_property
+    def seconds(self) -> tuple[str, ...]:
+        """Second words of the patterns, as they have to stand in a text; of
+        digests nothing can be asked for."""
+        words = {p.split(" ")[1] for p in self.patterns}
+        return ("",) if any(w.startswith("#") for w in words) else tuple(sorted(words))
+
+    @cached_property
+    def keyed(self) -> dict:
+        """The patterns and, under None, a test of second words."""
+        return {**self.patterns, None: _Any() if "" in self.seconds else frozenset(self.seconds)}
+
     def spans(self, text: str | None) -> tuple[list, list]:
-        """Base spans, and all spans as (start, order, kind, end)."""
+        """Base spans, and all spans as (start, order, kind, end). A token that
+        a pattern introduces counts where no base span overlaps it."""
         base = base_spans(text)
         named = [(a, k, BASE[k], b) for a, k, b in base]
         if text and self.patterns:
             kinds = [*BASE, *sorted(set(self.patterns.values()) - set(BASE))]
-            for a, b in candidates(text, base):
-                kind = self.patterns.get(pattern(text, a))
-                if kind:
+            i = 0
+            for a, b, kind in introduced(text, self.keyed, self.seconds):
+                while i < len(base) and base[i][2] <= a:
+                    i += 1
+                if not any(s[0] < b and s[2] > a for s in base[i:i + 4]):
                     named.append((a, kinds.index(kind), kind, b))
         return base, sorted(named)
 
 
+class _Any:
+    """Holds every word."""
+
+    def __contains__(self, word) -> bool:
+        return True
+
+
 def _edges(docs: DataFrame) -> DataFrame:
     """Distinct (pattern, instance, kind) with the number of places; kind is
     null for a candidate that is no seed. An instance is kept as a digest."""

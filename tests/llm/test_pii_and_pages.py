@@ -190,3 +190,28 @@ def test_names_do_not_take_content():
     # minor parts and comments still go
     page = f'<article>{body}<div class="share-buttons">Share</div><div class=comments>{"long answer " * 20}</div><form>Mail</form></article>'
     assert text_of(page) == "The story itself is here."
+
+
+def test_pages_of_minor_parts_only_have_no_text(spark):
+    pages = ['<div class="comments"><p>First! great</p></div>', "<form>Name <input></form>", '<div class="sidebar">links here</div>',
+             "<form><p>A long paragraph that somebody has put into a form by mistake.</p></form>",
+             '<div class="sidebar"><article>The article itself</article></div>']
+    rows = [(i, f"http://h{i}.org/", f"<html><body>{p}</body></html>") for i, p in enumerate(pages)]
+    pages = htmltext.with_host(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(pages, htmltext.induce(pages), ["page_id"]).collect()}
+    assert [got[i] for i in range(3)] == ["", "", ""]
+    assert got[3].startswith("A long paragraph") and got[4] == "The article itself"
+
+
+def test_a_confident_pattern_introduces_any_token():
+    model = pii.Model({"token =": "secret", "secret is": "secret", pii.pattern("x" * 60 + " key v", 65): "secret"})
+    long = "Ab" * 70
+    for value in (long, "abcdefghijkl", "a1b2", "é"):
+        text = f"my token = {value}, and so on"
+        base, spans = model.spans(text)
+        assert [text[a:b] for a, _, _, b in spans] == [value] and base == []
+    assert model.spans("token = \"quoted\" token = jo@ex.org")[1][0][3] == 15
+    assert [s[2] for s in model.spans("token = jo@ex.org")[1]] == ["email"]
+    text = "x" * 60 + " key hidden"
+    assert [text[a:b] for a, _, _, b in model.spans(text)[1]] == ["hidden"]
+    assert model.spans("Token\n=\tv")[1] == [(8, 4, "secret", 9)] and model.spans("tokens = v")[1] == []
