@@ -49,9 +49,12 @@ MAX_TRAIN_DOCS = 6000
 STEMS = range(3, 8)
 #: Learned features: toxic texts that hold it at least, the least share of toxic
 #: among (equally weighted) texts that hold it, different words before it.
-MIN_TEXTS, MIN_PURITY, MIN_CONTEXTS, MAX_FEATURES = 5, 0.97, 8, 2000
+MIN_TEXTS, MIN_PURITY, MIN_CONTEXTS = 5, 0.97, 8
 NEGATION_SCOPE = 3
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+#: White space besides blanks and line feeds, and marks between two words.
+_ODD_SPACE = re.compile(r"[^\S \n]+")
+_GLUED = re.compile(r"(?<=[^\W\d_])([!?;,:]+)(?=[^\W\d_])")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _LONGEST = 48
 
@@ -155,7 +158,10 @@ def clauses(text: str | None, lexicon: Lexicon) -> list[float]:
     """Scores of the clauses that hold an insult or a threat."""
     if not text:
         return []
-    read = list(map(lexicon.__getitem__, text.lower().replace("\n", " \n ").split(" ")))
+    if _ODD_SPACE.search(text):
+        text = _ODD_SPACE.sub(" ", text)
+    text = _GLUED.sub(r"\1 ", text.lower().replace("\n", " \n "))
+    read = list(map(lexicon.__getitem__, text.split(" ")))
     if not any(x and x[0] in (INSULT, THREAT) for x in read):
         return []
     out, state, score, seen = [], 0, 0.0, False
@@ -276,7 +282,6 @@ def learn(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DO
     told = _contexts(sample.filter("toxic = 1"), set(scored)).filter(F.col("n") >= MIN_CONTEXTS)
     scored = {r["feature"]: scored[r["feature"]] for r in told.select("feature").collect()}
     chosen = _distinct(scored, often)
-    chosen = dict(sorted(chosen.items(), key=lambda x: (-often[x[0]] * x[1], x[0]))[:MAX_FEATURES])
 
     shared = spark.sparkContext.broadcast(chosen)
 

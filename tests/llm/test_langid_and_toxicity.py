@@ -76,6 +76,14 @@ def test_grammar():
     assert score("GROBNARD***") == [2.0] and score("grobn") == [] and score("no. vile") == [3.0]
 
 
+def test_words_part_at_any_space_and_at_marks():
+    plain = score("you idiot")
+    assert len(plain) == 1
+    for text in ("you\tidiot", "you\u00a0idiot", "you\r\x0bidiot"):
+        assert score(text) == plain, text
+    assert len(score("IDIOT!you")) == 1 and len(score("so:idiot,you")) == 1
+
+
 def test_composition_is_the_product_of_the_machines():
     machines = [toxicity.negation(), toxicity.reported(), toxicity.targeted(), toxicity.threatening()]
     rng = random.Random(3)
