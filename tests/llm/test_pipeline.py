@@ -73,6 +73,32 @@ def test_run_gives_the_last_stage(spark, corpus):
     assert [n for n, _ in C.STAGES] == ["language", "near_duplicates", "decontamination", "personal_data", "packing"]
 
 
+@pytest.mark.parametrize("name", ["score", "ambiguous", "lang_pred", "__key", "__id", "__h", "row", "id", "h", "first", "n", "node", "hit_id", "kept_h", "c0", "spans"])
+def test_extra_columns_may_have_any_name(spark, corpus, name):
+    path, rows, _ = corpus
+    docs = spark.read.parquet(f"{path}/documents.parquet").withColumnRenamed("hash", name)
+    stages = dict(C.STAGES)
+    picked = [k for k in ("language", "near_duplicates", "decontamination", "personal_data") if k != "near_duplicates" or name in ("__key", "h", "node")]
+    for stage in picked:
+        got = stages[stage](spark, docs, path)
+        assert got.columns == docs.columns and got.schema[name] == docs.schema[name]
+        assert {r[0] for r in got.select(name).distinct().collect()} == {"extra"}
+
+
+def test_texts_of_repeated_and_missing_ids_stay(spark):
+    """Only near copies go: another text under the same id is no copy."""
+    long = "one two three four five six seven eight nine ten eleven twelve".split()
+    a, b = " ".join(long * 3 + ["end"]), " ".join(reversed(long * 2))
+    near = a + " more"
+    rows = [(0, near, "x"), (1, a, "x"), (1, b, "x"), (None, a, "x"), (None, "a text of its own that nobody has", "x"),
+            (7, "twice the same row and text here", "s2"), (7, "twice the same row and text here", "s1"), (8, None, "x"), (8, None, "x"), (9, "  ", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(map(tuple, C.near_duplicates(spark, docs, "").collect()), key=str)
+    want = [(0, near, "x"), (1, b, "x"), (None, "a text of its own that nobody has", "x"), (7, "twice the same row and text here", "s1"),
+            (8, None, "x"), (8, None, "x"), (9, "  ", "x")]
+    assert got == sorted(want, key=str)
+
+
 def test_empty_tables_pass(spark, corpus, tmp_path):
     path, _, _ = corpus
     docs = spark.read.parquet(f"{path}/documents.parquet").limit(0)
