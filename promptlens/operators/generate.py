@@ -190,6 +190,15 @@ def score_prompts(cands: DataFrame, tvecs: DataFrame, prompt: str = "prompt",
     return j.select(*cands.columns, F.when(F.col("_text").isNotNull(), score).otherwise(F.lit(0.0)).alias(out))
 
 
+def candidate_pool(targets: DataFrame, corpus: DataFrame, tvecs: DataFrame, n: int = 5, target_key: str = "vec_id",
+                   corpus_key: str = "original_index", exact: bool = False, provider: EmbeddingProvider | None = None,
+                   text_provider: TextProvider | None = None, ledger: ResponseLedger | None = None) -> DataFrame:
+    """target_id, slot, prompt, score: the prompts of the ``n`` nearest corpus
+    rows of each target, scored; what the search strategies start from."""
+    made = generate_prompts(targets, corpus, n=n, target_key=target_key, corpus_key=corpus_key, exact=exact).where("success")
+    return score_prompts(made.select("target_id", "slot", "prompt"), tvecs, "prompt", provider, "score", text_provider, ledger)
+
+
 def best_per_target(df: DataFrame, score: str = "score", tie: str = "slot",
                     key: str = "target_id") -> DataFrame:
     """argmax of score per target; the lowest ``tie`` wins ties."""

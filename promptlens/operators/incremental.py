@@ -41,10 +41,11 @@ def cache_misses(texts: DataFrame, cache: DataFrame, key: str = "text_hash",
 
 
 def cache_merge(existing: DataFrame, new: DataFrame, key: str = "text_hash") -> DataFrame:
-    """existing UNION new; on a shared key the new row wins."""
-    a = existing.withColumn("_prio", F.lit(0))
-    b = new.select(*existing.columns).withColumn("_prio", F.lit(1))
-    return last_wins(a.unionByName(b), key, "_prio").drop("_prio")
+    """existing UNION new; on a shared key the new row wins. Both hold a key
+    once. Only keys are compared: with few new rows they go to the cache's tasks,
+    and its vectors stay where they are."""
+    kept = existing.join(new.select(key), key, "left_anti")
+    return kept.select(*existing.columns).unionByName(new.select(*existing.columns))
 
 
 def training_join(dataset: DataFrame, cache: DataFrame, key: str = "text_hash") -> DataFrame:

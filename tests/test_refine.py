@@ -157,3 +157,16 @@ def test_evaluation_and_refining_by_a_text_provider(spark):
     plain = G.generate_with_refinement(evals, tv, gate=0.5, n_variants=2).collect()
     key = lambda rows: sorted((r["target_id"], r["best_variant"], round(r["best_variant_score"], 9)) for r in rows)
     assert key(best) == key(plain) and len(best) == 6
+
+
+def test_candidate_pools_are_the_nearest_prompts_scored(spark):
+    corpus = spark.createDataFrame([(i, f"make w{i}", f"w{i} w{i + 1}") for i in range(12)], "original_index long, prompt string, output string")
+    embedded = G.embed_corpus(corpus)
+    targets = embedded.select(F.col("original_index").alias("vec_id"), "embedding")
+    tv = G.target_vectors(corpus, "original_index", "output")
+    for exact in (True, False):
+        pool = G.candidate_pool(targets, embedded, tv, n=2, exact=exact)
+        assert pool.columns == ["target_id", "slot", "prompt", "score"]
+        rows = pool.collect()
+        assert max(r["slot"] for r in rows) <= 2 and all(r["prompt"] != f"make w{r['target_id']}" for r in rows)
+    assert len(rows) and {r["target_id"] for r in G.candidate_pool(targets, embedded, tv, n=2, exact=True).collect()} == set(range(12))
