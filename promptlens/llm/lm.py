@@ -34,15 +34,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptlens.llm.common import id_remainder, stored, table
 
-CHUNK_TOKENS = 1 << 21
+CHUNK_TOKENS = 1 << 20
 #: Tokens whose probabilities are computed at once, grams probed at once.
 PROBED_TOKENS = 1 << 18
-BUCKET_TOKENS = 1 << 21
+BUCKET_TOKENS = 1 << 20
 MIN_COUNT = 1
 LEVEL_BASE = 1.3
 PROBES = 8
@@ -264,43 +264,6 @@ class LogFrequencyFilter:
         return out
 
 
-def build_filter(counts: DataFrame, buckets: int, max_bits: int | None = None) -> LogFrequencyFilter:
-    """All segments of ``counts`` (bucket, grams, levels) in one filter of at
-    most ``max_bits`` bits, the rarest grams left out, or without a bound.
-    Everything is collected: for small tables; ``score`` does not use it."""
-
-    def tally(batches):
-        n = np.zeros(LEVELS + 1, "i8")
-        for batch in batches:
-            for data in batch.column("levels"):
-                n += np.bincount(np.frombuffer(data.as_buffer(), "u1"), minlength=LEVELS + 1)
-        yield pa.RecordBatch.from_pydict({"level": np.arange(LEVELS + 1), "n": n})
-
-    seen = counts.select("levels").mapInArrow(tally, "level long, n long").groupBy("level").agg(F.sum("n").alias("n"))
-    by_level = np.zeros(LEVELS + 1, "i8")
-    for r in seen.collect():
-        by_level[r["level"]] = r["n"]
-    least = 1
-    inserted = lambda q: int((by_level * np.arange(LEVELS + 1))[q:].sum())
-    while max_bits and least < LEVELS and inserted(least) * PROBES / np.log(2) > max_bits:
-        least += 1
-    size = max(64, int(np.ceil(inserted(least) * PROBES / np.log(2) / buckets / 8)) * 8)
-
-    def build(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                grams, level = _unpack5(r["grams"]), np.frombuffer(r["levels"], "u1")
-                grams, level = grams[level >= least], level[level >= least]
-                bits = segment(grams, level, size)
-                yield pa.RecordBatch.from_pydict({"bucket": [r["bucket"]], "bits": pa.array(
-                    [np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    whole = np.zeros(buckets * size // 8, "u1")
-    for r in counts.mapInArrow(build, "bucket long, bits binary").collect():
-        whole[r["bucket"] * size // 8:(r["bucket"] + 1) * size // 8] = np.frombuffer(r["bits"], "u1")
-    return LogFrequencyFilter(whole, size, buckets)
-
-
 # -- scoring ------------------------------------------------------------------
 
 def score(docs: DataFrame, prior: float = PRIOR) -> DataFrame:
@@ -308,11 +271,10 @@ def score(docs: DataFrame, prior: float = PRIOR) -> DataFrame:
     coded = stored(chunks(docs), "chunks", "zstd")
     words = coded.select("chunk", F.posexplode(F.arrays_zip("words", "n_train"))).select(
         "chunk", F.col("pos").alias("word_no"), F.col("col.words").alias("word"), F.col("col.n_train").alias("n"))
-    by_word = Window.partitionBy("word")
-    known = words.withColumn("c", F.sum("n").over(by_word)).withColumn(
-        "first", F.row_number().over(by_word.orderBy("chunk")) == 1)
-    known = stored(known.filter("c > 0").select("chunk", "word_no", "n", "c", "first"), "known-words", "zstd")
-    totals = known.agg(F.sum("n").alias("n"), F.sum(F.col("first").cast("long")).alias("v")).first()
+    # the words' totals are summed before the shuffle, so a word that is in every chunk is no hot key
+    totals = stored(words.groupBy("word").agg(F.sum("n").alias("c")).filter("c > 0"), "word-totals", "zstd")
+    known = stored(words.join(totals, "word").select("chunk", "word_no", "c"), "known-words", "zstd")
+    totals = totals.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_all, distinct = totals["n"] or 0, totals["v"] or 0
 
     tokens = coded.agg(F.sum(F.element_at("ends", -1)).alias("n")).first()["n"] or 0

@@ -68,22 +68,29 @@ def test_levels():
     assert (np.abs(stands - counts) <= 0.16 * counts + 0.5).all()
 
 
-def test_filter_keeps_every_gram_and_few_others(spark):
+def test_filter_keeps_every_gram_and_few_others():
+    """Levels are never too low, and seldom too high."""
     rng = np.random.default_rng(0)
     grams = rng.integers(0, 2 ** 63, 20_000).astype("u8")
     level = rng.integers(1, 9, 20_000).astype("u1")
-    rows = []
-    for b in range(4):
-        mine = (grams >> np.uint64(40)) % np.uint64(4) == b
-        rows.append((b, lm._pack5(grams[mine]), level[mine].tobytes()))
-    counts = spark.createDataFrame(rows, "bucket long, grams binary, levels binary")
-    filt = lm.build_filter(counts, 4)
+    size = lm.segment_size(int(level.sum(dtype="i8")))
+    filt = lm.LogFrequencyFilter(np.packbits(lm.segment(grams, level, size), bitorder="little"), size, 1)
     assert (filt.levels(grams) >= level).all() and (filt.levels(grams) == level).mean() > 0.98
     assert (filt.levels(rng.integers(0, 2 ** 63, 20_000).astype("u8")) > 0).mean() < 0.02
-    tight = lm.build_filter(counts, 4, max_bits=1 << 19)
-    assert len(tight.bits) * 8 <= (1 << 19) + 64
-    known = tight.levels(grams)
-    assert (known[level == 8] == 8).mean() > 0.9 and (known[level == 1] == 0).mean() > 0.9
+
+
+def test_a_word_of_every_chunk_is_summed_before_it_moves(spark, monkeypatch):
+    """A hot word, one text per chunk: exact counts, and no window by word."""
+    monkeypatch.setattr(lm, "chunks", lambda docs, f=lm.chunks: f(docs, 1))
+    rows = [(i, "hot hot " + f"w{i}", i % 3 == 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, DOCS + ", held_out boolean").repartition(3)
+    got = {r["doc_id"]: r for r in lm.score(docs).collect()}
+    n, v = 4 * 40, 40 + 2
+    assert {r["train_tokens"] for r in got.values()} == {n}
+    for i, _, held in rows:
+        counts = [80, 80, 0 if held else 1, 40]
+        assert math.isclose(got[i]["base_score"], sum(math.log10((c + 1) / (n + v + 1)) for c in counts), rel_tol=1e-9)
+        assert got[i]["n_known"] == (3 if held else 4)
 
 
 def test_lm_filter_grows_with_the_grams(spark, monkeypatch):
