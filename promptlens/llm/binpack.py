@@ -61,6 +61,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             names = ("doc_id", "piece", "start", "length", "ids_crc32")
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], list(names))
+        enc.forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, PIECES)
 

@@ -110,6 +110,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int,
                 ends.append(ends[-1] + len(data) // 4)
         if doc_ids:
             yield row()
+        enc.forget()
 
     (docs.select(F.col("doc_id").cast("long"), F.col("text"), F.xxhash64("text").alias("_h"))
      .repartitionByRange(shards, "doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text")

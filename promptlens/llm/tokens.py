@@ -48,7 +48,7 @@ class _Cache(dict):
 class Encoder:
     """ids of texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, cache_entries: int = 200_000):
+    def __init__(self, path: str, cache_entries: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -94,6 +94,12 @@ class Encoder:
             return self._full(text)
         return b"".join(map(self._words.__getitem__, _BREAKS.sub(" ", text).split(" ")))
 
+    def forget(self) -> None:
+        """Empty the caches, at the end of a task: its worker is kept for later
+        stages, which need the memory."""
+        self._words.clear()
+        self._cores.clear()
+
     def encode_all(self, texts: Sequence[str | None]) -> list[bytes]:
         return [self.encode(t) for t in texts]
 
