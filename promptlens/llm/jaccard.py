@@ -55,7 +55,7 @@ from promptlens.llm.components import components
 SHINGLE = 5
 #: Share of the documents that orders the lists, from how many of them a
 #: shingle counts as recurring, and recurring shingles that are kept.
-SAMPLE_SHARE, SAMPLE_SEEN, SAMPLE_ENTRIES = 1 / 8, 2, 1 << 20
+SAMPLE_SHARE, SAMPLE_SEEN, SAMPLE_ENTRIES = 1 / 8, 2, 1 << 18
 #: Documents of a list per salt.
 LIST_PER_SALT = 5000
 #: Places over which the partners of one document are dealt.
@@ -113,8 +113,8 @@ class Order:
         partner must share, and how often the sample holds each of these."""
         found = shingles(text)
         if not len(found):
-            return found, found, np.zeros(0, "i8")
-        seen = np.zeros(len(found), "i8")
+            return found, found, np.zeros(0, "i4")
+        seen = np.zeros(len(found), "i4")
         if len(self.hot):
             at = np.minimum(np.searchsorted(self.hot, found), len(self.hot) - 1)
             seen = np.where(self.hot[at] == found, self.heat[at], 0)
@@ -143,6 +143,7 @@ def sampled_order(docs: DataFrame) -> Order:
         for batch in batches:
             for text in batch.column("text"):
                 yield pa.RecordBatch.from_pydict({"shingle": pa.array(shingles(text.as_py()))})
+        _HASHES.clear()
 
     drawn = docs.filter(F.pmod(F.xxhash64("h", F.lit(5)), F.lit(1 << 20)) < int(SAMPLE_SHARE * (1 << 20)))
     often = stored(drawn.select("text").mapInArrow(found, "shingle long").groupBy("shingle").count()
@@ -165,7 +166,7 @@ def sampled_order(docs: DataFrame) -> Order:
     free(often)
     hot, heat = (np.frombuffer(b"".join(r[i] for r in rows), "<i8") for i in (0, 1))
     order = np.argsort(hot)
-    return Order(hot[order], heat[order], 1 / SAMPLE_SHARE)
+    return Order(hot[order], np.minimum(heat[order], 2 ** 31 - 1).astype("i4"), 1 / SAMPLE_SHARE)
 
 
 def enough(a: str, b: str, common: str) -> Column:
@@ -241,6 +242,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, name: str) ->
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("centre", "salt", "node")), pa.array(found, pa.binary())],
                 ["centre", "salt", "node", "shingles"])
+        _HASHES.clear()
 
     def check(batches):
         at, centres = None, []
@@ -287,11 +289,14 @@ def grouped(docs: DataFrame) -> DataFrame:
                 rows[3].append(seen)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("h"), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()),
-                 pa.array(rows[2], pa.list_(pa.int64())), pa.array(rows[3], pa.list_(pa.int64())), pa.array(rows[4], pa.binary())],
+                 pa.array(rows[2], pa.list_(pa.int64())), pa.array(rows[3], pa.list_(pa.int32())), pa.array(rows[4], pa.binary())],
                 ["doc_id", "h", "n", "digest", "rare", "seen", "bits"])
+        _HASHES.clear()  # workers are kept for later stages, which need the memory
 
-    kinds = "doc_id long, h long, n long, digest binary, rare array<long>, seen array<long>, bits binary"
+    kinds = "doc_id long, h long, n long, digest binary, rare array<long>, seen array<int>, bits binary"
     indexed = stored(docs.mapInArrow(index, kinds).withColumn("row", F.monotonically_increasing_id()), "sets")
+    per = shared.value.per
+    shared.destroy()  # what it was for is written
     # a class is shown by its row with the smallest id; ``copies`` counts rows that may be the same
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "row"))
     classes = stored(indexed.filter("n > 0").groupBy("digest").agg(lead.alias("lead"), F.count(F.lit(1)).alias("copies"))
@@ -304,7 +309,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     reps = indexed.join(small(own), F.col("row") == F.col("_node"), "left_semi")
     postings = reps.select(F.col("row").alias("node"), F.col("n").cast("int").alias("n"), F.posexplode(F.arrays_zip("rare", "seen")).alias("place", "r")).select(
         F.col("r.rare").alias("shingle"), "node", "n", "place",
-        F.ceil(F.col("r.seen") * F.lit(shared.value.per) / LIST_PER_SALT).cast("int").alias("salts"))
+        F.ceil(F.col("r.seen") * F.lit(per) / LIST_PER_SALT).cast("int").alias("salts"))
     postings = postings.withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("node"), F.col("salts").cast("long"))).otherwise(F.lit(0).cast("long")).cast("int"))
     part = Window.partitionBy("shingle", "salt")
     short = stored(postings.withColumn("df", F.count(F.lit(1)).over(part)).filter("df > 1 or salts > 1").drop("df"), "short-lists")
