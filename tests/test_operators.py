@@ -195,6 +195,24 @@ def test_topk_matches_brute_force_any_blocking(spark):
         assert {t: [v[i] for i in range(1, 6)] for t, v in got.items()} == want, (block_rows, tasks)
 
 
+def test_topk_copies_of_a_vector_do_not_grow_with_the_rows(spark):
+    """A vector is copied once per row or column of the grid, however many
+    blocks the tables have; duplicates and rows without a vector included."""
+    import re
+    from promptlens.operators.vectors import topk_similar
+    rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(400)] + [(399, [0.0, 4.0, 1.0]), (500, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = topk_similar(df, df, k=3, block_rows=10, min_tasks=4)
+    plan = found._jdf.queryExecution().analyzed().toString()
+    copies = [int(x) + 1 for x in re.findall(r"explode\(sequence\(0, (\d+)", plan)]
+    assert copies and max(copies) <= 4
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.target_id, []).append((r["rank"], r.vec_id, round(r.similarity, 9)))
+    assert len(got) == 400 and all([x[0] for x in sorted(v)] == [1, 2, 3] for v in got.values())
+    assert [x[1] for x in sorted(got[0])] == [35, 70, 105]
+
+
 def _windows(plan):
     return [x.split("Window ")[1] for x in plan.splitlines() if "Window " in x]
 
