@@ -25,6 +25,7 @@ that every target probes, is spread over many tasks of bounded size.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -47,6 +48,11 @@ PROBED = 0.25
 
 #: Scores of vectors against cells that are held at once.
 SCORES_AT_ONCE = 1 << 21
+#: Rows that a task hands on at once: a vector goes to many cells, so this and
+#: not the number of vectors read bounds its memory.
+ROWS_AT_ONCE = 1 << 13
+#: Targets whose intervals a task holds at once.
+TARGETS_AT_ONCE = 256
 
 
 @dataclass(frozen=True)
@@ -103,6 +109,11 @@ def _digest(key: str, seed: int):
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
 
 
+def _parts(pdf: pd.DataFrame, rows: int) -> Iterator[pd.DataFrame]:
+    for i in range(0, len(pdf), rows):
+        yield pdf.iloc[i:i + rows]
+
+
 def _centred(sample: DataFrame, centres: np.ndarray) -> np.ndarray:
     """Each centre moved to the mean direction of the sampled vectors nearest
     to it; one that has none stays."""
@@ -111,8 +122,8 @@ def _centred(sample: DataFrame, centres: np.ndarray) -> np.ndarray:
     def add(batches):
         total, count = np.zeros(centres.shape), np.zeros(len(centres), dtype="i8")
         for pdf in batches:
-            if len(pdf):
-                v = np.vstack(pdf["cv"].to_numpy())
+            for part in _parts(pdf, max(1, SCORES_AT_ONCE // len(centres))):
+                v = np.vstack(part["cv"].to_numpy())
                 at = np.argmax(np.round(v @ centres.T, 9), axis=1)
                 np.add.at(total, at, v)
                 count += np.bincount(at, minlength=len(centres))
@@ -165,12 +176,15 @@ def _bounds(tree: CellTree, k: int, exclude_self: bool, min_sim: float | None):
     def run(tp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
         if not len(tp) or not len(cp):
             return pd.DataFrame({name: pd.Series([], dtype=kind) for name, kind in schema.items()})
-        tv = np.vstack(tp["tv"].to_numpy())
-        tid, cid = tp["target_id"].to_numpy("i8"), cp["vec_id"].to_numpy("i8")
+        cid, centre = cp["vec_id"].to_numpy("i8"), tree.cells[int(cp["cell"].iloc[0])]
         code = np.frombuffer(b"".join(cp["code"]), "i1").reshape(len(cp), -1).astype("f4")
-        near = (tv @ tree.cells[int(cp["cell"].iloc[0])])[:, None] + (tv.astype("f4") @ code.T) * cp["step"].to_numpy()[None, :]
-        # single precision of the product adds its own error
-        off = cp["left"].to_numpy() + 1e-6 * (1 + 127 * cp["step"].to_numpy() * tv.shape[1] ** 0.5)
+        # single precision of the targets and of the product adds its own error
+        off = cp["left"].to_numpy() + 1e-6 * (1 + 127 * cp["step"].to_numpy() * code.shape[1] ** 0.5)
+        return pd.concat([some(part, cid, centre, code, cp["step"].to_numpy(), off) for part in _parts(tp, TARGETS_AT_ONCE)], ignore_index=True)
+
+    def some(tp: pd.DataFrame, cid: np.ndarray, centre: np.ndarray, code: np.ndarray, step: np.ndarray, off: np.ndarray) -> pd.DataFrame:
+        tv, tid = np.frombuffer(b"".join(tp["tv"]), "f4").reshape(len(tp), -1), tp["target_id"].to_numpy("i8")
+        near = (tv.astype("f8") @ centre)[:, None] + (tv @ code.T) * step[None, :]
         low, high = near - off, near + off
         out = tid[:, None] == cid[None, :] if exclude_self else np.zeros(near.shape, dtype=bool)
         if min_sim is not None:
@@ -201,21 +215,23 @@ def topk_approx(targets: DataFrame, corpus: DataFrame, k: int = 5, target_key: s
 
     def place(batches):
         for pdf in batches:
-            if len(pdf):
-                v = np.vstack(pdf["cv"].to_numpy())
+            for part in _parts(pdf, max(1, ROWS_AT_ONCE // SPILL)):
+                v = np.vstack(part["cv"].to_numpy())
                 at, cell = tree.descend(v, SPILL, MARGIN, visited)
                 code, step, left = _quantise(v[at] - tree.cells[cell])
-                yield pd.DataFrame({"vec_id": pdf["vec_id"].to_numpy()[at], "cell": cell.astype("i4"),
+                yield pd.DataFrame({"vec_id": part["vec_id"].to_numpy()[at], "cell": cell.astype("i4"),
                                     "code": [x.tobytes() for x in code], "step": step, "left": left})
 
     def ask(batches):
         for pdf in batches:
-            if len(pdf) and len(tree.cells):
-                at, cell = tree.descend(np.vstack(pdf["tv"].to_numpy()), probed, None, visited)
-                yield pd.DataFrame({"target_id": pdf["target_id"].to_numpy()[at], "tv": pdf["tv"].to_numpy()[at], "cell": cell.astype("i4")})
+            for part in _parts(pdf, max(1, ROWS_AT_ONCE // max(1, min(probed, len(tree.cells))))) if len(tree.cells) else ():
+                v = np.vstack(part["tv"].to_numpy())
+                at, cell = tree.descend(v, probed, None, visited)
+                packed = np.array([x.tobytes() for x in v.astype("f4")], dtype=object)
+                yield pd.DataFrame({"target_id": part["target_id"].to_numpy()[at], "tv": packed[at], "cell": cell.astype("i4")})
 
     cc = c.mapInPandas(place, "vec_id long, cell int, code binary, step double, left double")
-    tc = t.mapInPandas(ask, "target_id long, tv array<double>, cell int")
+    tc = t.mapInPandas(ask, "target_id long, tv binary, cell int")
     # sub-blocks of either side from its per-cell counts (a row per cell)
     subs = lambda df, name: df.groupBy("cell").agg(
         F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(block_rows))).cast("int").alias(name))

@@ -72,3 +72,23 @@ def test_empty_and_tiny_corpora(spark):
     assert ann.topk_approx(one, one, k=3).count() == 0
     assert [tuple(r) for r in ann.topk_approx(one, two, k=3, min_sim=0.5).collect()] == [(1, 2, 1, 0.6)]
     assert ann.topk_approx(one, two, k=3, min_sim=0.7).count() == 0
+
+
+def test_a_search_hands_on_few_rows_at_once(spark, monkeypatch):
+    """A target goes to many cells: the rows that a task holds are bounded by
+    the rows handed on at once, not by the vectors in a batch."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(900, 8)))], "vec_id long, embedding array<double>").coalesce(1)
+    seen = []
+    old = type(df).mapInPandas
+
+    def watched(self, func, schema, *rest, **more):
+        seen.append((self, func, schema))
+        return old(self, func, schema, *rest, **more)
+
+    monkeypatch.setattr(type(df), "mapInPandas", watched)
+    ann.topk_approx(df, df, k=3, probes=30, visited=None)
+    asked = [(f, func) for f, func, schema in seen if schema.startswith("target_id")]
+    assert len(asked) == 1
+    batches = list(asked[0][1](iter([asked[0][0].toPandas()])))
+    assert sum(map(len, batches)) == 900 * 30 and max(map(len, batches)) <= 8192
