@@ -18,6 +18,7 @@ Tokeniser: lower-case + white space (no NLTK here).
 
 from __future__ import annotations
 
+import math
 from typing import Iterator
 
 import numpy as np
@@ -29,6 +30,18 @@ from promptlens.functions import text as T
 
 BLEU_EPSILON = 0.1
 ROUGE_EPS = 1e-8
+#: Characters of text whose words or n-grams one task counts.
+CHARS_PER_TASK = 1 << 20
+
+
+def _dealt(df: DataFrame, keys, *texts: str) -> DataFrame:
+    """keys and texts, dealt by the keys into partitions of about
+    ``CHARS_PER_TASK``: the words and n-grams of a key are then counted where
+    its texts are, so texts are shuffled instead of n-grams, and what a task
+    counts does not grow with the input."""
+    chars = df.agg(sum(F.coalesce(F.sum(F.length(t)), F.lit(0)) for t in texts)).first()[0]
+    n = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(chars / CHARS_PER_TASK))
+    return df.select(*keys, *texts).repartition(n, *keys)
 
 
 def jaccard_pairs(df: DataFrame, key, t1: str = "text1", t2: str = "text2") -> DataFrame:
@@ -45,25 +58,24 @@ def jaccard_pairs(df: DataFrame, key, t1: str = "text1", t2: str = "text2") -> D
 
 
 # ----------------------------------------------------------------- BLEU
-def _gram_rows(df: DataFrame, keys, text: str, ns=(1, 2, 3, 4)) -> DataFrame:
-    tok = T.lower_words(text)
-    x = df.select(*keys, tok.alias("_t"))
-    arr = F.array(*[F.struct(F.lit(n).alias("n"), T.ngrams("_t", n).alias("g")) for n in ns])
+def _gram_rows(df: DataFrame, keys, texts: list[str], ns=(1, 2, 3, 4)) -> DataFrame:
+    """keys, place of the text in ``texts``, n and gram: a row per n-gram."""
+    x = df.select(*keys, *[T.lower_words(t).alias(f"_t{i}") for i, t in enumerate(texts)])
+    arr = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(n).alias("n"), T.ngrams(f"_t{i}", n).alias("g"))
+                    for i in range(len(texts)) for n in ns])
     y = x.select(*keys, F.explode(arr).alias("_s"))
-    return y.select(*keys, F.col("_s.n").alias("n"), F.explode("_s.g").alias("gram"))
+    return y.select(*keys, F.col("_s.at").alias("_at"), F.col("_s.n").alias("n"), F.explode("_s.g").alias("gram"))
 
 
 def bleu_pairs(df: DataFrame, key, t1: str = "text1", t2: str = "text2") -> DataFrame:
     """Sentence BLEU-4 per pair, by n-gram counting (linear in text length,
     no per-pair Python). Both sides' n-grams go through one explode and one
     ``groupBy(pair, n, gram)`` that counts each side; a second aggregate per
-    pair sums the clipped matches and the lengths. Null when either side has
-    no token."""
+    pair sums the clipped matches and the lengths. The texts are dealt by pair
+    before, so n-grams are not shuffled. Null when either side has no token."""
     keys = [key] if isinstance(key, str) else list(key)
-    ref = _gram_rows(df, keys, t1).withColumn("_h", F.lit(0))
-    hyp = _gram_rows(df, keys, t2).withColumn("_h", F.lit(1))
-    g = (ref.unionByName(hyp).groupBy(*keys, "n", "gram")
-         .agg(F.count_if(F.col("_h") == 1).alias("hc"), F.count_if(F.col("_h") == 0).alias("rc")))
+    g = (_gram_rows(_dealt(df, keys, t1, t2), keys, [t1, t2]).groupBy(*keys, "n", "gram")
+         .agg(F.count_if(F.col("_at") == 1).alias("hc"), F.count_if(F.col("_at") == 0).alias("rc")))
     clip = g.groupBy(*keys).agg(
         *[F.sum(F.when(F.col("n") == n, F.least("hc", "rc"))).alias(f"m{n}") for n in (1, 2, 3, 4)])
     base = df.select(*keys, F.size(T.lower_words(t1)).alias("r_len"),
@@ -213,7 +225,7 @@ def rouge_l_pairs(df: DataFrame, key, t1: str = "text1", t2: str = "text2") -> D
 
 # ----------------------------------------------------------------- diversity
 def vocab_diversity(df: DataFrame, group: str, text: str = "prompt") -> DataFrame:
-    w = df.select(group, F.explode(T.lower_words(text)).alias("w"))
+    w = _dealt(df, [group], text).select(group, F.explode(T.lower_words(text)).alias("w"))
     g = w.groupBy(group).agg(F.count_distinct("w").alias("vocabulary_size"),
                              F.count(F.lit(1)).alias("_total"))
     base = df.select(group).distinct()
@@ -232,7 +244,7 @@ def length_diversity(df: DataFrame, group: str, text: str = "prompt") -> DataFra
 
 def distinct_ngrams(df: DataFrame, group: str, text: str = "prompt", ns=(1, 2, 3)) -> DataFrame:
     """distinct n-grams / total n-grams per group and n; 0 when none."""
-    g = _gram_rows(df, [group], text, ns)
+    g = _gram_rows(_dealt(df, [group], text), [group], [text], ns)
     agg = g.groupBy(group, "n").agg(F.count_distinct("gram").alias("_d"),
                                     F.count(F.lit(1)).alias("_t"))
     base = df.select(group).distinct().select(group, F.explode(F.array(*[F.lit(n) for n in ns])).alias("n"))

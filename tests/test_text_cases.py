@@ -133,6 +133,61 @@ def test_distinct_ngrams(spark):
     assert r == {1: 0.5, 2: 0.5, 3: 0.0}
 
 
+def _grams(text, n):
+    w = text.lower().split()
+    return [" ".join(w[i:i + n]) for i in range(len(w) - n + 1)]
+
+
+def _bleu(texts1, texts2, t1, t2):
+    """By counters: of one row of a pair that may come in several rows."""
+    from collections import Counter
+    c, r = len(t2.split()), len(t1.split())
+    if not c or not r:
+        return None
+    logs = 0.0
+    for n in (1, 2, 3, 4):
+        a, b = (Counter(g for t in texts for g in _grams(t, n)) for texts in (texts1, texts2))
+        m = sum((a & b).values())
+        if n == 1 and not m:
+            return 0.0
+        logs += math.log((m or TS.BLEU_EPSILON) / max(1, c - n + 1))
+    return (1.0 if c > r else math.exp(1 - r / c)) * math.exp(logs / 4)
+
+
+def test_ngrams_are_counted_where_their_texts_are(spark, monkeypatch):
+    """No n-gram is shuffled, and tasks grow with the text; repeated and
+    missing keys as before."""
+    import random
+    import re
+    monkeypatch.setattr(TS, "CHARS_PER_TASK", 200)
+    rng = random.Random(5)
+    words = lambda: " ".join(rng.choice("abcdeF") for _ in range(rng.randrange(0, 30)))
+    rows = [(i % 50, i % 2, words(), words()) for i in range(70)] + [(60, 1, None, "a b")]
+    df = spark.createDataFrame(rows, "k long, slot int, text1 string, text2 string")
+    bleu, distinct, vocab = TS.bleu_pairs(df, ["k", "slot"]), TS.distinct_ngrams(df, "k", "text2"), TS.vocab_diversity(df, "k", "text2")
+    least = sum(len(r[3]) for r in rows) // 200
+    for found in (bleu, distinct, vocab):
+        dealt = re.findall(r"Exchange hashpartitioning\((.*?), (\d+)\)", found._jdf.queryExecution().executedPlan().toString())
+        assert dealt and not any("gram#" in keys or "w#" in keys for keys, _ in dealt)
+        assert max(int(n) for _, n in dealt) >= least
+    got, want = {}, {}
+    for r in bleu.collect():
+        got.setdefault((r.k, r.slot), []).append(r.bleu)
+    for k, slot, a, b in rows[:-1]:
+        same = [x for x in rows if x[:2] == (k, slot)]
+        want.setdefault((k, slot), []).append(_bleu([x[2] for x in same], [x[3] for x in same], a, b))
+    assert got.pop((60, 1)) == [0.0] and got.keys() == want.keys()
+    plain = lambda xs: sorted(-1.0 if x is None else round(x, 9) for x in xs)
+    assert all(plain(got[k]) == plain(want[k]) for k in want)
+    said = {(r.k, r.n): r.distinct_n for r in distinct.collect()}
+    told = {r.k: (r.vocabulary_size, r.type_token_ratio) for r in vocab.collect()}
+    for k in {r[0] for r in rows}:
+        grams = {n: [g for r in rows if r[0] == k for g in _grams(r[3], n)] for n in (1, 2, 3)}
+        assert all(math.isclose(said[k, n], len(set(g)) / len(g) if g else 0.0) for n, g in grams.items())
+        one = grams[1]
+        assert told[k][0] == len(set(one)) and math.isclose(told[k][1], len(set(one)) / len(one) if one else 0.0)
+
+
 def test_verdict_strict(spark):
     from promptlens.operators.evaluate import verdict
     df = spark.createDataFrame([(0.8,), (0.81,), (0.6,)], "x double")
