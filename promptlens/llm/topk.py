@@ -4,7 +4,10 @@ Every component x becomes floor(1024 * x). The corpus is packed into blocks
 of vectors where it lies, the queries into blocks of their own; a query block
 meets every corpus shard, and each (query block, corpus block) pair is one
 tile: a matrix product of bounded size, from which each query keeps its k best
-(partial selection). The lists of a query are merged by a tree of fan-in
+(partial selection). There are a few shards per core, whatever the data, and
+more groups of query blocks only when they outgrow ``HELD_BYTES``: a task holds
+a group and lets its shard's blocks pass by, so a query travels once per shard
+and nothing is broadcast. The lists of a query are merged by a tree of fan-in
 ``FAN_IN`` over the shards, so no task ever holds more than a few lists.
 
 Defined results: a vector that is null or holds a null or non-finite component
@@ -28,6 +31,10 @@ SCALE = 1024
 QUERY_BLOCK = 1024
 CORPUS_BLOCK = 4096
 FAN_IN = 8
+#: Corpus shards per core, so that all cores end at about the same time.
+SHARDS_PER_CORE = 4
+#: Bytes of query vectors that one task holds.
+HELD_BYTES = 64 << 20
 BLOCKS = "dim int, ids binary, vectors binary"
 _EXACT = 2.0 ** 53
 
@@ -82,39 +89,81 @@ def select(scores: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int):
         yield i, at
 
 
+def _tiles(k: int):
+    """Kernel of a partition: of each cell, first its query blocks, which are
+    held, then its corpus blocks, which pass by. Each meeting is a tile; a query
+    keeps the k best of its cell."""
+    def run(batches):
+        cell, held, best = None, [], {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                at, side, shard, dim, ids, vectors = (batch.column(c)[i].as_py() for c in range(6))
+                if at != cell:
+                    yield from _told(held, best)
+                    cell, held, best = at, [], {}
+                ids = np.frombuffer(ids, "<i8")
+                block = np.frombuffer(vectors, "<i8").reshape(len(ids), dim)
+                if side == 0:
+                    held.append((dim, shard, ids, block))
+                    continue
+                for j, (q_dim, _, q_ids, queries) in enumerate(held):
+                    if q_dim == dim:
+                        best[j] = _merged(best.get(j), *_tile(queries, q_ids, block, ids, k), k)
+        yield from _told(held, best)
+
+    return run
+
+
+def _tile(queries: np.ndarray, q_ids: np.ndarray, block: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, vec_id, score) of the k best of each query of one tile."""
+    scores = _scores(queries, block)
+    found = list(select(scores, q_ids, ids, k))
+    row = np.concatenate([np.full(len(at), i) for i, at in found]).astype("i8")
+    col = np.concatenate([at for _, at in found]).astype("i8")
+    return row, ids[col], scores[row, col]
+
+
+def _merged(best, row: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
+    if best is None:
+        return row, ids, scores
+    row, ids, scores = (np.concatenate(x) for x in zip(best, (row, ids, scores)))
+    order = np.lexsort((ids, -scores, row))
+    place = np.arange(len(order)) - np.searchsorted(row[order], row[order], side="left")
+    order = order[place < k]
+    return row[order], ids[order], scores[order]
+
+
+def _told(held, best):
+    for j, (row, ids, scores) in best.items():
+        _, shard, q_ids, _ = held[j]
+        yield pa.RecordBatch.from_pydict({"query_id": q_ids[row], "node": pa.array(np.full(len(row), shard, "i4")),
+                                          "vec_id": ids, "score": scores})
+
+
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, shards: int | None = None) -> DataFrame:
     """``queries`` and ``corpus``: (vec_id, embedding). Returns query_id, rank,
     vec_id, score."""
     spark = corpus.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     wanted = (queries.filter(F.col("vec_id").isNotNull() & usable("embedding"))
               .groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
-    blocks = stored(corpus.filter(F.col("vec_id").isNotNull() & usable("embedding"))
-                    .select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
-                    .mapInArrow(_packer(CORPUS_BLOCK), BLOCKS), "vector-blocks")
+    blocks = (corpus.filter(F.col("vec_id").isNotNull() & usable("embedding"))
+              .select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(_packer(CORPUS_BLOCK), BLOCKS))
     wanted = stored(wanted.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")), "queries")
-    parts = max(1, -(-wanted.count() // QUERY_BLOCK))
+    shards = shards or SHARDS_PER_CORE * spark.sparkContext.defaultParallelism
+    n, numbers = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()
+    parts = max(1, -(-n // QUERY_BLOCK))
+    groups = max(1, -(-numbers * 8 // HELD_BYTES))
     asked = wanted.repartition(parts).mapInArrow(_packer(QUERY_BLOCK), BLOCKS)
 
-    sharded = blocks.withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(shards)).cast("int"))
-    met = (asked.select("dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"),
-                        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-           .join(sharded, ["shard", "dim"]))
-
-    def tiles(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                q_ids, ids = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["ids"], "<i8")
-                scores = _scores(np.frombuffer(r["q_vectors"], "<i8").reshape(len(q_ids), r["dim"]),
-                                 np.frombuffer(r["vectors"], "<i8").reshape(len(ids), r["dim"]))
-                found = list(select(scores, q_ids, ids, k))
-                row = np.concatenate([np.full(len(at), i) for i, at in found]).astype("i8")
-                col = np.concatenate([at for _, at in found]).astype("i8")
-                yield pa.RecordBatch.from_pydict({
-                    "query_id": q_ids[row], "node": pa.array(np.full(len(row), r["shard"], "i4")),
-                    "vec_id": ids[col], "score": scores[row, col]})
-
-    lists = met.mapInArrow(tiles, "query_id long, node int, vec_id long, score long")
+    # a query block goes to every shard, a corpus block to every group of query
+    # blocks; neither side is broadcast, whatever its size looks like to Spark
+    dealt = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    met = asked.select("*", F.lit(0).alias("side"), dealt(groups).alias("group"), every(shards).alias("shard")).unionByName(
+        blocks.select("*", F.lit(1).alias("side"), every(groups).alias("group"), dealt(shards).alias("shard")))
+    met = met.select((F.col("group") * shards + F.col("shard")).alias("cell"), "side", "shard", "dim", "ids", "vectors")
+    met = met.repartitionById(groups * shards, F.col("cell")).sortWithinPartitions("cell", "side")
+    lists = met.mapInArrow(_tiles(k), "query_id long, node int, vec_id long, score long")
     best = [F.desc("score"), F.asc("vec_id")]
     nodes = shards
     while True:  # one level of the merge tree each time

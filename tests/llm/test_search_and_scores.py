@@ -229,6 +229,21 @@ def test_top_k_of_nothing(spark):
     assert topk.top_k(none, none).count() == 0
 
 
+def test_top_k_sends_nothing_through_the_driver(spark, monkeypatch):
+    """A copy of the queries per shard was broadcast: queries x shards met in
+    the driver. Groups of query blocks are bounded by their bytes."""
+    monkeypatch.setattr(topk, "CORPUS_BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(topk, "HELD_BYTES", 400)
+    rng = random.Random(6)
+    rows = [(i, [rng.choice([-0.5, 0.25, 0.1, 1.0]) for _ in range(4)]) for i in range(120)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    found = topk.top_k(vectors.filter("vec_id % 2 = 0"), vectors, 5, shards=7)
+    assert sorted(map(tuple, found.collect())) == plain_top(rows, lambda q: q % 2 == 0, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan
+
+
 # -- op 10 ---------------------------------------------------------------------
 
 def plain_sets(text):
