@@ -170,3 +170,45 @@ def test_candidate_pools_are_the_nearest_prompts_scored(spark):
         rows = pool.collect()
         assert max(r["slot"] for r in rows) <= 2 and all(r["prompt"] != f"make w{r['target_id']}" for r in rows)
     assert len(rows) and {r["target_id"] for r in G.candidate_pool(targets, embedded, tv, n=2, exact=True).collect()} == set(range(12))
+
+
+def test_digits_of_a_draw_compare_as_its_number(spark):
+    rows = spark.range(4000)
+    for share in (0.0, 0.1, 0.2, 0.4, 0.6, 0.8, 1.0):
+        u = R.uniform(F.col("id"), F.lit("m"))
+        below = R._below(F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit("m"))), share)
+        assert rows.where(below != (u < share)).count() == 0
+
+
+def test_a_draw_of_a_word_that_is_not_hit_is_not_made_a_number(spark):
+    """Of a word that a mutation leaves alone, only digits are compared: its
+    number and lists of words, rebuilt word by word, made the beam slow."""
+    found = spark.range(1).select(R.mutate(F.lit("a b c d e f g h"), 0.1, 42, F.col("id"), F.lit(0)).alias("m"))
+    plan = found._jdf.queryExecution().analyzed().toString()
+    places = plan[plan.index("filter(sequence"):].split("lambdafunction(named_struct")[0].split("lambdafunction(struct")[0]
+    assert "md5" in places and "conv(" not in places.split("namedlambdavariable()")[0]
+    assert plan.count("conv(") <= 3 and "array_remove" in plan
+
+
+def test_edits_keep_every_other_word(spark):
+    def told(column):
+        return spark.range(1).select(column.alias("x")).first()[0]
+
+    w = F.array(*[F.lit(x) for x in "one create three four five".split()])
+    assert told(R.edit_synonym(w, F.lit(1), F.lit(0.99))) == "one construct three four five".split()
+    assert told(R.edit_synonym(w, F.lit(0), F.lit(0.5))) == told(w) and told(R.edit_synonym(w, F.lit(9), F.lit(0.5))) == told(w)
+    assert told(R.edit_delete(w, F.lit(4))) == "one create three four".split() and told(R.edit_delete(w, F.lit(5))) == told(w)
+    assert told(R.edit_delete(F.slice(w, 1, 3), F.lit(1))) == "one create three".split()
+    assert told(R.edit_swap(w, F.lit(3))) == "one create three five four".split() and told(R.edit_swap(w, F.lit(4))) == told(w)
+    assert told(R.edit_swap(w, F.lit(0))) == "create one three four five".split()
+
+
+def test_a_score_counts_words_that_meet_in_a_bucket(spark):
+    text = " ".join(f"w{i % 150}" for i in range(700)) + " W3  w3\tw3"
+    target = OE.HashProvider().vector("w1 w2 w3 w5 w8").tolist()
+    want = float(OE.HashProvider().vector(text) @ target)
+    for dim in (64, 48):
+        unit = target if dim == 64 else OE.HashProvider(48).vector("w1 w2 w3 w5 w8").tolist()
+        want = float(OE.HashProvider(dim).vector(text) @ unit)
+        got = spark.createDataFrame([(text, unit)], "t string, v array<double>").select(OE.hash_score(F.col("t"), F.col("v"), dim)).first()[0]
+        assert abs(got - want) < 1e-12
