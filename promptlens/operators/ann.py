@@ -10,16 +10,20 @@ quantised residuals and an exact re-rank (V-04, J-05, F-06).
    put into its nearest cell below them, and into up to ``SPILL`` - 1 more ones
    that are nearly as near (``MARGIN``); a target probes its nearest quarter of
    the cells.
-3. Corpus vectors travel as residuals to their cell's centre, one byte a
+3. Corpus vectors travel as residuals to their cell's centre, two bytes a
    component, with the norm of what the bytes leave out. So a block's product
    gives each pair an interval that holds the cosine, and a target keeps every
    row that can still be among its k best.
-4. What is left, a few rows more than k per target, is scored by the vectors
+4. What is left, hardly more than k rows per target, is scored by the vectors
    themselves. The result is that of an exact search of the probed cells.
 
-Cells are dealt into sub-blocks of about ``block_rows`` rows on both sides
-(sizes from per-cell counts), so a cell that holds a third of the corpus, or
-that every target probes, is spread over many tasks of bounded size.
+A task has the cells below one upper node, or a piece of it: it holds the
+targets that visit the node, each with the cells it probes there, and lets the
+corpus rows of these cells pass by. So a target travels once per upper node that
+it visits, and not once per cell, and leaves about k rows there. Pieces
+(``_pieces``) are cut on both sides by the work of a node, from per-cell counts,
+and by the bytes of the held targets, so a node that holds a third of the
+corpus, or that every target visits, is spread over tasks of bounded size.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,8 +56,10 @@ SCORES_AT_ONCE = 1 << 21
 #: Rows that a task hands on at once: a vector goes to many cells, so this and
 #: not the number of vectors read bounds its memory.
 ROWS_AT_ONCE = 1 << 13
-#: Targets whose intervals a task holds at once.
-TARGETS_AT_ONCE = 256
+#: Bytes of target vectors that one task holds.
+HELD_BYTES = 32 << 20
+#: Pieces of the whole work per core, so that all cores end at about the same time.
+PIECES_PER_CORE = 4
 
 
 @dataclass(frozen=True)
@@ -161,93 +168,244 @@ def cell_tree(c: DataFrame, rows: int, seed: int) -> CellTree:
 
 
 def _quantise(residual: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One byte a component, the step, and an upper bound of the norm left out."""
-    step = np.abs(residual).max(axis=1, initial=0.0) / 127
-    code = np.round(residual / np.where(step > 0, step, 1)[:, None]).astype("i1")
+    """Two bytes a component, the step, and an upper bound of the norm left out."""
+    step = np.abs(residual).max(axis=1, initial=0.0) / 32767
+    code = np.round(residual / np.where(step > 0, step, 1)[:, None]).astype("<i2")
     left = np.linalg.norm(residual - code * step[:, None], axis=1)
     return code, step, left * (1 + 1e-9) + 1e-12
 
 
-def _bounds(tree: CellTree, k: int, exclude_self: bool, min_sim: float | None):
-    """Kernel of one pair of sub-blocks: rows that can be among a target's k
-    best, with the interval of their cosine."""
-    schema = {"target_id": "i8", "vec_id": "i8", "low": "f8", "high": "f8"}
-
-    def run(tp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
-        if not len(tp) or not len(cp):
-            return pd.DataFrame({name: pd.Series([], dtype=kind) for name, kind in schema.items()})
-        cid, centre = cp["vec_id"].to_numpy("i8"), tree.cells[int(cp["cell"].iloc[0])]
-        code = np.frombuffer(b"".join(cp["code"]), "i1").reshape(len(cp), -1).astype("f4")
-        # single precision of the targets and of the product adds its own error
-        off = cp["left"].to_numpy() + 1e-6 * (1 + 127 * cp["step"].to_numpy() * code.shape[1] ** 0.5)
-        return pd.concat([some(part, cid, centre, code, cp["step"].to_numpy(), off) for part in _parts(tp, TARGETS_AT_ONCE)], ignore_index=True)
-
-    def some(tp: pd.DataFrame, cid: np.ndarray, centre: np.ndarray, code: np.ndarray, step: np.ndarray, off: np.ndarray) -> pd.DataFrame:
-        tv, tid = np.frombuffer(b"".join(tp["tv"]), "f4").reshape(len(tp), -1), tp["target_id"].to_numpy("i8")
-        near = (tv.astype("f8") @ centre)[:, None] + (tv @ code.T) * step[None, :]
-        low, high = near - off, near + off
-        out = tid[:, None] == cid[None, :] if exclude_self else np.zeros(near.shape, dtype=bool)
-        if min_sim is not None:
-            out |= high < min_sim
-        low[out] = high[out] = -np.inf
-        kk = min(k, low.shape[1])
-        kth = -np.partition(-low, kk - 1, axis=1)[:, kk - 1]
-        rows, cols = np.nonzero((high >= kth[:, None]) & ~out)
-        return pd.DataFrame({"target_id": tid[rows], "vec_id": cid[cols], "low": low[rows, cols], "high": high[rows, cols]})
+class _Held:
+    """Some targets of a task, with the corpus rows that can be among the k best
+    of each so far and the interval of their cosine."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, probed: np.ndarray, k: int, exclude_self: bool, min_sim: float | None):
+        self.ids, self.probed, self.k, self.exclude_self = ids, probed, k, exclude_self
+        # the last component adds a row's own error to the product
+        self.vectors = np.hstack([vectors, np.ones((len(ids), 1), "f4")])
+        self.floor = np.full(len(ids), -np.inf if min_sim is None else min_sim - 1e-6, "f4")
+        self.open = np.ones(len(ids), dtype=bool)  # no k rows are known yet
+        self.kept = (np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0), np.zeros(0))
+        self.found: list = []
+        self.waiting = 0
+
+    def meet(self, slot: int, cid: np.ndarray, rows: np.ndarray, off: np.ndarray) -> None:
+        """A block of the cell in place ``slot`` below the node."""
+        at = np.flatnonzero(self.probed[:, slot])
+        if not len(at):
+            return
+        high = (self.vectors if len(at) == len(self.ids) else self.vectors[at]) @ rows.T
+        new = np.flatnonzero(self.open[at])
+        if len(new) and len(cid) >= self.k:
+            low = high[new] - np.float32(2) * off.astype("f4")
+            if self.exclude_self:
+                low[self.ids[at[new]][:, None] == cid[None, :]] = -np.inf
+            kth = -np.partition(-low, self.k - 1, axis=1)[:, self.k - 1]
+            self._raise(at[new], kth)
+        row, col = np.nonzero(high >= self.floor[at][:, None])
+        high = high[row, col].astype("f8")
+        row = at[row]
+        if self.exclude_self:
+            other = self.ids[row] != cid[col]
+            row, col, high = row[other], col[other], high[other]
+        self.found.append((row, cid[col], high - 2 * off[col], high))
+        self.waiting += len(row)
+        if self.waiting > 2 * self.k * len(self.ids):
+            self._merge()
+
+    def _raise(self, at: np.ndarray, kth: np.ndarray) -> None:
+        # single precision, so a little lower
+        self.floor[at] = np.maximum(self.floor[at], (kth - 1e-6).astype("f4"))
+        self.open[at[np.isfinite(kth)]] = False
+
+    def _merge(self) -> None:
+        """A row met in several cells has several intervals and counts once."""
+        row, vec, low, high = (np.concatenate(x) for x in zip(self.kept, *self.found))
+        self.found, self.waiting = [], 0
+        if not len(row):
+            return
+        order = np.lexsort((vec, row))
+        row, vec, low, high = row[order], vec[order], low[order], high[order]
+        first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (vec[1:] != vec[:-1])])
+        row, vec, low, high = row[first], vec[first], np.maximum.reduceat(low, first), np.maximum.reduceat(high, first)
+        order = np.lexsort((-low, row))
+        place = np.arange(len(order)) - np.searchsorted(row[order], row[order], side="left")
+        full = order[place == self.k - 1]
+        self._raise(row[full], low[full])
+        keep = high >= self.floor[row]
+        self.kept = row[keep], vec[keep], low[keep], high[keep]
+
+    def told(self) -> pa.RecordBatch:
+        self._merge()
+        row, vec, low, high = self.kept
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[row]), pa.array(vec), pa.array(low), pa.array(high)],
+                                          names=["target_id", "vec_id", "low", "high"])
+
+
+_PIECE = "piece int, side int, cell int, id long, data binary, step double, gap double"
+
+
+def _node_search(tree: CellTree, k: int, exclude_self: bool, min_sim: float | None, block_rows: int):
+    """Kernel of a partition: of each piece, first its targets, which are held,
+    then its corpus rows by cell, which pass by in blocks."""
+    dim = tree.cells.shape[1]
+    slot_of = np.zeros(len(tree.cells), "i8")
+    for kids in tree.children:
+        slot_of[kids[kids >= 0]] = np.arange((kids >= 0).sum())
+
+    def held(parts) -> list[_Held]:
+        ids = np.concatenate([x for x, _ in parts])
+        data = np.frombuffer(b"".join(b"".join(x) for _, x in parts), "u1").reshape(len(ids), -1)
+        vectors, probed = np.ascontiguousarray(data[:, : 4 * dim]).view("f4"), np.unpackbits(data[:, 4 * dim:], axis=1).astype(bool)
+        cut = lambda x, i: x[i:i + block_rows]
+        return [_Held(cut(ids, i), cut(vectors, i), cut(probed, i), k, exclude_self, min_sim) for i in range(0, len(ids), block_rows)]
+
+    def rows_of(batch: pa.RecordBatch, cell: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids = batch.column("id").to_numpy(zero_copy_only=False)
+        code = np.frombuffer(b"".join(batch.column("data").to_pylist()), "<i2").reshape(len(ids), dim)
+        near = tree.cells[cell] + code * batch.column("step").to_numpy(zero_copy_only=False)[:, None]
+        # single precision of both sides and of the product adds its own error
+        off = batch.column("gap").to_numpy(zero_copy_only=False) + (dim + 8) * 2.0 ** -23 * (1 + np.linalg.norm(near, axis=1))
+        return ids, np.hstack([near, off[:, None]]).astype("f4"), off
+
+    def run(batches):
+        piece, parts, best = None, [], None
+        for batch in batches:
+            at, side, cell = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("piece", "side", "cell"))
+            cuts = np.flatnonzero((np.diff(at) != 0) | (np.diff(side) != 0) | (np.diff(cell) != 0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(at)]):
+                if a == b:
+                    continue
+                if at[a] != piece:
+                    for x in best or ():
+                        yield x.told()
+                    piece, parts, best = at[a], [], None
+                if side[a] == 0:
+                    some = batch.slice(a, b - a)
+                    parts.append((some.column("id").to_numpy(zero_copy_only=False), some.column("data").to_pylist()))
+                    continue
+                if best is None:
+                    best, parts = held(parts) if parts else [], []
+                for i in range(a, b, block_rows) if best else ():
+                    block = rows_of(batch.slice(i, min(block_rows, b - i)), cell[a])
+                    for x in best:
+                        x.meet(slot_of[cell[a]], *block)
+        for x in best or ():
+            yield x.told()
 
     return run
 
 
+def _pieces(tree: CellTree, targets: np.ndarray, rows: np.ndarray, pieces: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each upper node, from how many targets probe and how many rows lie in
+    each cell: into how many pieces its targets and its rows are dealt, and the
+    number of its first piece."""
+    n, dim = tree.children.shape[0], tree.cells.shape[1]
+    at = lambda x: np.bincount(tree.parent, weights=x, minlength=n)
+    work, entries, visits = at(targets * rows), at(rows), np.zeros(n)
+    np.maximum.at(visits, tree.parent, targets)
+    wanted = np.maximum(1, np.ceil(work * pieces / max(1.0, work.sum())))
+    # the cheapest cut of so many pieces: both sides travel about as much
+    ts = np.minimum(wanted, np.maximum(1, np.round(np.sqrt(wanted * 2 * visits / np.maximum(1, entries)))))
+    ts = np.maximum(ts, np.ceil(visits * 4 * dim / HELD_BYTES)).astype("i8")
+    cs = np.ceil(wanted / ts).astype("i8")
+    return ts, cs, np.cumsum(ts * cs) - ts * cs
+
+
+def _dealt(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A number below ``n`` from each id."""
+    return ((ids.astype("u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype("i8") % n
+
+
+def _every(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, 0..n-1) of each row."""
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+
+
 def topk_approx(targets: DataFrame, corpus: DataFrame, k: int = 5, target_key: str = "vec_id",
                 corpus_key: str = "vec_id", vec: str = "embedding", block_rows: int = 2048,
                 exclude_self: bool = True, min_sim: float | None = None, seed: int = 42,
                 probes: int | None = None, visited: int | None = VISITED) -> DataFrame:
     """target_id, vec_id, rank, similarity, as :func:`vectors.topk_similar`.
     ``probes`` cells, a quarter of them if left out, are searched per target;
-    with all of them and ``visited=None`` the result is that of the exact search."""
-    t = targets.where(F.col(vec).isNotNull()).select(
-        F.col(target_key).cast("long").alias("target_id"), VX.normalize(VX.as_double(vec)).alias("tv"))
-    c = written(corpus.where(F.col(vec).isNotNull()).select(
-        F.col(corpus_key).cast("long").alias("vec_id"), VX.normalize(VX.as_double(vec)).alias("cv")), "ann-corpus")
-    rows = c.count()  # from the files' footers
+    with all of them and ``visited=None`` the result is that of the exact search.
+    Rows without an id take no part."""
+    asked = targets.where(F.col(vec).isNotNull()).select(F.col(target_key).cast("long").alias("target_id"), VX.packed(VX.as_double(vec)).alias("tp"))
+    given = written(corpus.where(F.col(vec).isNotNull()).select(
+        F.col(corpus_key).cast("long").alias("vec_id"), VX.packed(VX.as_double(vec)).alias("cp")), "ann-corpus")
+    t = asked.select("target_id", VX.normalize(VX.unpacked("tp")).alias("tv"))
+    c = given.select("vec_id", VX.normalize(VX.unpacked("cp")).alias("cv"))
+    rows = given.count()  # from the files' footers
     tree = cell_tree(c, rows, seed)
     probed = tree.probes if probes is None else probes
+    known_c, known_t = c.where(F.col("vec_id").isNotNull()), t.where(F.col("target_id").isNotNull())
 
-    def place(batches):
+    def lies(batches):
         for pdf in batches:
             for part in _parts(pdf, max(1, ROWS_AT_ONCE // SPILL)):
-                v = np.vstack(part["cv"].to_numpy())
-                at, cell = tree.descend(v, SPILL, MARGIN, visited)
-                code, step, left = _quantise(v[at] - tree.cells[cell])
-                yield pd.DataFrame({"vec_id": part["vec_id"].to_numpy()[at], "cell": cell.astype("i4"),
-                                    "code": [x.tobytes() for x in code], "step": step, "left": left})
+                yield pd.DataFrame({"cell": tree.descend(np.vstack(part["cv"].to_numpy()), SPILL, MARGIN, visited)[1].astype("i4")})
 
     def ask(batches):
         for pdf in batches:
             for part in _parts(pdf, max(1, ROWS_AT_ONCE // max(1, min(probed, len(tree.cells))))) if len(tree.cells) else ():
-                v = np.vstack(part["tv"].to_numpy())
+                at, cell = tree.descend(np.vstack(part["tv"].to_numpy()), probed, None, visited)
+                yield pd.DataFrame({"target_id": part["target_id"].to_numpy()[at], "cell": cell.astype("i4")})
+
+    def counted(df: DataFrame) -> np.ndarray:
+        out = np.zeros(len(tree.cells))
+        for r in df.groupBy("cell").count().collect():
+            out[r["cell"]] = r["count"]
+        return out
+
+    # a row per cell
+    per_cell = counted(known_t.mapInPandas(ask, "target_id long, cell int")), counted(known_c.mapInPandas(lies, "cell int"))
+    ts, cs, first = _pieces(tree, *per_cell, PIECES_PER_CORE * c.sparkSession.sparkContext.defaultParallelism)
+    width = -(-tree.children.shape[1] // 8) if len(tree.cells) else 0
+
+    def place(batches):
+        for pdf in batches:
+            for part in _parts(pdf, max(1, ROWS_AT_ONCE // (SPILL * int(ts.max(initial=1))))):
+                v, ids = np.vstack(part["cv"].to_numpy()), part["vec_id"].to_numpy("i8")
+                at, cell = tree.descend(v, SPILL, MARGIN, visited)
+                node = tree.parent[cell]
+                code, step, left = _quantise(v[at] - tree.cells[cell])
+                data = np.array([x.tobytes() for x in code] + [None], dtype=object)[:-1]
+                i, sub = _every(ts[node])
+                piece = first[node[i]] + sub * cs[node[i]] + _dealt(ids[at[i]], cs[node[i]])
+                yield pd.DataFrame({"piece": piece.astype("i4"), "side": np.ones(len(i), "i4"), "cell": cell[i].astype("i4"),
+                                    "id": ids[at[i]], "data": data[i], "step": step[i], "gap": left[i]})
+
+    def send(batches):
+        most = min(visited or len(tree.tops), len(tree.tops)) * int(cs.max(initial=1))
+        for pdf in batches:
+            for part in _parts(pdf, max(1, ROWS_AT_ONCE // max(1, most))) if len(tree.cells) else ():
+                v, ids = np.vstack(part["tv"].to_numpy()), part["target_id"].to_numpy("i8")
                 at, cell = tree.descend(v, probed, None, visited)
-                packed = np.array([x.tobytes() for x in v.astype("f4")], dtype=object)
-                yield pd.DataFrame({"target_id": part["target_id"].to_numpy()[at], "tv": packed[at], "cell": cell.astype("i4")})
-
-    cc = c.mapInPandas(place, "vec_id long, cell int, code binary, step double, left double")
-    tc = t.mapInPandas(ask, "target_id long, tv binary, cell int")
-    # sub-blocks of either side from its per-cell counts (a row per cell)
-    subs = lambda df, name: df.groupBy("cell").agg(
-        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(block_rows))).cast("int").alias(name))
-    sizes = F.broadcast(subs(cc, "_cs").join(subs(tc, "_ts"), "cell"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    cc = cc.join(sizes, "cell").select("vec_id", "code", "step", "left", "cell", own("vec_id", "_cs").alias("sub"), every("_ts").alias("tsub"))
-    tc = tc.join(sizes, "cell").select("target_id", "tv", "cell", every("_cs").alias("sub"), own("target_id", "_ts").alias("tsub"))
-    met = (tc.groupBy("cell", "sub", "tsub").cogroup(cc.groupBy("cell", "sub", "tsub"))
-           .applyInPandas(_bounds(tree, k, exclude_self, min_sim), "target_id long, vec_id long, low double, high double"))
-    # a row met in several cells has several intervals, all of which hold
-    one = met.groupBy("target_id", "vec_id").agg(F.max("low").alias("low"), F.min("high").alias("high"))
+                node = tree.parent[cell]
+                # a row per target and node, with a bit for each cell probed there
+                met, where = np.unique(at * len(tree.tops) + node, return_inverse=True)
+                bits = np.zeros((len(met), 8 * width), dtype=bool)
+                bits[where, np.argmax(tree.children[node] == cell[:, None], axis=1)] = True
+                at, node = met // len(tree.tops), met % len(tree.tops)
+                packed, single = np.packbits(bits, axis=1), v.astype("f4")
+                data = np.array([single[x].tobytes() + y.tobytes() for x, y in zip(at, packed)] + [None], dtype=object)[:-1]
+                i, sub = _every(cs[node])
+                piece = first[node[i]] + _dealt(ids[at[i]], ts[node[i]]) * cs[node[i]] + sub
+                yield pd.DataFrame({"piece": piece.astype("i4"), "side": np.zeros(len(i), "i4"), "cell": np.full(len(i), -1, "i4"),
+                                    "id": ids[at[i]], "data": data[i], "step": np.zeros(len(i)), "gap": np.zeros(len(i))})
+
+    every = known_t.mapInPandas(send, _PIECE).unionByName(known_c.mapInPandas(place, _PIECE))
+    every = every.repartitionById(max(1, int((ts * cs).sum())), F.col("piece")).sortWithinPartitions("piece", "side", "cell")
+    met = every.mapInArrow(_node_search(tree, k, exclude_self, min_sim, block_rows), "target_id long, vec_id long, low double, high double")
+    # a row met below several nodes counts once; one shuffle serves all windows
+    one = met.repartition("target_id").groupBy("target_id", "vec_id").agg(F.max("low").alias("low"), F.max("high").alias("high"))
     place_of = F.row_number().over(Window.partitionBy("target_id").orderBy(F.desc("low"), "vec_id"))
     kth = F.min(F.when(F.col("place") <= k, F.col("low"))).over(Window.partitionBy("target_id"))
-    left = one.withColumn("place", place_of).withColumn("kth", kth).where(F.col("high") >= F.col("kth")).select("target_id", "vec_id")
-    scored = left.join(c, "vec_id").join(t, "target_id").select("target_id", "vec_id", VX.dot("tv", "cv").alias("similarity"))
+    full = F.max("place").over(Window.partitionBy("target_id")) >= k
+    left = one.withColumn("place", place_of).withColumn("kth", F.when(full, kth)).where(F.col("kth").isNull() | (F.col("high") >= F.col("kth"))).select("target_id", "vec_id")
+    pairs = left.join(given, "vec_id").join(asked, "target_id")
+    scored = pairs.select("target_id", "vec_id", VX.dot(VX.normalize(VX.unpacked("tp")), VX.normalize(VX.unpacked("cp"))).alias("similarity"))
     if min_sim is not None:
         scored = scored.where(F.col("similarity") >= min_sim)
     w = Window.partitionBy("target_id").orderBy(F.desc(F.round("similarity", 9)), F.asc("vec_id"))

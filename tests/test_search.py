@@ -92,3 +92,61 @@ def test_a_search_hands_on_few_rows_at_once(spark, monkeypatch):
     assert len(asked) == 1
     batches = list(asked[0][1](iter([asked[0][0].toPandas()])))
     assert sum(map(len, batches)) == 900 * 30 and max(map(len, batches)) <= 8192
+
+
+def test_a_target_travels_once_per_upper_node(spark, monkeypatch):
+    """A copy for each probed cell made the shuffle grow much faster than the
+    vectors; a task has all cells below a node."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(900, 8)))], "vec_id long, embedding array<double>").coalesce(1)
+    seen, old = [], type(df).mapInPandas
+
+    def watched(self, func, schema, *rest, **more):
+        seen.append((self, func, schema))
+        return old(self, func, schema, *rest, **more)
+
+    monkeypatch.setattr(type(df), "mapInPandas", watched)
+    monkeypatch.setattr(ann, "PIECES_PER_CORE", 1)
+    ann.topk_approx(df, df, k=3)
+    batches = [list(func(iter([f.toPandas()]))) for f, func, schema in seen if schema == ann._PIECE]
+    assert len(batches) == 2 and all(len(b) <= ann.ROWS_AT_ONCE for some in batches for b in some)
+    sent = [r for some in batches for b in some for r in b[["id", "side", "piece"]].itertuples(index=False) if r.side == 0]
+    assert 900 < len(sent) <= 900 * ann.VISITED and len(set(sent)) == len(sent)
+
+
+def test_pieces_of_a_node_give_the_same(spark, monkeypatch):
+    """Cut into many pieces on both sides; rows that come twice count twice,
+    rows without an id take no part, nor does a target find itself."""
+    rows = odd_vectors()
+    df = spark.createDataFrame(rows + rows[:30] + [(None, rows[0][1])], "vec_id long, embedding array<double>").repartition(5)
+    known = df.where("embedding is not null and vec_id is not null")
+    told = lambda x: sorted((r["target_id"], r["rank"], r["vec_id"], round(r["similarity"], 9)) for r in x.collect())
+    once = known.dropDuplicates(["vec_id"])
+    want = told(topk_similar(once, known, k=4))
+    monkeypatch.setattr(ann, "HELD_BYTES", 1 << 12)
+    monkeypatch.setattr(ann, "PIECES_PER_CORE", 30)
+    assert told(ann.topk_approx(once, df, k=4, probes=10_000, visited=None, block_rows=16)) == want
+    some = told(ann.topk_approx(once, df, k=4, probes=10_000, visited=None, min_sim=0.2))
+    assert some == [x for x in want if x[3] >= 0.2]
+
+
+def test_pieces_follow_the_work():
+    rng = np.random.default_rng(4)
+    tree = ann.CellTree(np.zeros((4, 8)), np.zeros((16, 8)), np.arange(16) % 4)
+    rows = np.where(tree.parent == 2, 9000, 100)  # a node with most of the rows
+    ts, cs, first = ann._pieces(tree, np.full(16, 500), rows, 24)
+    assert (ts * cs)[2] >= 20 and (ts * cs)[[0, 1, 3]].max() <= 2
+    assert list(first) == [0, *np.cumsum(ts * cs)[:-1]]
+    n = rng.integers(1, 5, 20)
+    row, sub = ann._every(n)
+    assert [(r, s) for r, s in zip(row, sub)] == [(r, s) for r in range(20) for s in range(n[r])]
+
+
+def test_vectors_are_packed_without_loss(spark):
+    from promptlens.functions import vector as VX
+
+    vectors = [[0.5, -0.0, float("nan")], [0.1, 1.0], [1e300, 1.0], [float("inf"), 1.0], [None, 1.0], [], None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "i int, v array<double>").withColumn("p", VX.packed("v"))
+    got = df.select("i", F.col("p.single").isNotNull().alias("single"), VX.unpacked("p").alias("u")).orderBy("i").collect()
+    assert [repr(r["u"]) for r in got] == [repr(v) for v in vectors]
+    assert [r["single"] for r in got] == [True, False, False, True, False, True, False]
